@@ -17,7 +17,6 @@ without labels of both kinds every score is 0; repeated rows each get their row;
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 from math import exp, lgamma, log
 
@@ -153,44 +152,71 @@ def distinct_texts(texts: list[str], bands: int = 8) -> list[int]:
     return kept
 
 
-def learn_toxicity(texts: list[str], labels: list[int], chance: float = 1e-5, purity: float = 0.85, train_docs: int = 1000, rounds: int = 40) -> ToxicityModel:
+class _Coded:
+    """Texts as codes of a vocabulary, and the features of each word, all in flat arrays."""
+
+    def __init__(self, texts: list[str]):
+        self.vocabulary: dict[str, int] = {}
+        setdefault = self.vocabulary.setdefault
+        self.docs = [np.fromiter((setdefault(w, len(self.vocabulary)) for w in _TOKENS.findall(t.lower())), np.int32) for t in texts]
+        self.names: dict[str, int] = {}
+        counts, flat = [], []
+        for w in self.vocabulary:
+            own = features(w)
+            counts.append(len(own))
+            flat += [self.names.setdefault(f, len(self.names)) for f in own]
+        self.count, self.feature_of = np.array(counts, dtype=np.int64), np.array(flat, dtype=np.int32)
+        self.begin = np.cumsum(self.count) - self.count
+        self.word_of = np.repeat(np.arange(len(counts)), self.count)
+
+    def features_of(self, doc: np.ndarray) -> np.ndarray:
+        words = np.unique(doc)
+        n = self.count[words]
+        at = np.repeat(self.begin[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.unique(self.feature_of[at])
+
+    def by_word(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.word_of, weights=weights[self.feature_of], minlength=len(self.count))
+
+    def flat(self, pick) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        docs = [self.docs[i] for i in pick]
+        length = np.array([len(d) for d in docs], dtype=np.int64)
+        return np.concatenate(docs) if docs else np.zeros(0, np.int32), np.cumsum(length) - length, length
+
+
+def learn_toxicity(texts: list[str], labels: list[int], chance: float = 1e-5, purity: float = 0.85, train_docs: int = 700, rounds: int = 40) -> ToxicityModel:
     kept = distinct_texts(texts)
-    texts, labels = [texts[i] for i in kept], [labels[i] for i in kept]
-    y = np.array(labels)
-    if len(set(labels)) < 2:
+    y = np.array([labels[i] for i in kept])
+    if len(set(y.tolist())) < 2:
         return ToxicityModel()
-    docs = [_TOKENS.findall(t.lower()) for t in texts]
-    share = float(y.mean())
-    toxic, all_ = Counter(), Counter()
-    for words, label in zip(docs, labels, strict=True):
-        own = {f for w in set(words) for f in features(w)}
-        all_.update(own)
-        if label:
-            toxic.update(own)
-    marks = {f for f, k in toxic.items() if k >= purity * all_[f] and k >= 3 and _log_tail(k, all_[f], share) < log(chance)}
-    if not marks:
+    coded = _Coded([texts[i] for i in kept])
+    n_features = len(coded.names)
+    toxic, all_ = np.zeros(n_features, dtype=np.int64), np.zeros(n_features, dtype=np.int64)
+    for doc, label in zip(coded.docs, y, strict=True):
+        own = coded.features_of(doc)
+        all_[own] += 1
+        toxic[own] += label
+    share, mark = float(y.mean()), np.zeros(n_features, dtype=bool)
+    for f in np.flatnonzero((toxic >= 3) & (toxic >= purity * all_)):
+        mark[f] = _log_tail(int(toxic[f]), int(all_[f]), share) < log(chance)
+    if not mark.any():
         return ToxicityModel()
 
     rng = np.random.default_rng(0)
     pick = np.concatenate([rng.permutation(np.flatnonzero(y == c))[:train_docs] for c in (0, 1)])
-    vocabulary: dict[str, int] = {}
-    codes = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in docs[i][:2000]], dtype=np.int64) for i in pick]
-    names: dict[str, int] = {}
-    pairs = [(v, names.setdefault(f, len(names))) for w, v in vocabulary.items() for f in features(w)]
-    word_of, feature_of = np.array(pairs, dtype=np.int64).T
-    marked = np.array([any(f in marks for f in features(w)) for w in vocabulary])
-    length = np.array([len(c) for c in codes], dtype=np.int64)
-    first, flat = np.cumsum(length) - length, np.concatenate(codes)
+    marked = coded.by_word(mark.astype(float)) > 0
+    flat, first, length = coded.flat(pick)
+    n_words, word_of, feature_of = len(coded.count), coded.word_of, coded.feature_of
     target = (marked[flat] & np.repeat(y[pick] == 1, length)).astype(np.float64)
     inner = np.ones(len(flat), dtype=bool)
     inner[(first + length - 1)[length > 0]] = False
     i = np.flatnonzero(inner)
     seen = np.zeros((2, 2))
     np.add.at(seen, (target[i].astype(int), target[i + 1].astype(int)), 1)
-    w, bias, trans = np.zeros(len(names)), log((target.sum() + 1) / len(flat)), np.zeros((2, 2))
-    square = [np.full(len(names), 1e-8), 1e-8, np.full((2, 2), 1e-8)]
+    w, bias, trans = np.zeros(n_features), log((target.sum() + 1) / len(flat)), np.zeros((2, 2))
+    square = [np.full(n_features, 1e-8), 1e-8, np.full((2, 2), 1e-8)]
     for _ in range(rounds):
-        emit = np.exp(np.clip(bias + np.bincount(word_of, weights=w[feature_of], minlength=len(vocabulary)), -60, 60))[flat]
+        emit = np.exp(np.clip(bias + coded.by_word(w), -60, 60))[flat]
         move = np.exp(trans)
         forward, backward = chain_odds(emit, first, length, move)
         odds = forward * backward
@@ -198,25 +224,26 @@ def learn_toxicity(texts: list[str], labels: list[int], chance: float = 1e-5, pu
         ahead = emit[i + 1] * backward[i + 1]
         pair = np.stack([np.full(len(i), move[0, 0]), move[0, 1] * ahead, forward[i] * move[1, 0], forward[i] * move[1, 1] * ahead])
         expected = (pair / pair.sum(axis=0)).sum(axis=1).reshape(2, 2)
-        by_word = np.bincount(flat, weights=miss, minlength=len(vocabulary))
-        steps = [np.bincount(feature_of, weights=by_word[word_of], minlength=len(names)) - 0.05 * w, miss.sum(), seen - expected - 0.05 * trans]
+        by_word = np.bincount(flat, weights=miss, minlength=n_words)
+        steps = [np.bincount(feature_of, weights=by_word[word_of], minlength=n_features) - 0.05 * w, miss.sum(), seen - expected - 0.05 * trans]
         for k, g in enumerate(steps):
             square[k] = square[k] + g**2
         w = w + 0.7 * steps[0] / np.sqrt(square[0])
         bias = bias + 0.7 * steps[1] / np.sqrt(square[1])
         trans = trans + 0.3 * steps[2] / np.sqrt(square[2])
-    model = ToxicityModel({f: float(w[k]) for f, k in names.items() if abs(w[k]) > 1e-3}, float(bias), np.exp(trans))
-
-    model.head = (0.0, 1.0, 0.0)
-    known = {x: exp(max(-60.0, min(60.0, model.emission(x)))) for x in set().union(*docs)}
-    length = np.array([len(d) for d in docs], dtype=np.int64)
-    first = np.cumsum(length) - length
-    emit = np.fromiter((known[x] for d in docs for x in d), np.float64, int(length.sum()))
-    forward, backward = chain_odds(emit, first, length, model.move)
-    p = forward * backward / (1 + forward * backward)
-    mass = np.zeros(len(docs))
-    np.add.at(mass, np.repeat(np.arange(len(docs)), length), np.where(p >= 0.5, p, 0))
-    x = np.stack([np.ones(len(docs)), model._totals(p, first, length), np.log1p(mass)], axis=1)
+    w[np.abs(w) <= 1e-3] = 0
+    model = ToxicityModel({f: float(w[k]) for f, k in coded.names.items() if w[k]}, float(bias), np.exp(trans))
+
+    emission = np.exp(np.clip(bias + coded.by_word(w), -60, 60))
+    top, mass = np.zeros(len(y)), np.zeros(len(y))
+    for k in range(0, len(y), 500):
+        part = range(k, min(k + 500, len(y)))
+        flat, first, length = coded.flat(part)
+        forward, backward = chain_odds(emission[flat], first, length, model.move)
+        p = forward * backward / (1 + forward * backward)
+        top[part] = model._totals(p, first, length)
+        np.add.at(mass, k + np.repeat(np.arange(len(length)), length), np.where(p >= 0.5, p, 0))
+    x = np.stack([np.ones(len(y)), top, np.log1p(mass)], axis=1)
     beta = np.zeros(3)
     for _ in range(40):  # Newton's method with a ridge
         q = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
@@ -225,7 +252,7 @@ def learn_toxicity(texts: list[str], labels: list[int], chance: float = 1e-5, pu
     return model
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, most_rows: int = 3000, longest: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, most_rows: int = 1800, longest: int = 8_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """``train`` is an expression over doc_id; repeated label rows of an id count as toxic if one does."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label is not null and doc_id is not null").where(F.coalesce(train, F.lit(False))).groupBy("doc_id").agg(F.max("label").alias("label"))
     sample = sample_by_key(known, F.col("doc_id"), "label", most_rows)  # within the bound, so small enough to broadcast
