@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import native as N
+from .scratch import Scratch
 
 MOST = 100_000
 
@@ -82,7 +83,8 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     flags = [F.max(F.when(base == label, 1).otherwise(0)).alias(f"base_{i}") for i, label in enumerate(sorted(set(phrases.values())))]
     first = F.when(base.isNotNull(), F.col("pos") - 1)
     voted = kept.withColumn("template", F.col("place.template")).withColumn("diagonal", F.col("pos") - F.col("place.tpos"))
-    votes = voted.groupBy("doc_id", "text_key", "template", "diagonal").agg(F.max("n_words").alias("n_words"), F.sum(F.when(F.col("pos") == 0, 1).otherwise(0)).alias("copies"), F.count(base).alias("n_base"), F.min(first).alias("first_word"), F.max(first).alias("last_word"), *flags, F.count("place.tpos").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    # three readers follow: votes are few, so they are written instead of scanning all texts again
+    votes = Scratch(spark, "licenses").write("votes", voted.groupBy("doc_id", "text_key", "template", "diagonal").agg(F.max("n_words").alias("n_words"), F.sum(F.when(F.col("pos") == 0, 1).otherwise(0)).alias("copies"), F.count(base).alias("n_base"), F.min(first).alias("first_word"), F.max(first).alias("last_word"), *flags, F.count("place.tpos").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi")))
 
     by_text = Window.partitionBy("doc_id", "text_key", "template").orderBy("diagonal")
     opens = F.when(F.col("diagonal") - F.lag("diagonal").over(by_text) <= slack, 0).otherwise(1)
