@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .scratch import Scratch
+from .scratch import Scratch, planned_bytes
 
 _U = np.uint64
 _END, _BEGIN = T.mix(np.array([0xE0D, 0xB09], dtype=np.uint64))
@@ -296,7 +296,7 @@ def interpolated_scores(docs: DataFrame, train: Column, held: Column, order: int
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lm")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(True)).alias("train"), F.coalesce(held, F.lit(False)).alias("held"))
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = planned_bytes(docs) or 0
     parts = 1 << max(6, min(24, (size // range_bytes).bit_length()))
     coded = scratch.write("coded", rows.mapInArrow(_code(order), _CODED_SCHEMA))
     asked = coded.select("block", "held", "vocabulary", "codes", "length", "train").mapInArrow(_ask(order, parts), "part int, block long, held boolean, sizes array<int>, keys binary, counts binary")

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import broadcast_if_small
+from .scratch import broadcast_if_small, planned_bytes
 
 
 def poisson_inverse(u: Column, rate: Column, most: int) -> Column:
@@ -63,6 +63,5 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float], seed: int = 7
     copies = drawn.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1))).drop("mix_source", "mix_rate")
     keyed = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(f"{seed}s"), name, F.col("mix_copy").cast("string")).cast("binary")))
     if partitions is None:
-        stated = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(stated / (64 << 20)))
+        partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((planned_bytes(docs) or 0) / (64 << 20)))
     return keyed.repartition(partitions, "mix_key").sortWithinPartitions("mix_key")

@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fold(modulus: int, id_col: str = "doc_id") -> Column:
-    """crc32 of the id as text, modulo a number; 0 for a null id... which no fold test names."""
+    """crc32 of the id as text, modulo a number; -1 for a null id, which is in no held-out fold."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
@@ -109,16 +109,13 @@ WITH weights AS (
     SELECT source, list(c ORDER BY k) AS cs FROM below GROUP BY source
 ), drawn AS (
     SELECT d.doc_id, d.source, length(d.text) AS text_chars,
-           len(list_filter(u.cs, c -> c < (('0x' || substr(md5('{seed}|' || d.doc_id), 1, 13))::BIGINT + 0.5) / 4503599627370496)) AS n
+           len(list_filter(u.cs, lambda c: c < (('0x' || substr(md5('{seed}|' || d.doc_id), 1, 13))::BIGINT + 0.5) / 4503599627370496)) AS n
     FROM documents d JOIN upto u ON d.source = u.source
 )
 SELECT doc_id, source, k AS mix_copy, n AS mix_copies, md5('{seed}s|' || doc_id || '|' || k) AS mix_key, text_chars
 FROM (SELECT *, unnest(range(0, n)) AS k FROM drawn WHERE n > 0)
 """
 
-_QUALITY_NONE = "method's verdict and coverages have no SQL form of their own"
-
-
 def oracle_sql():
     weights = ", ".join(f"('{k}', {v!r}::DOUBLE)" for k, v in MIX_WEIGHTS.items())
     return {"op1_poisson_mix": _DRAWN.format(weights=weights, seed=MIX_SEED)}

@@ -37,3 +37,9 @@ class Scratch:
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """Marks df for broadcast if it has at most so many (narrow) rows by count; else Spark joins it by shuffling."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def planned_bytes(df: DataFrame) -> int | None:
+    """The planner's size of a table from its files, without a job; None where it knows none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else None

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .scratch import Scratch
+from .scratch import Scratch, planned_bytes
 
 _SKIP, _SEEK, _SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _PAD = struct.pack("<II", _SKIP, 1)
@@ -151,8 +151,8 @@ class Shard:
 def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, shard_bytes: int = 16 << 20, level: int = 3, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes shards in ascending id order under ``path``; ``shard_bytes`` is the planner's size of input per shard."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    shards = min(1_000_000, max(1, -(-size // shard_bytes)))
+    size = planned_bytes(docs)
+    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) if size is None else max(1, -(-size // shard_bytes))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
 
     def run(batches):
@@ -178,8 +178,11 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     dealt.mapInArrow(run, "shard binary").select(F.col("shard").cast("string")).write.option("lineSep", "\n").text(path)
 
 
-def read_token_shards(spark: SparkSession, path: str, only: set[int] | None = None) -> DataFrame:
-    """(shard, position, doc_id, start_in_shard, n_tokens, ids_crc32, ids) per document; ``only`` decompresses just these ids' frames."""
+def read_token_shards(spark: SparkSession, path: str, only: set[int] | None = None, with_ids: bool = True) -> DataFrame:
+    """(shard, position, doc_id, start_in_shard, n_tokens, ids_crc32, ids) per document; ``only`` decompresses just these ids' frames.
+
+    Every frame asked for is read and checked; without ``with_ids`` the ids themselves stay behind (null).
+    """
 
     def run(batches):
         for batch in batches:
@@ -193,7 +196,7 @@ def read_token_shards(spark: SparkSession, path: str, only: set[int] | None = No
                     part = at[k : k + 256]
                     ids = [shard.ids(i).astype("<u4") for i in part]
                     cols = [[shard.number] * len(part), part, [shard.doc_id(i) for i in part], start[part], shard.entries["n_ids"][part], [zlib.crc32(x.tobytes()) for x in ids]]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(ids, pa.list_(pa.int64()))], names=["shard", "position", "doc_id", "start_in_shard", "n_tokens", "ids_crc32", "ids"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(ids if with_ids else [None] * len(part), pa.list_(pa.int64()))], names=["shard", "position", "doc_id", "start_in_shard", "n_tokens", "ids_crc32", "ids"])
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(run, "shard long, position long, doc_id long, start_in_shard long, n_tokens long, ids_crc32 long, ids array<long>")
@@ -205,7 +208,7 @@ def token_index(docs: DataFrame, tokenizer: str, end_id: int | None = None, path
     scratch = Scratch(spark, "tokens")
     path = path or f"{scratch.path}/shards"
     write_token_shards(docs, path, tokenizer, end_id, **options)
-    read = scratch.write("read", read_token_shards(spark, path).drop("ids"))
+    read = scratch.write("read", read_token_shards(spark, path, with_ids=False).drop("ids"))
     # one row a shard; the driver holds one number for each 16 MB of input or so
     totals = read.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect()
     before = np.concatenate([[0], np.cumsum([r.n for r in totals], dtype=np.int64)])
