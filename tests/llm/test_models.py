@@ -207,12 +207,13 @@ def test_html(spark):
 
 def test_html_keeps_visible_words(spark, sf):
     """Every word of the articles' paragraphs comes out, in order."""
+    import html
     import re
 
     for r in spark.read.parquet(f"{sf}/pages.parquet").limit(50).collect():
         text = html_text.render(r.html).split()
         for p in re.findall(r"<p>([^<]+)</p>", r.html):
-            words = p.split()
+            words = html.unescape(p).split()
             assert not words or any(text[i : i + len(words)] == words for i in range(len(text) - len(words) + 1))
 
 
