@@ -16,6 +16,7 @@ def lowess(x: np.ndarray, y: np.ndarray, frac: float = 0.25, rounds: int = 3) ->
     out = y.astype(float)
     for _ in range(rounds + 1):
         w = near * robust[None, :]
+        w = np.where(w.sum(axis=1, keepdims=True) > 1e-9, w, near)  # all neighbours discounted: none is
         s = np.maximum(w.sum(axis=1), 1e-300)
         mx, my = w @ x / s, w @ y / s
         sxx = (w * (x[None, :] - mx[:, None]) ** 2).sum(axis=1)

@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 from curvelake.config import LateConfig
 from curvelake.operators.grid import KEY, half_even
 
-BY = Window.partitionBy(KEY).orderBy("time_h")
+def by_time():
+    return Window.partitionBy(KEY).orderBy("time_h")
 
 
 def clip(x: Column, lo: float, hi: float) -> Column:
@@ -19,7 +20,7 @@ def clip(x: Column, lo: float, hi: float) -> Column:
 def steps(obs: DataFrame) -> DataFrame:
     """Points with the step to each from the one before."""
     p = obs.where("time_h is not null and od is not null").select(KEY, "time_h", "od")
-    return p.select("*", (F.col("od") - F.lag("od").over(BY)).alias("dy"), (F.col("time_h") - F.lag("time_h").over(BY)).alias("dt"))
+    return p.select("*", (F.col("od") - F.lag("od").over(by_time())).alias("dy"), (F.col("time_h") - F.lag("time_h").over(by_time())).alias("dt"))
 
 
 def mad_sigma(values: DataFrame, column: str = "x") -> DataFrame:
@@ -57,7 +58,7 @@ def artifact_parts(late: DataFrame, noise: DataFrame, cfg: LateConfig = LateConf
     """Per curve: the three indicators, their mean artifact_score, and decline_score."""
     p = steps(late).join(noise, KEY)
     p = p.withColumn("big", F.when(F.abs("dy") > 2 * F.col("noise_level"), F.signum("dy")))
-    p = p.withColumn("last_big", F.last("big", True).over(BY.rowsBetween(Window.unboundedPreceding, -1)))
+    p = p.withColumn("last_big", F.last("big", True).over(by_time().rowsBetween(Window.unboundedPreceding, -1)))
     per = p.groupBy(KEY).agg(
         F.count("*").alias("n"), F.avg("od").alias("mu"), F.stddev_pop("od").alias("sd"), F.count("big").alias("k"),
         F.count(F.when(F.col("big") != F.col("last_big"), 1)).alias("flips"), F.regr_slope("od", "time_h").alias("slope"), F.regr_r2("od", "time_h").alias("r2"),

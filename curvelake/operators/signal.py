@@ -10,8 +10,12 @@ from pyspark.sql.window import Window
 
 from curvelake.operators.grid import KEY
 
-BY = Window.partitionBy(KEY).orderBy("time_h")
-ALL = Window.partitionBy(KEY)
+def by_time():
+    return Window.partitionBy(KEY).orderBy("time_h")
+
+
+def whole():
+    return Window.partitionBy(KEY)
 
 
 def observed(grid: DataFrame) -> DataFrame:
@@ -24,8 +28,8 @@ def baseline_correct(points: DataFrame, clip: bool = True, blank: float | None =
         base = F.lit(float(blank))
         ranked = points
     else:
-        ranked = points.withColumn("_n", F.row_number().over(BY))
-        base = F.percentile(F.when(F.col("_n") <= first, F.col("od")), 0.5).over(ALL)
+        ranked = points.withColumn("_n", F.row_number().over(by_time()))
+        base = F.percentile(F.when(F.col("_n") <= first, F.col("od")), 0.5).over(whole())
     value = F.col("od") - base
     return ranked.withColumn("od", F.greatest(value, F.lit(0.0)) if clip else value).drop("_n")
 
@@ -33,8 +37,8 @@ def baseline_correct(points: DataFrame, clip: bool = True, blank: float | None =
 def baseline_by_file(points: DataFrame, blanks: DataFrame, clip: bool = True) -> DataFrame:
     """points with file_name; blanks (file_name, status RAW or ALREADY, blank_value): ALREADY stays as it is."""
     joined = points.join(blanks.select("file_name", "status", "blank_value"), "file_name", "left")
-    ranked = joined.withColumn("_n", F.row_number().over(BY))
-    own = F.percentile(F.when(F.col("_n") <= 5, F.col("od")), 0.5).over(ALL)
+    ranked = joined.withColumn("_n", F.row_number().over(by_time()))
+    own = F.percentile(F.when(F.col("_n") <= 5, F.col("od")), 0.5).over(whole())
     value = F.when(F.col("status") == "ALREADY", F.col("od")).otherwise(F.col("od") - F.coalesce("blank_value", own))
     return ranked.withColumn("od", F.greatest(value, F.lit(0.0)) if clip else value).drop("_n", "status", "blank_value")
 
@@ -42,8 +46,8 @@ def baseline_by_file(points: DataFrame, blanks: DataFrame, clip: bool = True) ->
 def rolling_smooth(points: DataFrame, window: int = 5) -> DataFrame:
     """Mean over a centred window that counts what lies beyond the ends as zero; short curves stay."""
     half = window // 2
-    total = F.sum("od").over(BY.rowsBetween(-half, window - 1 - half))
-    return points.withColumn("od", F.when(F.count("od").over(ALL) < window, F.col("od")).otherwise(total / window))
+    total = F.sum("od").over(by_time().rowsBetween(-half, window - 1 - half))
+    return points.withColumn("od", F.when(F.count("od").over(whole()) < window, F.col("od")).otherwise(total / window))
 
 
 #: Savitzky-Golay weights of order 2 over 5 points, at the centre and at the first two points.
@@ -54,8 +58,8 @@ SG_SECOND = [9, 13, 12, 6, -5]
 
 def savgol_smooth(points: DataFrame) -> DataFrame:
     """Order 2 over 5 points; the ends follow the parabola of the outermost five."""
-    n, i = F.count("od").over(ALL), F.row_number().over(BY)
-    shift = lambda k: F.lag("od", k).over(BY) if k > 0 else F.lead("od", -k).over(BY) if k < 0 else F.col("od")
+    n, i = F.count("od").over(whole()), F.row_number().over(by_time())
+    shift = lambda k: F.lag("od", k).over(by_time()) if k > 0 else F.lead("od", -k).over(by_time()) if k < 0 else F.col("od")
     combine = lambda weights, offsets: sum((F.lit(float(w)) * shift(-o) for w, o in zip(weights, offsets, strict=True)), F.lit(0.0)) / 35.0
     value = (
         F.when(n < 5, F.col("od"))
@@ -87,7 +91,7 @@ def smooth(points: DataFrame, method: str = "SGF", window: int = 5) -> DataFrame
 
 def normalize(points: DataFrame, mode: str = "MINMAX") -> DataFrame:
     """NONE, MAX (by a positive maximum) or MINMAX (flat curves become 0)."""
-    hi, lo, size = F.max("od").over(ALL), F.min("od").over(ALL), F.max(F.abs("od")).over(ALL)
+    hi, lo, size = F.max("od").over(whole()), F.min("od").over(whole()), F.max(F.abs("od")).over(whole())
     value = {
         "NONE": F.col("od"),
         "MAX": F.when(hi > 0, F.col("od") / hi).otherwise(F.col("od")),

@@ -1,0 +1,92 @@
+"""Numeric kernels against closed forms and known truths."""
+
+import numpy as np
+import pytest
+
+from curvelake.kernels import dose, growth
+from curvelake.kernels.lowess import lowess
+from curvelake.kernels.lsq import fit
+from curvelake.kernels.spline import Basis, choose_lam, unique_mean
+
+T = np.arange(0, 16.5, 0.5)
+
+
+@pytest.mark.parametrize("name,extra", [("logistic", ()), ("gompertz", ()), ("richards", (1.3,))])
+def test_models_recover_parameters(name, extra):
+    y = growth.MODELS[name](T, 0.1, 1.5, 0.4, 4.0, *extra)
+    got = growth.fit_models(T, y + np.random.default_rng(0).normal(0, 0.002, len(T)))
+    assert got["success"] and got["mu"] == pytest.approx(0.4, rel=0.08) and got["lag"] == pytest.approx(4.0, abs=0.4)
+    assert {m for m, _, _ in got["aic_table"]} == set(growth.MODELS)
+
+
+def test_models_fail_softly():
+    assert growth.fit_models(T[:3], np.ones(3))["message"] == "all_models_failed"
+    assert growth.fit_models(np.zeros(0), np.zeros(0))["message"] == "insufficient_points"
+    assert growth.fit_spline(T[:3], np.ones(3))["message"] == "insufficient_unique_points"
+
+
+def test_spline_limits():
+    y = np.sin(T / 3)
+    basis = Basis(T)
+    assert np.allclose(basis.smooth(y, 1e-12), y, atol=1e-6) and basis.df(1e-12) == pytest.approx(len(T), abs=1e-3)
+    line = np.polyval(np.polyfit(T, y, 1), T)
+    assert np.allclose(basis.smooth(y, 1e9), line, atol=1e-4)
+    value, slope = basis.evaluate(y, T)
+    assert np.allclose(value, y) and np.allclose(slope[3:-3], np.cos(T[3:-3] / 3) / 3, atol=1e-3)
+    lam, how = choose_lam(basis, y + np.random.default_rng(1).normal(0, 0.05, len(T)))
+    assert how == "gcv_ok" and 4 <= basis.df(lam) < len(T)
+    assert choose_lam(basis, np.random.default_rng(2).normal(size=len(T)))[1] in ("gcv_ok", "gcv_bounded_floor")
+
+
+def test_spline_minimises_its_target():
+    rng = np.random.default_rng(5)
+    x = np.sort(rng.uniform(0, 10, 12))
+    y, lam = rng.normal(size=12), 0.7
+    basis = Basis(x)
+    k = basis.b @ np.linalg.solve(basis.r, basis.b.T)
+    target = lambda f: ((y - f) ** 2).sum() + lam * f @ k @ f
+    best = basis.smooth(y, lam)
+    assert all(target(best) <= target(best + d) for d in rng.normal(0, 0.01, (50, 12)))
+
+
+def test_bootstrap_is_seeded_and_covers():
+    y = growth.gompertz(T, 0.05, 1.2, 0.3, 3.0) + np.random.default_rng(4).normal(0, 0.02, len(T))
+    a, b = (growth.bootstrap_spline(T, y, "k") for _ in range(2))
+    assert (a["mu"] == b["mu"]).all() and len(a["mu"]) == 200
+    lo, hi = np.percentile(a["mu"], [2.5, 97.5])
+    assert lo < growth.fit_spline(T, y)["mu"] * 1.05 and hi > 0.25
+    assert len(growth.bootstrap_spline(T, y, "k", 40, "pairs")["mu"]) > 30
+
+
+def test_bounded_least_squares():
+    x = np.linspace(0, 4, 40)
+    p, rss, _ = fit(lambda t, a, b: a * np.exp(-b * t), x, 2 * np.exp(-0.7 * x), [1, 0.1], [0, 0], [5, 0.5])
+    assert p[1] == pytest.approx(0.5) and rss > 0
+    p, rss, _ = fit(lambda t, a, b: a * np.exp(-b * t), x, 2 * np.exp(-0.7 * x), [1, 0.1], [0, 0], [5, 5])
+    assert p == pytest.approx([2, 0.7], rel=1e-4)
+
+
+def test_lowess():
+    y = 2 * T + 1
+    assert np.allclose(lowess(T, y, 0.4), y)
+    y = y + np.random.default_rng(0).normal(0, 0.5, len(T))
+    y[10] += 30
+    assert abs(lowess(T, y, 0.4)[10] - (2 * T[10] + 1)) < 1.5
+
+
+def test_dose():
+    x = np.repeat([0, 0.1, 0.3, 1, 3, 10, 30, 100.0], 2)
+    y = dose.hill(x, 0.1, 1.0, 4.0, 1.5)
+    assert dose.fit_hill(x, y)["ec50"] == pytest.approx(4.0, rel=0.05)
+    assert dose.fit_dose(x, y)["ec50"] == pytest.approx(4.0, rel=0.25)
+    assert dose.fit_dose(x, y, method="spline")["method"] == "spline"
+    assert dose.fit_dose(x[:4], y[:4])["message"] == "too_few_conc_points_2"
+    assert dose.fit_dose(x, y - 5, y_log="log1p")["message"] == "dr_y_transform_invalid_lt_minus1"
+    whole, parts = dose.bootstrap_dose(x, y, "t", range(20)), [v for k in range(0, 20, 5) for v in dose.bootstrap_dose(x, y, "t", range(k, k + 5))]
+    assert whole == parts and len(whole) > 10
+    assert dose.pick_crossing(np.array([0, 1, 2.0]), np.array([1, 1, 1.0]))[1] in ("OK", "AMBIGUOUS", "NO_CROSS_NEAREST")
+
+
+def test_unique_mean():
+    x, y = unique_mean(np.array([2, 1, 2, np.nan]), np.array([1, 5, 3, 1]))
+    assert x.tolist() == [1, 2] and y.tolist() == [5, 2]
