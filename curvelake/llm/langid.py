@@ -59,19 +59,22 @@ class LanguageModel:
         return [marked[i : i + k] for i in range(len(marked) - k + 1)] if k > 1 else list(word)
 
     @staticmethod
-    def _logs(table: dict[str, np.ndarray], alpha: float) -> dict[str, np.ndarray]:
+    def _logs(table: dict[str, np.ndarray], alpha: float) -> tuple[dict[str, int], np.ndarray]:
+        """Row numbers by key, and a row of log frequencies per key: one array travels to the executors."""
         if not table:
-            return {}
+            return {}, np.zeros((0, 0), dtype=np.float32)
         counts = np.stack(list(table.values())) + alpha
-        return dict(zip(table, np.log(counts / counts.sum(axis=0)).astype(np.float32), strict=True))
+        return {k: i for i, k in enumerate(table)}, np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
     def word(self, word: str) -> np.ndarray:
-        if (row := self.words.get(word)) is not None:
-            return row
+        at, logs = self.words
+        if (i := at.get(word)) is not None:
+            return logs[i]
         for k in range(self.longest, 0, -1):
-            rows = [r for g in self.grams(word, k) if (r := self.by_length[k].get(g)) is not None]
+            at, logs = self.by_length[k]
+            rows = [i for g in self.grams(word, k) if (i := at.get(g)) is not None]
             if rows:
-                return np.mean(rows, axis=0)
+                return logs[rows].mean(axis=0)
         return np.zeros(len(self.languages), dtype=np.float32)
 
     def predictor(self, limit: int = 200_000):
