@@ -28,7 +28,7 @@ _WORDS = re.compile(r"[^\W\d_]+").findall
 def words_of(text: str | None) -> Counter:
     """Lower-cased runs of letters with their counts."""
     found = Counter(_WORDS(text.lower())) if text else Counter()
-    for w in [w for w in found if not w.isalpha()]:  # signs such as fractions count as word characters
+    for w in [] if all(map(str.isalpha, found)) else [w for w in found if not w.isalpha()]:  # signs such as fractions count as word characters
         n, letters = found.pop(w), "".join(c for c in w if c.isalpha())
         if letters:
             found[letters] += n
@@ -50,37 +50,57 @@ class LanguageModel:
                 for g in self.grams(word, k):
                     grams[k][g] += row
         self.totals = sum(words.values()) if words else np.zeros(n)
-        self.words = self._logs(words, alpha)
-        self.by_length = [self._logs(g, alpha) for g in grams]
+        # one table of rows for words and n-grams of all lengths; dictionaries hold row numbers
+        tables, self.rows_of, first = [words, *grams[1:]], [], 0
+        for t in tables:
+            self.rows_of.append({k: first + i for i, k in enumerate(t)})
+            first += len(t)
+        self.logs = np.concatenate([self._logs(t, alpha, n) for t in tables])
 
     @staticmethod
     def grams(word: str, k: int) -> list[str]:
+        if k == 1:
+            return list(word)
         marked = f"^{word}$"
-        return [marked[i : i + k] for i in range(len(marked) - k + 1)] if k > 1 else list(word)
+        return [marked[i : i + k] for i in range(len(marked) - k + 1)]
 
     @staticmethod
-    def _logs(table: dict[str, np.ndarray], alpha: float) -> tuple[dict[str, int], np.ndarray]:
-        """Row numbers by key, and a row of log frequencies per key: one array travels to the executors."""
+    def _logs(table: dict[str, np.ndarray], alpha: float, n: int) -> np.ndarray:
         if not table:
-            return {}, np.zeros((0, 0), dtype=np.float32)
+            return np.zeros((0, n), dtype=np.float32)
         counts = np.stack(list(table.values())) + alpha
-        return {k: i for i, k in enumerate(table)}, np.log(counts / counts.sum(axis=0)).astype(np.float32)
+        return np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
-    def word(self, word: str) -> np.ndarray:
-        at, logs = self.words
-        if (i := at.get(word)) is not None:
-            return logs[i]
+    def rows(self, word: str) -> list[int]:
+        """The word's own row, else those of its known n-grams of the longest length that has any."""
+        if (i := self.rows_of[0].get(word)) is not None:
+            return [i]
         for k in range(self.longest, 0, -1):
-            at, logs = self.by_length[k]
-            rows = [i for g in self.grams(word, k) if (i := at.get(g)) is not None]
-            if rows:
-                return logs[rows].mean(axis=0)
-        return np.zeros(len(self.languages), dtype=np.float32)
+            get = self.rows_of[k].get
+            found = [i for g in self.grams(word, k) if (i := get(g)) is not None]
+            if found:
+                return found
+        return []
 
-    def predictor(self, limit: int = 200_000):
+    def predictor(self, limit: int = 400_000):
         """A function of a text; it remembers words, up to a number, which changes no result."""
-        known: dict[str, np.ndarray] = {}
         usual = self.languages[int(np.argmax(self.totals))] if self.languages else "und"
+        known: dict[str, int] = {}
+        store = np.zeros((1024, len(self.languages)), dtype=np.float32)
+
+        def learn(fresh: list[str]) -> None:
+            nonlocal store
+            rows = [self.rows(w) for w in fresh]
+            n = np.array([len(r) for r in rows])
+            first = len(known)
+            while len(store) < first + len(fresh):
+                store = np.concatenate([store, np.zeros_like(store)])
+            filled = np.flatnonzero(n)
+            store[first : first + len(fresh)] = 0
+            if len(filled):
+                flat = np.fromiter((i for r in rows for i in r), np.int64, int(n.sum()))
+                store[first + filled] = np.add.reduceat(self.logs[flat], (np.cumsum(n) - n)[filled], axis=0) / n[filled, None]
+            known.update(zip(fresh, range(first, first + len(fresh)), strict=True))
 
         def predict(text: str | None) -> tuple[str, float]:
             found = words_of(text)
@@ -88,9 +108,10 @@ class LanguageModel:
                 return "und", 0.0
             if len(known) > limit:
                 known.clear()
-            for w in found.keys() - known.keys():
-                known[w] = self.word(w)
-            sums = np.fromiter(found.values(), np.float32, len(found)) @ np.stack([known[w] for w in found])
+            if fresh := [w for w in found if w not in known]:
+                learn(fresh)
+            at = np.fromiter(map(known.__getitem__, found), np.int64, len(found))
+            sums = np.fromiter(found.values(), np.float32, len(found)) @ store[at]
             if not sums.any():
                 return usual, 1.0 / len(self.languages)
             odds = np.exp((sums - sums.max()).astype(np.float64))
