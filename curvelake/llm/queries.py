@@ -12,7 +12,7 @@ from .jaccard import jaccard_classes
 from .langid import learn_languages, predict_language
 from .licenses import license_scan
 from .mixing import mix_sources
-from .repetition import repetition_quality
+from .repetition import Rules, repetition_quality
 from .tokens import token_index
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -112,10 +112,51 @@ WITH weights AS (
            len(list_filter(u.cs, lambda c: c < (('0x' || substr(md5('{seed}|' || d.doc_id), 1, 13))::BIGINT + 0.5) / 4503599627370496)) AS n
     FROM documents d JOIN upto u ON d.source = u.source
 )
-SELECT doc_id, source, k AS mix_copy, n AS mix_copies, md5('{seed}s|' || doc_id || '|' || k) AS mix_key, text_chars
+SELECT doc_id, source, k::INT AS mix_copy, n::INT AS mix_copies, md5('{seed}s|' || doc_id || '|' || k) AS mix_key, text_chars
 FROM (SELECT *, unnest(range(0, n)) AS k FROM drawn WHERE n > 0)
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_HELD = f"""
+WITH words AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+wins AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM wins),
+grams AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, sizes WHERE len(w) >= n)),
+hits AS (SELECT r, i, n, item_id FROM grams JOIN wins USING (g, n)),
+covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hits) GROUP BY r),
+found AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS listed FROM (SELECT DISTINCT r, item_id::VARCHAR AS s FROM hits WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
+"""
+
+
+def _repetition_sql() -> str:
+    """Counts and coverages of op4 with the default rules, by plain window strings."""
+    rules = Rules()
+    spaced = r"[^\x20\x09-\x0D]+"
+    parts = [
+        f"docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{spaced}') AS w FROM documents)",
+        "words AS (SELECT r, i, length(w[i]) AS chars FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM docs))",
+        "base AS (SELECT r, doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols FROM docs)",
+        f"lines AS (SELECT r, line, k, coalesce(list_sum(list_transform(regexp_extract_all(line, '{spaced}'), lambda x: length(x))), 0) AS chars FROM (SELECT r, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM docs))",
+        "dups AS (SELECT r, count(*) AS n_dup_lines, sum(chars) AS dup_chars FROM (SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY k) AS nth FROM lines WHERE chars > 0) WHERE nth > 1 GROUP BY r)",
+    ]
+    for n in sorted({3, *rules.coverage}):
+        parts.append(f"g{n} AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM (SELECT r, i, array_to_string(w[i:i + {n} - 1], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - {n} + 2)) AS i FROM docs WHERE len(w) >= {n})))")
+        parts.append(f"c{n} AS (SELECT r, count(*) AS marked, sum(chars) AS chars FROM (SELECT DISTINCT r, unnest(range(i, i + {n})) AS i FROM g{n} WHERE c > 1) JOIN words USING (r, i) GROUP BY r)")
+    joins = " ".join(f"LEFT JOIN c{n} ON c{n}.r = b.r" for n in sorted({3, *rules.coverage}))
+    cover = ", ".join(f"coalesce(c{n}.chars, 0)::DOUBLE / greatest(word_chars, 1) AS cover_{n}" for n in rules.coverage)
+    bad = " OR ".join([f"dup_line_chars > {rules.dup_line_chars}::DOUBLE", f"n_symbols > {rules.symbol_share}::DOUBLE * greatest(word_chars, 1)", *(f"cover_{n} > {most}::DOUBLE" for n, most in rules.coverage.items())])
+    parts.append(
+        f"measured AS (SELECT doc_id, n_words, word_chars, n_symbols::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(c3.marked, 0) AS n_repeat_words, n_words < {rules.min_words} OR 100 * coalesce(c3.marked, 0) > {rules.max_repeat_percent} * n_words AS base_failed, "
+        f"coalesce(dup_chars, 0)::DOUBLE / greatest(word_chars, 1) AS dup_line_chars, {cover} FROM base b LEFT JOIN dups ON dups.r = b.r {joins})"
+    )
+    return "WITH " + ", ".join(parts) + f" SELECT *, NOT (base_failed OR {bad}) AS kept FROM measured"
+
+
 def oracle_sql():
     weights = ", ".join(f"('{k}', {v!r}::DOUBLE)" for k, v in MIX_WEIGHTS.items())
-    return {"op1_poisson_mix": _DRAWN.format(weights=weights, seed=MIX_SEED)}
+    return {"op1_poisson_mix": _DRAWN.format(weights=weights, seed=MIX_SEED), "op4_repetition": _repetition_sql(), "op5_decontamination": _HELD}
