@@ -149,3 +149,50 @@ def ec50_interpolated(responses: DataFrame) -> DataFrame:
     p = mean.select("*", F.lead("concentration").over(w).alias("c1"), F.lead("y").over(w).alias("y1"), ((F.first("y").over(whole) + F.last("y").over(whole)) / 2).alias("middle"))
     hit = p.where("c1 is not null and (y - middle) * (y1 - middle) <= 0 and y <> y1").select("test_id", "middle", (F.col("concentration") + (F.col("middle") - F.col("y")) / (F.col("y1") - F.col("y")) * (F.col("c1") - F.col("concentration"))).alias("ec50"))
     return hit.groupBy("test_id").agg(F.min("ec50").alias("ec50"), F.first("middle").alias("middle"), F.count("*").alias("n_crossings"))
+
+
+def dose_band(responses: DataFrame, samples: int = 300, points: int = 80, x_log: str = "log", seed: int = 42) -> DataFrame:
+    """Payload for plots: per test the doses, responses, the fit on a grid of doses and a pair-bootstrap band (40 to 250 draws)."""
+    schema = "test_id string, x array<double>, y array<double>, grid array<double>, curve array<double>, lo array<double>, hi array<double>, ec50 double"
+    draws = int(np.clip(samples, 40, 250))
+
+    def on_grid(r: dict, grid: np.ndarray) -> np.ndarray | None:
+        if not r["success"]:
+            return None
+        if r["method"] == "4pl":
+            return dose.hill(grid, *r["params"])
+        return np.interp(dose.transform_x(grid, x_log), r["grid"], r["curve"])
+
+    def run(key, pdf):
+        x, y = pdf["concentration"].to_numpy(float), pdf["response"].to_numpy(float)
+        base = dose.fit_dose(x, y, x_log)
+        positive = x[x > 0]
+        as_list = lambda v: None if v is None else [float(a) for a in v]
+        if not base["success"] or not len(positive):
+            return pd.DataFrame([[key[0], as_list(x), as_list(y), None, None, None, None, None]], columns=[c.split()[0] for c in schema.split(", ")])
+        grid = np.geomspace(positive.min(), x.max(), points)
+        options = {"method": base["method"], "lam": base.get("lam"), "start": base.get("params"), "points": 400}
+        rows = []
+        for k in range(draws):
+            pick = np.random.default_rng([growth.stable_seed(key[0], seed), k]).integers(0, len(x), len(x))
+            rows.append(on_grid(dose.fit_dose(x[pick], y[pick], x_log, **options), grid))
+        rows = [r for r in rows if r is not None]
+        lo, hi = np.percentile(rows, [2.5, 97.5], axis=0) if len(rows) >= 10 else (None, None)
+        return pd.DataFrame([[key[0], as_list(x), as_list(y), as_list(grid), as_list(on_grid(base, grid)), as_list(lo), as_list(hi), base["ec50"]]], columns=[c.split()[0] for c in schema.split(", ")])
+
+    return responses.where("response is not null and concentration is not null").select("test_id", "concentration", "response").groupBy("test_id").applyInPandas(run, schema)
+
+
+def curve_audit(spline: DataFrame, models: DataFrame) -> DataFrame:
+    """One row per curve: how each fit went, the model chosen, its lead over the next AIC, how the spline was smoothed."""
+    s = spline.select(KEY, F.col("success").alias("spline_ok"), F.col("message").alias("spline_message"), "smoothing", "df", "lam", F.col("n").alias("n_obs"))
+    m = models.select(KEY, F.col("success").alias("model_ok"), F.col("message").alias("model_message"), "model", "aic", "bic", (F.col("second_aic") - F.col("aic")).alias("aic_lead"), F.transform("aic_table", lambda r: F.concat(r["model"], F.lit(":"), r["status"])).alias("tried"))
+    return s.join(m, KEY, "left")
+
+
+def dose_audit(fits: DataFrame, gate: DataFrame, boot: DataFrame | None = None) -> DataFrame:
+    """One row per test: doses, span, the reason where nothing was fitted, the method, monotonicity, the crossing rate."""
+    out = gate.join(fits.select("test_id", "success", "message", "method", "monotonic", "aic"), "test_id", "left")
+    if boot is not None:
+        out = out.join(boot.select("test_id", "crossing_rate"), "test_id", "left")
+    return out.withColumn("reason", F.coalesce("reason", F.nullif("message", F.lit("")))).drop("message")

@@ -309,6 +309,37 @@ def dr_boot(spark, d):
     return fit.dose_bootstrap(_responses(spark, d))
 
 
+def dr_payload(spark, d):
+    return fit.dose_band(_responses(spark, d))
+
+
+def gc_audit(spark, d):
+    obs = _obs(spark, d)
+    return fit.curve_audit(fit.spline_fit(obs), fit.model_fit(obs))
+
+
+def dr_audit(spark, d):
+    responses = _responses(spark, d)
+    return fit.dose_audit(fit.dose_fit(responses), fit.dose_gate(responses))
+
+
+def synthetic_curves(spark, d):
+    """Generated, so it reads no table: the labelled set of 900 curves, counted by subtype."""
+    from curvelake.sources.synthetic import synthetic_curves as make
+
+    return make(spark).groupBy("subtype", "is_valid").agg(F.countDistinct(KEY).alias("curves"), F.count("*").alias("points"))
+
+
+def train_predict(spark, d):
+    """Three classifiers trained on synthetic curves label the event curves, with evidence and overrides."""
+    from curvelake.ml import classifier
+    from curvelake.plans import analysis
+    from curvelake.sources.synthetic import synthetic_curves as make
+
+    trained = classifier.train(analysis.training_table(make(spark, 150, partitions=4).drop("subtype")), trees=20, boosts=3)
+    return analysis.label_curves(_obs(spark, d).select(KEY, "time_h", "od"), trained).select(KEY, "p_lr", "p_rf", "p_hgb", "confidence_valid", "pred_label", "stage2_label", "label_reason", "final_label")
+
+
 def curve_payload(spark, d):
     return fit.curve_band(_obs(spark, d))
 
@@ -323,7 +354,7 @@ NAMES = [
     features_all, curve_point_stats, dedupe_mean_long, long_to_wide, wide_to_long, conc_from_id, duration_to_hours, time_unit_inference, curve_key_attach, grid_interpolate, grid_missing, baseline_correct, rolling_smooth, savgol_smooth, lowess_smooth,
     max_normalize, minmax_normalize, preprocess_chain, mad_noise, theil_sen, artifact_score, dynamic_min_points, stage2_evidence, ensemble_vote, stage2_status, final_labels, validity_join, membership_filter, label_counts, audit_join,
     label_resolution, truncate_augment, gap_augment, class_metrics_by_slice, roc_auc, average_precision, class_weights, group_split, bootstrap_mean_ci, model_curve_eval, aic_table, dr_response_table, conc_span, ec50_linear_crossing,
-    gc_spline_fit, gc_model_fit, gc_boot, dr_fit, dr_boot, curve_payload, training_features,
+    gc_spline_fit, gc_model_fit, gc_boot, gc_audit, dr_fit, dr_boot, dr_audit, dr_payload, curve_payload, training_features, synthetic_curves, train_predict,
 ]
 
 
