@@ -7,6 +7,7 @@ hash key, the keys deal the copies over partitions and order them there.  The dr
 seed, id and rate, so a lost task redoes the same copies.
 
 Rates come from one row per source (counts are pre-aggregated), broadcast only up to ``small`` sources.
+Mean rates over half of ``most`` are an error rather than a cut-off draw.
 Cases: null is a source of its own; sources without a target weight get weight 0 (``default_weight``);
 empty texts replicate like others; repeated rows of an id draw the same number and are all repeated; a
 null id draws as the text 'null'; without any weight, or with an empty table, there are no rows.
@@ -22,15 +23,22 @@ from pyspark.sql import functions as F
 from .scratch import broadcast_if_small, planned_bytes
 
 
-def poisson_inverse(u: Column, rate: Column, most: int) -> Column:
-    """The smallest k with u <= P(X <= k), for rates up to ``most`` / 4 or so; higher k end at ``most``."""
-    first = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("k"))
+def poisson_steps(rate: Column, most: int) -> Column:
+    """P(X <= 0), P(X <= 1), ... up to where nothing is left above double precision, ``most`` at the latest."""
+    p0 = F.exp(-rate)
+    first = F.struct(p0.alias("p"), F.array(p0).alias("c"))
 
     def step(a, i):
         p = a["p"] * rate / i
-        return F.when(u <= a["c"], a).otherwise(F.struct(p.alias("p"), (a["c"] + p).alias("c"), i.cast("int").alias("k")))
+        return F.struct(p.alias("p"), F.concat(a["c"], F.array(F.element_at(a["c"], -1) + p)).alias("c"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), first, step)["k"]
+    steps = F.aggregate(F.sequence(F.lit(1), F.lit(most)), first, step)["c"]
+    return F.filter(steps, lambda c: c < 1 - 1e-15)
+
+
+def poisson_inverse(u: Column, steps: Column) -> Column:
+    """The smallest k with u <= P(X <= k)."""
+    return F.size(F.filter(steps, lambda c: c < u))
 
 
 def unit_hash(*parts: Column) -> Column:
@@ -56,11 +64,12 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float], seed: int = 7
     """All columns of docs, then mix_copy (from 0), mix_copies and mix_key, dealt and ordered by mix_key."""
     taken = {c.lower() for c in docs.columns} & {"mix_copy", "mix_copies", "mix_key"}
     docs = docs.drop(*[c for c in docs.columns if c.lower() in taken])
-    rates = source_rates(docs, weights, default_weight, size, source_col).where("rate > 0").select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"))
+    # the steps are computed once per source, not once per document
+    rates = source_rates(docs, weights, default_weight, size, source_col).where("rate > 0").select(F.col("source").alias("mix_source"), poisson_steps(F.when(F.col("rate") <= most / 2, F.col("rate")).otherwise(F.raise_error(F.lit(f"a source would be repeated over {most // 2} times on average")).cast("double")), most).alias("mix_steps"))
     joined = docs.join(broadcast_if_small(rates, small), F.col(source_col).eqNullSafe(F.col("mix_source")))
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    drawn = joined.withColumn("mix_copies", poisson_inverse(unit_hash(F.lit(str(seed)), name), F.col("mix_rate"), most)).where("mix_copies > 0")
-    copies = drawn.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1))).drop("mix_source", "mix_rate")
+    drawn = joined.withColumn("mix_copies", poisson_inverse(unit_hash(F.lit(str(seed)), name), F.col("mix_steps"))).where("mix_copies > 0")
+    copies = drawn.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1))).drop("mix_source", "mix_steps")
     keyed = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(f"{seed}s"), name, F.col("mix_copy").cast("string")).cast("binary")))
     if partitions is None:
         partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((planned_bytes(docs) or 0) / (64 << 20)))

@@ -230,7 +230,7 @@ def test_mixing_awkward(spark):
         k += 1
         p *= rate / k
         c += p
-    assert spark.range(1).select(mixing.poisson_inverse(F.lit(u), F.lit(rate), 100).alias("k")).first().k == k
+    assert spark.range(1).select(mixing.poisson_inverse(F.lit(u), mixing.poisson_steps(F.lit(rate), 100)).alias("k")).first().k == k
     missing = mixing.mix_sources(docs.withColumn("source", F.lit(None).cast("string")), {None: 1.0}, size=600.0)
     assert missing.count() == n
 
