@@ -336,7 +336,7 @@ def train_predict(spark, d):
     from curvelake.plans import analysis
     from curvelake.sources.synthetic import synthetic_curves as make
 
-    trained = classifier.train(analysis.training_table(make(spark, 150, partitions=4).drop("subtype")), trees=20, boosts=3)
+    trained = classifier.train(analysis.training_table(make(spark).drop("subtype")))
     return analysis.label_curves(_obs(spark, d).select(KEY, "time_h", "od"), trained).select(KEY, "p_lr", "p_rf", "p_hgb", "confidence_valid", "pred_label", "stage2_label", "label_reason", "final_label")
 
 

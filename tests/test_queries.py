@@ -41,3 +41,22 @@ def test_against_sql(spark, sf, con, name):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(sql_text.SQL)))
 def test_runs(spark, sf, name):
     assert registry.queries()[name](spark, sf).count() > 0
+
+
+def test_train_predict_is_whole(spark, sf, monkeypatch):
+    """The registered query trains on all 900 synthetic curves with the ensemble's own sizes."""
+    from curvelake.ml import classifier
+
+    class Seen(Exception):
+        pass
+
+    def build(features, seed, trees, boosts):
+        raise Seen(trees, boosts)
+
+    curves = []
+    train = classifier.train
+    monkeypatch.setattr(classifier, "train", lambda table, **options: (curves.append(table.select("base_curve_id").distinct().count()), train(table, **options)))
+    monkeypatch.setattr(classifier, "build", build)
+    with pytest.raises(Seen) as found:
+        registry.queries()["train_predict"](spark, sf)
+    assert curves == [900] and found.value.args == (600, 100)
