@@ -7,7 +7,8 @@ hash key, the keys deal the copies over partitions and order them there.  The dr
 seed, id and rate, so a lost task redoes the same copies.
 
 Rates come from one row per source (counts are pre-aggregated), broadcast only up to ``small`` sources.
-Mean rates over half of ``most`` are an error rather than a cut-off draw.
+Sources whose mean rate is over half of ``most`` get steps from around the mode (``far_steps``), as many as the
+rate asks for, so the draw is the same inversion at any rate.
 Cases: null is a source of its own; sources without a target weight get weight 0 (``default_weight``);
 empty texts replicate like others; repeated rows of an id draw the same number and are all repeated; a
 null id draws as the text 'null'; without any weight, or with an empty table, there are no rows.
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +44,19 @@ def poisson_inverse(u: Column, steps: Column) -> Column:
     return F.size(F.filter(steps, lambda c: c < u))
 
 
+def far_steps(rate: float) -> tuple[int, np.ndarray]:
+    """first, and P(X <= first), P(X <= first + 1), ...: all but tails below double precision (1e-17 a side).
+
+    Ratios to the mode's probability are multiplied up and scaled to sum 1, so nothing underflows at large rates.
+    """
+    mode, spread = math.floor(rate), 9 * math.sqrt(rate)
+    first, last = max(0, math.floor(rate - spread)), math.ceil(rate + spread) + 27
+    down = np.cumprod(np.arange(mode, first, -1) / rate)[::-1]
+    up = np.cumprod(rate / np.arange(mode + 1, last + 1))
+    p = np.concatenate([down, [1.0], up])
+    return first, np.cumsum(p / p.sum())
+
+
 def unit_hash(*parts: Column) -> Column:
     """A number in (0, 1) from 52 bits of MD5, the same in any SQL engine."""
     digest = F.md5(F.concat_ws("|", *parts).cast("binary"))
@@ -65,11 +81,20 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float], seed: int = 7
     taken = {c.lower() for c in docs.columns} & {"mix_copy", "mix_copies", "mix_key"}
     docs = docs.drop(*[c for c in docs.columns if c.lower() in taken])
     # the steps are computed once per source, not once per document
-    rates = source_rates(docs, weights, default_weight, size, source_col).where("rate > 0").select(F.col("source").alias("mix_source"), poisson_steps(F.when(F.col("rate") <= most / 2, F.col("rate")).otherwise(F.raise_error(F.lit(f"a source would be repeated over {most // 2} times on average")).cast("double")), most).alias("mix_steps"))
+    rates = source_rates(docs, weights, default_weight, size, source_col).where("rate > 0").select(F.col("source").alias("mix_source"), "rate")
+    near = rates.where(F.col("rate") <= most / 2).select("mix_source", F.lit(0).alias("mix_first"), poisson_steps(F.col("rate"), most).alias("mix_steps"))
+
+    def far(batches):
+        for pdf in batches:
+            steps = [far_steps(r) for r in pdf["rate"]]
+            yield pd.DataFrame({"mix_source": pdf["mix_source"], "mix_first": [x[0] for x in steps], "mix_steps": [x[1] for x in steps]})
+
+    kind = rates.schema["mix_source"].dataType.simpleString()
+    rates = near.unionAll(rates.where(F.col("rate") > most / 2).mapInPandas(far, f"mix_source {kind}, mix_first int, mix_steps array<double>"))
     joined = docs.join(broadcast_if_small(rates, small), F.col(source_col).eqNullSafe(F.col("mix_source")))
     name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    drawn = joined.withColumn("mix_copies", poisson_inverse(unit_hash(F.lit(str(seed)), name), F.col("mix_steps"))).where("mix_copies > 0")
-    copies = drawn.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1))).drop("mix_source", "mix_steps")
+    drawn = joined.withColumn("mix_copies", F.col("mix_first") + poisson_inverse(unit_hash(F.lit(str(seed)), name), F.col("mix_steps"))).where("mix_copies > 0")
+    copies = drawn.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1))).drop("mix_source", "mix_first", "mix_steps")
     keyed = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(f"{seed}s"), name, F.col("mix_copy").cast("string")).cast("binary")))
     if partitions is None:
         partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((planned_bytes(docs) or 0) / (64 << 20)))

@@ -1,5 +1,6 @@
 """Trained operators, the token files, HTML and the pipeline: brute force, round trips, held-out accuracy."""
 
+import hashlib
 import itertools
 import math
 import zlib
@@ -235,6 +236,25 @@ def test_mixing_awkward(spark):
     assert missing.count() == n
 
 
+def test_mixing_large_rates(spark):
+    """Sources of a few rows among many: means of 4,000 and of 250 copies, drawn by the same inversion."""
+    docs = spark.range(8100).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, "one").when(F.col("id") <= 16, "few").otherwise("rest").alias("source"))
+    rate = {r.source: r.rate for r in mixing.source_rates(docs, {"one": 1.0, "few": 1.0}, 0.0, 8000.0, "source").collect()}
+    assert rate["one"] == 4000 and rate["few"] == 250
+    got = {r.doc_id: r for r in mixing.mix_sources(docs, {"one": 1.0, "few": 1.0}, size=8000.0).groupBy("doc_id", "source").agg(F.count("*").alias("n"), F.max("mix_copies").alias("k")).collect()}
+    for d in range(17):
+        u, lam = (int(hashlib.md5(f"7|{d}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52, rate["one" if d == 0 else "few"]
+        k, c = 0, math.exp(-lam)
+        while u > c:
+            k += 1
+            c += math.exp(-lam + k * math.log(lam) - math.lgamma(k + 1))
+        assert got[d].n == got[d].k == k
+    first, steps = mixing.far_steps(1e7)
+    at = np.arange(first, first + len(steps))
+    p = np.diff(steps, prepend=0.0)
+    assert abs((at * p).sum() / 1e7 - 1) < 1e-9 and abs(((at - 1e7) ** 2 * p).sum() / 1e7 - 1) < 1e-6
+
+
 def test_pipeline_stages(spark, sf, tmp_path):
     docs = awkward(spark).select(*corpus_pipeline.COLUMNS).withColumn("source", F.lit("src1"))
     base = spark.read.parquet(f"{sf}/documents.parquet")
