@@ -8,7 +8,8 @@ gives each token's marginal.  A document's score is a logistic function of its l
 expected number of tokens in toxic spans, fitted on the document labels.
 
 Learning uses a bounded sample: about ``most_rows`` labelled rows of each label, of at most ``longest``
-characters, picked by id hash.  Scoring reads whole texts, nothing else.
+characters, picked by id hash among the texts of that length; the marks and the logistic function are learned
+from all of it, the field's weights from ``train_docs`` documents of each label.  Scoring reads whole texts.
 
 Cases: null, empty and wordless texts have no marginals and get the score of a text without toxic tokens;
 without labels of both kinds every score is 0; repeated rows each get their row; an empty table gives none.
@@ -184,7 +185,7 @@ class _Coded:
         return np.concatenate(docs) if docs else np.zeros(0, np.int32), np.cumsum(length) - length, length
 
 
-def learn_toxicity(texts: list[str], labels: list[int], chance: float = 1e-5, purity: float = 0.85, train_docs: int = 700, rounds: int = 40) -> ToxicityModel:
+def learn_toxicity(texts: list[str], labels: list[int], chance: float = 1e-5, purity: float = 0.85, train_docs: int = 1000, rounds: int = 40) -> ToxicityModel:
     kept = distinct_texts(texts)
     y = np.array([labels[i] for i in kept])
     if len(set(y.tolist())) < 2:
@@ -252,11 +253,12 @@ def learn_toxicity(texts: list[str], labels: list[int], chance: float = 1e-5, pu
     return model
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, most_rows: int = 1800, longest: int = 8_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, most_rows: int = 3000, longest: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """``train`` is an expression over doc_id; repeated label rows of an id count as toxic if one does."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label is not null and doc_id is not null").where(F.coalesce(train, F.lit(False))).groupBy("doc_id").agg(F.max("label").alias("label"))
-    sample = sample_by_key(known, F.col("doc_id"), "label", most_rows)  # within the bound, so small enough to broadcast
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") <= longest).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "text"]).orderBy("doc_id").toPandas()
+    fitting = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") <= longest)
+    sample = sample_by_key(known.join(fitting.select("doc_id"), "doc_id", "left_semi"), F.col("doc_id"), "label", most_rows)  # within the bound, so small enough to broadcast
+    rows = fitting.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "text"]).orderBy("doc_id").toPandas()
     return learn_toxicity(rows["text"].tolist(), rows["label"].astype(int).tolist())
 
 

@@ -77,6 +77,17 @@ def test_toxicity_awkward(spark):
     assert {r.predicted for r in toxicity.score_toxicity(awkward(spark), plain).collect()} == {0}
 
 
+def test_toxicity_sample(spark, monkeypatch):
+    """Long texts don't use up the sample, and texts of up to 20,000 characters are in it."""
+    text = lambda i: "word " * (5000 if i % 3 else 3000) + f"v{i}"
+    docs = spark.createDataFrame([(i, text(i)) for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "learn_toxicity", lambda texts, labels: seen.append(Counter(labels)))
+    toxicity.fit_toxicity(docs, labels, F.lit(True), most_rows=100)
+    assert seen[0] == {0: 100, 1: 100}
+
+
 def tokens_of(text):
     return [*SPACED.findall(lower(text)), None]
 
