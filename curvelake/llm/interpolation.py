@@ -9,7 +9,8 @@ blocks of about a million tokens, each block asks for the totals of its distinct
 the task of a range sums what all blocks sent it and replies to each block in the order of its request.
 So a frequent n-gram costs one entry a block, not one a document, and neither the driver nor any task
 holds the model.  The driver gets the number of tokens and types, and the mixture statistics: one count
-per cell of quantised probabilities, whose number is bounded by the grid and not by the corpus.
+per cell of quantised probabilities, whose number is bounded by the grid; its steps grow with the logarithm
+of the number of tokens, so no estimate is clipped.
 
 Tokens: A-Z lower-cased, cut at white space (0x20, 0x09-0x0D), then one end of text.
 Cases: null and empty texts are one end token; repeated rows count and score as often as they occur; a
@@ -19,6 +20,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -108,8 +110,23 @@ def _estimates(counts: list[np.ndarray], contexts: list[np.ndarray], types: floa
     return np.stack(rows)
 
 
-def learn_weights(cells: np.ndarray, counts: np.ndarray, order: int, types: float, rounds: int = 60) -> np.ndarray:
-    """EM over cells (bucket, then a step per order): a row of weights (uniform first) for each bucket."""
+def grid_steps(tokens: float) -> int:
+    """Steps of half a bit down to the rarest estimate there is, one of all tokens; ``_STEPS`` at least."""
+    return max(_STEPS, 2 * math.ceil(math.log2(max(tokens, 1.0))) + 2)
+
+
+def code_cells(bucket: np.ndarray, p: np.ndarray, steps: int) -> np.ndarray:
+    """One number for the bucket and the step of each order's estimate; the last order stands first, 0 has the step ``steps``."""
+    cell = bucket
+    with np.errstate(divide="ignore"):
+        for row in p[::-1]:
+            step = np.where(row > 0, np.minimum(np.rint(-2 * np.log2(np.maximum(row, 1e-300))), steps - 1), steps).astype(np.int64)
+            cell = cell * (steps + 1) + step
+    return cell
+
+
+def learn_weights(cells: np.ndarray, counts: np.ndarray, order: int, types: float, rounds: int = 60, grid: int = _STEPS) -> np.ndarray:
+    """EM over cells (bucket, then a step per order): a row of weights (uniform first) for each bucket; ``grid`` is the cells' number of steps."""
     n = order * _BUCKETS
     weights = np.zeros((n, order + 1))
     levels = np.arange(n) // _BUCKETS
@@ -120,10 +137,10 @@ def learn_weights(cells: np.ndarray, counts: np.ndarray, order: int, types: floa
     steps, bucket = cells.copy(), None
     columns = []
     for _ in range(order):
-        columns.append(steps % (_STEPS + 1))
-        steps //= _STEPS + 1
+        columns.append(steps % (grid + 1))
+        steps //= grid + 1
     bucket = steps
-    p = np.stack([np.full(len(cells), 1.0 / (types + 1)), *(np.where(c == _STEPS, 0.0, 2.0 ** -(c / 2.0)) for c in columns)], axis=1)
+    p = np.stack([np.full(len(cells), 1.0 / (types + 1)), *(np.where(c == grid, 0.0, 2.0 ** -(c / 2.0)) for c in columns)], axis=1)
     pooled = np.zeros((order, order + 1))
     for _ in range(rounds):
         share = weights[bucket] * p
@@ -314,21 +331,18 @@ def interpolated_scores(docs: DataFrame, train: Column, held: Column, order: int
         return left.unionAll(right)
 
     tokens_left, texts_left, types_left = float(n.n_train - n.n_held), float(n.texts - n.texts_held), float(v.retained_types)
+    grid = grid_steps(tokens_left)
 
     def cells(table: pa.Table) -> pa.Table:
         _, block, counts = _token_counts(table, order, "retained")
         contexts = _contexts(block, counts, texts_left, tokens_left)
         p = _estimates(counts, contexts, types_left)[1:]
-        cell = _bucket(contexts)
-        with np.errstate(divide="ignore"):
-            for row in p[::-1]:
-                step = np.where(row > 0, np.minimum(np.rint(-2 * np.log2(np.maximum(row, 1e-300))), _STEPS - 1), _STEPS).astype(np.int64)
-                cell = cell * (_STEPS + 1) + step
+        cell = code_cells(_bucket(contexts), p, grid)
         keys, count = np.unique(cell, return_counts=True)
         return pa.table({"cell": keys, "n": count})
 
     found = together(True).groupBy("block").applyInArrow(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    weights = learn_weights(found["cell"].to_numpy(np.int64), found["n"].to_numpy(np.float64), order, types_left)
+    weights = learn_weights(found["cell"].to_numpy(np.int64), found["n"].to_numpy(np.float64), order, types_left, grid=grid)
     tokens, texts, types = float(n.n_train), float(n.texts), float(v.types)
 
     def score(table: pa.Table) -> pa.Table:

@@ -163,6 +163,22 @@ def test_interpolation_brute(spark, order):
         assert got[k] == pytest.approx(score, abs=1e-6)
 
 
+def test_interpolation_rare_words():
+    """On 5e9 tokens, words of few occurrences teach the weights by their own estimates, not by clipped ones."""
+    tokens, types, count = 5e9, 1e7, np.array([0, 1, 5, 40, 400, 1e5, 1e7])
+    n = np.array([900.0, 300, 200, 200, 300, 400, 2000])
+    p = count / tokens
+    steps = interpolation.grid_steps(tokens)
+    cells = interpolation.code_cells(np.zeros(len(p), dtype=np.int64), p[None], steps)
+    got = interpolation.learn_weights(cells, n, 1, types, grid=steps)[0]
+    w = np.array([0.5, 0.5])
+    for _ in range(60):
+        share = w * np.stack([np.full(len(p), 1 / (types + 1)), p], axis=1)
+        w = (n[:, None] * share / share.sum(axis=1, keepdims=True)).sum(axis=0) / n.sum()
+    assert steps > 2 * math.log2(tokens) and np.abs(got - w).max() < 0.01
+    assert interpolation.grid_steps(1000.0) == interpolation._STEPS
+
+
 def test_token_round_trip(spark, sf, tmp_path):
     from tokenizers import Tokenizer
 
