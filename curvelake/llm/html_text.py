@@ -30,7 +30,7 @@ RCDATA = frozenset("textarea title".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table caption tbody td tfoot th thead tr ul xmp".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre table figure xmp hr fieldset".split())
 CLOSES_P = BLOCK - frozenset("option optgroup legend caption tbody td tfoot th thead tr body html".split())
-HIDDEN = frozenset("head script style template noembed noframes noscript iframe datalist title object audio video canvas svg math param area map".split())
+HIDDEN = frozenset("head script style template noembed noframes noscript iframe datalist title object audio video canvas param area annotation annotation-xml mphantom".split())
 
 #: Which open elements a start tag ends, and the elements that such a search doesn't leave.
 ENDS = {
@@ -54,7 +54,13 @@ _SCOPE = frozenset("table td th caption html button template".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
+_CSS = re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|[{};]|[^\"'{};]+|.", re.S)
+_PLAIN = re.compile(r"(\*|[\w-]+)?((?:[.#][\w-]+)*)")
+_ALWAYS = frozenset(["", "all", "screen", "only all", "only screen", "not print"])
+#: MathML elements whose parts stand apart, and SVG elements that draw nothing themselves.
+APART = frozenset("mfrac msub msup msubsup munder mover munderover mroot mtr mtd".split())
+UNDRAWN = frozenset("defs symbol clippath mask marker pattern desc metadata".split())
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -102,14 +108,21 @@ def parse(source: str) -> tuple[Node, list[str]]:
             body = source[at:stop]
             node.children.append(html.unescape(body) if tag in RCDATA else body)
             if tag == "style":
-                styles.append(body)
+                media = node.attributes().get("media", "")
+                styles.append(f"@media {media}{{{body}}}" if media.strip() else body)
             close = source.find(">", stop)
             at = n if stop == n or close < 0 else close + 1
-        elif tag not in VOID and not (m[3].endswith("/") and tag in ("svg", "math")) and len(stack) < MAX_DEPTH:
+        elif tag not in VOID and not (m[3].endswith("/") and _foreign(stack, tag)) and len(stack) < MAX_DEPTH:
             stack.append(node)
     return root, styles
 
 
+def _foreign(stack: list[Node], tag: str) -> bool:
+    """Inside svg or math, where a tag can end itself."""
+    inner = next((x.tag for x in reversed(stack) if x.tag in ("svg", "math", "foreignobject")), "")
+    return tag in ("svg", "math") or inner in ("svg", "math")
+
+
 def _imply(stack: list[Node], tag: str) -> None:
     """Ends what a start tag ends without saying so."""
     if tag in CLOSES_P:
@@ -143,11 +156,11 @@ def _end(stack: list[Node], tag: str) -> None:
 class Layout:
     """Lines of output; breaks collapse, so the largest gap asked for between two blocks wins."""
 
-    def __init__(self, hidden: set[str] = frozenset()):
+    def __init__(self, hidden: dict | None = None):
         self.lines: list[str] = []
         self.line: list[str] = []
         self.indent, self.gap, self.marker = 0, 0, ""
-        self.space, self.hidden = False, hidden
+        self.space, self.hidden = False, hidden or {}
 
     def text(self, text: str) -> None:
         words = _SPACE.sub(" ", text)
@@ -182,13 +195,16 @@ class Layout:
         if not node.attrs and not self.hidden:
             return True
         a = node.attributes()
-        if "hidden" in a or _HIDES.search(a.get("style", "")) or (node.tag == "input") or (node.tag == "dialog" and "open" not in a):
+        if node.tag == "input" or (node.tag == "dialog" and "open" not in a):
             return False
-        if self.hidden:
-            own = {node.tag, *(f"#{x}" for x in a.get("id", "").split())}
-            own |= {y for x in a.get("class", "").split() for y in (f".{x}", f"{node.tag}.{x}")}
-            return own.isdisjoint(self.hidden)
-        return True
+        won = {"display": ((False, (-1,)), "hidden" in a), "visibility": ((False, (-1,)), False)}
+        own = {node.tag, "*", *(f"#{x}" for x in a.get("id", "").split()), *(f".{x}" for x in a.get("class", "").split())}
+        found = [r for key in own for r in self.hidden.get(key, ()) if r[0] <= own] if self.hidden else []
+        found += [(None, (9,), *d) for d in declarations(a.get("style", ""))]
+        for _, weight, name, hides, important in found:
+            if (important, weight) >= won[name][0]:
+                won[name] = ((important, weight), hides)
+        return not any(hides for _, hides in won.values())
 
     def walk(self, node: Node) -> None:
         number = 0
@@ -205,7 +221,13 @@ class Layout:
                 continue
             if not self.shown(child):
                 continue
+            if tag == "svg":
+                self.space = True
+                self.text(self.drawn(child))
+                self.space = True
+                continue
             if tag not in BLOCK:
+                self.space = self.space or node.tag in APART
                 self.walk(child)
                 continue
             gap = 2 if tag in SPACED and not (tag in ("ul", "ol") and node.tag == "li") else 1
@@ -242,6 +264,15 @@ class Layout:
                 self.walk(child)
             self.block(gap)
 
+    def drawn(self, node: Node) -> str:
+        """The texts of a drawing; other strings in it aren't shown."""
+        out = []
+        for x in node.children:
+            if isinstance(x, str) or x.tag in UNDRAWN or not self.shown(x):
+                continue
+            out.append("".join(self._strings(x)) if x.tag == "text" else self._flat(x) if x.tag == "foreignobject" else self.drawn(x))
+        return " ".join(t for t in out if t.strip())
+
     def preformatted(self, node: Node) -> None:
         text = "".join(self._strings(node)).replace("\r\n", "\n")
         for line in text.removeprefix("\n").rstrip("\n").split("\n"):
@@ -258,6 +289,10 @@ class Layout:
                 out.append(x)
             elif x.tag == "br":
                 out.append("\n")
+            elif x.tag in UNDRAWN:
+                continue
+            elif x.tag == "svg" and self.shown(x):
+                out.append(self.drawn(x))
             elif self.shown(x):
                 out += self._strings(x)
         return out
@@ -324,19 +359,63 @@ class Layout:
         return "\n".join(self.lines)
 
 
-def hidden_selectors(styles: list[str]) -> set[str]:
-    """Plain tag, .class, tag.class and #id selectors of rules that hide."""
-    found = set()
+def declarations(body: str) -> list[tuple[str, bool, bool]]:
+    """display and visibility of a rule: name, whether it hides, whether it is important."""
+    out = []
+    for d in body.split(";"):
+        name, _, value = d.partition(":")
+        name, value = name.strip().lower(), value.strip().lower()
+        if name in ("display", "visibility") and value:
+            out.append((name, bool(_HIDES.match(f"{name}:{value}")), "!" in value and value.endswith("important")))
+    return out
+
+
+def hidden_selectors(styles: list[str]) -> dict[str, list[tuple]]:
+    """Rules on display and visibility with plain selectors (tag, .class, #id and these joined), by one of their parts.
+
+    Rules in @media hold only if the query is screen or all without conditions; nested rules are left out.
+    """
+    found: dict[str, list[tuple]] = {}
+    at = 0
     for style in styles:
-        for selectors, body in _RULE.findall(style):
-            if _HIDES.search(body):
-                found |= {s for x in selectors.split(",") if re.fullmatch(r"[\w-]*[.#]?[\w-]+", s := x.strip())}
+        head, open_, body = "", [], ""  # open_: of each block, "in" (rules are read), "out" or the selectors of a rule
+        for t in [*_CSS.findall(_COMMENT.sub(" ", style)), "}"]:
+            if t == "{":
+                h = head.strip().lower()
+                if open_ and open_[-1] != "in":
+                    open_.append("out")
+                elif h.startswith("@media"):
+                    open_.append("in" if any(" ".join(q.split()) in _ALWAYS for q in h[6:].split(",")) else "out")
+                elif h.startswith("@"):
+                    open_.append("in" if h.startswith("@layer") or (h.startswith("@supports") and " not" not in h) else "out")
+                else:
+                    open_.append(head)
+                    body = ""
+                head = ""
+            elif t == "}":
+                done = open_.pop() if open_ else "out"
+                if done not in ("in", "out"):
+                    body += head
+                    for selector in done.split(","):
+                        m = _PLAIN.fullmatch(selector.strip())
+                        parts = [*([m[1].lower()] if m[1] else []), *re.findall(r"[.#][\w-]+", m[2])] if m else []
+                        for name, hides, important in declarations(body) if parts else ():
+                            at += 1
+                            weight = (0, m[2].count("#"), m[2].count("."), int(m[1] not in (None, "*")), at)
+                            found.setdefault(parts[-1], []).append((frozenset(parts), weight, name, hides, important))
+                head = ""
+            elif t == ";":
+                if open_ and open_[-1] not in ("in", "out"):
+                    body += head + ";"
+                head = ""
+            else:
+                head += t
     return found
 
 
 def render(source: str) -> str:
     root, styles = parse(source)
-    layout = Layout(hidden_selectors(styles) if any("none" in s or "hidden" in s or "collapse" in s for s in styles) else set())
+    layout = Layout(hidden_selectors(styles) if any("display" in s or "visibility" in s for s in map(str.lower, styles)) else None)
     layout.walk(root)
     return layout.done()
 

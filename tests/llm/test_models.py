@@ -233,6 +233,17 @@ def test_html(spark):
     assert html_text.extract_text(df.where("false")).count() == 0
 
 
+def test_html_style_rules_and_drawings():
+    nav = '<div class="nav">menu</div>'
+    page = lambda css, body=nav, media="": html_text.render(f"<style{media}>{css}</style>{body}")
+    assert page("@media print{.nav{display:none}}") == page("@media (max-width:9px){.nav{display:none}}") == page(".nav{display:none}", media=' media="print"') == "menu"
+    assert page(".nav{display:none} .nav{display:block}") == page("div{display:none} .nav{display:block}") == "menu"
+    assert page("@media screen{.nav{display:none}}") == page("/* } */ .nav{color:red;display:none}") == page(".nav{display:none} div{display:block}") == page(".nav{display:none!important} .nav{display:block}") == ""
+    assert page("@media print{.x{display:none} .y{color:red}} .nav{display:none}") == ""
+    assert html_text.render("<p>a <svg><title>t</title><path d='x'/><defs><text>no</text></defs><text>label</text><g><text>two</text></g></svg> b</p>") == "a label two b"
+    assert html_text.render("<math><mfrac><mn>1</mn><mn>2</mn></mfrac><mo>=</mo><mi>x</mi></math> <map><area><a>link</a></map>") == "1 2=x link"
+
+
 def test_html_keeps_visible_words(spark, sf):
     """Every word of the articles' paragraphs comes out, in order."""
     import html
