@@ -121,13 +121,17 @@ class LanguageModel:
         return predict
 
 
-def sample_by_key(rows: DataFrame, key: Column, by: str, most: int) -> DataFrame:
-    """About ``most`` rows for each value of ``by`` (all where there are fewer), picked by a hash of ``key``."""
+def sample_by_key(rows: DataFrame, key: Column, by: str, most: int, size: str | None = None, most_size: int = 0) -> DataFrame:
+    """About ``most`` rows for each value of ``by`` (all where there are fewer), picked by a hash of ``key``.
+
+    With ``size``, a column of numbers, the sizes of a value's rows add up to about ``most_size`` at most.
+    """
     # one row a label value reaches the driver
-    counts = {r[by]: r["count"] for r in rows.groupBy(by).count().collect()}
+    counts = rows.groupBy(by).agg(F.count("*").alias("n"), F.sum(size or F.lit(0)).alias("size")).collect()
     keep = F.lit(False)
-    for value, n in counts.items():
-        keep = F.when(F.col(by) == value, F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1_000_003)) < int(1_000_003 * min(1.0, most / n))).otherwise(keep)
+    for r in counts:
+        share = min(1.0, most / r.n, most_size / r.size if size and r.size else 1.0)
+        keep = F.when(F.col(by) == r[by], F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1_000_003)) < int(1_000_003 * share)).otherwise(keep)
     return rows.where(keep)
 
 

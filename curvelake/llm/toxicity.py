@@ -7,12 +7,14 @@ weights of these features and of the transitions by gradient ascent on the likel
 gives each token's marginal.  A document's score is a logistic function of its largest marginal and of the
 expected number of tokens in toxic spans, fitted on the document labels.
 
-Learning uses a bounded sample: about ``most_rows`` labelled rows of each label, of at most ``longest``
-characters, picked by id hash among the texts of that length; the marks and the logistic function are learned
-from all of it, the field's weights from ``train_docs`` documents of each label.  Scoring reads whole texts.
+Learning uses a bounded sample: of each label about ``most_rows`` labelled rows and ``most_chars`` characters,
+picked by id hash, whole texts of any length.  One executor task learns from it and returns the model's
+weights; neither texts nor features come to the driver.  In training, the field sees a text as sequences of
+at most ``piece`` tokens; scoring runs over whole texts.
 
 Cases: null, empty and wordless texts have no marginals and get the score of a text without toxic tokens;
 without labels of both kinds every score is 0; repeated rows each get their row; an empty table gives none.
+Offsets of spans are characters of the text as it came, also where lower case is longer.
 """
 
 from __future__ import annotations
@@ -42,29 +44,65 @@ def features(word: str) -> list[str]:
     return out
 
 
+def tokens(text: str | None) -> list[str]:
+    """Lower-cased tokens, one for each match in the text as it came."""
+    if not text:
+        return []
+    lowered = text.lower()
+    return _TOKENS.findall(lowered) if len(lowered) == len(text) else [w.lower() for w in _TOKENS.findall(text)]
+
+
+class Steps:
+    """Token positions of many sequences in the order of time: first tokens, second tokens, ..., longest sequences first."""
+
+    def __init__(self, first: np.ndarray, length: np.ndarray):
+        order = np.argsort(-length, kind="stable")
+        size = length[order]
+        self.active = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left")
+        self.base = np.concatenate([[0], np.cumsum(self.active)])
+        step = np.repeat(np.arange(len(self.active)), self.active)
+        self.at = first[order][np.arange(len(step)) - self.base[step]] + step
+
+    def odds(self, emit: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Forward and backward odds (toxic to clean) of every token; emit is in the order of time.
+
+        emit: exp of the toxic label's advantage at each token; move[i, j]: exp of the weight of i -> j.
+        """
+        forward, backward = np.empty(len(emit)), np.ones(len(emit))
+        (oo, ot), (to, tt) = move
+        r = np.zeros(0)
+        for t, n in enumerate(self.active):
+            here = slice(self.base[t], self.base[t + 1])
+            if t:
+                r = r[:n]
+                r = emit[here] * (ot + tt * r) / (oo + to * r)
+            else:
+                r = emit[here].copy()
+            np.minimum(np.maximum(r, 1e-30, out=r), 1e30, out=r)
+            forward[here] = r
+        for t in range(len(self.active) - 2, -1, -1):
+            n = self.active[t + 1]
+            ahead = slice(self.base[t + 1], self.base[t + 2])
+            r = emit[ahead] * backward[ahead]
+            r = (to + tt * r) / (oo + ot * r)
+            np.minimum(np.maximum(r, 1e-30, out=r), 1e30, out=backward[self.base[t] : self.base[t] + n])
+        return forward, backward
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Positions, in the order of time, of tokens with a next one and of these next ones."""
+        n = self.active[1:]
+        step = np.repeat(np.arange(len(n)), n)
+        k = np.arange(len(step)) - (np.cumsum(n) - n)[step]
+        return self.base[step] + k, self.base[step + 1] + k
+
+
 def chain_odds(emit: np.ndarray, first: np.ndarray, length: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward and backward odds (toxic to clean) of every token of many sequences at once.
-
-    emit: exp of the toxic label's advantage at each token; move[i, j]: exp of the weight of i -> j.
-    Sequences are ordered by length, so step t works on those that are longer than t.
-    """
-    order = np.argsort(-length, kind="stable")
-    start, size = first[order], length[order]
-    steps = int(size[0]) if len(size) else 0
-    active = np.searchsorted(-size, -np.arange(steps), side="left")
-    forward, backward = np.empty(len(emit)), np.ones(len(emit))
-    (oo, ot), (to, tt) = move
-    r = np.zeros(0)
-    for t in range(steps):
-        at = start[: active[t]] + t
-        r = emit[at] if t == 0 else emit[at] * (ot + tt * r[: active[t]]) / (oo + to * r[: active[t]])
-        np.clip(r, 1e-30, 1e30, out=r)
-        forward[at] = r
-    for t in range(steps - 2, -1, -1):
-        at = start[: active[t + 1]] + t
-        ahead = emit[at + 1] * backward[at + 1]
-        backward[at] = np.clip((to + tt * ahead) / (oo + ot * ahead), 1e-30, 1e30)
-    return forward, backward
+    """Forward and backward odds of the tokens of sequences that stand one after the other."""
+    steps = Steps(first, length)
+    out = np.empty(len(emit)), np.empty(len(emit))
+    for whole, own in zip(out, steps.odds(emit[steps.at], move), strict=True):
+        whole[steps.at] = own
+    return out
 
 
 @dataclass
@@ -86,7 +124,7 @@ class ToxicityModel:
         known: dict[str, float] = {}
 
         def score(texts: list[str | None]) -> tuple[np.ndarray, list[list[dict]]]:
-            words = [_TOKENS.findall(t.lower()) if t else [] for t in texts]
+            words = [tokens(t) for t in texts]
             if len(known) > limit:
                 known.clear()
             for w in set().union(*words).difference(known):
@@ -119,8 +157,6 @@ class ToxicityModel:
     def _spans(text: str, at: list[int], p: np.ndarray) -> list[dict]:
         """Runs of toxic tokens as character offsets in the text as it came."""
         places = [m.span() for m in _TOKENS.finditer(text)]
-        if len(places) != len(_TOKENS.findall(text.lower())):  # a letter whose lower case is more than one
-            return [{"start": 0, "end": len(text), "probability": float(p[at].max())}]
         out: list[dict] = []
         last = -2
         for k in at:
@@ -159,7 +195,7 @@ class _Coded:
     def __init__(self, texts: list[str]):
         self.vocabulary: dict[str, int] = {}
         setdefault = self.vocabulary.setdefault
-        self.docs = [np.fromiter((setdefault(w, len(self.vocabulary)) for w in _TOKENS.findall(t.lower())), np.int32) for t in texts]
+        self.docs = [np.fromiter((setdefault(w, len(self.vocabulary)) for w in tokens(t)), np.int32) for t in texts]
         self.names: dict[str, int] = {}
         counts, flat = [], []
         for w in self.vocabulary:
@@ -185,7 +221,15 @@ class _Coded:
         return np.concatenate(docs) if docs else np.zeros(0, np.int32), np.cumsum(length) - length, length
 
 
-def learn_toxicity(texts: list[str], labels: list[int], chance: float = 1e-5, purity: float = 0.85, train_docs: int = 1000, rounds: int = 40) -> ToxicityModel:
+def cut_pieces(length: np.ndarray, piece: int) -> tuple[np.ndarray, np.ndarray]:
+    """First token and length of the pieces of at most ``piece`` tokens that follow each other in texts of these lengths."""
+    n = -(-length // piece)
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    first = np.repeat(np.cumsum(length) - length, n) + nth * piece
+    return first, np.minimum(piece, np.repeat(length, n) - nth * piece)
+
+
+def learn_toxicity(texts: list[str], labels: list[int], chance: float = 1e-5, purity: float = 0.85, piece: int = 128, rounds: int = 40) -> ToxicityModel:
     kept = distinct_texts(texts)
     y = np.array([labels[i] for i in kept])
     if len(set(y.tolist())) < 2:
@@ -203,28 +247,27 @@ def learn_toxicity(texts: list[str], labels: list[int], chance: float = 1e-5, pu
     if not mark.any():
         return ToxicityModel()
 
-    rng = np.random.default_rng(0)
-    pick = np.concatenate([rng.permutation(np.flatnonzero(y == c))[:train_docs] for c in (0, 1)])
     marked = coded.by_word(mark.astype(float)) > 0
-    flat, first, length = coded.flat(pick)
+    flat, _, length = coded.flat(range(len(y)))
     n_words, word_of, feature_of = len(coded.count), coded.word_of, coded.feature_of
-    target = (marked[flat] & np.repeat(y[pick] == 1, length)).astype(np.float64)
-    inner = np.ones(len(flat), dtype=bool)
-    inner[(first + length - 1)[length > 0]] = False
-    i = np.flatnonzero(inner)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (target[i].astype(int), target[i + 1].astype(int)), 1)
-    w, bias, trans = np.zeros(n_features), log((target.sum() + 1) / len(flat)), np.zeros((2, 2))
+    target = (marked[flat] & np.repeat(y == 1, length)).astype(np.float64)
+    chain = Steps(*cut_pieces(length, piece))
+    flat, target = flat[chain.at], target[chain.at]
+    here, next_ = chain.pairs()
+    seen = np.bincount((2 * target[here] + target[next_]).astype(np.int64), minlength=4).reshape(2, 2)
+    w, bias, trans = np.zeros(n_features), log((target.sum() + 1) / max(len(flat), 1)), np.zeros((2, 2))
     square = [np.full(n_features, 1e-8), 1e-8, np.full((2, 2), 1e-8)]
     for _ in range(rounds):
         emit = np.exp(np.clip(bias + coded.by_word(w), -60, 60))[flat]
         move = np.exp(trans)
-        forward, backward = chain_odds(emit, first, length, move)
+        forward, backward = chain.odds(emit, move)
         odds = forward * backward
         miss = target - odds / (1 + odds)
-        ahead = emit[i + 1] * backward[i + 1]
-        pair = np.stack([np.full(len(i), move[0, 0]), move[0, 1] * ahead, forward[i] * move[1, 0], forward[i] * move[1, 1] * ahead])
-        expected = (pair / pair.sum(axis=0)).sum(axis=1).reshape(2, 2)
+        ahead, before = emit[next_] * backward[next_], forward[here]
+        own = before * (move[1, 0] + move[1, 1] * ahead)
+        total = move[0, 0] + move[0, 1] * ahead + own
+        toxic_before, toxic_ahead, both = (own / total).sum(), ((move[0, 1] + move[1, 1] * before) * ahead / total).sum(), (move[1, 1] * before * ahead / total).sum()
+        expected = np.array([[len(here) - toxic_before - toxic_ahead + both, toxic_ahead - both], [toxic_before - both, both]])
         by_word = np.bincount(flat, weights=miss, minlength=n_words)
         steps = [np.bincount(feature_of, weights=by_word[word_of], minlength=n_features) - 0.05 * w, miss.sum(), seen - expected - 0.05 * trans]
         for k, g in enumerate(steps):
@@ -253,17 +296,35 @@ def learn_toxicity(texts: list[str], labels: list[int], chance: float = 1e-5, pu
     return model
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, most_rows: int = 3000, longest: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
-    """``train`` is an expression over doc_id; repeated label rows of an id count as toxic if one does."""
+def training_rows(docs: DataFrame, labels: DataFrame, train: Column, most_rows: int = 3000, most_chars: int = 24_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The bounded sample: doc_id, text, label."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label is not null and doc_id is not null").where(F.coalesce(train, F.lit(False))).groupBy("doc_id").agg(F.max("label").alias("label"))
-    fitting = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") <= longest)
-    sample = sample_by_key(known.join(fitting.select("doc_id"), "doc_id", "left_semi"), F.col("doc_id"), "label", most_rows)  # within the bound, so small enough to broadcast
-    rows = fitting.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "text"]).orderBy("doc_id").toPandas()
-    return learn_toxicity(rows["text"].tolist(), rows["label"].astype(int).tolist())
+    fitting = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
+    sized = known.join(fitting.select("doc_id", F.length("text").alias("chars")), "doc_id").groupBy("doc_id", "label").agg(F.max("chars").alias("chars"))
+    sample = sample_by_key(sized, F.col("doc_id"), "label", most_rows, "chars", most_chars).select("doc_id", "label")  # within the bounds, so small enough to broadcast
+    return fitting.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id", "text"]).select("doc_id", "text", "label")
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, piece: int = 128, **sample) -> ToxicityModel:
+    """``train`` is an expression over doc_id; repeated label rows of an id count as toxic if one does; ``sample``: see training_rows."""
+
+    def fit(batches):
+        if not (held := list(batches)):
+            return
+        own = pa.Table.from_batches(held).to_pandas().sort_values(["doc_id", "text"])
+        model = learn_toxicity(own["text"].tolist(), own["label"].astype(int).tolist(), piece=piece)
+        numbers = [model.bias, *model.move.reshape(-1).tolist(), *model.head]
+        yield pa.RecordBatch.from_arrays([pa.array([list(model.weights)], pa.list_(pa.string())), pa.array([list(model.weights.values())], pa.list_(pa.float64())), pa.array([numbers], pa.list_(pa.float64()))], names=["names", "weights", "numbers"])
+
+    learned = training_rows(docs, labels, train, **sample).coalesce(1).mapInArrow(fit, "names array<string>, weights array<double>, numbers array<double>").first()
+    if learned is None:
+        return ToxicityModel()
+    bias, a, b, c, d, *head = learned.numbers
+    return ToxicityModel(dict(zip(learned.names, learned.weights, strict=True)), bias, np.array([[a, b], [c, d]]), tuple(head))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[Column] = (), id_col: str = "doc_id", text_col: str = "text", chunk: int = 256) -> DataFrame:
-    """The id, the columns of ``keep``, score, predicted, spans (character offsets of toxic tokens)."""
+def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[Column] = (), id_col: str = "doc_id", text_col: str = "text", chunk: int = 1 << 20) -> DataFrame:
+    """The id, the columns of ``keep``, score, predicted, spans (character offsets of toxic tokens); about ``chunk`` bytes of texts go through the field at once."""
     src = docs.select(F.col(id_col), *keep, F.col(text_col).alias("__text"))
     names = src.columns[:-1]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", score double, predicted int, spans array<struct<start:long,end:long,probability:double>>"
@@ -272,8 +333,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[Column] = (
     def run(batches):
         score = model.scorer()
         for batch in batches:
-            for k in range(0, len(batch), chunk):
-                part = batch.slice(k, chunk)
+            for block in T.blocks(batch.column(len(names)), limit=chunk):
+                part = batch.slice(block.row, len(block))
                 got, spans = score(part.column(len(names)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(got), pa.array((got >= 0.5).astype(np.int32)), pa.array(spans, kind)], names=[*names, "score", "predicted", "spans"])
 

@@ -77,15 +77,35 @@ def test_toxicity_awkward(spark):
     assert {r.predicted for r in toxicity.score_toxicity(awkward(spark), plain).collect()} == {0}
 
 
-def test_toxicity_sample(spark, monkeypatch):
-    """Long texts don't use up the sample, and texts of up to 20,000 characters are in it."""
-    text = lambda i: "word " * (5000 if i % 3 else 3000) + f"v{i}"
-    docs = spark.createDataFrame([(i, text(i)) for i in range(600)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, toxic int")
-    seen = []
-    monkeypatch.setattr(toxicity, "learn_toxicity", lambda texts, labels: seen.append(Counter(labels)))
-    toxicity.fit_toxicity(docs, labels, F.lit(True), most_rows=100)
-    assert seen[0] == {0: 100, 1: 100}
+def test_toxicity_sample(spark):
+    """The sample is bounded by rows and by characters; texts of any length are in it."""
+    docs = spark.createDataFrame([(i, "word " * (5000 if i % 3 else 30) + f"v{i}") for i in range(900)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(900)], "doc_id long, toxic int")
+    tally = lambda **most: {r.label: (r.n, r.chars) for r in toxicity.training_rows(docs, labels, F.lit(True), **most).groupBy("label").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()}
+    by_rows, by_chars = tally(most_rows=100), tally(most_rows=900, most_chars=1_000_000)
+    assert all(70 < n < 130 and chars > 1_000_000 for n, chars in by_rows.values())
+    assert all(500_000 < chars < 1_500_000 for _, chars in by_chars.values())
+    assert sum(n for n, _ in tally().values()) == 900
+
+
+def test_toxicity_fit_on_executors(spark):
+    """The fit in a task gives the weights that the fit gives here, also for texts longer than a piece."""
+    texts = [f"{'one two three four ' * (200 if i % 9 == 0 else 1)} v{i} {'nastyword' if i % 2 else 'kindword'} x{i} y{i * 3}" for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    got, want = toxicity.fit_toxicity(docs, labels, F.lit(True)), toxicity.learn_toxicity(texts, [i % 2 for i in range(120)])
+    assert got.weights == want.weights and got.bias == want.bias and (got.move == want.move).all() and got.head == want.head and got.weights["wnastyword"] > 0
+    first, length = toxicity.cut_pieces(np.array([0, 5, 1, 8]), 4)
+    assert first.tolist() == [0, 4, 5, 6, 10] and length.tolist() == [4, 1, 1, 4, 4]
+
+
+def test_toxicity_offsets(spark):
+    """Offsets are those of the text as it came, also behind a letter whose lower case is longer."""
+    texts = [f"one two v{i} {'nastyword' if i % 2 else 'kindword'} x{i}" for i in range(120)]
+    model = toxicity.learn_toxicity(texts, [i % 2 for i in range(120)])
+    text = "\u0130\u0130 \u0130zmir NASTYWORD end"
+    _, spans = model.scorer()([text])
+    assert [text[s["start"] : s["end"]] for s in spans[0]] == ["NASTYWORD"]
 
 
 def tokens_of(text):
