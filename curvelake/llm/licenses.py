@@ -2,9 +2,10 @@
 
 All rolling k-word hashes of every text are joined to the positions of license templates.  A match votes
 for the diagonal (text position minus template position); votes are summed per text, template and diagonal
-before they are shuffled; neighbouring diagonals, which inserted or dropped words cause, are merged; and a
-merged span is verified: the words of each vote were compared, its distinct votes must cover enough of the
-template, and it may not be much longer than what it covers.
+before they are shuffled; neighbouring diagonals, which inserted or dropped words cause, are merged where
+text and template go on in the same direction; and a merged span is verified: the words of each vote were
+compared, the distinct template positions that voted must cover enough of the template, and the span may not
+be much longer than what it covers.  A passage that a text repeats thus counts once.
 
 Phrases are found in the same pass, word by word, and add their label wherever they stand.
 
@@ -84,16 +85,17 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     first = F.when(base.isNotNull(), F.col("pos") - 1)
     voted = kept.withColumn("template", F.col("place.template")).withColumn("diagonal", F.col("pos") - F.col("place.tpos"))
     # three readers follow: votes are few, so they are written instead of scanning all texts again
-    votes = Scratch(spark, "licenses").write("votes", voted.groupBy("doc_id", "text_key", "template", "diagonal").agg(F.max("n_words").alias("n_words"), F.sum(F.when(F.col("pos") == 0, 1).otherwise(0)).alias("copies"), F.count(base).alias("n_base"), F.min(first).alias("first_word"), F.max(first).alias("last_word"), *flags, F.count("place.tpos").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi")))
+    votes = Scratch(spark, "licenses").write("votes", voted.groupBy("doc_id", "text_key", "template", "diagonal").agg(F.max("n_words").alias("n_words"), F.sum(F.when(F.col("pos") == 0, 1).otherwise(0)).alias("copies"), F.count(base).alias("n_base"), F.min(first).alias("first_word"), F.max(first).alias("last_word"), *flags, F.collect_set("place.tpos").alias("tset"), F.min("pos").alias("lo"), F.max("pos").alias("hi")))
 
     by_text = Window.partitionBy("doc_id", "text_key", "template").orderBy("diagonal")
-    opens = F.when(F.col("diagonal") - F.lag("diagonal").over(by_text) <= slack, 0).otherwise(1)
+    step = lambda c: F.col(c) - F.lag(c).over(by_text)
+    onward = step("lo") * (step("lo") - step("diagonal")) > 0  # both ahead in text and template, or both back
+    opens = F.when((step("diagonal") <= slack) & onward, 0).otherwise(1)
     runs = votes.where("template is not null").withColumn("opens", opens).withColumn("run", F.sum("opens").over(by_text))
-    spans = runs.groupBy("doc_id", "text_key", "template", "run").agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).join(F.broadcast(names), "template")
+    spans = runs.groupBy("doc_id", "text_key", "template", "run").agg(F.size(F.array_distinct(F.flatten(F.collect_list("tset")))).alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).join(F.broadcast(names), "template")
     flag_names = [f"base_{i}" for i in range(len(flags))]
     totals = votes.groupBy("doc_id", "text_key").agg(F.max("n_words").alias("n_words"), F.sum("copies").alias("copies"), F.sum("n_base").alias("n_base"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), *(F.max(c).alias(c) for c in flag_names))
-    spans = spans.alias("s").join(totals.select("doc_id", "text_key", "copies").alias("t"), F.expr("s.doc_id <=> t.doc_id and s.text_key <=> t.text_key")).select("s.*", "copies").withColumn("votes", F.col("votes") / F.greatest("copies", F.lit(1)))
-    share = F.least(F.lit(1.0), F.col("votes") / F.col("size"))
+    share = F.col("votes") / F.col("size")
     verified = spans.where((F.col("votes") >= F.lit(coverage) * F.col("size")) & (F.col("votes") >= F.lit(density) * (F.col("hi") - F.col("lo") + 1)))
     found = verified.groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("own"), F.max(share).alias("share"), F.sort_array(F.collect_list(F.struct("label", (F.col("lo") - 1).alias("first"), (F.col("hi") + k - 2).alias("last"), share.alias("coverage")))).alias("spans"))
 

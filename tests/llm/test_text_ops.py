@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from curvelake.llm import queries as Q
 from curvelake.llm.decontam import decontaminate
 from curvelake.llm.jaccard import jaccard_classes, least_matches
-from curvelake.llm.licenses import PHRASES, license_scan
+from curvelake.llm.licenses import PHRASES, TEMPLATES, license_scan
 from curvelake.llm.repetition import repetition_quality
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -140,6 +140,53 @@ def test_license_votes(spark):
     assert license_scan(empty(spark)).count() == 0
 
 
+def brute_scan(text, k=3, slack=4, coverage=0.6, density=0.5):
+    """Labels, score and spans by plain loops."""
+    words = WORD.findall(lower(text))
+    n, places, first, last, base = brute_license(text)
+    spans = []
+    for label, template in TEMPLATES:
+        cut = WORD.findall(lower(template))
+        size = len(cut) - k + 1
+        diagonals = {}
+        for pos in range(len(words) - k + 1):
+            for tpos in range(size):
+                if words[pos : pos + k] == cut[tpos : tpos + k]:
+                    diagonals.setdefault(pos - tpos, []).append(pos)
+        runs, before = [], None
+        for d in sorted(diagonals):
+            lo = diagonals[d][0]
+            joined = before is not None and d - before[0] <= slack and (lo - before[1]) * ((lo - d) - (before[1] - before[0])) > 0
+            if not joined:
+                runs.append([])
+            runs[-1] += [(pos, pos - d) for pos in diagonals[d]]
+            before = d, lo
+        for run in runs:
+            votes, lo, hi = len({t for _, t in run}), min(p for p, _ in run), max(p for p, _ in run)
+            if votes >= coverage * size and votes >= density * (hi - lo + 1):
+                spans.append((label, lo, hi + k - 1, round(votes / size, 9)))
+    labels = {x for x in base.split(",") if x} | {s[0] for s in spans}
+    score = 1.0 if places else max((s[3] for s in spans), default=0.0)
+    return ",".join(sorted(labels)), round(score, 9), sorted(spans)
+
+
+@pytest.mark.parametrize("which", ["table", "awkward", "repeats"])
+def test_license_scan_brute(spark, sf, which):
+    """The method's labels, score and spans on the whole smallest table, awkward rows, and repeated, cut and moved passages."""
+    if which == "repeats":
+        mit, cc = TEMPLATES[1][1], "Licensed under CC BY-NC 4.0."
+        halves = mit.split()[:45], mit.split()[45:]
+        texts = ["licensed under cc by licensed under cc by", "licensed under cc by " * 9, cc * 3, f"{mit} {mit} x {mit}", " ".join(halves[1] + halves[0]), " ".join(halves[0] + ["a", "b", "c"] + halves[1]), " ".join(halves[0] + halves[1][3:]),
+                 " ".join(w for i, w in enumerate(mit.split()) if i % 9), " ".join(w for i, w in enumerate(mit.split()) if i % 3), mit[: len(mit) // 2], f"{cc} and {TEMPLATES[12][1]} {TEMPLATES[13][1]}"]
+        docs = spark.createDataFrame(list(enumerate([*texts, texts[0], texts[3]])), "doc_id long, text string")
+    else:
+        docs = documents(spark, sf) if which == "table" else awkward(spark)
+    got = sorted(((r.doc_id, r.labels, round(r.score, 9), sorted((s["label"], s["first"], s["last"], round(s["coverage"], 9)) for s in r.spans or [])) for r in license_scan(docs).collect()), key=repr)
+    assert got == sorted(((r.doc_id, *brute_scan(r.text)) for r in docs.select("doc_id", "text").collect()), key=repr)
+    if which == "repeats":
+        assert got[0][1] == "" and {g[0]: g[1] for g in got}[5] == "mit"
+
+
 def shingle_set(text, n=5):
     words = WORD.findall(lower(text))
     return frozenset(tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))) if words else frozenset()
