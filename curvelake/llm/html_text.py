@@ -7,21 +7,27 @@ columns, preformatted text as it stands.  Invisible is what a browser doesn't sh
 templates, noscript, hidden and display:none elements (inline or by plain rules in style elements), closed
 details and dialogs.  All visible text comes out.
 
-Cases: null gives null text and empty an empty one; malformed markup never fails (a stray < is text);
-elements nested deeper than ``MAX_DEPTH`` become siblings, as in browsers, and keep their text; repeated
-rows each get their row; an empty table gives no rows.
+Scanner, tree builder and layout take time in proportion to the page and use no recursion, so neither depth
+nor broken markup can stop a task.  A table inside a cell isn't aligned: its cells follow each other with
+bars between them.  A cell of over ``WIDEST`` characters reaches beyond its column; the other rows stay aligned.
+
+Cases: null gives null text and empty an empty one; malformed markup never fails: a stray < is text, a tag
+without an end is text with all that follows, an attribute's quote that never closes is an ordinary
+character, numbers that aren't ASCII digits count as absent; repeated rows each get their row; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 200
+WIDEST = 200
 
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,8 +57,10 @@ ENDS = {
 }
 _SCOPE = frozenset("table td th caption html button template".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_REST = re.compile(r"(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+>")
+_ATTR = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+_NUMBER = re.compile(r"[ \t\n\f\r]*+([+-]?[0-9]{1,9})(?![0-9])")
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
 _CSS = re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|[{};]|[^\"'{};]+|.", re.S)
@@ -67,8 +75,8 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 class Node:
     __slots__ = ("tag", "attrs", "children")
 
-    def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.children = tag, attrs, []
+    def __init__(self, tag: str, attrs: str = "", children: list | None = None):
+        self.tag, self.attrs, self.children = tag, attrs, [] if children is None else children
 
     def attributes(self) -> dict[str, str]:
         if not self.attrs:
@@ -76,91 +84,109 @@ class Node:
         return {k.lower(): html.unescape(a or b or c) for k, a, b, c in reversed(_ATTR.findall(self.attrs))}
 
 
+class Builder:
+    """Open elements, and of each tag the places where it is open: every question about them is a look-up."""
+
+    def __init__(self):
+        self.root = Node("#root")
+        self.open = [self.root]
+        self.places: dict[str, list[int]] = {}
+
+    def last(self, tags) -> int:
+        """The innermost place of any of these tags, -1 if none is open."""
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=-1)
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.open))
+        self.open.append(node)
+
+    def cut(self, at: int) -> None:
+        while len(self.open) > at:
+            self.places[self.open.pop().tag].pop()
+
+    def text(self, text: str) -> None:
+        if text:
+            self.open[-1].children.append(html.unescape(text) if "&" in text else text)
+
+    def imply(self, tag: str) -> None:
+        """Ends what a start tag ends without saying so."""
+        if tag in CLOSES_P and (at := self.last(("p",))) > self.last(_SCOPE):
+            self.cut(at)
+        if rule := ENDS.get(tag):
+            closes, edge = rule
+            beyond = self.last(edge)
+            firsts = [at[k] for t in closes if (at := self.places.get(t)) and (k := bisect_right(at, beyond)) < len(at)]
+            if firsts:
+                self.cut(min(firsts))
+
+    def end(self, tag: str) -> None:
+        """An unmatched end tag does nothing, and none reaches out of a cell but those of table parts."""
+        at = self.last((tag,))
+        wall = self.last(("table", "template") if tag in ("table", "tr", "tbody", "thead", "tfoot") else ("table", "template", "td", "th"))
+        if at > 0 and at >= wall:
+            self.cut(at)
+
+    def foreign(self, tag: str) -> bool:
+        """Inside svg or math, where a tag can end itself."""
+        return tag in ("svg", "math") or self.last(("svg", "math")) > self.last(("foreignobject",))
+
+
 def parse(source: str) -> tuple[Node, list[str]]:
     """The tree, and the texts of its style elements."""
-    root = Node("#root")
-    stack, styles, at, n = [root], [], 0, len(source)
-    folded: str | None = None
-    search = _TOKEN.search
-    while at < n:
-        m = search(source, at)
-        if m is None:
-            stack[-1].children.append(html.unescape(source[at:]))
-            break
-        if m.start() > at:
-            text = source[at : m.start()]
-            stack[-1].children.append(html.unescape(text) if "&" in text else text)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+    tree, styles, at, n = Builder(), [], 0, len(source)
+    while (start := source.find("<", at)) >= 0:
+        mark = source[start + 1 : start + 2]
+        ends = mark == "/"
+        name = _NAME.match(source, start + 1 + ends)
+        if name is None:
+            if mark not in ("!", "?", "/") or (ends and start + 2 >= n):
+                tree.text(source[at : start + 1])  # a stray <
+                at = start + 1
+                continue
+            tree.text(source[at:start])
+            stop, skip = (source.find("-->", start + 4), 3) if source.startswith("<!--", start) else (source.find(">", start), 1)
+            at = n if stop < 0 else stop + skip
             continue
-        tag = tag.lower()
-        if m[1]:
-            _end(stack, tag)
+        rest = _REST.match(source, name.end())
+        if rest is None:  # no tag behind this one has an end either
+            break
+        tree.text(source[at:start])
+        at, tag = rest.end(), name[0].lower()
+        if ends:
+            tree.end(tag)
             continue
-        _imply(stack, tag)
-        node = Node(tag, m[3])
-        stack[-1].children.append(node)
+        tree.imply(tag)
+        node = Node(tag, source[name.end() : at - 1])
+        tree.open[-1].children.append(node)
         if tag in RAW or tag in RCDATA:
-            folded = source.lower() if folded is None else folded
-            stop = folded.find(f"</{tag}", at) if len(folded) == n else source.find(f"</{tag}", at)
-            stop = n if stop < 0 else stop
+            close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
+            stop = close.start() if close else n
             body = source[at:stop]
             node.children.append(html.unescape(body) if tag in RCDATA else body)
             if tag == "style":
                 media = node.attributes().get("media", "")
                 styles.append(f"@media {media}{{{body}}}" if media.strip() else body)
-            close = source.find(">", stop)
-            at = n if stop == n or close < 0 else close + 1
-        elif tag not in VOID and not (m[3].endswith("/") and _foreign(stack, tag)) and len(stack) < MAX_DEPTH:
-            stack.append(node)
-    return root, styles
-
-
-def _foreign(stack: list[Node], tag: str) -> bool:
-    """Inside svg or math, where a tag can end itself."""
-    inner = next((x.tag for x in reversed(stack) if x.tag in ("svg", "math", "foreignobject")), "")
-    return tag in ("svg", "math") or inner in ("svg", "math")
-
-
-def _imply(stack: list[Node], tag: str) -> None:
-    """Ends what a start tag ends without saying so."""
-    if tag in CLOSES_P:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == "p":
-                del stack[i:]
-                break
-            if stack[i].tag in _SCOPE:
-                break
-    if rule := ENDS.get(tag):
-        closes, edge = rule
-        cut = None
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in closes:
-                cut = i
-            elif stack[i].tag in edge:
-                break
-        if cut is not None:
-            del stack[cut:]
-
-
-def _end(stack: list[Node], tag: str) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag == tag:
-            del stack[i:]
-            return
-        if stack[i].tag in ("table", "template") or (stack[i].tag in ("td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot")):
-            return  # an unmatched end tag doesn't reach out of a cell
+            shut = source.find(">", stop) if close else -1
+            at = shut + 1 if shut >= 0 else n
+        elif tag not in VOID and not (node.attrs.endswith("/") and tree.foreign(tag)):
+            tree.push(node)
+    tree.text(source[at:])
+    return tree.root, styles
+
+
+def whole_number(text: str, default: int) -> int:
+    m = _NUMBER.match(text)
+    return int(m[1]) if m else default
 
 
 class Layout:
     """Lines of output; breaks collapse, so the largest gap asked for between two blocks wins."""
 
-    def __init__(self, hidden: dict | None = None):
+    def __init__(self, hidden: dict | None = None, in_cell: bool = False):
         self.lines: list[str] = []
         self.line: list[str] = []
         self.indent, self.gap, self.marker = 0, 0, ""
-        self.space, self.hidden = False, hidden or {}
+        self.space, self.hidden, self.in_cell = False, hidden or {}, in_cell
 
     def text(self, text: str) -> None:
         words = _SPACE.sub(" ", text)
@@ -207,71 +233,87 @@ class Layout:
         return not any(hides for _, hides in won.values())
 
     def walk(self, node: Node) -> None:
-        number = 0
-        for child in node.children:
-            if isinstance(child, str):
-                self.text(child)
-                continue
-            tag = child.tag
-            if tag == "br":
-                if self.line:
-                    self.end_line()
-                else:
-                    self.gap = max(self.gap, 2)
-                continue
-            if not self.shown(child):
-                continue
-            if tag == "svg":
-                self.space = True
-                self.text(self.drawn(child))
-                self.space = True
-                continue
-            if tag not in BLOCK:
-                self.space = self.space or node.tag in APART
-                self.walk(child)
-                continue
-            gap = 2 if tag in SPACED and not (tag in ("ul", "ol") and node.tag == "li") else 1
+        """Lays out what is inside a node; what follows an element's children waits on a stack."""
+        todo = [(iter(node.children), node, None)]
+        numbers: dict[int, int] = {}
+        while todo:
+            children, parent, after = todo[-1]
+            for child in children:
+                if isinstance(child, str):
+                    self.text(child)
+                elif (entered := self.enter(child, parent, numbers)) is not None:
+                    todo.append((iter(child.children if entered[1] is None else entered[1]), child, entered[0]))
+                    break
+            else:
+                todo.pop()
+                numbers.pop(id(parent), None)
+                if after is not None:
+                    after()
+
+    def enter(self, child: Node, parent: Node, numbers: dict[int, int]):
+        """What stands before an element; None if its children need no walk, else (what comes after them, the children to walk if not all)."""
+        tag = child.tag
+        if tag == "br":
+            if self.line:
+                self.end_line()
+            else:
+                self.gap = max(self.gap, 2)
+            return None
+        if not self.shown(child):
+            return None
+        if tag == "svg":
+            self.space = True
+            self.text("".join(self._strings(child, drawing=True)))
+            self.space = True
+            return None
+        if tag == "#rows":
+            self.end_line()
+            for line in child.children:
+                self.line = [line]
+                self.end_line()
+            return None
+        if tag not in BLOCK:
+            self.space = self.space or parent.tag in APART
+            return None, None
+        if self.in_cell and tag in ("td", "th"):
+            nth = numbers[id(parent)] = numbers.get(id(parent), 0) + 1
+            self.text(" | " if nth > 1 else "")
+            return None, None
+        gap = 2 if tag in SPACED and not (tag in ("ul", "ol") and parent.tag == "li") else 1
+        self.block(gap)
+        if tag == "table" and not self.in_cell:
+            return (lambda: self.block(gap)), [self.table(child)]
+        if tag in ("pre", "xmp"):
+            self.preformatted(child)
             self.block(gap)
-            if tag == "table":
-                self.table(child)
-            elif tag in ("pre", "xmp"):
-                self.preformatted(child)
-            elif tag == "li":
-                number += 1
-                if node.tag == "ol":
-                    a = node.attributes() if number == 1 else {}
-                    if a.get("start", "").lstrip("-").isdigit():
-                        number = int(a["start"])
-                    mark = f"{number}. "
-                else:
-                    mark = "- "
-                self.indent += len(mark)
-                self.marker = mark
-                self.walk(child)
+            return None
+        if tag == "li":
+            mark = "- "
+            if parent.tag == "ol":
+                before = numbers.get(id(parent))
+                numbers[id(parent)] = whole_number(parent.attributes().get("start", ""), 1) if before is None else before + 1
+                mark = f"{numbers[id(parent)]}. "
+            self.indent += len(mark)
+            self.marker = mark
+
+            def after():
                 self.end_line()
                 self.indent, self.marker = self.indent - len(mark), ""
-            elif tag in ("blockquote", "dd"):
-                self.indent += 2
-                self.walk(child)
+                self.block(gap)
+
+            return after, None
+        if tag in ("blockquote", "dd"):
+            self.indent += 2
+
+            def after():
                 self.end_line()
                 self.indent -= 2
-            elif tag == "details" and "open" not in child.attributes():
-                for x in child.children:
-                    if isinstance(x, Node) and x.tag == "summary":
-                        self.walk(x)
-                        break
-            else:
-                self.walk(child)
-            self.block(gap)
+                self.block(gap)
 
-    def drawn(self, node: Node) -> str:
-        """The texts of a drawing; other strings in it aren't shown."""
-        out = []
-        for x in node.children:
-            if isinstance(x, str) or x.tag in UNDRAWN or not self.shown(x):
-                continue
-            out.append("".join(self._strings(x)) if x.tag == "text" else self._flat(x) if x.tag == "foreignobject" else self.drawn(x))
-        return " ".join(t for t in out if t.strip())
+            return after, None
+        if tag == "details" and "open" not in child.attributes():
+            return (lambda: self.block(gap)), [x for x in child.children if isinstance(x, Node) and x.tag == "summary"][:1]
+        return (lambda: self.block(gap)), None
 
     def preformatted(self, node: Node) -> None:
         text = "".join(self._strings(node)).replace("\r\n", "\n")
@@ -282,77 +324,68 @@ class Layout:
             elif self.lines:
                 self.gap = 2
 
-    def _strings(self, node: Node) -> list[str]:
+    def _strings(self, node: Node, drawing: bool = False) -> list[str]:
+        """Visible strings as they stand; in a drawing those of its text and foreignObject elements, set apart by spaces."""
         out: list[str] = []
-        for x in node.children:
+        todo = [(x, drawing) for x in reversed(node.children)]
+        while todo:
+            x, mute = todo.pop()
             if isinstance(x, str):
-                out.append(x)
+                out.append("" if mute else x)
             elif x.tag == "br":
-                out.append("\n")
-            elif x.tag in UNDRAWN:
-                continue
-            elif x.tag == "svg" and self.shown(x):
-                out.append(self.drawn(x))
-            elif self.shown(x):
-                out += self._strings(x)
+                out.append("" if mute else "\n")
+            elif x.tag not in UNDRAWN and self.shown(x):
+                speaks = x.tag in ("text", "foreignobject")
+                out.append(" " if drawing and (speaks or x.tag in BLOCK) else "")
+                inner = not speaks and (mute or x.tag == "svg")
+                todo += [(c, inner) for c in reversed(x.children)]
         return out
 
     def _flat(self, node: Node) -> str:
-        inner = Layout(self.hidden)
+        inner = Layout(self.hidden, in_cell=True)
         inner.walk(node)
         return " ".join(_SPACE.sub(" ", line).strip() for line in inner.done().split("\n") if line.strip())
 
-    def table(self, node: Node) -> None:
+    def table(self, node: Node) -> Node:
+        """Captions and what browsers move in front of the table, and the rows as lines of aligned cells."""
         rows: list[list[tuple[str, int]]] = []
         loose: list[Node | str] = []
-
-        def collect(part: Node) -> None:
-            for x in part.children:
-                if isinstance(x, str):
-                    if x.strip():
-                        loose.append(x)
-                elif not self.shown(x) or x.tag in ("col", "colgroup"):
-                    continue
-                elif x.tag in ("thead", "tbody", "tfoot"):
-                    collect(x)
-                elif x.tag == "tr":
-                    rows.append([])
-                    for c in x.children:
-                        if isinstance(c, str):
-                            if c.strip():
-                                loose.append(c)
-                        elif c.tag in ("td", "th"):
-                            if self.shown(c):
-                                span = c.attributes().get("colspan", "1")
-                                rows[-1].append((self._flat(c), max(1, min(1000, int(span))) if span.isdigit() else 1))
-                        else:
-                            loose.append(c)
-                elif x.tag in ("td", "th"):
-                    rows.append([(self._flat(x), 1)])
-                else:
+        todo: list[tuple[Node | str, bool]] = [(x, False) for x in reversed(node.children)]
+        while todo:
+            x, in_row = todo.pop()
+            if isinstance(x, str):
+                if x.strip():
                     loose.append(x)
-
-        collect(node)
-        before = Node("caption")
-        before.children = loose  # captions, and what browsers move in front of the table
-        self.walk(before)
-        self.end_line()
+            elif not self.shown(x) or x.tag in ("col", "colgroup"):
+                continue
+            elif x.tag in ("td", "th"):
+                if not in_row:
+                    rows.append([])
+                rows[-1].append((self._flat(x), max(1, min(1000, whole_number(x.attributes().get("colspan", ""), 1)))))
+            elif x.tag in ("tr", "thead", "tbody", "tfoot") and not in_row:
+                if x.tag == "tr":
+                    rows.append([])
+                todo += [(c, x.tag == "tr") for c in reversed(x.children)]
+            else:
+                loose.append(x)
         width: dict[int, int] = {}
         for row in rows:
             at = 0
             for text, span in row:
-                if span == 1:
+                if span == 1 and len(text) <= WIDEST:
                     width[at] = max(width.get(at, 0), len(text))
                 at += span
+        last = max(width, default=-1) + 1
+        lines = Node("#rows")
         for row in rows:
             at, cells = 0, []
             for text, span in row:
-                room = sum(width.get(k, 0) for k in range(at, at + span)) + 3 * (span - 1)
-                cells.append(text.ljust(room) if room < 200 else text)
+                over = range(at, max(at, min(at + span, last)))
+                cells.append(text.ljust(sum(width.get(k, 0) for k in over) + 3 * max(0, len(over) - 1)))
                 at += span
             if any(text for text, _ in row):
-                self.line = [" | ".join(cells).rstrip()]
-                self.end_line()
+                lines.children.append(" | ".join(cells).rstrip())
+        return Node("#table", children=[Node("#loose", children=loose), lines])
 
     def done(self) -> str:
         self.end_line()
