@@ -13,25 +13,22 @@ def hill(x, bottom, top, ec50, slope):
     return bottom + (top - bottom) / (1 + (np.maximum(x, 0) / ec50) ** slope)
 
 
-def fit_hill(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None) -> dict:
-    """Two starts, rising and falling; one if a start is given."""
+def fit_hill(x: np.ndarray, y: np.ndarray, rounds: int = 400) -> dict:
+    """Least squares within bounds from a falling and a rising start."""
     ok = np.isfinite(x) & np.isfinite(y)
     x, y = np.asarray(x, float)[ok], np.asarray(y, float)[ok]
+    if len(x) < 4:
+        return {"success": False, "message": "insufficient_points"}
     positive = x[x > 0]
-    if len(x) < 4 or not len(positive):
-        return {"success": False, "message": "insufficient_points" if len(x) < 4 else "no_positive_concentration"}
-    span = float(np.ptp(x))
+    least, middle = (float(positive.min()), float(np.median(positive))) if len(positive) else (1e-6, max(1e-4, 0.5 * float(x.max())))
     pad = max(1e-3, 0.2 * float(np.ptp(y)))
-    lower = [y.min() - pad, y.min() - pad, max(1e-12, 1e-3 * positive.min()), 0.05]
-    upper = [y.max() + pad, y.max() + pad, max(1e-6, 1e3 * x.max() + max(1e-3, span)), 8.0]
-    best = None
-    middle = float(np.median(positive))
-    for p0 in [start] if start is not None else [[y.min(), y.max(), middle, 1.0], [y.max(), y.min(), middle, 1.0]]:
-        p, rss, _ = fit(hill, x, y, p0, lower, upper, 80 if start is None else 25)
-        if np.isfinite(rss) and (best is None or rss < best[1]):
-            best = (p, rss)
-    p, rss = best
-    return {"success": True, "message": "", "method": "4pl", "params": p, "ec50": float(p[2]), "rss": rss, "aic": aic(rss, len(x), 4), "y_ec50": float(hill(p[2], *p)), "bottom": float(p[0]), "top": float(p[1])}
+    lower = [y.min() - pad, y.min() - pad, max(1e-12, 1e-3 * least), 0.05]
+    upper = [y.max() + pad, y.max() + pad, max(1e-6, 1e3 * float(x.max()) + max(1e-3, float(np.ptp(x)))), 8.0]
+    tried = [fit(hill, x, y, [*ends, middle, 1.0], lower, upper, rounds)[:2] for ends in ((y.min(), y.max()), (y.max(), y.min()))]
+    p, rss = min(tried, key=lambda r: r[1] if np.isfinite(r[1]) else np.inf)
+    if not np.isfinite(rss):
+        return {"success": False, "message": "fit_failed"}
+    return {"success": True, "message": "", "method": "4pl", "status": "OK", "params": p, "ec50": float(p[2]), "rss": rss, "aic": aic(rss, len(x), 4), "y_ec50": float(hill(p[2], *p)), "bottom": float(p[0]), "top": float(p[1]), "monotonic": True}
 
 
 def transform_x(x: np.ndarray, how: str) -> np.ndarray | None:
@@ -46,75 +43,94 @@ def back_x(x: float, how: str) -> float:
     return float(10**x if how == "log" else np.expm1(x) if how == "log1p" else x)
 
 
-def pick_crossing(x: np.ndarray, y: np.ndarray) -> tuple[float, str]:
-    """Where y meets the middle of its ends: the only crossing, the steepest of several, or the nearest point."""
-    middle = (y[0] + y[-1]) / 2
-    d = y - middle
-    at = np.flatnonzero((d[:-1] == 0) | (d[:-1] * d[1:] < 0))
-    if not len(at):
+def pick_crossing(x: np.ndarray, y: np.ndarray, slope: np.ndarray) -> tuple[float, str]:
+    """Where y meets the middle of its ends: the only crossing, the steepest of several, or the nearest point.
+
+    Steepness is the curve's own slope; several crossings equally steep (to a hundredth) are AMBIGUOUS.
+    """
+    d = y - (y[0] + y[-1]) / 2
+    touches, passes = np.flatnonzero(d == 0), np.flatnonzero(d[:-1] * d[1:] < 0)
+    if not len(touches) + len(passes):
         return float(x[np.argmin(np.abs(d))]), "NO_CROSS_NEAREST"
-    step = np.where(y[at + 1] == y[at], 1.0, y[at + 1] - y[at])
-    where = x[at] + (middle - y[at]) / step * (x[at + 1] - x[at])
-    if len(at) == 1:
+    where = np.concatenate([x[touches], x[passes] + (x[passes + 1] - x[passes]) * d[passes] / (d[passes] - d[passes + 1])])
+    if len(where) == 1:
         return float(where[0]), "OK"
-    slope = np.abs(y[at + 1] - y[at]) / (x[at + 1] - x[at])
-    order = np.argsort(-slope)
-    if np.isclose(slope[order[0]], slope[order[1]], rtol=1e-3):
+    steep = np.interp(where, x, np.abs(slope))
+    best = steep.max()
+    if (np.abs(steep - best) <= max(1e-6, 0.01 * max(1.0, best))).sum() > 1:
         return float("nan"), "AMBIGUOUS"
-    return float(where[order[0]]), "OK"
+    return float(where[steep.argmax()]), "MULTI_STEEPEST"
 
 
-def fit_dose(x: np.ndarray, y: np.ndarray, x_log: str = "log", y_log: str = "none", method: str = "auto", lam: float | None = None, points: int = 2000, start: np.ndarray | None = None) -> dict:
-    """method: spline, 4pl, or auto (the lower AIC; a spline that isn't monotonic gives way)."""
+def fit_spline(x: np.ndarray, y: np.ndarray, x_log: str = "log", y_log: str = "none", lam: float | None = None, points: int = 2000, monotonic_only: bool = True) -> dict:
+    """A smoothing spline over transformed doses; where it isn't monotonic, or is a line, the Hill curve stands in (method 4pl_fallback)."""
     ok = np.isfinite(x) & np.isfinite(y)
-    x, y = np.asarray(x, float)[ok], np.asarray(y, float)[ok]
-    if y_log == "log1p" and (y <= -1).any():
+    x, raw = np.asarray(x, float)[ok], np.asarray(y, float)[ok]
+    if y_log == "log1p" and (raw < -1).any():
         return {"success": False, "message": "dr_y_transform_invalid_lt_minus1"}
-    if y_log == "log" and (y <= 0).any():
+    if y_log == "log" and (raw <= 0).any():
         return {"success": False, "message": "dr_y_transform_invalid_nonpositive"}
-    y = np.log1p(y) if y_log == "log1p" else np.log10(y) if y_log == "log" else y
     tx = transform_x(x, x_log)
     if tx is None:
         return {"success": False, "message": "no_positive_concentration"}
-    ux, uy = unique_mean(tx, y)
+    forward, back = {"log1p": (np.log1p, np.expm1), "log": (np.log10, lambda v: 10**v)}.get(y_log, (lambda v: v, lambda v: v))
+    ux, uy = unique_mean(tx, forward(raw))
     if len(ux) < 5:
-        return {"success": False, "message": f"too_few_conc_points_{len(ux)}"}
-    other = fit_hill(x, y, start) if method in ("auto", "4pl") else {"success": False, "message": "fit_failed"}
-    if method == "4pl":
-        return other | {"n": len(ux)}
+        return {"success": False, "message": "insufficient_points" if len(x) < 4 else "insufficient_unique_points", "n": len(ux)}
     basis = Basis(ux)
     lam, how = choose_lam(basis, uy, lam, 3.5)
     f = basis.smooth(uy, lam)
     grid = np.linspace(ux[0], ux[-1], points)
-    value, _ = basis.evaluate(f, grid)
-    rises = np.diff(value)
-    tolerance = 0.02 * max(float(np.std(value)), 1e-12)
-    monotonic = not ((rises > tolerance / points).any() and (rises < -tolerance / points).any() and min(np.abs(rises[rises > 0].sum()), np.abs(rises[rises < 0].sum())) > tolerance)
+    value, slope = basis.evaluate(f, grid)
+    slack = max(1e-8, 0.02 * float(slope.std()))
+    monotonic = bool((slope >= -slack).all() or (slope <= slack).all())
+    straight = bool(np.abs(slope).max() < 1.5 * max(float(np.abs(slope).mean()), 1e-8))
+    if monotonic_only and (straight or not monotonic):
+        other = fit_hill(*(unique_mean(tx, v)[1] for v in (x, raw)))
+        return other | {"n": len(ux), "method": "4pl_fallback", "smoothing": "4pl"} if other["success"] else {"success": False, "message": "non_monotonic_no_fallback", "n": len(ux)}
+    at, status = pick_crossing(grid, value, slope)
     rss = float(((uy - f) ** 2).sum())
-    spline_aic = len(ux) * np.log(max(rss, 1e-12) / len(ux)) + 2 * basis.df(lam)
-    at, status = pick_crossing(grid, value)
-    if (other["success"] and (not monotonic or other["aic"] < spline_aic)) or (method == "auto" and status == "AMBIGUOUS" and other["success"]):
-        return other | {"n": len(ux), "monotonic": monotonic}
-    if not np.isfinite(at):
-        return {"success": False, "message": "ambiguous_ec50", "n": len(ux), "monotonic": monotonic}
-    return {"success": True, "message": "" if status == "OK" else status, "method": "spline", "ec50": back_x(at, x_log), "y_ec50": float(np.interp(at, grid, value)), "rss": rss, "aic": spline_aic, "lam": lam, "smoothing": how, "df": basis.df(lam), "n": len(ux), "monotonic": monotonic, "grid": grid, "curve": value}
+    at_y = float(np.interp(at, grid, value)) if np.isfinite(at) else float("nan")
+    return {
+        "success": True, "message": {"AMBIGUOUS": "ambiguous_ec50"}.get(status, ""), "method": "spline", "status": status, "ec50": back_x(at, x_log), "y_ec50": float(back(at_y)), "rss": rss, "aic": aic(rss, len(ux), 4), "lam": lam, "smoothing": how,
+        "df": basis.roughness_df(uy, lam), "n": len(ux), "monotonic": monotonic, "grid": grid, "curve": value,
+    }
 
 
-def bootstrap_dose(x: np.ndarray, y: np.ndarray, key: str, replicates: range, seed: int = 42, **options) -> list[float]:
-    """EC50 of pair-resampled fits with the data's smoothing parameter; replicates without a crossing don't count.
+def fit_dose(x: np.ndarray, y: np.ndarray, x_log: str = "log", y_log: str = "none", method: str = "auto", lam: float | None = None, points: int = 2000) -> dict:
+    """method: spline, 4pl, or auto (of the fits that succeed the one of lower AIC)."""
+    model = fit_hill(x, y) if method in ("auto", "4pl") else {"success": False, "message": "not_run"}
+    if method == "4pl":
+        return model | {"n": len(np.unique(np.asarray(x)[np.isfinite(x) & np.isfinite(y)]))}
+    spline = fit_spline(x, y, x_log, y_log, lam, points, monotonic_only=True) if method == "auto" else fit_spline(x, y, x_log, y_log, lam, points, monotonic_only=False)
+    if model["success"] and (not spline["success"] or model["aic"] < spline["aic"]):
+        return model | {"n": spline.get("n", 0), "spline_aic": spline.get("aic")}
+    return spline | {"model_aic": model.get("aic")}
 
-    Each replicate has its own generator, so any split of them over tasks draws the same.
+
+def bootstrap_dose(x: np.ndarray, y: np.ndarray, key: str, replicates: range, seed: int = 42, method: str = "auto", x_log: str = "log", y_log: str = "none", lam: float | None = None) -> list[float]:
+    """EC50 of pair-resampled fits, each made afresh by the method that fits the data; replicates without a crossing don't count.
+
+    Spline replicates keep the data's smoothing parameter; Hill replicates need four doses, and their EC50 must
+    lie among the doses drawn.  Each replicate has its own generator, so any split of them over tasks draws the same.
     """
-    base = fit_dose(x, y, **options)
+    ok = np.isfinite(x) & np.isfinite(y)
+    x, y = np.asarray(x, float)[ok], np.asarray(y, float)[ok]
+    base = fit_dose(x, y, x_log, y_log, method, lam)
     if not base["success"] or len(x) < 6:
         return []
-    options = options | {"method": base["method"], "lam": base.get("lam"), "start": base.get("params"), "points": 400}
+    if base["method"] == "spline":
+        lam = base["lam"]
     found = []
     for k in replicates:
         pick = np.random.default_rng([stable_seed(key, seed), k]).integers(0, len(x), len(x))
-        if base["method"] == "4pl" and len(np.unique(x[pick])) < 4:
-            continue
-        one = fit_dose(x[pick], np.maximum(y[pick], 0), **options)
-        if one["success"] and one["message"] != "NO_CROSS_NEAREST" and x.min() <= one["ec50"] <= x.max():
+        xs, ys = x[pick], np.maximum(y[pick], 0)
+        if base["method"] == "spline":
+            one = fit_spline(xs, ys, x_log, y_log, lam)
+            inside = one["success"] and one["status"] != "NO_CROSS_NEAREST"
+        else:
+            one = fit_hill(xs, ys) if len(np.unique(xs)) >= 4 else {"success": False}
+            inside = one["success"] and xs.min() <= one["ec50"] <= xs.max()
+        if inside and np.isfinite(one["ec50"]):
             found.append(one["ec50"])
     return found

@@ -3,51 +3,63 @@
 from __future__ import annotations
 
 import hashlib
+import math
+from functools import lru_cache
 
 import numpy as np
 
 from curvelake.kernels.lowess import lowess
 from curvelake.kernels.lsq import fit
-from curvelake.kernels.spline import Basis, choose_lam, unique_mean
+from curvelake.kernels.spline import Basis, choose_lam, smooth_at, unique_mean
 
 
-def _clip50(x):
-    return np.clip(x, -50, 50)
+# The formulas of the four growth models, their bounds and start values.
+# ``m`` is what computes: numpy here, Spark's functions in operators.fit.
 
 
-def logistic(t, y0, a, mu, lam):
+def logistic(t, y0, a, mu, lam, m=np):
     a = max(a, 1e-12)
-    return y0 + a / (1 + np.exp(_clip50(4 * mu / a * (lam - t) + 2)))
+    return y0 + a / (1 + m.exp(m.clip(4 * mu / a * (lam - t) + 2, -50, 50)))
 
 
-def gompertz(t, y0, a, mu, lam):
+def gompertz(t, y0, a, mu, lam, m=np):
     a = max(a, 1e-12)
-    return y0 + a * np.exp(-np.exp(_clip50(np.e * mu / a * (lam - t) + 1)))
+    return y0 + a * m.exp(-m.exp(m.clip(math.e * mu / a * (lam - t) + 1, -50, 50)))
 
 
-def modified_gompertz(t, y0, a, mu, lam, alpha, shift):
-    return gompertz(t, y0, a, mu, lam) + max(a, 1e-12) * np.exp(_clip50(alpha * (t - shift)))
+def modified_gompertz(t, y0, a, mu, lam, alpha, shift, m=np):
+    return gompertz(t, y0, a, mu, lam, m=m) + max(a, 1e-12) * m.exp(m.clip(alpha * (t - shift), -50, 50))
 
 
-def richards(t, y0, a, mu, lam, nu):
-    a, mu, nu = max(a, 1e-12), max(mu, 1e-12), float(np.clip(nu, 1e-4, 50))
-    x = _clip50(1 + nu + mu / a * (1 + nu) ** (1 + 1 / nu) * (lam - t))
-    return y0 + a * (1 + nu * np.exp(x)) ** (-1 / nu)
+def richards(t, y0, a, mu, lam, nu, m=np):
+    a, mu, nu = max(a, 1e-12), max(mu, 1e-12), min(max(nu, 1e-4), 50.0)
+    x = m.clip(1 + nu + mu / a * (1 + nu) ** (1 + 1 / nu) * (lam - t), -50, 50)
+    return y0 + a * (1 + nu * m.exp(x)) ** (-1 / nu)
 
 
-MODELS = {"logistic": logistic, "gompertz": gompertz, "gompertz.exp": modified_gompertz, "richards": richards}
+MODELS = {"logistic": logistic, "gompertz": gompertz, "modified_gompertz": modified_gompertz, "richards": richards}
 
 
 def stable_seed(key: str, base: int = 42) -> int:
     return base + int(hashlib.sha256(key.encode()).hexdigest()[:8], 16) % 10_000
 
 
-def aic(rss: float, n: int, k: int) -> float:
-    return n * np.log(max(rss, 1e-12) / n) + 2 * k
+def aic(rss, n, k, m=np):
+    return n * m.log(m.maximum(rss, 1e-12) / n) + 2 * k
 
 
-def bic(rss: float, n: int, k: int) -> float:
-    return n * np.log(max(rss, 1e-12) / n) + k * np.log(n)
+def bic(rss, n, k, m=np):
+    return n * m.log(m.maximum(rss, 1e-12) / n) + k * m.log(n)
+
+
+@lru_cache(maxsize=256)
+def _cached_basis(raw: bytes) -> Basis:
+    return Basis(np.frombuffer(raw, dtype=float))
+
+
+def basis_of(t: np.ndarray) -> Basis:
+    """Curves of one plate share their times, and then one decomposition."""
+    return _cached_basis(np.ascontiguousarray(t, dtype=float).tobytes())
 
 
 def _starts(t, y):
@@ -55,24 +67,44 @@ def _starts(t, y):
     s = lowess(t, y, 0.25) if len(t) >= 6 else y
     lo, hi = np.percentile(s, [5, 95])
     rng, top = max(float(np.ptp(y)), 1e-6), max(float(t.max()), 1e-6)
-    slope = float(np.max(np.gradient(s, t))) if len(t) > 1 else 0.1
+    ut, us = unique_mean(t, s)
+    slope = float(np.max(np.gradient(us, ut))) if len(ut) > 2 else 0.5
     mu = float(np.clip(slope, 1e-6, 50))
     values = {"y0": lo, "a": max(hi - lo, 1e-6), "mu": mu, "lam": float(np.percentile(t, 20)), "alpha": float(np.clip(0.3 * mu, 1e-6, 10)), "shift": float(np.percentile(t, 75)), "nu": 1.0}
     bounds = {"y0": (y.min() - 2, y.max() + 2), "a": (0, 10 * rng), "mu": (1e-6, 50), "lam": (-3 * top, 1.5 * top), "alpha": (1e-6, 10), "shift": (0, 1.5 * top), "nu": (1e-4, 20)}
     return values, bounds, rng, top
 
 
-NAMES = {"logistic": ["y0", "a", "mu", "lam"], "gompertz": ["y0", "a", "mu", "lam"], "gompertz.exp": ["y0", "a", "mu", "lam", "alpha", "shift"], "richards": ["y0", "a", "mu", "lam", "nu"]}
+NAMES = {"logistic": ["y0", "a", "mu", "lam"], "gompertz": ["y0", "a", "mu", "lam"], "modified_gompertz": ["y0", "a", "mu", "lam", "alpha", "shift"], "richards": ["y0", "a", "mu", "lam", "nu"]}
+
+
+def _seeds(name: str, values: dict[str, float], y: np.ndarray, top: float) -> list[dict[str, float]]:
+    """The start itself; earlier lags where growth is inhibited; each of these with three shapes for richards."""
+    peak = float(y.max())
+    lags = [values["lam"]]
+    if (peak > 1e-10 and float(np.ptp(y)) / peak < 0.15) or values["lam"] >= 0.8 * top:
+        lags += [-top, -top / 2, -top / 4]
+    shapes = [values["nu"], 0.5, 2.0] if name == "richards" else [values["nu"]]
+    return [values | {"lam": lag, "nu": nu} for nu in shapes for lag in lags]
+
 
+def _degenerate(p: np.ndarray, se: np.ndarray) -> bool:
+    if not (np.isfinite(p).all() and np.isfinite(se).all()):
+        return True
+    size = np.abs(p)
+    return bool((se < 1e-8).any() or (se[size > 1e-12] > 5 * size[size > 1e-12]).any())
 
-def fit_models(t: np.ndarray, y: np.ndarray, points: int = 400) -> dict:
+
+def fit_models(t: np.ndarray, y: np.ndarray, points: int = 400, rounds: int = 400) -> dict:
     """The model of lowest AIC among those that fit inside their bounds, with a status per model."""
-    t, y = unique_mean(np.asarray(t, float), np.asarray(y, float))
+    t, y = np.asarray(t, float), np.asarray(y, float)
+    ok = np.isfinite(t) & np.isfinite(y)
+    order = np.argsort(t[ok], kind="stable")
+    t, y = t[ok][order], y[ok][order]
     n, table, best = len(t), [], None
-    if n == 0:
-        return {"success": False, "message": "insufficient_points", "aic_table": []}
-    values, bounds, rng, top = _starts(t, y)
-    inhibited = rng / max(abs(y).max(), 1e-12) < 0.15 or values["lam"] >= 0.8 * top
+    if n < 4:
+        return {"success": False, "message": "insufficient_points", "aic_table": [], "n": n}
+    values, bounds, _, top = _starts(t, y)
     for name, model in MODELS.items():
         names = NAMES[name]
         k = len(names)
@@ -80,36 +112,31 @@ def fit_models(t: np.ndarray, y: np.ndarray, points: int = 400) -> dict:
             table.append((name, "insufficient_points", None))
             continue
         lower, upper = np.array([bounds[x] for x in names], float).T
-        starts = [dict(values)]
-        if inhibited:
-            starts += [dict(values, lam=-f * top) for f in (0.25, 0.75, 1.5)]
-        if name == "richards":
-            starts += [dict(values, nu=v) for v in (0.5, 2.0)]
         found = None
-        for s in starts:
-            p, rss, cov = fit(model, t, y, [s[x] for x in names], lower, upper)
+        for s in _seeds(name, values, y, top):
+            p, rss, cov = fit(model, t, y, np.clip([s[x] for x in names], lower + 1e-9, upper - 1e-9), lower, upper, rounds)
             se = np.sqrt(np.maximum(np.diag(cov), 0))
-            bad = not np.isfinite(rss) or not np.isfinite(se).all() or (se / np.maximum(np.abs(p), 1e-8) > 5).any()
-            if not bad and (found is None or rss < found[1]):
-                found = (p, rss)
+            if np.isfinite(rss) and not _degenerate(p, se) and (found is None or rss < found[1]):
+                found = (p, rss, se)
         if found is None:
-            table.append((name, "no_start", None))
+            table.append((name, "exception", None))
             continue
-        p, rss = found
-        edge = (np.abs(p - lower) < 1e-5) | (np.abs(p - upper) < 1e-5)
-        if edge.any():
+        p, rss, se = found
+        if min(np.abs(p - lower).min(), np.abs(p - upper).min()) <= 1e-5:
             table.append((name, "bounds", aic(rss, n, k)))
             continue
         table.append((name, "ok", aic(rss, n, k)))
         if best is None or table[-1][2] < best["aic"]:
-            best = {"model": name, "params": p, "rss": rss, "aic": table[-1][2], "bic": bic(rss, n, k)}
+            best = {"model": name, "params": p, "se": se, "rss": rss, "aic": table[-1][2], "bic": bic(rss, n, k)}
     if best is None:
         return {"success": False, "message": "all_models_failed", "aic_table": table, "n": n}
     named = dict(zip(NAMES[best["model"]], best["params"], strict=True))
+    errors = dict(zip(NAMES[best["model"]], best["se"], strict=True))
     grid = np.linspace(t.min(), t.max(), points)
     curve = MODELS[best["model"]](grid, *best["params"])
     second = min((a for _, s, a in table if s == "ok" and a != best["aic"]), default=None)
-    return best | {"success": True, "message": "", "n": n, "mu": named["mu"], "lag": named["lam"], "a": named["a"], "integral": float(np.trapezoid(curve, grid)), "aic_table": table, "second_aic": second, "grid": grid, "curve": curve}
+    derived = {"mu": named["mu"], "lag": named["lam"], "a": max(named["a"], 0.0), "mu_se": errors["mu"], "lag_se": errors["lam"], "a_se": errors["a"]}
+    return best | derived | {"success": True, "message": "", "n": n, "integral": float(np.trapezoid(curve, grid)), "aic_table": table, "second_aic": second, "grid": grid, "curve": curve}
 
 
 def summary_of(grid: np.ndarray, value: np.ndarray, slope: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -127,39 +154,53 @@ def fit_spline(t: np.ndarray, y: np.ndarray, lam: float | None = None, points: i
     t, y = unique_mean(np.asarray(t, float), np.asarray(y, float))
     if len(t) < 4:
         return {"success": False, "message": "insufficient_points" if not len(t) else "insufficient_unique_points", "n": len(t)}
-    basis = Basis(t)
+    basis = basis_of(t)
     lam, how = choose_lam(basis, y, lam)
     f = basis.smooth(y, lam)
     grid = np.linspace(t[0], t[-1], points)
     value, slope = basis.evaluate(f, grid)
     mu, lag, a, integral = (float(x[0]) for x in summary_of(grid, value, slope))
-    return {"success": True, "message": "", "n": len(t), "lam": lam, "smoothing": how, "df": basis.df(lam), "rss": float(((y - f) ** 2).sum()), "mu": mu, "lag": lag, "a": a, "integral": integral, "grid": grid, "curve": value, "slope": slope, "fitted": f, "t": t, "y": y, "basis": basis}
+    return {"success": True, "message": "", "n": len(t), "lam": lam, "smoothing": how, "df": basis.roughness_df(y, lam), "rss": float(((y - f) ** 2).sum()), "mu": mu, "lag": lag, "a": a, "integral": integral, "grid": grid, "curve": value, "slope": slope, "fitted": f, "t": t, "y": y, "basis": basis}
 
 
-def bootstrap_spline(t: np.ndarray, y: np.ndarray, key: str, replicates: int = 200, method: str = "residual", seed: int = 42, points: int = 400) -> dict[str, np.ndarray]:
-    """mu, lag, a, integral of each replicate; the smoothing parameter stays that of the data.
+def bootstrap_spline(t: np.ndarray, y: np.ndarray, key: str, replicates: int = 200, method: str = "pairs", seed: int = 42, points: int = 400, base: dict | None = None) -> dict[str, np.ndarray]:
+    """mu, lag, a, integral of each replicate; the smoothing parameter stays that of the data (``base``: its fit, if made).
 
-    residual: all replicates are one matrix product.  pairs: a fit per draw of points.
+    pairs: a fit per draw of points.  residual: all replicates are one matrix product.
     """
-    base = fit_spline(t, y, points=points)
+    base = fit_spline(t, y, points=points) if base is None else base
     if not base["success"] or base["n"] < 6:
         return {}
     rng = np.random.default_rng(stable_seed(key, seed))
-    x, grid = base["t"], base["grid"]
+    x, n = base["t"], base["n"]
     if method == "residual":
+        grid = base["grid"]
         r = base["y"] - base["fitted"]
-        draws = base["fitted"] + rng.choice(r - r.mean(), size=(replicates, len(x)))
+        draws = base["fitted"] + rng.choice(r - r.mean(), size=(replicates, n))
         value, slope = base["basis"].evaluate(base["basis"].smooth(draws, base["lam"]), grid)
         mu, lag, a, integral = summary_of(grid, value, slope)
-    else:
-        rows = []
-        for _ in range(replicates):
-            pick = rng.integers(0, len(x), len(x))
-            one = fit_spline(x[pick], base["y"][pick], base["lam"], points)
-            if one["success"]:
-                rows.append((one["mu"], one["lag"], one["a"], one["integral"]))
-        if not rows:
-            return {}
-        mu, lag, a, integral = np.array(rows).T
-        value = None
-    return {"mu": mu, "lag": lag, "a": a, "integral": integral, "curves": value, "grid": grid}
+        return {"mu": mu, "lag": lag, "a": a, "integral": integral, "curves": value, "grid": grid}
+    rows = []
+    for pick in rng.integers(0, n, (replicates, n)):
+        at = np.unique(pick)  # points drawn twice are one point of the same mean
+        if len(at) >= 4:
+            grid = np.linspace(x[at[0]], x[at[-1]], points)
+            rows.append([float(v[0]) for v in summary_of(grid, *smooth_at(x[at], base["y"][at], base["lam"], grid))])
+    if not rows:
+        return {}
+    mu, lag, a, integral = np.array(rows).T
+    return {"mu": mu, "lag": lag, "a": a, "integral": integral, "curves": None, "grid": base["grid"]}
+
+
+PARAMETERS = ("mu", "lag", "a", "integral")
+
+
+def bootstrap_summary(draws: dict[str, np.ndarray], alpha: float = 0.05) -> dict[str, tuple]:
+    """Per parameter: number of finite draws, mean, deviation, the interval of 1 - alpha and that of 90 %."""
+    out = {}
+    for name in PARAMETERS:
+        v = draws[name][np.isfinite(draws[name])] if draws else np.zeros(0)
+        if len(v):
+            q = np.quantile(v, [alpha / 2, 1 - alpha / 2, 0.05, 0.95])
+            out[name] = (len(v), float(v.mean()), float(v.std(ddof=1)) if len(v) > 1 else 0.0, *map(float, q))
+    return out

@@ -18,6 +18,36 @@ def unique_mean(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ux, np.bincount(inverse, weights=y[ok]) / np.maximum(np.bincount(inverse), 1)
 
 
+def penalty_parts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """B and R of the natural cubic spline over x: R m = B' f gives the second derivatives inside."""
+    n, h = len(x), np.diff(x)
+    b, r = np.zeros((n, n - 2)), np.zeros((n - 2, n - 2))
+    j = np.arange(n - 2)
+    b[j, j], b[j + 1, j], b[j + 2, j] = 1 / h[:-1], -1 / h[:-1] - 1 / h[1:], 1 / h[1:]
+    r[j, j] = (h[:-1] + h[1:]) / 3
+    r[j[:-1], j[1:]] = r[j[1:], j[:-1]] = h[1:-1] / 6
+    return b, r
+
+
+def pieces(x: np.ndarray, f: np.ndarray, m: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and first derivatives at ``at`` of splines (rows) with values f and second derivatives m at x."""
+    i = np.clip(np.searchsorted(x, at, side="right") - 1, 0, len(x) - 2)
+    h = x[i + 1] - x[i]
+    a, b = (x[i + 1] - at) / h, (at - x[i]) / h
+    value = a * f[:, i] + b * f[:, i + 1] + ((a**3 - a) * m[:, i] + (b**3 - b) * m[:, i + 1]) * h**2 / 6
+    slope = (f[:, i + 1] - f[:, i]) / h + ((1 - 3 * a**2) * m[:, i] + (3 * b**2 - 1) * m[:, i + 1]) * h / 6
+    return value, slope
+
+
+def smooth_at(x: np.ndarray, y: np.ndarray, lam: float, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and slopes of the spline of a given parameter: one linear system, no decomposition."""
+    b, r = penalty_parts(x)
+    inner = np.linalg.solve(r + lam * (b.T @ b), b.T @ y)
+    m = np.zeros((1, len(x)))
+    m[0, 1:-1] = inner
+    return pieces(x, (y - lam * (b @ inner))[None], m, at)
+
+
 @dataclass
 class Basis:
     """Penalty of the abscissae: f = Q diag(1 / (1 + lam d)) Q' y, second derivatives from R m = B' f."""
@@ -29,14 +59,9 @@ class Basis:
     b: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        n, h = len(self.x), np.diff(self.x)
-        b, r = np.zeros((n, n - 2)), np.zeros((n - 2, n - 2))
-        j = np.arange(n - 2)
-        b[j, j], b[j + 1, j], b[j + 2, j] = 1 / h[:-1], -1 / h[:-1] - 1 / h[1:], 1 / h[1:]
-        r[j, j] = (h[:-1] + h[1:]) / 3
-        r[j[:-1], j[1:]] = r[j[1:], j[:-1]] = h[1:-1] / 6
-        d, q = np.linalg.eigh(b @ np.linalg.solve(r, b.T))
-        self.d, self.q, self.r, self.b = np.where(d > 1e-10 * max(d.max(), 1e-300), d, 0.0), q, r, b
+        self.b, self.r = penalty_parts(self.x)
+        d, q = np.linalg.eigh(self.b @ np.linalg.solve(self.r, self.b.T))
+        self.d, self.q = np.where(d > 1e-10 * max(d.max(), 1e-300), d, 0.0), q
 
     def df(self, lam: float) -> float:
         return float((1 / (1 + lam * self.d)).sum())
@@ -47,9 +72,9 @@ class Basis:
 
     def gcv(self, y: np.ndarray, lams: np.ndarray) -> np.ndarray:
         c = y @ self.q
-        s = 1 / (1 + np.outer(lams, self.d))
-        n = len(y)
-        return (((1 - s) * c) ** 2).sum(axis=1) / n / np.maximum(1 - s.sum(axis=1) / n, 1e-9) ** 2
+        shrunk = np.outer(lams, self.d)
+        shrunk /= 1 + shrunk  # one minus the smoother's eigenvalues, exact also where these are almost 1
+        return len(y) * ((shrunk * c) ** 2).sum(axis=1) / np.maximum(shrunk.sum(axis=1), 1e-300) ** 2
 
     def best_gcv(self, y: np.ndarray) -> float:
         lams = np.logspace(-12, 6, 181)
@@ -57,12 +82,22 @@ class Basis:
         fine = np.logspace(np.log10(lams[max(k - 1, 0)]), np.log10(lams[min(k + 1, 180)]), 41)
         return float(fine[int(np.argmin(self.gcv(y, fine)))])
 
-    def lam_for_df(self, target: float, rounds: int = 60) -> float:
-        """Bisection in log space between 1e-12 and 1e6."""
+    def roughness_df(self, y: np.ndarray, lam: float) -> float:
+        """2 + ln(1 + n * sum f''^2 / sum f'^2) at the data, between 2 (a line) and n."""
+        f = self.smooth(y, lam)
+        bend = np.linalg.solve(self.r, self.b.T @ f)
+        _, slope = self.evaluate(f, self.x)
+        steep, n = float(slope @ slope), len(self.x)
+        return 2.0 if steep < 1e-20 else float(np.clip(2 + np.log1p(n * float(bend @ bend) / steep), 2, n))
+
+    def lam_for_df(self, y: np.ndarray, least: float, rounds: int = 30) -> float:
+        """The smoothest parameter that keeps ``least``: bisection in log space between 1e-12 and 1e6."""
         lo, hi = -12.0, 6.0
+        if self.roughness_df(y, 10**lo) < least:
+            return 10**lo
         for _ in range(rounds):
             mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if self.df(10**mid) > target else (lo, mid)
+            lo, hi = (mid, hi) if self.roughness_df(y, 10**mid) >= least else (lo, mid)
         return 10 ** ((lo + hi) / 2)
 
     def evaluate(self, f: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,23 +105,19 @@ class Basis:
         f2 = np.atleast_2d(f)
         m = np.zeros_like(f2)
         m[:, 1:-1] = np.linalg.solve(self.r, self.b.T @ f2.T).T
-        i = np.clip(np.searchsorted(self.x, at, side="right") - 1, 0, len(self.x) - 2)
-        h = self.x[i + 1] - self.x[i]
-        a, b = (self.x[i + 1] - at) / h, (at - self.x[i]) / h
-        value = a * f2[:, i] + b * f2[:, i + 1] + ((a**3 - a) * m[:, i] + (b**3 - b) * m[:, i + 1]) * h**2 / 6
-        slope = (f2[:, i + 1] - f2[:, i]) / h + ((1 - 3 * a**2) * m[:, i] + (3 * b**2 - 1) * m[:, i + 1]) * h / 6
+        value, slope = pieces(self.x, f2, m, at)
         return (value, slope) if f.ndim == 2 else (value[0], slope[0])
 
 
 def choose_lam(basis: Basis, y: np.ndarray, lam: float | None = None, least_df: float = 4.0) -> tuple[float, str]:
-    """A given parameter, else GCV's if it leaves enough degrees of freedom, else the one that leaves just so many."""
+    """A given parameter, else GCV's if the fit is rough enough, else the one that is just so."""
     if lam is not None and np.isfinite(lam):
         return float(lam), "user"
     try:
         best = basis.best_gcv(y)
-        if basis.df(best) >= min(least_df, len(y) - 1e-6):
+        if basis.roughness_df(y, best) >= least_df:
             return best, "gcv_ok"
-        bounded = basis.lam_for_df(least_df)
-        return bounded, "gcv_bounded_floor" if basis.df(bounded) >= least_df - 0.05 else "gcv_bounded_unreachable"
+        bounded = basis.lam_for_df(y, least_df)
+        return bounded, "gcv_bounded_floor" if basis.roughness_df(y, bounded) >= least_df - 1e-6 else "gcv_bounded_unreachable"
     except np.linalg.LinAlgError:
         return float(np.var(y) * len(y)), "fallback"

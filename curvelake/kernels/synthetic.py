@@ -1,4 +1,7 @@
-"""Labelled synthetic curves in numpy: growing families that are valid, and ways of going wrong."""
+"""Labelled synthetic curves in numpy: growing families that are valid, and ways of going wrong.
+
+Each curve has a generator of its own, seeded by seed and index, so any split of the indexes draws the same.
+"""
 
 from __future__ import annotations
 
@@ -6,56 +9,111 @@ import numpy as np
 
 from curvelake.kernels import growth
 
-#: Subtypes and their shares of each class.
-VALID = ["standard", "fast", "late", "decline"]
-INVALID = ["crash", "dip", "suppressed_tail", "decay", "noise", "flat", "diauxic"]
+#: Subtypes of a set of 900 curves and their numbers, (valid, name, number).
+COMPOSITION = [
+    (True, "plain", 203), (True, "fast", 100), (True, "late", 100), (True, "decline", 100),
+    (False, "obvious", 80), (False, "diauxic", 60), (False, "subtle", 60), (False, "nearreal", 55), (False, "decline_only", 55), (False, "noise", 45), (False, "nogrowth", 42),
+]
+SET_SIZE = sum(n for _, _, n in COMPOSITION)
+
+#: Parameter ranges (low, high) of the growing families and of what is done to them.
+A, MU, LAM, NU, ALPHA = (0.5, 2.0), (0.2, 1.5), (0.0, 10.0), (0.5, 2.0), (0.0, 0.15)
+FAST_MU, FAST_LAM, LATE_MU, LATE_LAM, LATE_LAM_LONG = (0.9, 1.5), (0.0, 2.0), (0.8, 1.5), (8.0, 12.0), (10.0, 16.0)
+SHIFT_OF_HORIZON = (0.4, 0.7)
+DECLINE_START, DECLINE_START_LONG, DECLINE_RATE = (8.0, 12.0), (10.0, 14.0), (0.03, 0.15)
+DIAUXIC_A, DIAUXIC_MU, DIAUXIC_LAM1, DIAUXIC_LAM2 = (0.3, 1.0), (0.2, 1.2), (0.0, 5.0), (5.0, 15.0)
+HIGH_QUALITY, QUIET = 0.30, 0.3
+MISSING_CURVES, MISSING_POINTS = 0.10, 0.10
+OUTLIER_CURVES, OUTLIER_POINTS, OUTLIER_DROP = 0.05, 0.05, (0.10, 0.30)
+
+FAMILIES = ["Gompertz", "Logistic", "ModifiedGompertz", "Richards"]
+
+
+def bounded_gompertz(t, a, mu, lam, alpha, shift):
+    """A second, saturating phase of height alpha * a sets in at ``shift``; unlike the fitted form it stays bounded."""
+    return growth.gompertz(t, 0.0, a, mu, lam) - alpha * a * np.expm1(-np.maximum(t - shift, 0.0))
 
 
-def _growing(rng: np.random.Generator, t: np.ndarray, kind: str = "standard") -> np.ndarray:
-    a = rng.uniform(0.5, 2)
-    mu = rng.uniform(*{"fast": (0.9, 1.5), "late": (0.8, 1.5)}.get(kind, (0.2, 1.5)))
-    lam = rng.uniform(*{"fast": (0, 2), "late": (8, 12)}.get(kind, (0, 10)))
-    family = rng.choice(list(growth.MODELS))
-    extra = {"gompertz.exp": (rng.uniform(0, 0.15), rng.uniform(0.4, 0.7) * t.max()), "richards": (rng.uniform(0.5, 2),)}.get(family, ())
-    y = growth.MODELS[family](t, 0.0, a, mu, lam, *extra)
-    if kind == "decline":
-        start, k = rng.uniform(8, 12), rng.uniform(0.03, 0.15)
-        y = y * np.where(t > start, np.exp(-k * (t - start)), 1.0)
-    return y
+def plan(seed: int) -> list[tuple[bool, str]]:
+    """Class and subtype of each index of a set, dealt by the seed."""
+    cards = [(valid, name) for valid, name, n in COMPOSITION for _ in range(n)]
+    return [cards[i] for i in np.random.default_rng(seed).permutation(len(cards))]
 
 
-def _wrong(rng: np.random.Generator, t: np.ndarray, kind: str) -> np.ndarray:
+def growing(rng: np.random.Generator, t: np.ndarray, kind: str) -> tuple[str, np.ndarray]:
+    top = float(t.max())
+    mu, lam = {"fast": (FAST_MU, FAST_LAM), "late": (LATE_MU, LATE_LAM if top <= 16 else (LATE_LAM_LONG[0], min(LATE_LAM_LONG[1], top)))}.get(kind, (MU, (LAM[0], min(LAM[1], top))))
+    family = str(rng.choice(FAMILIES))
+    p = [rng.uniform(*r) for r in (A, mu, lam)]
+    if family == "ModifiedGompertz":
+        return family, bounded_gompertz(t, *p, rng.uniform(*ALPHA), top * rng.uniform(*SHIFT_OF_HORIZON))
+    if family == "Richards":
+        return family, growth.richards(t, 0.0, *p, rng.uniform(*NU))
+    return family, (growth.logistic if family == "Logistic" else growth.gompertz)(t, 0.0, *p)
+
+
+def _declining(rng, t):
+    family, y = growing(rng, t, "plain")
+    start, rate = rng.uniform(*(DECLINE_START if t.max() <= 16 else DECLINE_START_LONG)), rng.uniform(*DECLINE_RATE)
+    return family, y * np.exp(-rate * np.maximum(t - start, 0.0))
+
+
+def _obvious(rng, t):
+    """Falls to a small constant, or is scaled down from somewhere in the later half on."""
+    family, y = growing(rng, t, "plain")
     n = len(t)
-    if kind == "decay":
-        return rng.uniform(0.5, 2) * np.exp(-rng.uniform(0.05, 0.2) * t)
-    if kind == "noise":
-        return np.abs(rng.normal(0, 0.2, n))
-    if kind == "flat":
-        return np.full(n, rng.uniform(0, 0.1))
-    if kind == "diauxic":
-        return growth.logistic(t, 0, rng.uniform(0.3, 0.8), rng.uniform(0.3, 1), rng.uniform(0, 3)) + growth.logistic(t, 0, rng.uniform(0.3, 0.8), rng.uniform(0.3, 1), rng.uniform(8, 12))
-    y = _growing(rng, t)
-    at = int(rng.integers(n // 3, max(n // 3 + 1, 2 * n // 3)))
-    if kind == "crash":
-        y[at:] *= rng.uniform(0, 0.25)
-    elif kind == "dip":
-        y[at : at + int(rng.integers(2, 6))] -= rng.uniform(0.1, 0.4) * y.max()
+    if rng.random() < 0.5:
+        at = int(rng.integers(n // 3, 2 * n // 3))
+        y[at:] = y[at] * rng.uniform(0.0, 0.2)
     else:
-        y[at:] *= rng.uniform(0.4, 0.8) * np.linspace(1, rng.uniform(0.6, 1.0), n - at)
-    return y
+        y[int(rng.integers(n // 2, n - 1)) :] *= rng.uniform(0.05, 0.25)
+    return family, y
+
+
+def _subtle(rng, t):
+    """A dip of two to five points."""
+    family, y = growing(rng, t, "plain")
+    n = len(t)
+    at = int(rng.integers(n // 4, 3 * n // 4))
+    y[at : at + int(rng.integers(2, max(3, min(6, n - at))))] -= rng.uniform(0.1, 0.4) * y.max()
+    return family, np.maximum(y, 0.0)
+
+
+def _near_real(rng, t):
+    """The last two fifths are lower, and sink."""
+    family, y = growing(rng, t, "plain")
+    at = int(0.6 * len(t))
+    y[at:] *= rng.uniform(0.4, 0.8)
+    y[at:] -= np.linspace(0.0, rng.uniform(0.05, 0.15) * y.max(), len(t) - at)
+    return family, np.maximum(y, 0.0)
+
+
+def _diauxic(rng, t):
+    late = (DIAUXIC_LAM2[0], min(DIAUXIC_LAM2[1], float(t.max())))
+    waves = [growth.logistic(t, 0.0, *(rng.uniform(*r) for r in (DIAUXIC_A, DIAUXIC_MU, lam))) for lam in (DIAUXIC_LAM1, late)]
+    return "Diauxic", waves[0] + waves[1]
+
+
+SHAPES = {
+    "decline": _declining, "obvious": _obvious, "subtle": _subtle, "nearreal": _near_real, "diauxic": _diauxic,
+    "decline_only": lambda rng, t: ("Flat", rng.uniform(0.4, 1.2) * np.exp(-rng.uniform(0.05, 0.2) * (t - t.min()))),
+    "noise": lambda rng, t: ("Flat", np.maximum(rng.uniform(0.05, 0.2) + rng.normal(0, 0.2, len(t)), 0.0)),
+    "nogrowth": lambda rng, t: ("Flat", np.full(len(t), rng.uniform(0.0, 0.1))),
+}
+
+
+def _some(rng: np.random.Generator, n: int, share: float) -> np.ndarray:
+    return rng.permutation(n)[: max(1, round(share * n))]
 
 
-def curve(index: int, t: np.ndarray, valid_share: float = 0.56, noise: float = 0.05, seed: int = 123) -> tuple[str, bool, np.ndarray]:
-    """(subtype, valid, values with NaN where points are missing) of one curve; its own generator, so any split draws the same."""
+def curve(valid: bool, kind: str, index: int, t: np.ndarray, noise: float = 0.05, seed: int = 123) -> tuple[str, np.ndarray]:
+    """(model name, values with NaN where points are missing) of one curve."""
     rng = np.random.default_rng([seed, index])
-    valid = bool(rng.random() < valid_share)
-    kind = str(rng.choice(VALID if valid else INVALID))
-    y = _growing(rng, t, kind) if valid else _wrong(rng, t, kind)
-    y = y + rng.normal(0, noise * (0.3 if valid and rng.random() < 0.3 else 1.0), len(t))
-    if valid and rng.random() < 0.05:
-        hit = rng.random(len(t)) < 0.05
-        y[hit] -= rng.uniform(0.1, 0.3, hit.sum())
-    y = np.maximum(y, 0)
-    if valid and rng.random() < 0.1:
-        y[rng.random(len(t)) < 0.1] = np.nan
-    return kind, valid, y
+    family, y = SHAPES[kind](rng, t) if kind in SHAPES else growing(rng, t, kind)
+    y = y + rng.normal(0, noise * (QUIET if valid and rng.random() < HIGH_QUALITY else 1.0), len(t))
+    if valid and rng.random() < MISSING_CURVES:
+        y[_some(rng, len(t), MISSING_POINTS)] = np.nan
+    if valid and rng.random() < OUTLIER_CURVES:
+        hit = _some(rng, len(t), OUTLIER_POINTS)
+        y[hit] -= rng.uniform(*OUTLIER_DROP, len(hit))
+    return family, np.maximum(y, 0)

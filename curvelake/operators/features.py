@@ -1,4 +1,4 @@
-"""Shape features of preprocessed grid curves, one row per curve, in one window pass and two aggregates."""
+"""Shape features of preprocessed grid curves, one row per curve, in one window pass and one aggregate."""
 
 from __future__ import annotations
 
@@ -20,7 +20,8 @@ def _prepared(points: DataFrame) -> DataFrame:
     p = p.select("*", F.min("od").over(whole).alias("lo"), F.max("od").over(whole).alias("hi"), F.first("od").over(by).alias("start"), F.min("time_h").over(whole).alias("t_first"), F.max("time_h").over(whole).alias("t_last"), (F.sum("od").over(by.rowsBetween(-2, 2)) / 5.0).alias("rolled"))
     step, dt = F.col("od") - F.col("y0"), F.col("time_h") - F.col("t0")
     p = p.select("*", step.alias("dy"), dt.alias("dt"), (step / dt).alias("slope"), F.signum(step).alias("sgn"))
-    return p.withColumn("prev_sgn", F.last(F.when(F.col("sgn") != 0, F.col("sgn")), True).over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    peak = F.when((F.col("i") > 1) & (F.col("i") < F.col("n")) & (F.col("od") >= F.col("y0")) & (F.col("od") >= F.col("y1")), F.col("time_h"))
+    return p.select("*", F.last(F.when(F.col("sgn") != 0, F.col("sgn")), True).over(by.rowsBetween(Window.unboundedPreceding, -1)).alias("prev_sgn"), F.min(peak).over(whole).alias("peak_first"), F.max(peak).over(whole).alias("peak_last"))
 
 
 def features(points: DataFrame, stats: DataFrame, grid: DataFrame | None = None, cfg: GridConfig = GridConfig(), horizon: float = 16.0) -> DataFrame:
@@ -33,7 +34,6 @@ def features(points: DataFrame, stats: DataFrame, grid: DataFrame | None = None,
     tail = F.greatest(F.lit(2), F.ceil(F.lit(0.15) * F.col("n")))
     crossing = lambda share: F.min(F.when(F.col("od") >= F.col("start") + share * rng, F.col("time_h")))
     first_at = lambda value, order: F.min_by("time_h", F.struct(-value, order))
-    peak = F.when((F.col("i") > 1) & (F.col("i") < F.col("n")) & (F.col("od") >= F.col("y0")) & (F.col("od") >= F.col("y1")), F.struct("time_h", "od"))
     per = p.groupBy(KEY).agg(
         F.max("time_h").alias("observed_tmax"), F.count("*").alias("n_grid"), F.max("dt").alias("grid_gap"), F.percentile("dt", 0.5).alias("median_dt"),
         F.min_by("od", "time_h").alias("initial_OD"), F.max_by("od", "time_h").alias("final_OD"),
@@ -47,14 +47,11 @@ def features(points: DataFrame, stats: DataFrame, grid: DataFrame | None = None,
         F.min(F.when(F.col("od") >= F.col("start") + 0.1 * rng, F.col("time_h"))).alias("t10"), crossing(0.9).alias("t90"),
         F.percentile(F.when(F.col("i") > F.col("n") - tail, F.col("od")), 0.5).alias("plateau_OD"),
         F.count(F.when((F.col("sgn") != 0) & F.col("prev_sgn").isNotNull() & (F.col("sgn") != F.col("prev_sgn")), 1)).alias("num_slope_sign_changes"),
-        F.min(F.when(peak.isNotNull(), F.col("time_h"))).alias("peak_first"), F.max(F.when(peak.isNotNull(), F.col("time_h"))).alias("peak_last"),
-        F.max("t_first").alias("t_first"),
-    ).drop("_slope_any")
-    valley = p.join(per.select(KEY, "peak_first", "peak_last"), KEY).groupBy(KEY).agg(
+        F.max("peak_first").alias("peak_first"), F.max("peak_last").alias("peak_last"), F.max("t_first").alias("t_first"),
         F.max(F.when(F.col("time_h") == F.col("peak_first"), F.col("od"))).alias("od_first"), F.max(F.when(F.col("time_h") == F.col("peak_last"), F.col("od"))).alias("od_last"),
         F.min(F.when((F.col("time_h") > F.col("peak_first")) & (F.col("time_h") < F.col("peak_last")), F.col("od"))).alias("od_between"),
-    )
-    f = stats.select(KEY, "n_points", "max_gap", "missing_frac", "too_sparse").join(per, KEY, "left").join(valley, KEY, "left")
+    ).drop("_slope_any")
+    f = stats.select(KEY, "n_points", "max_gap", "missing_frac", "too_sparse").join(per, KEY, "left")
     n, span, r = F.coalesce("n_points", "n_grid"), F.col("observed_tmax"), F.col("hi") - F.col("lo")
     gap = F.coalesce("max_gap", "grid_gap")
     multi = (n >= 7) & (F.col("peak_last") > F.col("peak_first")) & (F.col("od_first") > F.col("initial_OD") + 0.2 * r) & (F.col("od_last") > F.col("initial_OD") + 0.2 * r) & (F.col("od_between") < F.col("hi") - 0.2 * r)

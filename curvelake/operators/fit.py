@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curvelake.config import FitConfig
@@ -17,7 +18,7 @@ from curvelake.operators.grid import KEY
 from curvelake.operators.metrics import bootstrap_summary
 
 SPLINE = f"{KEY} string, success boolean, message string, n int, mu double, lag double, a double, integral double, lam double, df double, rss double, smoothing string"
-MODEL = f"{KEY} string, success boolean, message string, n int, model string, mu double, lag double, a double, integral double, rss double, aic double, bic double, second_aic double, params array<double>, aic_table array<struct<model:string,status:string,aic:double>>"
+MODEL = f"{KEY} string, success boolean, message string, n int, model string, mu double, lag double, a double, integral double, mu_se double, lag_se double, a_se double, rss double, aic double, bic double, second_aic double, params array<double>, aic_table array<struct<model:string,status:string,aic:double>>"
 DRAWS = f"{KEY} string, replicate int, mu double, lag double, a double, integral double"
 
 
@@ -29,25 +30,61 @@ def _clean(obs: DataFrame) -> DataFrame:
     return obs.where("time_h is not null and od is not null").select(KEY, "time_h", "od")
 
 
+_ARROW = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+
+
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    """Rows under a flat schema of names and types."""
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+    return pa.table({n: pa.array(c, _ARROW[t]) for (n, t), c in zip(fields, columns, strict=True)})
+
+
+def _spline_row(key: str, r: dict) -> tuple:
+    return (key, r["success"], r["message"], r.get("n", 0), *(_number(r.get(c)) for c in ("mu", "lag", "a", "integral", "lam", "df", "rss")), r.get("smoothing"))
+
+
 def spline_fit(obs: DataFrame, lam: float | None = None) -> DataFrame:
-    def run(key, pdf):
-        r = growth.fit_spline(pdf["time_h"].to_numpy(), pdf["od"].to_numpy(), lam)
-        row = [key[0], r["success"], r["message"], r.get("n", 0), *(_number(r.get(c)) for c in ("mu", "lag", "a", "integral", "lam", "df", "rss")), r.get("smoothing")]
-        return pd.DataFrame([row], columns=[c.split()[0] for c in SPLINE.split(", ")])
+    def run(key, table):
+        return _table(SPLINE, [_spline_row(key[0].as_py(), growth.fit_spline(table["time_h"].to_numpy(), table["od"].to_numpy(), lam))])
+
+    return _clean(obs).groupBy(KEY).applyInArrow(run, SPLINE)
+
+
+class ColumnMath:
+    """What the growth formulas compute with, over columns: stays in generated code."""
+
+    exp, log = staticmethod(F.exp), staticmethod(F.log)
+
+    @staticmethod
+    def clip(x, lo, hi):
+        return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x))
+
+    @staticmethod
+    def maximum(x, least):
+        return F.greatest(x, F.lit(float(least)))
+
 
-    return _clean(obs).groupBy(KEY).applyInPandas(run, SPLINE)
+def model_curve(model: str, t: Column, *params: float) -> Column:
+    """A growth model's value at a time column."""
+    return growth.MODELS[model](t, *params, m=ColumnMath)
+
+
+def information_criteria(rss: Column, n: Column, k: int) -> tuple[Column, Column]:
+    """AIC and BIC of a least-squares fit of k parameters."""
+    return growth.aic(rss, n, k, m=ColumnMath), growth.bic(rss, n, k, m=ColumnMath)
 
 
 def model_fit(obs: DataFrame) -> DataFrame:
     def run(key, pdf):
         r = growth.fit_models(pdf["time_h"].to_numpy(), pdf["od"].to_numpy())
-        row = [key[0], r["success"], r["message"], r.get("n", 0), r.get("model"), *(_number(r.get(c)) for c in ("mu", "lag", "a", "integral", "rss", "aic", "bic", "second_aic")), list(map(float, r["params"])) if r["success"] else None, [{"model": m, "status": s, "aic": _number(a)} for m, s, a in r["aic_table"]]]
-        return pd.DataFrame([row], columns=["curve_key", "success", "message", "n", "model", "mu", "lag", "a", "integral", "rss", "aic", "bic", "second_aic", "params", "aic_table"])
+        row = [key[0], r["success"], r["message"], r.get("n", 0), r.get("model"), *(_number(r.get(c)) for c in ("mu", "lag", "a", "integral", "mu_se", "lag_se", "a_se", "rss", "aic", "bic", "second_aic")), list(map(float, r["params"])) if r["success"] else None, [{"model": m, "status": s, "aic": _number(a)} for m, s, a in r["aic_table"]]]
+        return pd.DataFrame([row], columns=["curve_key", "success", "message", "n", "model", "mu", "lag", "a", "integral", "mu_se", "lag_se", "a_se", "rss", "aic", "bic", "second_aic", "params", "aic_table"])
 
     return _clean(obs).groupBy(KEY).applyInPandas(run, MODEL)
 
 
-def spline_draws(obs: DataFrame, replicates: int = 200, method: str = "residual", seed: int = 42) -> DataFrame:
+def spline_draws(obs: DataFrame, replicates: int = 200, method: str = "pairs", seed: int = 42) -> DataFrame:
     """One row per curve and replicate."""
 
     def run(key, pdf):
@@ -58,10 +95,34 @@ def spline_draws(obs: DataFrame, replicates: int = 200, method: str = "residual"
     return _clean(obs).groupBy(KEY).applyInPandas(run, DRAWS)
 
 
-def spline_bootstrap(obs: DataFrame, cfg: FitConfig = FitConfig(), method: str = "residual") -> DataFrame:
-    """curve_key, parameter, n, mean, sd, ci_lo, ci_hi, q05, q95."""
-    long = spline_draws(obs, cfg.bootstrap_curve, method, cfg.seed).unpivot([KEY], ["mu", "lag", "a", "integral"], "parameter", "value")
-    return bootstrap_summary(long.where("not isnan(value)"), [KEY, "parameter"], "value", cfg.alpha)
+BOOT = f"{KEY} string, parameter string, n long, mean double, sd double, ci_lo double, ci_hi double, q05 double, q95 double"
+
+
+def spline_bootstrap(obs: DataFrame, cfg: FitConfig = FitConfig(), method: str = "pairs") -> DataFrame:
+    """curve_key, parameter, n, mean, sd, ci_lo, ci_hi, q05, q95: draws are summed up where they are made."""
+
+    def run(key, table):
+        name = key[0].as_py()
+        draws = growth.bootstrap_spline(table["time_h"].to_numpy(), table["od"].to_numpy(), name, cfg.bootstrap_curve, method, cfg.seed)
+        return _table(BOOT, [(name, p, *row) for p, row in growth.bootstrap_summary(draws, cfg.alpha).items()])
+
+    return _clean(obs).groupBy(KEY).applyInArrow(run, BOOT)
+
+
+WITH_INTERVALS = SPLINE + ", " + ", ".join(f"{p}_{side} double" for p in growth.PARAMETERS for side in ("lo", "hi")) + ", n_boot int"
+
+
+def spline_with_intervals(obs: DataFrame, cfg: FitConfig = FitConfig(), method: str = "pairs") -> DataFrame:
+    """The spline fit and its bootstrap intervals in one pass over each curve; the base fit is made once."""
+
+    def run(key, table):
+        name, t, y = key[0].as_py(), table["time_h"].to_numpy(), table["od"].to_numpy()
+        r = growth.fit_spline(t, y)
+        found = growth.bootstrap_summary(growth.bootstrap_spline(t, y, name, cfg.bootstrap_curve, method, cfg.seed, base=r), cfg.alpha) if r["success"] else {}
+        sides = [v for p in growth.PARAMETERS for v in (found[p][3:5] if p in found else (None, None))]
+        return _table(WITH_INTERVALS, [(*_spline_row(name, r), *sides, min((x[0] for x in found.values()), default=0))])
+
+    return _clean(obs).groupBy(KEY).applyInArrow(run, WITH_INTERVALS)
 
 
 def with_intervals(fits: DataFrame, boot: DataFrame) -> DataFrame:
@@ -80,7 +141,7 @@ def curve_band(obs: DataFrame, replicates: int = 200, points: int = 60, seed: in
         if not s["success"]:
             return pd.DataFrame([[key[0], *[None] * 6]], columns=["curve_key", "grid", "spline", "slope", "model", "lo", "hi"])
         m = growth.fit_models(t, y, points=points)
-        b = growth.bootstrap_spline(t, y, key[0], replicates, "residual", seed, points)
+        b = growth.bootstrap_spline(t, y, key[0], replicates, "residual", seed, points, base=s)
         band = np.percentile(b["curves"], [2.5, 97.5], axis=0) if b else [None, None]
         as_list = lambda x: None if x is None else [float(v) for v in x]
         return pd.DataFrame([[key[0], *map(as_list, (s["grid"], s["curve"], s["slope"], m.get("curve"), *band))]], columns=["curve_key", "grid", "spline", "slope", "model", "lo", "hi"])
@@ -125,19 +186,24 @@ def dose_fit(responses: DataFrame, cfg: FitConfig = FitConfig(), x_log: str = "l
 
 
 def dose_bootstrap(responses: DataFrame, cfg: FitConfig = FitConfig(), chunk: int = 25, **options) -> DataFrame:
-    """test_id, n, mean, sd, ci_lo, ci_hi, q05, q95, crossing_rate of the EC50; chunks of replicates are groups of their own."""
+    """test_id, n, mean, sd, ci_lo, ci_hi, q05, q95, crossing_rate of the EC50, a row per test; chunks of replicates are groups of their own.
+
+    Without any replicate that crosses (or with fewer than six points) n and the rate are 0, the rest is NULL.
+    """
     total = cfg.bootstrap_dose
 
-    def run(key, pdf):
-        first = key[1] * chunk
-        ec50 = dose.bootstrap_dose(pdf["concentration"].to_numpy(float), pdf["response"].to_numpy(float), key[0], range(first, min(first + chunk, total)), cfg.seed, **options)
-        return pd.DataFrame({"test_id": [key[0]] * len(ec50), "ec50": ec50})
+    def run(key, table):
+        first = key[1].as_py() * chunk
+        x, y = (table[c].to_numpy().astype(float) for c in ("concentration", "response"))
+        ec50 = dose.bootstrap_dose(x, y, key[0].as_py(), range(first, min(first + chunk, total)), cfg.seed, **options)
+        return pa.table({"test_id": pa.array([key[0].as_py()] * len(ec50), pa.string()), "ec50": pa.array(ec50, pa.float64())})
 
     points = responses.where("response is not null and concentration is not null").select("test_id", "concentration", "response")
     chunks = points.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((total - 1) // chunk))))
-    draws = chunks.groupBy("test_id", "chunk").applyInPandas(run, "test_id string, ec50 double")
-    rate = draws.groupBy("test_id").agg((F.count("*") / float(total)).alias("crossing_rate"))
-    return bootstrap_summary(draws, ["test_id"], "ec50", cfg.alpha).join(rate, "test_id")
+    draws = chunks.groupBy("test_id", "chunk").applyInArrow(run, "test_id string, ec50 double")
+    found = bootstrap_summary(draws, ["test_id"], "ec50", cfg.alpha)
+    every = points.groupBy("test_id").agg(F.count("*").alias("_n")).drop("_n").join(found, "test_id", "left")
+    return every.withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).withColumn("crossing_rate", F.col("n") / float(total))
 
 
 def ec50_interpolated(responses: DataFrame) -> DataFrame:
@@ -159,7 +225,7 @@ def dose_band(responses: DataFrame, samples: int = 300, points: int = 80, x_log:
     def on_grid(r: dict, grid: np.ndarray) -> np.ndarray | None:
         if not r["success"]:
             return None
-        if r["method"] == "4pl":
+        if r["method"] != "spline":
             return dose.hill(grid, *r["params"])
         return np.interp(dose.transform_x(grid, x_log), r["grid"], r["curve"])
 
@@ -171,7 +237,7 @@ def dose_band(responses: DataFrame, samples: int = 300, points: int = 80, x_log:
         if not base["success"] or not len(positive):
             return pd.DataFrame([[key[0], as_list(x), as_list(y), None, None, None, None, None]], columns=[c.split()[0] for c in schema.split(", ")])
         grid = np.geomspace(positive.min(), x.max(), points)
-        options = {"method": base["method"], "lam": base.get("lam"), "start": base.get("params"), "points": 400}
+        options = {"method": "spline" if base["method"] == "spline" else "4pl", "lam": base.get("lam")}
         rows = []
         for k in range(draws):
             pick = np.random.default_rng([growth.stable_seed(key[0], seed), k]).integers(0, len(x), len(x))

@@ -19,10 +19,10 @@ def half_even(x):
     return F.bround(x, 0)
 
 
-def dedupe_mean(obs: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One row per curve and time: the mean of what was measured then."""
+def dedupe_mean(obs: DataFrame, keys: list[str] | None = None, count: str | None = None) -> DataFrame:
+    """One row per curve and time: the mean of what was measured then, and, under the name ``count``, how often."""
     keys = keys or [KEY, "time_h"]
-    return obs.where("time_h is not null and od is not null").groupBy(*keys).agg(F.avg("od").alias("od"))
+    return obs.where("time_h is not null and od is not null").groupBy(*keys).agg(F.avg("od").alias("od"), *([F.count("*").alias(count)] if count else []))
 
 
 def point_stats(obs: DataFrame, cfg: GridConfig = GridConfig()) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,14 +28,13 @@ def with_rates(counts: DataFrame) -> DataFrame:
 
 def metrics_by_slice(df: DataFrame, slices: list[str], least: int = 5) -> DataFrame:
     """Overall and per value of each slice column (GROUPING SETS, one pass); slices under ``least`` rows go."""
-    df.createOrReplaceTempView("_metric_rows")
     sets = ", ".join(["()", *(f"(`{s}`)" for s in slices)])
     which = "coalesce(" + ", ".join([f"if(grouping(`{s}`) = 0, '{s}', null)" for s in slices] + ["'overall'"]) + ")"
     value = "coalesce(" + ", ".join([f"if(grouping(`{s}`) = 0, coalesce(cast(`{s}` as string), 'null'), null)" for s in slices] + ["'all'"]) + ")"
     counts = df.sparkSession.sql(f"""
         select {which} as slice, {value} as slice_value, count_if(y = 1 and predicted = 1) as tp, count_if(y = 0 and predicted = 1) as fp,
                count_if(y = 1 and predicted = 0) as fn, count_if(y = 0 and predicted = 0) as tn, count(*) as n
-        from _metric_rows group by grouping sets ({sets}) having count(*) >= {least}""")
+        from {{rows}} group by grouping sets ({sets}) having count(*) >= {least}""", rows=df)
     return with_rates(counts)
 
 
@@ -42,11 +43,30 @@ def _at_score(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame
     return df.groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
 
 
+def _cumulated(t: DataFrame, by: list[str], falling: bool, parts: int = 64) -> DataFrame:
+    """t (a row per ``by`` and score) with pos_before, n_before: sums over the rows before each one.
+
+    Scores are cut at quantiles into ``parts`` ranges (a driver value each), so no task sees all scores of a
+    group: sums within a range, then the sums of the ranges before it.
+    """
+    cuts = sorted(set(t.agg(F.percentile_approx("s", [k / parts for k in range(1, parts)], 10_000)).first()[0] or []))
+    part = F.aggregate(F.array(*(F.lit(float(c)) for c in cuts)), F.lit(0), lambda a, c: a + (F.col("s") > c).cast("int")) if cuts else F.lit(0)
+    t = t.withColumn("part", -part if falling else part)
+    order = F.col("s").desc() if falling else F.col("s").asc()
+    inside = Window.partitionBy(*by, "part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy(*(by or [F.lit(0)])).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most ``parts`` rows a group
+    ranges = t.groupBy(*by, "part").agg(F.sum("pos").alias("p"), F.sum("n").alias("m"))
+    ranges = ranges.select(*by, "part", F.coalesce(F.sum("p").over(over), F.lit(0)).alias("p_before"), F.coalesce(F.sum("m").over(over), F.lit(0)).alias("m_before"))
+    same = [F.col(f"t.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*by, "part")]
+    own = t.select("*", F.coalesce(F.sum("pos").over(inside), F.lit(0)).alias("pos_in"), F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("n_in"))
+    joined = own.alias("t").join(ranges.alias("r"), reduce(lambda a, b: a & b, same))
+    return joined.select(*(f"t.{c}" for c in t.columns), (F.col("pos_in") + F.col("p_before")).alias("pos_before"), (F.col("n_in") + F.col("m_before")).alias("n_before"))
+
+
 def roc_auc(df: DataFrame, by: list[str] | None = None, label: str = "y", score: str = "p") -> DataFrame:
     """Mann-Whitney form with mid-ranks; NULL where one class is missing."""
     by = by or []
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    t = _at_score(df, by, label, score).withColumn("below", F.coalesce(F.sum(F.col("n") - F.col("pos")).over(w), F.lit(0)))
+    t = _cumulated(_at_score(df, by, label, score), by, falling=False).withColumn("below", F.col("n_before") - F.col("pos_before"))
     won = F.sum(F.col("pos") * (F.col("below") + (F.col("n") - F.col("pos")) / 2.0))
     pairs = F.sum("pos") * (F.sum("n") - F.sum("pos"))
     return t.groupBy(*by).agg((won / F.nullif(pairs, F.lit(0))).alias("roc_auc"))
@@ -55,8 +75,7 @@ def roc_auc(df: DataFrame, by: list[str] | None = None, label: str = "y", score:
 def average_precision(df: DataFrame, by: list[str] | None = None, label: str = "y", score: str = "p") -> DataFrame:
     """Sum of precision times the gain in recall over falling distinct scores; NULL where one class is missing."""
     by = by or []
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    t = _at_score(df, by, label, score).withColumn("tp", F.sum("pos").over(w)).withColumn("k", F.sum("n").over(w))
+    t = _cumulated(_at_score(df, by, label, score), by, falling=True).select("*", (F.col("pos_before") + F.col("pos")).alias("tp"), (F.col("n_before") + F.col("n")).alias("k"))
     return t.groupBy(*by).agg(F.when((F.sum("pos") > 0) & (F.sum("pos") < F.sum("n")), F.sum(F.col("pos") * F.col("tp") / F.col("k")) / F.sum("pos")).alias("average_precision"))
 
 

@@ -46,12 +46,17 @@ def wide_to_long(wide: DataFrame, ids: list[str] | None = None) -> DataFrame:
     return long.select(*quoted, at[F.col("_column")].alias("time_h"), "od").where("od is not null")
 
 
-def long_to_wide(obs: DataFrame, keys: list[str], tag: str | None = None) -> DataFrame:
-    """One row per curve and a column per time; the means of repeated times.  Curves of unknown concentration stay."""
-    mean = obs.where("time_h is not null and od is not null").groupBy(*keys, "time_h").agg(F.avg("od").alias("od"))
-    times = [r[0] for r in mean.select("time_h").distinct().orderBy("time_h").collect()]  # the columns of the result
-    wide = mean.groupBy(*keys).pivot("time_h", times).agg(F.first("od"))
-    wide = wide.select(*(F.col(k) for k in keys), *(F.col(f"`{t}`").alias(header_of_time(t)) for t in times))
+def long_to_wide(obs: DataFrame, keys: list[str], tag: str | None = None, times: list[float] | None = None) -> DataFrame:
+    """One row per curve and a column per time; the means of repeated times.  Curves of unknown concentration stay.
+
+    Without ``times`` the columns are the times that occur; with them, a curve without any value there has NULLs.
+    """
+    known = obs.where("time_h is not null and od is not null")
+    if times is None:
+        times = [r[0] for r in known.select("time_h").distinct().orderBy("time_h").collect()]  # the columns of the result
+    else:
+        known = obs
+    wide = known.groupBy(*keys).agg(*(F.avg(F.when(F.col("time_h") == t, F.col("od"))).alias(header_of_time(t)) for t in times))
     return wide.withColumn(keys[0], F.concat(F.lit(f"{tag}_"), F.col(keys[0]))) if tag else wide
 
 

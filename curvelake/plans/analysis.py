@@ -39,7 +39,7 @@ def fit_curves(obs: DataFrame, labelled: DataFrame | None = None, cfg: RunConfig
     spline = fit.spline_fit(chosen)
     if bootstrap:
         out["gc_boot"] = fit.spline_bootstrap(chosen, cfg.fit)
-        spline = fit.with_intervals(spline, out["gc_boot"])
+        spline = fit.spline_with_intervals(chosen, cfg.fit)
     curves = chosen.select(KEY, "test_id", "concentration").distinct()
     out["gc_fit"] = curves.join(spline, KEY)
     rows = out["gc_fit"].join(out["gc_model"].select(KEY, F.col("mu").alias("mu_model")), KEY, "left").withColumnRenamed("mu", "mu_spline")

@@ -64,10 +64,10 @@ valley AS (SELECT curve_key, max(od) FILTER (time_h = peak_first) AS od_first, m
            FROM p3 JOIN per USING (curve_key) GROUP BY curve_key),
 feats AS (
     SELECT curve_key, observed_tmax, n_points::BIGINT AS n_points_observed, max_gap AS max_gap_hours, missing_frac AS missing_frac_on_grid, too_sparse::INT AS too_sparse,
-           (coalesce(median_dt, 0) > 0.5 OR coalesce(max_gap, grid_gap, 0) > 2 OR missing_frac > 0.25)::INT AS grid_resolution_mismatch, (coalesce(observed_tmax, 16) < 16 - 1e-9)::INT AS is_censored,
+           (coalesce(median_dt, 0) > 0.5 OR coalesce(max_gap, grid_gap, 0) > 2 OR missing_frac > 0.25)::INT AS grid_resolution_mismatch, 16.0::DOUBLE AS train_horizon, (coalesce(observed_tmax, 16) < 16 - 1e-9)::INT AS is_censored,
            initial_OD, final_OD, auc, CASE WHEN observed_tmax > 0 THEN auc / observed_tmax END AS auc_per_hour, CASE WHEN observed_tmax > 0 THEN (final_OD - initial_OD) / observed_tmax END AS net_change_per_hour,
            max_slope, time_of_max_slope, time_of_max_OD, monotonicity_fraction, CASE WHEN hi IS NULL THEN NULL WHEN hi - lo <= 1e-9 OR coalesce(worst >= 0, true) THEN 0.0 ELSE abs(worst) / (hi - lo) END AS largest_drop_frac,
-           roughness, CASE WHEN n_points >= 8 THEN resid WHEN n_points >= 4 THEN roughness / sqrt(2.0) END AS noise_residual_std, t10 AS lag_time_est, plateau_OD,
+           roughness, CASE WHEN n_points >= 8 THEN resid WHEN n_points >= 4 THEN roughness / sqrt(2.0) END AS noise_residual_std, CASE WHEN n_grid IS NOT NULL THEN (n_points >= 4 AND n_points < 8)::INT END AS noise_residual_std_is_fallback, t10 AS lag_time_est, plateau_OD,
            CASE WHEN t90 >= t10 THEN t90 - t10 END AS growth_phase_duration, (time_of_max_OD - t_first) / nullif(observed_tmax - t_first, 0) AS symmetry_factor, changes::BIGINT AS num_slope_sign_changes,
            CASE WHEN n_grid IS NULL THEN NULL ELSE coalesce(n_points >= 7 AND peak_last > peak_first AND od_first > initial_OD + 0.2 * (hi - lo) AND od_last > initial_OD + 0.2 * (hi - lo) AND od_between < hi - 0.2 * (hi - lo), false)::INT END AS multi_phase_flag
     FROM stats LEFT JOIN per USING (curve_key) LEFT JOIN valley USING (curve_key))"""
@@ -137,7 +137,7 @@ SQL = {
     "max_normalize": GRIDDED + "SELECT curve_key, time_h, round(CASE WHEN hi > 0 THEN od / hi ELSE od END, 6) AS od FROM (SELECT *, max(od) OVER (PARTITION BY curve_key) AS hi FROM seen)",
     "minmax_normalize": _with(OBS, POINTS, GRID, SEEN, "smoothed AS (SELECT * FROM seen)", MINMAX) + "SELECT curve_key, time_h, round(od, 6) AS od FROM normed",
     "preprocess_chain": _with(OBS, POINTS, GRID, SEEN, SMOOTHED, MINMAX) + "SELECT curve_key, time_h, round(od, 6) AS od FROM normed",
-    "features_all": ALL_FEATURES + "SELECT curve_key, round(observed_tmax, 6) AS observed_tmax, n_points_observed, round(max_gap_hours, 6) AS max_gap_hours, round(missing_frac_on_grid, 6) AS missing_frac_on_grid, too_sparse, grid_resolution_mismatch, is_censored, "
+    "features_all": ALL_FEATURES + "SELECT curve_key, round(observed_tmax, 6) AS observed_tmax, n_points_observed, round(max_gap_hours, 6) AS max_gap_hours, round(missing_frac_on_grid, 6) AS missing_frac_on_grid, too_sparse, grid_resolution_mismatch, train_horizon, noise_residual_std_is_fallback, is_censored, "
     + ", ".join(f"round({c}, 5) AS {c}" for c in "initial_OD final_OD auc auc_per_hour net_change_per_hour max_slope time_of_max_slope time_of_max_OD monotonicity_fraction largest_drop_frac roughness noise_residual_std lag_time_est plateau_OD growth_phase_duration symmetry_factor".split()) + ", num_slope_sign_changes, multi_phase_flag FROM feats",
     "mad_noise": _with(OBS, RAW, NOISE) + "SELECT curve_key, round(noise_level, 6) AS noise_level FROM noise",
     "theil_sen": _with(OBS, RAW, LATE, SLOPES) + "SELECT curve_key, round(slope, 6) AS slope FROM slopes",
@@ -157,7 +157,7 @@ SQL = {
     "average_precision": _with(METRIC_ROWS) + "SELECT lang, round(CASE WHEN sum(y) > 0 AND sum(y) < count(*) THEN sum(y * tp / k) / sum(y) END, 6) AS average_precision FROM (SELECT *, sum(y) OVER w AS tp, count(*) OVER w AS k FROM rows WINDOW w AS (PARTITION BY lang ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) GROUP BY lang",
     "class_weights": _with(METRIC_ROWS) + "SELECT y AS label, count(*) AS n, round((SELECT count(*) FROM rows) / ((SELECT count(DISTINCT y) FROM rows) * count(*)), 6) AS weight FROM rows GROUP BY y",
     "group_split": _with(METRIC_ROWS) + f"SELECT source, CASE WHEN u < 0.2 THEN 'test' WHEN u < 0.4 THEN 'val' ELSE 'train' END AS split, count(*) AS n FROM (SELECT source, {U.format(chr(39) + '42|' + chr(39) + ' || source')} AS u FROM rows) GROUP BY 1, 2",
-    "bootstrap_mean_ci": _with(OBS).rstrip() + ", pts AS (SELECT curve_key AS k, (row_number() OVER (PARTITION BY curve_key ORDER BY time_h, event_id) - 1)::INT AS ix, od_raw AS v FROM obs), sizes AS (SELECT k, count(*) AS n FROM pts GROUP BY k), draws AS (SELECT k, r, (('0x' || substr(md5('42|' || k || '|' || r || '|' || d), 1, 8))::BIGINT % n)::INT AS ix FROM sizes, (SELECT unnest(range(0, 50)) AS r), LATERAL (SELECT unnest(range(0, n)) AS d)), means AS (SELECT k, r, avg(v) AS m FROM draws JOIN pts USING (k, ix) GROUP BY k, r) SELECT k AS curve_key, count(*) AS n, round(avg(m), 6) AS mean, round(stddev_samp(m), 6) AS sd, round(quantile_cont(m, 0.025), 6) AS ci_lo, round(quantile_cont(m, 0.975), 6) AS ci_hi FROM means GROUP BY k",
+    "bootstrap_mean_ci": _with(OBS).rstrip() + ", pts AS (SELECT curve_key AS k, (row_number() OVER (PARTITION BY curve_key ORDER BY time_h, event_id) - 1)::INT AS ix, od_raw AS v FROM obs), sizes AS (SELECT k, count(*) AS n FROM pts GROUP BY k), draws AS (SELECT k, r, (('0x' || substr(md5('42|' || k || '|' || r || '|' || d), 1, 8))::BIGINT % n)::INT AS ix FROM sizes, (SELECT unnest(range(0, 50)) AS r), LATERAL (SELECT unnest(range(0, n)) AS d)), means AS (SELECT k, r, avg(v) AS m FROM draws JOIN pts USING (k, ix) GROUP BY k, r) SELECT k AS curve_key, count(*) AS n, round(avg(m) + 1e-9, 6) AS mean, round(stddev_samp(m) + 1e-9, 6) AS sd, round(quantile_cont(m, 0.025) + 1e-9, 6) AS ci_lo, round(quantile_cont(m, 0.975) + 1e-9, 6) AS ci_hi FROM means GROUP BY k",
     "gap_augment": _with(OBS, f"""few AS (SELECT * FROM obs WHERE time_h <= 16),
 copies AS (SELECT curve_key, rep, CASE WHEN {U.format("'42|kind|' || curve_key || '|' || rep")} < 0.5 THEN 'B' ELSE 'S' END AS gap_kind, 2 + 4 * {U.format("'42|len|' || curve_key || '|' || rep")} AS gap_len, {U.format("'42|at|' || curve_key || '|' || rep")} AS gap_at, 0.4 + 0.4 * {U.format("'42|drop|' || curve_key || '|' || rep")} AS share
            FROM (SELECT DISTINCT curve_key FROM few WHERE {U.format("'42|pick|' || curve_key")} < 0.3), (SELECT unnest([1, 2]) AS rep)),

@@ -7,23 +7,27 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from curvelake.config import GridConfig
-from curvelake.kernels.synthetic import curve
+from curvelake.kernels.synthetic import SET_SIZE, curve, plan
 
 
-def synthetic_curves(spark: SparkSession, n: int = 900, cfg: GridConfig = GridConfig(), valid_share: float = 0.56, noise: float = 0.05, seed: int = 123, partitions: int | None = None) -> DataFrame:
-    """curve_key, subtype, is_valid, time_h, od (long); each curve depends on seed and index alone."""
-    points = cfg.points
+def synthetic_curves(spark: SparkSession, n: int = SET_SIZE, cfg: GridConfig = GridConfig(), noise: float = 0.05, seed: int = 123, partitions: int | None = None, stem: str = "syn") -> DataFrame:
+    """curve_key, model_name, subtype, is_valid, time_h, od (long); each curve depends on seed and index alone.
+
+    A set has 900 curves, 503 of them valid, of subtypes in fixed numbers; more curves are further such sets.
+    """
+    points, cards = cfg.points, plan(seed)
 
     def run(batches):
         t = np.arange(points) * cfg.step
         for pdf in batches:
-            for i in pdf["id"]:
-                kind, valid, y = curve(int(i), t, valid_share, noise, seed)
+            for i in pdf["id"].astype(int):
+                valid, kind = cards[i % SET_SIZE]
+                family, y = curve(valid, kind, i, t, noise, seed)
                 ok = np.isfinite(y)
-                yield pd.DataFrame({"curve_key": f"S{i}", "subtype": kind, "is_valid": valid, "time_h": t[ok], "od": y[ok]})
+                yield pd.DataFrame({"curve_key": f"{stem}_{i + 1}", "model_name": family, "subtype": kind, "is_valid": valid, "time_h": t[ok], "od": y[ok]})
 
     ids = spark.range(n) if partitions is None else spark.range(0, n, 1, partitions)
-    return ids.mapInPandas(run, "curve_key string, subtype string, is_valid boolean, time_h double, od double")
+    return ids.mapInPandas(run, "curve_key string, model_name string, subtype string, is_valid boolean, time_h double, od double")
 
 
 def sample_wide(spark: SparkSession) -> DataFrame:

@@ -1,9 +1,11 @@
 """Numeric kernels against closed forms and known truths."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
-from curvelake.kernels import dose, growth
+from curvelake.kernels import dose, growth, synthetic
 from curvelake.kernels.lowess import lowess
 from curvelake.kernels.lsq import fit
 from curvelake.kernels.spline import Basis, choose_lam, unique_mean
@@ -20,7 +22,7 @@ def test_models_recover_parameters(name, extra):
 
 
 def test_models_fail_softly():
-    assert growth.fit_models(T[:3], np.ones(3))["message"] == "all_models_failed"
+    assert growth.fit_models(T[:3], np.ones(3))["message"] == "insufficient_points" and growth.fit_models(T[:5], np.ones(5))["message"] == "all_models_failed"
     assert growth.fit_models(np.zeros(0), np.zeros(0))["message"] == "insufficient_points"
     assert growth.fit_spline(T[:3], np.ones(3))["message"] == "insufficient_unique_points"
 
@@ -34,8 +36,14 @@ def test_spline_limits():
     value, slope = basis.evaluate(y, T)
     assert np.allclose(value, y) and np.allclose(slope[3:-3], np.cos(T[3:-3] / 3) / 3, atol=1e-3)
     lam, how = choose_lam(basis, y + np.random.default_rng(1).normal(0, 0.05, len(T)))
-    assert how == "gcv_ok" and 4 <= basis.df(lam) < len(T)
+    assert how == "gcv_bounded_floor" and basis.df(lam) < len(T)
     assert choose_lam(basis, np.random.default_rng(2).normal(size=len(T)))[1] in ("gcv_ok", "gcv_bounded_floor")
+    noisy = y + np.random.default_rng(7).normal(0, 0.1, len(T))
+    assert np.abs(basis.smooth(noisy, basis.best_gcv(noisy)) - y).mean() < 0.8 * np.abs(noisy - y).mean() and basis.df(basis.best_gcv(noisy)) < 12
+    flat = [2 * T + 1 + np.random.default_rng(k).normal(0, 2.0, len(T)) for k in range(40)]
+    floors = [basis.roughness_df(y, lam) for y in flat for lam, how in [choose_lam(basis, y)] if how == "gcv_bounded_floor"]
+    assert floors and all(4 - 1e-6 <= v < 4.1 for v in floors) and basis.roughness_df(2 * T + 1, 1.0) == pytest.approx(2)
+    assert choose_lam(basis, 2 * T + 1)[1] == "gcv_bounded_unreachable"
 
 
 def test_spline_minimises_its_target():
@@ -80,11 +88,64 @@ def test_dose():
     assert dose.fit_hill(x, y)["ec50"] == pytest.approx(4.0, rel=0.05)
     assert dose.fit_dose(x, y)["ec50"] == pytest.approx(4.0, rel=0.25)
     assert dose.fit_dose(x, y, method="spline")["method"] == "spline"
-    assert dose.fit_dose(x[:4], y[:4])["message"] == "too_few_conc_points_2"
-    assert dose.fit_dose(x, y - 5, y_log="log1p")["message"] == "dr_y_transform_invalid_lt_minus1"
+    assert dose.fit_spline(x[:4], y[:4])["message"] == "insufficient_unique_points" and not dose.fit_hill(x[:3], y[:3])["success"]
+    assert dose.fit_spline(x, y - 5, y_log="log1p")["message"] == "dr_y_transform_invalid_lt_minus1"
     whole, parts = dose.bootstrap_dose(x, y, "t", range(20)), [v for k in range(0, 20, 5) for v in dose.bootstrap_dose(x, y, "t", range(k, k + 5))]
     assert whole == parts and len(whole) > 10
-    assert dose.pick_crossing(np.array([0, 1, 2.0]), np.array([1, 1, 1.0]))[1] in ("OK", "AMBIGUOUS", "NO_CROSS_NEAREST")
+
+
+def test_dose_crossings():
+    x = np.linspace(0, 4, 401)
+    cross = lambda y: dose.pick_crossing(x, y, np.gradient(y, x))
+    assert cross(x) == (pytest.approx(2.0), "OK")
+    assert cross(np.ones(401))[1] == "AMBIGUOUS"  # meets its middle everywhere
+    assert cross(np.sin(np.pi * x))[1] == "AMBIGUOUS"  # equally steep at every crossing
+    at, status = cross(np.interp(x, [0, 0.5, 2, 4], [0, 2, 0, 1]))
+    assert status == "MULTI_STEEPEST" and at == pytest.approx(0.125, abs=0.02)
+    assert dose.pick_crossing(np.array([0.0, 1, 2]), np.array([1.0, 5, 1]), np.array([4.0, 0, -4]))[1] == "AMBIGUOUS"  # its ends are the middle
+
+
+def test_dose_spline_gives_way():
+    """A spline that isn't monotonic, or is a line, is replaced by the Hill curve; the plain spline keeps its own EC50."""
+    x = np.repeat([0.1, 0.3, 1, 3, 10, 30, 100.0], 2)
+    humped = np.repeat([0.1, 0.2, 0.9, 1.6, 0.9, 0.3, 0.2], 2) + np.tile([0.0, 0.01], 7)
+    assert dose.fit_spline(x, humped)["method"] == "4pl_fallback" and dose.fit_spline(x, humped, monotonic_only=False)["method"] == "spline"
+    straight = dose.fit_spline(x, np.log10(x))
+    assert straight["method"] == "4pl_fallback" and straight["success"]
+    steps = dose.fit_spline(x, dose.hill(x, 0.1, 1.0, 4.0, 1.2))
+    assert steps["method"] == "spline" and steps["monotonic"] and steps["ec50"] == pytest.approx(4.0, rel=0.3)
+
+
+def test_dose_bootstrap_rules():
+    """No replicate counts whose EC50 lies outside the doses drawn; too few points give none."""
+    x = np.array([0.1, 0.3, 1, 3, 10, 30, 100.0])
+    y = dose.hill(x, 0.0, 1.0, 300.0, 1.0)
+    got = dose.bootstrap_dose(x, y, "t", range(40), method="4pl")
+    assert len(got) < 40 and all(0.1 <= v <= 100 for v in got)
+    assert dose.bootstrap_dose(x[:5], y[:5], "t", range(5)) == []
+
+
+def test_seeds():
+    values = {"y0": 0.0, "a": 1.0, "mu": 0.1, "lam": 3.0, "alpha": 0.1, "shift": 9.0, "nu": 1.0}
+    rising, late = np.linspace(0, 1, 10), dict(values, lam=13.0)
+    assert [s["lam"] for s in growth._seeds("logistic", values, rising, 16.0)] == [3.0]
+    assert [s["lam"] for s in growth._seeds("logistic", late, rising, 16.0)] == [13.0, -16.0, -8.0, -4.0]
+    assert [s["lam"] for s in growth._seeds("gompertz", values, rising * 0.01 + 1, 16.0)] == [3.0, -16.0, -8.0, -4.0]
+    assert {(s["lam"], s["nu"]) for s in growth._seeds("richards", late, rising, 16.0)} == {(x, nu) for x in (13.0, -16.0, -8.0, -4.0) for nu in (1.0, 0.5, 2.0)}
+
+
+def test_synthetic_shapes():
+    """The composition holds exactly, draws depend on seed and index alone, and each wrong kind does what it says."""
+    cards = synthetic.plan(123)
+    assert Counter(k for _, k in cards) == {k: n for _, k, n in synthetic.COMPOSITION} and sum(v for v, _ in cards) == 503 and len(cards) == 900
+    kinds = {k: [synthetic.curve(v, k, i, T, 0.0)[1] for i in range(20)] for v, k, _ in synthetic.COMPOSITION}
+    assert all(np.ptp(y) == 0 for y in kinds["nogrowth"]) and all((np.diff(y) < 0).all() for y in kinds["decline_only"])
+    assert all((y >= 0).all() and len(y) == len(T) for k in ("obvious", "subtle", "nearreal", "noise", "diauxic") for y in kinds[k])
+    assert np.mean([y[-1] < 0.5 * y.max() for y in kinds["obvious"]]) > 0.6
+    top = [np.nanmax(synthetic.bounded_gompertz(T, 1.0, 1.0, 1.0, 0.15, 5.0))]
+    assert 1.0 < top[0] <= 1.15
+    a, b = synthetic.curve(True, "plain", 7, T), synthetic.curve(True, "plain", 7, T)
+    assert a[0] == b[0] and np.array_equal(a[1], b[1], equal_nan=True)
 
 
 def test_unique_mean():

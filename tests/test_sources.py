@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from curvelake.functions import scalars as S
+from curvelake.kernels.dose import hill
 from curvelake.kernels.growth import stable_seed
+from curvelake.kernels.slope import median_slope
 from curvelake.ml import classifier
-from curvelake.operators import augment, grid, labels, reshape, signal
+from curvelake.operators import augment, fit, grid, labels, metrics, reshape, signal
 from curvelake.plans import analysis
 from curvelake.sinks import append_run, write_single_csv, zip_export
 from curvelake.sources import readers
@@ -99,14 +101,14 @@ def test_train_label_fit_export(spark, tmp_path):
     synth = synthetic_curves(spark, 160, partitions=4)
     assert synth.select("curve_key").distinct().count() == 160
     assert synth.agg(F.sum("od")).first()[0] == pytest.approx(synthetic_curves(spark, 160, partitions=7).agg(F.sum("od")).first()[0])
-    table = analysis.training_table(synth.drop("subtype")).persist()
+    table = analysis.training_table(synth.drop("subtype", "model_name")).persist()
     assert analysis.check_training_table(table) == {"repeated": 0, "unlabelled": 0, "mixed": 0}
     trained = classifier.train(table, trees=20, boosts=5)
     test = {r["model"]: r["balanced_accuracy"] for r in trained["metrics"] if r["split"] == "test"}
     assert set(test) == {"LR", "RF", "HGB"} and max(test.values()) > 0.65
     classifier.save(trained, f"file://{tmp_path}/models", spark)
     trained = classifier.load(f"file://{tmp_path}/models", spark)
-    obs = synth.where("curve_key in ('S1', 'S2', 'S3', 'S4', 'S5', 'S6', 'S7', 'S8')").withColumn("test_id", F.lit("P")).withColumn("concentration", F.substring("curve_key", 2, 1).cast("double"))
+    obs = synth.where("curve_key in ('syn_1', 'syn_2', 'syn_3', 'syn_4', 'syn_5', 'syn_6', 'syn_7', 'syn_8')").withColumn("test_id", F.lit("P")).withColumn("concentration", F.substring("curve_key", 5, 1).cast("double"))
     labelled = analysis.label_curves(obs, trained).persist()
     assert labelled.count() == 8 and {r.final_label for r in labelled.collect()} <= {"Valid", "Invalid", "Unsure"}
     tables = analysis.fit_curves(obs, labelled, include_unsure=True, include_invalid=True, bootstrap=False)
@@ -119,6 +121,39 @@ def test_train_label_fit_export(spark, tmp_path):
     assert np.isfinite(tables["gc_fit"].agg(F.avg("mu")).first()[0])
 
 
+def test_dose_bootstrap_without_crossings(spark):
+    """Tests of too few doses, and chunks of replicates without any EC50, give rows of rate 0."""
+    doses = [0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0]
+    rows = [("few", d, 1.0) for d in doses[:3]] + [("flat", d, 1.0) for d in doses] + [("good", d, hill(np.array([d]), 0.0, 1.0, 3.0, 1.2)[0].item()) for d in doses for _ in range(2)]
+    responses = spark.createDataFrame(rows, "test_id string, concentration double, response double")
+    got = {r.test_id: r for r in fit.dose_bootstrap(responses, chunk=7).collect()}
+    assert got["few"].n == 0 and got["few"].crossing_rate == 0 and got["few"].mean is None
+    assert got["good"].n > 100 and got["good"].ci_lo <= 3.0 * 1.5 and got["good"].crossing_rate == got["good"].n / 300 and "flat" in got
+
+
+def test_median_slope():
+    """Exact at any size: closing in on the middle ranks gives what sorting all slopes gives."""
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 5, 40):
+        t, y = rng.integers(0, 20, n) / 2.0, rng.normal(size=n).round(1)
+        every = [(y[j] - y[i]) / (t[j] - t[i]) for i in range(n) for j in range(n) if t[j] > t[i]]
+        want = float(np.median(every)) if every else None
+        for most in (1 << 20, 50, 3):
+            assert median_slope(t, y, most) == (pytest.approx(want, abs=1e-12) if want is not None else None)
+
+
+def test_curves_without_groups(spark):
+    """AUC and average precision over one group whose scores lie in many ranges, with ties."""
+    rng = np.random.default_rng(2)
+    p, y = rng.integers(0, 300, 2000) / 300, rng.integers(0, 2, 2000)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(p, y, strict=True)], "p double, y int")
+    pos, neg = p[y == 1], p[y == 0]
+    auc = ((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg))
+    assert metrics.roc_auc(df).first()[0] == pytest.approx(auc)
+    ap = sum(((p == s) & (y == 1)).sum() * (y[p >= s].mean()) for s in np.unique(p)) / len(pos)
+    assert metrics.average_precision(df).first()[0] == pytest.approx(ap)
+
+
 def test_training_csv_and_blanks(spark, tmp_path):
     (tmp_path / "syn.csv").write_text("FileName,Test Id,Model Name,Is_Valid,T0.0 (h),T0.5 (h)\nf,a,m,yes,0.1,0.2\nf,b,m,,0.3,x\n")
     (tmp_path / "blank.csv").write_text("FileName,already_blank_subtracted,blank_value\nf,raw,0.05\ng,yes,\n")
