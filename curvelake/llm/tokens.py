@@ -2,14 +2,14 @@
 
 A shard is a valid zstandard stream::
 
-    frame of document 0 | frame of document 1 | ... | index | seek table | pad
+    frame of document 0 | frame of document 1 | ... | index | seek table
 
 Each frame holds one document's ids (little-endian, 2 or 4 bytes each) and its own content checksum.
 ``index`` is a skippable frame with a header (id width, shard number, documents, ids) and one
 (doc_id, has_id, n_ids) entry per document.  ``seek table`` is the skippable frame of the seekable
-format: compressed size, size and XXH64's lower half for each frame, then the footer.  ``pad`` is a
-skippable frame of one byte, the line end that Spark's text writer puts after a row.  Shards go out
-through that writer, so they reach any store Spark reaches and a lost task leaves no half file; a
+format: compressed size, size and XXH64's lower half for each frame, then the footer, which ends the
+file.  Shards go out through Spark's text writer, so they reach any store Spark reaches and a lost task
+leaves no half file; the separator that it puts after a row is set to the footer's magic number.  A
 reader decompresses only the frames of the documents it is asked for.
 
 Cases: null counts as the empty text and gets just the end id; repeated rows each get a frame, null ids
@@ -31,12 +31,14 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import text as T
-from .scratch import Scratch, planned_bytes
+from .scratch import Scratch, broadcast_if_small, planned_bytes
 
 _SKIP, _SEEK, _SEEKABLE = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
-_PAD = struct.pack("<II", _SKIP, 1)
+#: The footer's last four bytes; the text writer puts them there as its line separator.
+_MAGIC = struct.pack("<I", _SEEKABLE)
 _HEAD = struct.Struct("<4sIqqq")
 _ENTRY = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("n_ids", "<i8")])
 _FRAME = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
@@ -109,14 +111,14 @@ class ChunkEncoder:
 
 
 def pack(shard: int, doc_ids: list[int | None], frames: list[bytes], seek: list[tuple[int, int, int]], counts: list[int], width: int) -> bytes:
-    """One shard, but for the line end."""
+    """One shard, but for the magic number at its end."""
     entries = np.zeros(len(doc_ids), dtype=_ENTRY)
     entries["doc_id"] = [x or 0 for x in doc_ids]
     entries["has_id"] = [x is not None for x in doc_ids]
     entries["n_ids"] = counts
     index = _HEAD.pack(b"TOKS", width, shard, len(doc_ids), sum(counts)) + entries.tobytes()
-    table = np.array(seek, dtype=_FRAME).tobytes() + struct.pack("<IBI", len(seek), 0x80, _SEEKABLE)
-    return b"".join([*frames, struct.pack("<II", _SKIP + 1, len(index)), index, struct.pack("<II", _SEEK, len(table)), table, _PAD])
+    table = np.array(seek, dtype=_FRAME).tobytes() + struct.pack("<IB", len(seek), 0x80)
+    return b"".join([*frames, struct.pack("<II", _SKIP + 1, len(index)), index, struct.pack("<II", _SEEK, len(table) + len(_MAGIC)), table])
 
 
 class Shard:
@@ -124,7 +126,7 @@ class Shard:
 
     def __init__(self, data):
         self.data = memoryview(data)
-        end = len(self.data) - len(_PAD) - 1
+        end = len(self.data)
         n, flags, magic = struct.unpack("<IBI", self.data[end - 9 : end])
         if magic != _SEEKABLE or not flags & 0x80:
             raise ValueError("no seek table")
@@ -174,8 +176,10 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int |
         if ids:
             yield pa.RecordBatch.from_arrays([pa.array([pack(TaskContext.get().partitionId(), ids, frames, seek, counts, coder.dtype.itemsize)], pa.binary())], names=["shard"])
 
-    dealt = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
-    dealt.mapInArrow(run, "shard binary").select(F.col("shard").cast("string")).write.option("lineSep", "\n").text(path)
+    # equal rows may be cut between shards too, so an id of very many rows is no task of its own
+    dealt = rows.withColumn("_nth", F.monotonically_increasing_id()).repartitionByRange(shards, *order, F.col("_nth")).sortWithinPartitions(*order, "_nth").drop("_nth")
+    out = dealt.mapInArrow(run, "shard binary").select(F.col("shard").cast("string"))
+    out.write.option("encoding", "ISO-8859-1").option("lineSep", _MAGIC.decode("iso-8859-1")).text(path)
 
 
 def read_token_shards(spark: SparkSession, path: str, only: set[int] | None = None, with_ids: bool = True) -> DataFrame:
@@ -209,8 +213,13 @@ def token_index(docs: DataFrame, tokenizer: str, end_id: int | None = None, path
     path = path or f"{scratch.path}/shards"
     write_token_shards(docs, path, tokenizer, end_id, **options)
     read = scratch.write("read", read_token_shards(spark, path, with_ids=False).drop("ids"))
-    # one row a shard; the driver holds one number for each 16 MB of input or so
-    totals = read.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect()
-    before = np.concatenate([[0], np.cumsum([r.n for r in totals], dtype=np.int64)])
-    base = spark.createDataFrame([(r.shard, int(b)) for r, b in zip(totals, before, strict=False)], "shard long, base long")
-    return read.join(F.broadcast(base), "shard").select("doc_id", (F.col("base") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids_crc32", "shard", "position")
+    return read.join(broadcast_if_small(shard_starts(read), 100_000), "shard").select("doc_id", (F.col("base") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids_crc32", "shard", "position")
+
+
+def shard_starts(read: DataFrame, group: int = 4096) -> DataFrame:
+    """(shard, base): the ids in all shards before, by sums within groups of shards and over the groups."""
+    totals = read.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("group", F.floor(F.col("shard") / group))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    groups = totals.groupBy("group").agg(F.sum("n").alias("m")).select("group", F.coalesce(F.sum("m").over(before(Window.orderBy("group"))), F.lit(0)).alias("m"))
+    own = totals.select("shard", "group", F.coalesce(F.sum("n").over(before(Window.partitionBy("group").orderBy("shard"))), F.lit(0)).alias("n"))
+    return own.join(groups, "group").select("shard", (F.col("n") + F.col("m")).alias("base"))

@@ -19,7 +19,7 @@ from test_text_ops import SPACED, awkward, documents, empty, lower
 import corpus_pipeline
 from curvelake.llm import html_text, interpolation, langid, mixing, toxicity
 from curvelake.llm import queries as Q
-from curvelake.llm.tokens import Shard, read_token_shards, token_index, write_token_shards
+from curvelake.llm.tokens import Shard, read_token_shards, shard_starts, token_index, write_token_shards
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -228,6 +228,7 @@ def test_token_frames(spark, sf, tmp_path):
     assert len(files) > 1
     raw = files[0].read_bytes()
     shard = Shard(raw)
+    assert raw[-4:] == b"\xb1\xea\x92\x8f" and int.from_bytes(raw[-9:-5], "little") == len(shard)  # the seek table's footer ends the file
     whole = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True).read()
     assert whole == b"".join(shard.ids(i).tobytes() for i in range(len(shard)))
     broken = bytearray(raw)
@@ -239,6 +240,22 @@ def test_token_frames(spark, sf, tmp_path):
     assert {r.doc_id for r in read_token_shards(spark, path, some).collect()} == some
 
 
+def test_token_shard_starts(spark):
+    """Sums over groups of shards, with gaps between shard numbers."""
+    rows = [(s, n) for s in (0, 1, 3, 4, 5, 9, 10, 20, 21) for n in (s + 1, 2)]
+    read = spark.createDataFrame(rows, "shard long, n_tokens long")
+    got = {r.shard: r.base for r in shard_starts(read, group=4).collect()}
+    assert got == {s: sum(n for t, n in rows if t < s) for s, _ in rows}
+
+
+def test_token_equal_rows(spark, tmp_path):
+    """Equal rows are cut between shards, and each is there once."""
+    docs = spark.createDataFrame([(7, "one two three")] * 400 + [(8, "x")], "doc_id long, text string").repartition(4)
+    got = token_index(docs, BPE, 2, path=f"file://{tmp_path}/equal", shard_bytes=64)
+    assert got.count() == 401 and got.select("shard").distinct().count() > 2
+    assert [r.start for r in got.orderBy("start").collect()] == list(range(0, 1604, 4))[:401]
+
+
 PAGES = [
     ("<p>One<p>Two <b>bold</b>\n text", "One\n\nTwo bold text"), ("<ul><li>a<li>b<ol start=3><li>c<li>d</ol></ul>", "- a\n- b\n  3. c\n  4. d"), ("<table><tr><th>Name<th>Age<tr><td>Jo<td>7<tr><td>Maria<td>12</table>", "Name  | Age\nJo    | 7\nMaria | 12"),
     ("<div hidden>no</div><div style='display:none'>no</div><span>yes</span><script>var t='</p>';</script>", "yes"), ("<style>.x{display:none}</style><p class='a x'>no</p><p>yes</p>", "yes"), ("a<br>b<br><br>c", "a\nb\n\nc"), ("<pre>  a\n    b</pre>c", "  a\n    b\n\nc"),
