@@ -9,7 +9,7 @@ seed, id and rate, so a lost task redoes the same copies.
 Rates come from one row per source (counts are pre-aggregated), broadcast only up to ``small`` sources.
 Sources whose mean rate is over half of ``most`` get steps from around the mode (``far_steps``), as many as the
 rate asks for, so the draw is the same inversion at any rate.
-Cases: null is a source of its own; sources without a target weight get weight 0 (``default_weight``);
+Cases: null is a source of its own; sources without a target weight get ``default_weight`` (0: none of their rows);
 empty texts replicate like others; repeated rows of an id draw the same number and are all repeated; a
 null id draws as the text 'null'; without any weight, or with an empty table, there are no rows.
 """
@@ -77,9 +77,13 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float], default_weig
 
 
 def mix_sources(docs: DataFrame, weights: dict[str | None, float], seed: int = 7, default_weight: float = 0.0, size: float | None = None, partitions: int | None = None, small: int = 100_000, most: int = 400, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """All columns of docs, then mix_copy (from 0), mix_copies and mix_key, dealt and ordered by mix_key."""
-    taken = {c.lower() for c in docs.columns} & {"mix_copy", "mix_copies", "mix_key"}
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in taken])
+    """All columns of docs, then mix_copy (from 0), mix_copies and mix_key, dealt and ordered by mix_key.
+
+    Columns of docs by these three names are replaced; all others stay, whatever they are called.
+    """
+    kept = [c for c in docs.columns if c.lower() not in ("mix_copy", "mix_copies", "mix_key")]
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("doc"), name.alias("name"), F.col(source_col).alias("own_source"))
     # the steps are computed once per source, not once per document
     rates = source_rates(docs, weights, default_weight, size, source_col).where("rate > 0").select(F.col("source").alias("mix_source"), "rate")
     near = rates.where(F.col("rate") <= most / 2).select("mix_source", F.lit(0).alias("mix_first"), poisson_steps(F.col("rate"), most).alias("mix_steps"))
@@ -91,11 +95,11 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float], seed: int = 7
 
     kind = rates.schema["mix_source"].dataType.simpleString()
     rates = near.unionAll(rates.where(F.col("rate") > most / 2).mapInPandas(far, f"mix_source {kind}, mix_first int, mix_steps array<double>"))
-    joined = docs.join(broadcast_if_small(rates, small), F.col(source_col).eqNullSafe(F.col("mix_source")))
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    drawn = joined.withColumn("mix_copies", F.col("mix_first") + poisson_inverse(unit_hash(F.lit(str(seed)), name), F.col("mix_steps"))).where("mix_copies > 0")
-    copies = drawn.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1))).drop("mix_source", "mix_first", "mix_steps")
-    keyed = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(f"{seed}s"), name, F.col("mix_copy").cast("string")).cast("binary")))
+    joined = rows.join(broadcast_if_small(rates, small), F.col("own_source").eqNullSafe(F.col("mix_source")))
+    drawn = joined.withColumn("mix_copies", F.col("mix_first") + poisson_inverse(unit_hash(F.lit(str(seed)), F.col("name")), F.col("mix_steps"))).where("mix_copies > 0")
+    copies = drawn.select("doc", "name", "mix_copies", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)).alias("mix_copy"))
+    key = F.md5(F.concat_ws("|", F.lit(f"{seed}s"), "name", F.col("mix_copy").cast("string")).cast("binary"))
+    keyed = copies.select("doc.*", "mix_copy", "mix_copies", key.alias("mix_key"))
     if partitions is None:
         partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((planned_bytes(docs) or 0) / (64 << 20)))
     return keyed.repartition(partitions, "mix_key").sortWithinPartitions("mix_key")

@@ -18,6 +18,8 @@ from .toxicity import fit_toxicity, score_toxicity
 
 #: Target weights of the sources src0 to src19: the hot source is held to a twentieth, the others fall evenly.
 MIX_WEIGHTS = {"src0": 1.0, **{f"src{i}": 0.5 + 0.05 * i for i in range(1, 20)}}
+#: The weight of any other source, null included.
+MIX_DEFAULT = 1.0
 MIX_SEED = 7
 END_ID = 2
 
@@ -33,7 +35,7 @@ def fold(modulus: int, id_col: str = "doc_id") -> Column:
 
 def op1_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    mixed = mix_sources(docs, MIX_WEIGHTS, seed=MIX_SEED)
+    mixed = mix_sources(docs, MIX_WEIGHTS, seed=MIX_SEED, default_weight=MIX_DEFAULT)
     return mixed.select("doc_id", "source", "mix_copy", "mix_copies", "mix_key", F.length("text").cast("long").alias("text_chars"))
 
 
@@ -95,12 +97,10 @@ def queries():
 _DRAWN = """
 WITH weights AS (
     SELECT * FROM (VALUES {weights}) AS t(source, weight)
+), sources AS (
+    SELECT d.source, count(*) AS n, any_value(coalesce(w.weight, {default})) AS weight FROM documents d LEFT JOIN weights w ON d.source = w.source GROUP BY d.source
 ), rates AS (
-    SELECT d.source, any_value(w.weight) / any_value(tw.total) * any_value(n.total) / count(*) AS rate
-    FROM documents d JOIN weights w ON d.source = w.source,
-         (SELECT count(*) AS total FROM documents) n,
-         (SELECT sum(weight) AS total FROM weights WHERE source IN (SELECT source FROM documents)) tw
-    GROUP BY d.source
+    SELECT source, weight / (SELECT sum(weight) FROM sources) * (SELECT sum(n) FROM sources) / n AS rate FROM sources
 ), steps AS (
     SELECT source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM rates, (SELECT unnest(range(0, 400)) AS k)
 ), below AS (
@@ -110,7 +110,7 @@ WITH weights AS (
 ), drawn AS (
     SELECT d.doc_id, d.source, length(d.text) AS text_chars,
            len(list_filter(u.cs, lambda c: c < (('0x' || substr(md5('{seed}|' || d.doc_id), 1, 13))::BIGINT + 0.5) / 4503599627370496)) AS n
-    FROM documents d JOIN upto u ON d.source = u.source
+    FROM documents d JOIN upto u ON d.source IS NOT DISTINCT FROM u.source
 )
 SELECT doc_id, source, k::INT AS mix_copy, n::INT AS mix_copies, md5('{seed}s|' || doc_id || '|' || k) AS mix_key, text_chars
 FROM (SELECT *, unnest(range(0, n)) AS k FROM drawn WHERE n > 0)
@@ -159,4 +159,4 @@ def _repetition_sql() -> str:
 
 def oracle_sql():
     weights = ", ".join(f"('{k}', {v!r}::DOUBLE)" for k, v in MIX_WEIGHTS.items())
-    return {"op1_poisson_mix": _DRAWN.format(weights=weights, seed=MIX_SEED), "op4_repetition": _repetition_sql(), "op5_decontamination": _HELD}
+    return {"op1_poisson_mix": _DRAWN.format(weights=weights, seed=MIX_SEED, default=f"{MIX_DEFAULT}::DOUBLE"), "op4_repetition": _repetition_sql(), "op5_decontamination": _HELD}

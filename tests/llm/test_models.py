@@ -362,7 +362,9 @@ def test_html_random_trees():
 
 
 def test_mixing_awkward(spark):
-    docs = awkward(spark).withColumn("mix_copy", F.lit("clash"))
+    docs = awkward(spark).withColumns({c: F.lit("clash") for c in ("mix_copy", "mix_source", "mix_steps", "mix_first", "rate", "name", "doc", "own_source")})
+    assert [c for c in mixing.mix_sources(docs, {"s": 1.0}).columns if c not in docs.columns] == ["mix_copies", "mix_key"]
+    assert mixing.mix_sources(docs, {"other": 1.0}, size=600.0, default_weight=1.0).where("mix_source = 'clash' and rate = 'clash'").count() > 300
     out = mixing.mix_sources(docs, {"s": 1.0}, size=600.0)
     n = out.count()
     assert 300 < n < 1000 and mixing.mix_sources(docs, {"other": 1.0}).count() == 0 and mixing.mix_sources(docs.where("false"), {"s": 1.0}).count() == 0
