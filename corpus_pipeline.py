@@ -7,6 +7,8 @@ that stage's tasks at most.
 
 Cases: null and empty texts are not toxic, near duplicates of nothing and clean, and pass; repeated rows of
 one id and text are one document to the join stage and one of them stays; an empty table passes through.
+Mixing gives null and unlisted sources ``MIX_DEFAULT``; the token stage takes a null text as an empty one and
+orders null ids first.  Extra columns of the input table are left out by ``run``, whatever they are called.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from curvelake.llm.decontam import decontaminate
 from curvelake.llm.jaccard import jaccard_classes
 from curvelake.llm.mixing import mix_sources
-from curvelake.llm.queries import END_ID, MIX_SEED, MIX_WEIGHTS, fold, table
+from curvelake.llm.queries import END_ID, MIX_DEFAULT, MIX_SEED, MIX_WEIGHTS, fold, table
 from curvelake.llm.scratch import Scratch
 from curvelake.llm.tokens import token_index
 from curvelake.llm.toxicity import fit_toxicity, score_toxicity
@@ -48,7 +50,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated by their sources' rates, in a global shuffle's order."""
-    return mix_sources(docs, MIX_WEIGHTS, seed=MIX_SEED).select(*COLUMNS)
+    return mix_sources(docs, MIX_WEIGHTS, seed=MIX_SEED, default_weight=MIX_DEFAULT).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
