@@ -42,6 +42,39 @@ def test_language_awkward(spark, sf):
     assert langid.predict_language(empty(spark), model).count() == 0
 
 
+def test_language_tables(spark):
+    """The tables that Spark counts are those of plain dictionaries, predictions those of plain loops; no word is left out."""
+    rng = np.random.default_rng(0)
+    syllables = {"aa": ["ka", "lo", "mi"], "bb": ["tu", "re", "mi"], "cc": ["xo", "ka", "\u00fc"]}
+    text = lambda lang: " ".join("".join(rng.choice(syllables[lang], int(rng.integers(1, 4)))) for _ in range(12))
+    rows = [(i, text(lang), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = langid.learn_languages(docs, F.lit(True))
+    counts = Counter((lang, w) for _, t, lang in rows for w, c in langid.words_of(t).items() for _ in range(c))
+    want = langid.LanguageModel.of_counts(counts)
+    got.tables()
+    want.tables()
+    assert got.languages == want.languages == ["aa", "bb", "cc"] and got.totals == want.totals and set(got.rows_of[0]) == {w for _, w in counts}
+    for k in range(6):
+        assert set(got.rows_of[k]) == set(want.rows_of[k])
+        assert all(np.allclose(got.logs[i], want.logs[want.rows_of[k][g]], atol=1e-6) for g, i in got.rows_of[k].items())
+
+    def plain(t):
+        sums = np.zeros(3)
+        for w, c in langid.words_of(t).items():
+            for k in range(0, -6, -1) if w in got.rows_of[0] else range(5, 0, -1):
+                found = [got.logs[got.rows_of[k][g]] for g in langid.grams(w, k) if g in got.rows_of[k]]
+                if found:
+                    sums += c * np.mean(found, axis=0)
+                    break
+        p = np.exp(sums - sums.max())
+        return got.languages[int(p.argmax())], float(p.max() / p.sum())
+
+    predict = got.predictor()
+    for t in ["kalo mimi", "zzxo tu", "\u00fcx", "kakaka tumi xoxo", "lomi"]:
+        assert predict(t)[0] == plain(t)[0] and predict(t)[1] == pytest.approx(plain(t)[1], abs=1e-4)
+
+
 def test_chain_against_enumeration():
     rng = np.random.default_rng(3)
     length = np.array([0, 1, 4, 2, 5])
