@@ -56,10 +56,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, shingle
 
     counts = at.select("h").join(mark(placed.select("h").distinct()), "h").groupBy("h").agg(F.count("*").alias("freq"))
     rarest = placed.join(counts, "h").groupBy("window", "words", "n").agg(F.min(F.struct("freq", "place", "h")).alias("r")).select("r.h", "r.place", "window", "words", "n")
-    heads = docs.sparkSession.range(1).select(F.lit(N.HEAD).alias("h"), F.lit(0).alias("place"), F.lit(None).cast("long").alias("window"), F.lit(None).cast("array<string>").alias("words"), F.lit(0).alias("n"))
-    prefix = scratch.write("prefix", rarest.unionByName(heads))
-
-    joined = at.select("doc_id", "text_key", "n_words", "pos", "h", near.alias("near"), shift.cast("int").alias("shift")).join(mark(prefix), "h")
+    no_window = [F.lit(0).alias("place"), F.lit(None).cast("long").alias("window"), F.lit(None).cast("array<string>").alias("words"), F.lit(0).alias("n")]
+    columns = [F.col(c) for c in ("doc_id", "text_key", "n_words", "pos", "h")] + [near.alias("near"), shift.cast("int").alias("shift")]
+    if narrow:  # each text's first row finds a row of its own in the broadcast table
+        prefix = scratch.write("prefix", rarest.unionByName(docs.sparkSession.range(1).select(F.lit(N.HEAD).alias("h"), *no_window)))
+        joined = at.select(*columns).join(F.broadcast(prefix), "h")
+    else:  # these rows, one a text, stay out of the shuffle by hash: they would all have one key
+        prefix = scratch.write("prefix", rarest)
+        heads = at.where("pos = 0").select(*(F.col(c) for c in ("h", "doc_id", "text_key", "n_words", "pos")), F.lit(None).cast("array<string>").alias("near"), F.lit(0).alias("shift"), *no_window)
+        heads = heads.where(F.col("h") == N.HEAD)
+        joined = at.where("pos > 0").select(*columns).join(prefix, "h").unionByName(heads)
     start = F.col("pos") - F.col("place")
     met = joined.withColumn("start", start).where("window is null or (start >= 1 and start + n - 1 <= n_words and slice(near, start - shift + 1, n) = words)")
     span = F.when(F.col("window").isNotNull(), F.struct(F.col("start").alias("s"), (F.col("start") + F.col("n")).alias("e")))
