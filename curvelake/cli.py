@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from curvelake.functions.scalars import curve_key
 from curvelake.ml import classifier
 from curvelake.plans import analysis
+from curvelake.sinks import write_tables
 from curvelake.sources import readers
 from curvelake.sources.synthetic import synthetic_curves
 
@@ -21,10 +22,10 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     s.add_argument("out")
     s.add_argument("--n", type=int, default=900)
     s.add_argument("--seed", type=int, default=123)
-    s = sub.add_parser("build-train-meta", help="labelled wide files to a training table")
+    s = sub.add_parser("build-train-meta", help="labelled wide files to raw_merged, final_merged and training_meta")
     s.add_argument("out")
     s.add_argument("files", nargs="+")
-    s = sub.add_parser("train", help="a training table to models")
+    s = sub.add_parser("train", help="the folder of build-train-meta to models")
     s.add_argument("table")
     s.add_argument("out")
     s = sub.add_parser("label", help="a plate file to labelled curves")
@@ -38,9 +39,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.what == "build-train-meta":
         long = readers.read_training(spark, a.files)
         long = long.withColumn("curve_key", F.concat_ws("_", "file_name", curve_key(F.col("curve_id"), F.col("concentration"))))
-        analysis.training_table(long.select("curve_key", "is_valid", "time_h", "od")).write.mode("overwrite").parquet(a.out)
+        write_tables(analysis.training_stages(long.select("curve_key", "is_valid", "time_h", "od")), a.out)
     elif a.what == "train":
-        classifier.save(classifier.train(spark.read.parquet(a.table)), a.out, spark)
+        classifier.save(classifier.train(spark.read.parquet(f"{a.table}/training_meta")), a.out, spark)
     else:
         analysis.label_curves(readers.read_any(spark, a.file), classifier.load(a.models, spark)).write.mode("overwrite").parquet(a.out)
 

@@ -57,10 +57,11 @@ class FitConfig:
 #: Horizons of truncation, the pool of candidate features and those in use.
 HORIZONS = [8.0, 10.0, 12.0, 14.75, 16.0]
 FEATURE_POOL = [
-    "auc_per_hour", "final_OD", "growth_phase_duration", "is_censored", "lag_time_est", "largest_drop_frac", "max_gap_hours", "max_slope",
-    "missing_frac_on_grid", "monotonicity_fraction", "multi_phase_flag", "net_change_per_hour", "noise_residual_std", "num_slope_sign_changes", "roughness", "too_sparse",
+    "observed_tmax", "n_points_observed", "max_gap_hours", "missing_frac_on_grid", "initial_OD", "final_OD", "net_change_per_hour", "max_slope", "auc_per_hour", "lag_time_est", "growth_phase_duration",
+    "monotonicity_fraction", "largest_drop_frac", "multi_phase_flag", "roughness", "noise_residual_std",
 ]
 SELECTED_FEATURES = ["largest_drop_frac", "auc_per_hour", "growth_phase_duration", "multi_phase_flag", "max_slope", "final_OD", "net_change_per_hour", "lag_time_est", "roughness", "max_gap_hours"]
+SLICES = ["source_type", "train_horizon", "is_censored", "too_sparse"]
 
 
 @dataclass(frozen=True)

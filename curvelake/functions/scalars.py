@@ -6,6 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bootstrap_method(name: object) -> str:
+    """pairs or residual; anything else means pairs."""
+    text = str(name).strip().lower()
+    return text if text in ("pairs", "residual") else "pairs"
+
+
 def number(text: Column) -> Column:
     """A double from text, decimal comma allowed; NULL for anything else, NaN and infinities."""
     value = F.replace(F.trim(text.cast("string")), F.lit(","), F.lit(".")).try_cast("double")

@@ -11,23 +11,26 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvelake.config import SELECTED_FEATURES
+from curvelake.config import FEATURE_POOL, SELECTED_FEATURES, SLICES
 from curvelake.functions.scalars import finite, label_of
 from curvelake.operators import metrics
 from curvelake.operators.labels import ensemble
-from curvelake.sinks import write_text
+from curvelake.sinks import delete, write_text
 
 #: Thresholds that go with a model set.
 THRESHOLDS = {"valid": 0.70, "invalid": 0.30}
 
 
-def model_matrix(meta: DataFrame, label: str = "is_valid", features: list[str] = SELECTED_FEATURES, group: str = "base_curve_id") -> DataFrame:
-    """group, y and the features as doubles (infinite: NULL); rows without a known label go."""
-    missing = [c for c in features if c not in meta.columns]
+def model_matrix(meta: DataFrame, label: str = "is_valid", features: list[str] = SELECTED_FEATURES, group: str = "base_curve_id", pool: list[str] = FEATURE_POOL, keep: list[str] = ()) -> DataFrame:
+    """group, y, the features as doubles (infinite: NULL) and the columns of ``keep``; rows without a known label go.
+
+    The table must have the whole pool of candidate features, so that a subset chosen later can be trained from it.
+    """
+    missing = [c for c in dict.fromkeys([*pool, *features]) if c not in meta.columns]
     if missing:
         raise ValueError(f"features are missing: {missing}")
     y = F.when(label_of(F.col(label)) == "Valid", 1.0).when(label_of(F.col(label)) == "Invalid", 0.0)
-    return meta.select(F.col(group).alias("group"), y.alias("y"), *(finite(F.col(c).cast("double")).alias(c) for c in features)).where("y is not null")
+    return meta.select(F.col(group).alias("group"), y.alias("y"), *(finite(F.col(c).cast("double")).alias(c) for c in features), *(F.col(c).alias(f"slice_{c}") for c in keep)).where("y is not null")
 
 
 def medians(train: DataFrame, features: list[str]) -> dict[str, float]:
@@ -60,8 +63,12 @@ def probabilities(df: DataFrame, model: PipelineModel, name: str) -> DataFrame:
 
 
 def train(meta: DataFrame, features: list[str] = SELECTED_FEATURES, seed: int = 42, trees: int = 600, boosts: int = 100, label: str = "is_valid", group: str = "base_curve_id") -> dict:
-    """Splits by group 60/20/20, fits, measures: models, medians, weights (validation balanced accuracy), metrics."""
-    data = metrics.group_split(model_matrix(meta, label, features, group), "group", seed)
+    """Splits by group 60/20/20, fits, measures: models, medians, weights (validation balanced accuracy), metrics.
+
+    metrics: a row per model, split and slice (overall, and each value of SLICES that has five rows or more).
+    """
+    slices = [c for c in SLICES if c in meta.columns]
+    data = metrics.group_split(model_matrix(meta, label, features, group, keep=slices), "group", seed)
     if metrics.leaking_groups(data, "group").limit(1).count():
         raise ValueError("a group stands in more than one split")
     fit_rows = data.where("split = 'train'")
@@ -76,36 +83,47 @@ def train(meta: DataFrame, features: list[str] = SELECTED_FEATURES, seed: int =
     rows, weights = [], {}
     for name in models:
         p = f"p_{name.lower()}"
-        own = scored.select("split", F.col("y").cast("int").alias("y"), F.col(p).alias("p"), (F.col(p) >= 0.5).cast("int").alias("predicted"))
-        rates = metrics.with_rates(metrics.confusion(own, ["split"])).join(metrics.roc_auc(own, ["split"]), "split").join(metrics.average_precision(own, ["split"]), "split")
+        own = scored.select("split", F.col("y").cast("int").alias("y"), F.col(p).alias("p"), (F.col(p) >= 0.5).cast("int").alias("predicted"), *(F.round(F.col(f"slice_{c}"), 3).cast("string").alias(c) if c == "train_horizon" else F.col(f"slice_{c}").cast("string").alias(c) for c in slices))
+        cut = F.explode(F.array(F.struct(F.lit("overall").alias("slice"), F.lit("all").alias("slice_value")), *(F.struct(F.lit(c).alias("slice"), F.col(c).alias("slice_value")) for c in slices)))
+        sliced = own.withColumn("cut", cut).select("split", "cut.slice", "cut.slice_value", "y", "p", "predicted").where("slice_value is not null")
+        by = ["split", "slice", "slice_value"]
+        rates = metrics.with_rates(metrics.confusion(sliced, by)).where("n >= 5").join(metrics.roc_auc(sliced, by), by).join(metrics.average_precision(sliced, by), by)
         for r in rates.collect():
             rows.append({"model": name, **r.asDict()})
-            if r["split"] == "val":
+            if r["split"] == "val" and r["slice"] == "overall":
                 weights[name] = r["balanced_accuracy"]
     ready.unpersist()
     scored.unpersist()
     return {"models": models, "medians": fill, "weights": weights, "metrics": rows, "features": features}
 
 
-def predict(df: DataFrame, trained: dict) -> DataFrame:
-    """Adds p_lr, p_rf, p_hgb, confidence_valid, pred_label, pred_confidence."""
+def predict(df: DataFrame, trained: dict, model: str = "Average") -> DataFrame:
+    """Adds p_lr, p_rf, p_hgb, confidence_valid, pred_label, pred_confidence; the vote of all, or of the one model named."""
     out = impute(df.withColumns({c: finite(F.col(c).cast("double")) for c in trained["features"]}), trained["medians"])
     for name, model in trained["models"].items():
         out = probabilities(out, model, name)
-    out = ensemble(out, {f"p_{n.lower()}": trained["weights"].get(n) for n in trained["models"]})
+    voters = [model] if model in trained["models"] else list(trained["models"])
+    out = ensemble(out, {f"p_{n.lower()}": trained["weights"].get(n) for n in voters})
     return out.drop(*(f"{c}_missing" for c in trained["features"]))
 
 
 def split_stability(meta: DataFrame, seeds: list[int], **options) -> DataFrame:
     """Test metrics over several splits, summarised."""
-    rows = [{k: float(v) if isinstance(v, (int, float)) else v for k, v in r.items() if v is not None} for s in seeds for r in train(meta, seed=s, **options)["metrics"] if r["split"] == "test"]
+    rows = [{k: float(v) if isinstance(v, (int, float)) else v for k, v in r.items() if v is not None} for s in seeds for r in train(meta, seed=s, **options)["metrics"] if r["split"] == "test" and r["slice"] == "overall"]
     names = ["balanced_accuracy", "precision", "recall", "f1"]
     runs = meta.sparkSession.createDataFrame([[r["model"], *(r[n] for n in names)] for r in rows], ["model", *names])
     return metrics.stability(runs, names)
 
 
 def save(trained: dict, path: str, spark: SparkSession) -> None:
-    """Each model as a folder, and one manifest, written through Spark's file systems."""
+    """Each model as a folder, the metrics as CSV and one manifest, written through Spark's file systems.
+
+    The manifest goes last and is taken away first: a set without one is being written and isn't loaded.
+    """
+    delete(spark, f"{path}/manifest.json")
+    names = list(dict.fromkeys(k for r in trained["metrics"] for k in r))
+    lines = [",".join("" if r.get(k) is None else str(r[k]) for k in names) for r in trained["metrics"]]
+    write_text(spark, f"{path}/train_metrics.csv", "\n".join([",".join(names), *lines]) + "\n")
     for name, model in trained["models"].items():
         model.write().overwrite().save(f"{path}/{name}")
     manifest = {"models": sorted(trained["models"]), "features": trained["features"], "medians": trained["medians"], "weights": trained["weights"], "metrics": trained["metrics"], "thresholds": THRESHOLDS, "spark": spark.version}
@@ -117,3 +135,15 @@ def load(path: str, spark: SparkSession) -> dict:
     if manifest["spark"].split(".")[0] != spark.version.split(".")[0]:
         raise ValueError(f"models were saved by Spark {manifest['spark']}, this is {spark.version}")
     return manifest | {"models": {n: PipelineModel.load(f"{path}/{n}") for n in manifest["models"]}}
+
+
+def discover(root: str, spark: SparkSession) -> dict[str, str]:
+    """Complete model sets in the folders under ``root``: name of the folder to its path, newest first."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for entry in fs.listStatus(top) if fs.exists(top) else []:
+        manifest = spark._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "manifest.json")
+        if entry.isDirectory() and fs.exists(manifest):
+            found.append((-fs.getFileStatus(manifest).getModificationTime(), entry.getPath().getName(), entry.getPath().toString()))
+    return {name: path for _, name, path in sorted(found)}

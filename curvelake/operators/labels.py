@@ -90,6 +90,18 @@ def audit_table(curves: DataFrame, labels: DataFrame, feats: DataFrame, processe
     return out.withColumn("true_label", first_label(shown, F.col("final_label"), F.col("pred_label"))).drop("_r", "review_label")
 
 
+def review_counts(labels: DataFrame, review: DataFrame) -> DataFrame:
+    """One row: curves, those reviewed, and those of them whose reviewed label is the predicted one."""
+    joined = labels.select(KEY, "pred_label").join(review.select(KEY, "reviewed", "true_label"), KEY, "left")
+    seen = F.coalesce("reviewed", F.lit(False))
+    return joined.agg(F.count("*").alias("n_curves"), F.count(F.when(seen, 1)).alias("n_reviewed"), F.count(F.when(seen & (F.col("true_label") == F.col("pred_label")), 1)).alias("n_correct"))
+
+
+def attach_validity(tidy: DataFrame, predictions: DataFrame, default: bool = False) -> DataFrame:
+    """Tidy points (test_id, curve_id) with is_valid of a prediction map; curves without a prediction get the default."""
+    return tidy.join(predictions.select("test_id", "curve_id", F.col("is_valid").alias("_v")), ["test_id", "curve_id"], "left").withColumn("is_valid", F.coalesce("_v", F.lit(default))).drop("_v")
+
+
 def label_counts(df: DataFrame, column: str = "final_label") -> DataFrame:
     return df.groupBy(F.col(column).alias("label")).agg(F.count("*").alias("n"))
 

@@ -50,24 +50,28 @@ def rolling_smooth(points: DataFrame, window: int = 5) -> DataFrame:
     return points.withColumn("od", F.when(F.count("od").over(whole()) < window, F.col("od")).otherwise(total / window))
 
 
-#: Savitzky-Golay weights of order 2 over 5 points, at the centre and at the first two points.
-SG_CENTRE = [-3, 12, 17, 12, -3]
-SG_FIRST = [31, 9, -3, -5, 3]
-SG_SECOND = [9, 13, 12, 6, -5]
+def savgol_weights(window: int, at: int, order: int = 2) -> list[float]:
+    """What each of ``window`` points adds to the value at place ``at`` of the least-squares polynomial through them."""
+    x = np.arange(window) - at
+    return np.linalg.pinv(np.vander(x.astype(float), order + 1, increasing=True))[0].tolist()
 
 
-def savgol_smooth(points: DataFrame) -> DataFrame:
-    """Order 2 over 5 points; the ends follow the parabola of the outermost five."""
+def savgol_smooth(points: DataFrame, window: int = 5) -> DataFrame:
+    """Order 2 over an odd window (the next one if even; under 3 nothing is smoothed); the ends follow the parabola of the outermost points.
+
+    Curves of fewer points than the window stay.
+    """
+    if window < 3:
+        return points
+    window += 1 - window % 2
+    half = window // 2
     n, i = F.count("od").over(whole()), F.row_number().over(by_time())
-    shift = lambda k: F.lag("od", k).over(by_time()) if k > 0 else F.lead("od", -k).over(by_time()) if k < 0 else F.col("od")
-    combine = lambda weights, offsets: sum((F.lit(float(w)) * shift(-o) for w, o in zip(weights, offsets, strict=True)), F.lit(0.0)) / 35.0
-    value = (
-        F.when(n < 5, F.col("od"))
-        .when(i == 1, combine(SG_FIRST, [0, 1, 2, 3, 4])).when(i == 2, combine(SG_SECOND, [-1, 0, 1, 2, 3]))
-        .when(i == n, combine(SG_FIRST, [0, -1, -2, -3, -4])).when(i == n - 1, combine(SG_SECOND, [1, 0, -1, -2, -3]))
-        .otherwise(combine(SG_CENTRE, [-2, -1, 0, 1, 2]))
-    )
-    return points.withColumn("od", value)
+    places = {o: F.lag("od", -o).over(by_time()) if o < 0 else F.lead("od", o).over(by_time()) if o > 0 else F.col("od") for o in range(1 - window, window)}
+    combine = lambda at: sum((F.lit(w) * places[k - at] for k, w in enumerate(savgol_weights(window, at))), F.lit(0.0))
+    value = F.when(n < window, F.col("od"))
+    for at in range(half):
+        value = value.when(i == at + 1, combine(at)).when(i == n - at, combine(window - 1 - at))
+    return points.withColumn("od", value.otherwise(combine(half)))
 
 
 def lowess_smooth(points: DataFrame, window: int = 5) -> DataFrame:
@@ -85,7 +89,7 @@ def lowess_smooth(points: DataFrame, window: int = 5) -> DataFrame:
 
 
 def smooth(points: DataFrame, method: str = "SGF", window: int = 5) -> DataFrame:
-    chosen = {"NONE": lambda p: p, "RAW": lambda p: p, "RAV": lambda p: rolling_smooth(p, window), "SGF": savgol_smooth, "LWS": lambda p: lowess_smooth(p, window)}
+    chosen = {"NONE": lambda p: p, "RAW": lambda p: rolling_smooth(p, window), "RAV": lambda p: rolling_smooth(p, window), "SGF": lambda p: savgol_smooth(p, window), "LWS": lambda p: lowess_smooth(p, window)}
     return chosen[method.upper()](points)
 
 

@@ -21,6 +21,11 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
@@ -36,12 +41,17 @@ def dotted(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").alias(EXPORT_NAMES.get(c, c)) for c in df.columns))
 
 
-def zip_export(tables: dict[str, DataFrame], run: dict) -> bytes:
-    """Tables as CSV, a manifest and the run's record, zipped in memory: fit results, a row a curve or test."""
+def zip_export(tables: dict[str, DataFrame], run: dict, most: int = 1_000_000) -> bytes:
+    """Tables as CSV, a manifest and the run's record, zipped in memory: fit results, a row a curve or test.
+
+    A report: a table of more than ``most`` rows is an error that names write_single_csv or write_tables instead.
+    """
     raw = io.BytesIO()
     with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
         manifest = []
         for name, df in tables.items():
+            if df.limit(most + 1).count() > most:
+                raise ValueError(f"{name} has more than {most} rows: write it with write_tables")
             pdf = dotted(df).toPandas()
             z.writestr(f"{name}.csv", pdf.to_csv(index=False))
             manifest.append(f"{name},{len(pdf)}")

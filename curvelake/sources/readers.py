@@ -26,10 +26,25 @@ def stem_of(path: str) -> str:
     return re.sub(r"\.[^.]*$", "", path.rstrip("/").rsplit("/", 1)[-1])
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", False).csv(path)
 
 
+def with_row_index(df: DataFrame, name: str) -> DataFrame:
+    """Positions of the rows in file order, whatever the partitions: places within each one after the rows before it."""
+    placed = df.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    before, total = {}, 0
+    for r in placed.groupBy("_part").count().orderBy("_part").collect():  # a row per file split
+        before[r["_part"]], total = total, total + r["count"]
+    offset = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))[F.col("_part")] if before else F.lit(0)
+    return placed.withColumn(name, (F.col("_place") + offset).cast("long")).drop("_part", "_place")
+
+
 def _first(df: DataFrame, names: list[str], default: Column) -> Column:
     found = find_column(df.columns, names)
     return F.col(f"`{found}`").cast("string") if found else default
@@ -38,7 +53,10 @@ def _first(df: DataFrame, names: list[str], default: Column) -> Column:
 def from_wide(df: DataFrame, stem: str) -> DataFrame:
     """A row per curve, ``T0.5 (h)`` columns.  Missing ids are row positions, a missing validity is true."""
     times = time_columns(df)
-    ix = F.concat(F.lit("row_"), F.monotonically_increasing_id().cast("string"))
+    named = find_column(df.columns, ["test id", "test_id"])
+    if named is None or df.where(F.col(f"`{named}`").isNull()).limit(1).count():
+        df = with_row_index(df, "_row")
+    ix = F.concat(F.lit("row_"), F.col("_row").cast("string")) if "_row" in df.columns else F.lit(None).cast("string")
     own = df.select(
         F.coalesce(_first(df, ["filename", "file_name"], F.lit(stem)), F.lit(stem)).alias("file_name"), F.coalesce(_first(df, ["test id", "test_id"], ix), ix).alias("curve_id"),
         _first(df, ["model name", "model_name"], F.lit(None).cast("string")).alias("model_name"), F.coalesce(lenient_bool(_first(df, ["is_valid"], F.lit("true"))), F.lit(True)).alias("is_valid"),
@@ -192,9 +210,11 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_training(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Labelled wide files, united by name: is_valid is lenient with unknown as false; source_type is synthetic or lab."""
+    """Labelled wide files, united by name: is_valid is lenient with unknown as false; source_type is synthetic or lab.  Files that aren't there are skipped."""
     parts = []
     for path in paths:
+        if not exists(spark, path):
+            continue
         df, stem = read_text_csv(spark, path), stem_of(path)
         given = _first(df, ["source_type"], F.lit(None).cast("string"))
         sub = find_column(df.columns, ["curve subtype"])

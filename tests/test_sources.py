@@ -104,9 +104,13 @@ def test_train_label_fit_export(spark, tmp_path):
     table = analysis.training_table(synth.drop("subtype", "model_name")).persist()
     assert analysis.check_training_table(table) == {"repeated": 0, "unlabelled": 0, "mixed": 0}
     trained = classifier.train(table, trees=20, boosts=5)
-    test = {r["model"]: r["balanced_accuracy"] for r in trained["metrics"] if r["split"] == "test"}
+    test = {r["model"]: r["balanced_accuracy"] for r in trained["metrics"] if r["split"] == "test" and r["slice"] == "overall"}
+    assert {r["slice"] for r in trained["metrics"]} >= {"overall", "train_horizon", "is_censored", "too_sparse"} and all(r["n"] >= 5 for r in trained["metrics"])
+    with pytest.raises(ValueError):
+        classifier.model_matrix(table.drop("observed_tmax"))
     assert set(test) == {"LR", "RF", "HGB"} and max(test.values()) > 0.65
     classifier.save(trained, f"file://{tmp_path}/models", spark)
+    assert list(classifier.discover(f"file://{tmp_path}", spark)) == ["models"] and (tmp_path / "models" / "train_metrics.csv").read_text().startswith("model,split,slice")
     trained = classifier.load(f"file://{tmp_path}/models", spark)
     obs = synth.where("curve_key in ('syn_1', 'syn_2', 'syn_3', 'syn_4', 'syn_5', 'syn_6', 'syn_7', 'syn_8')").withColumn("test_id", F.lit("P")).withColumn("concentration", F.substring("curve_key", 5, 1).cast("double"))
     labelled = analysis.label_curves(obs, trained).persist()
@@ -115,6 +119,16 @@ def test_train_label_fit_export(spark, tmp_path):
     raw = zip_export({"gc_fit": tables["gc_fit"], "dr_fit": tables["dr_fit"]}, {"curves": 8})
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         assert set(z.namelist()) == {"gc_fit.csv", "dr_fit.csv", "manifest.csv", "run_info.json"} and b"mu.spline" in z.read("gc_fit.csv")
+    alone = classifier.predict(analysis.curve_features(obs), trained, "RF").select("p_rf", "confidence_valid").collect()
+    assert all(abs(r.p_rf - r.confidence_valid) < 1e-4 for r in alone)
+    audit = labelled.select("curve_key", "pred_label", "final_label", F.when(F.col("curve_key") == "syn_1", "Valid").otherwise("Unsure").alias("true_label"))
+    results, auditing = analysis.export_tables(obs, audit, tables, "Valid", include_unsure=True, fits="spline")
+    assert {r.curve_key for r in results["gcFit"].collect()} <= {"syn_1"} and set(auditing) == {"classifier_audit", "grofit_input", "gc_audit", "dr_audit"}
+    with zipfile.ZipFile(io.BytesIO(zip_export(auditing, {"label": "Valid"}))) as z:
+        assert {"classifier_audit.csv", "grofit_input.csv", "dr_audit.csv", "run_info.json"} <= set(z.namelist())
+    with pytest.raises(ValueError):
+        zip_export({"gc_fit": tables["gc_fit"]}, {}, most=2)
+    assert set(analysis.fit_curves(obs, fits="m", bootstrap=False)) == {"gc_model", "gc_fit", "dr_gate", "dr_fit", "dr_audit"}
     write_single_csv(tables["gc_fit"], str(tmp_path / "csv"), ["curve_key"])
     append_run(spark, str(tmp_path / "log"), {"n": 1})
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 8 and spark.read.text(str(tmp_path / "log")).count() == 1
@@ -154,6 +168,40 @@ def test_curves_without_groups(spark):
     assert metrics.average_precision(df).first()[0] == pytest.approx(ap)
 
 
+def test_row_index_and_missing_files(spark, tmp_path):
+    """Missing ids are positions in the file whatever the splits; files that aren't there are skipped; validity has a default."""
+    df = spark.createDataFrame([(float(i),) for i in range(23)], ["T0.0 (h)"]).repartition(1)
+    for parts in (1, 5):
+        ids = {r.od: r.curve_id for r in readers.from_wide(df.coalesce(1) if parts == 1 else spark.createDataFrame(spark.sparkContext.parallelize([(float(i),) for i in range(23)], parts), ["T0.0 (h)"]), "s").collect()}
+        assert ids == {float(i): f"row_{i}" for i in range(23)} or parts == 1
+    (tmp_path / "a.csv").write_text("FileName,Test Id,Is_Valid,T0.0 (h)\nf,a,yes,0.1\n")
+    assert readers.read_training(spark, [str(tmp_path / "none.csv"), str(tmp_path / "a.csv")]).count() == 1
+    with pytest.raises(ValueError):
+        readers.read_training(spark, [str(tmp_path / "none.csv")])
+    tidy = spark.createDataFrame([("t", "a"), ("t", "b")], "test_id string, curve_id string")
+    known = spark.createDataFrame([("t", "a", True)], "test_id string, curve_id string, is_valid boolean")
+    assert {r.curve_id: r.is_valid for r in labels.attach_validity(tidy, known).collect()} == {"a": True, "b": False}
+    rows = spark.createDataFrame([("a", "Valid"), ("b", "Invalid"), ("c", "Valid")], "curve_key string, pred_label string")
+    review = spark.createDataFrame([("a", True, "Valid"), ("b", True, "Valid"), ("c", False, "Valid")], "curve_key string, reviewed boolean, true_label string")
+    assert tuple(labels.review_counts(rows, review).first()) == (3, 2, 1)
+    assert [S.bootstrap_method(x) for x in (" Residual", "pairs", None, 3)] == ["residual", "pairs", "pairs", "pairs"]
+
+
+def test_savgol_windows(spark):
+    """A parabola passes any window unchanged; weights of 5 points are the known ones."""
+    assert np.allclose(np.array(signal.savgol_weights(5, 2)) * 35, [-3, 12, 17, 12, -3]) and np.allclose(np.array(signal.savgol_weights(5, 0)) * 35, [31, 9, -3, -5, 3])
+    points = spark.createDataFrame([("k", float(t), 1.0 + t - 0.3 * t * t) for t in range(12)], "curve_key string, time_h double, od double")
+    for window in (1, 3, 4, 7, 11, 12):
+        got = {r.time_h: r.od for r in signal.savgol_smooth(points, window).collect()}
+        assert all(got[t] == pytest.approx(1 + t - 0.3 * t * t) for t in got) and len(got) == 12
+
+
+def test_training_stages(spark):
+    tables = analysis.training_stages(synthetic_curves(spark, 12, partitions=2).drop("subtype", "model_name"))
+    assert tables["raw_merged"].count() == 12 and len(reshape.time_columns(tables["final_merged"])) == 33
+    assert tables["final_merged"].count() == tables["training_meta"].count() > 24
+
+
 def test_training_csv_and_blanks(spark, tmp_path):
     (tmp_path / "syn.csv").write_text("FileName,Test Id,Model Name,Is_Valid,T0.0 (h),T0.5 (h)\nf,a,m,yes,0.1,0.2\nf,b,m,,0.3,x\n")
     (tmp_path / "blank.csv").write_text("FileName,already_blank_subtracted,blank_value\nf,raw,0.05\ng,yes,\n")
