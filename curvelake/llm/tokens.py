@@ -23,6 +23,7 @@ import re
 import struct
 import zlib
 from array import array
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -110,6 +111,12 @@ class ChunkEncoder:
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> ChunkEncoder:
+    """One a Python worker: the tasks that it runs share what is known."""
+    return ChunkEncoder(path)
+
+
 def pack(shard: int, doc_ids: list[int | None], frames: list[bytes], seek: list[tuple[int, int, int]], counts: list[int], width: int) -> bytes:
     """One shard, but for the magic number at its end."""
     entries = np.zeros(len(doc_ids), dtype=_ENTRY)
@@ -160,7 +167,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     def run(batches):
         from pyspark import TaskContext
 
-        coder = ChunkEncoder(tokenizer)
+        coder = encoder(tokenizer)
         tail = np.array([] if end_id is None else [end_id], dtype=coder.dtype)
         zip_ = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True).compress
         ids, frames, seek, counts = [], [], [], []
