@@ -1,14 +1,16 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
-Texts are sets of word shingles.  Texts with equal sets form one class and are compared once.  MinHash
-bands propose candidates: classes that share a bucket are chained to the bucket's smallest member (a
-star, so a bucket of any size adds one row per member), and the stars' connected components are the
-groups inside which every candidate pair lies.  A group is cut into blocks, and each pair of blocks is
-one unit of work of bounded size: MinHash values of its pairs are compared a slice at a time, a pair is
-dropped once the posterior probability that its similarity reaches the threshold is below ``tolerance``,
-and the pairs that are left are verified exactly by intersecting the shingle sets.  Units return link
-counts and a spanning star per text, never the pairs, so nothing grows with the square of a group but
-the comparisons themselves.
+Texts are sets of word shingles.  Texts with equal sets form one class and are compared once.  Candidates are
+pairs that share a MinHash band's bucket.  Members of a bucket are first compared with its smallest member
+(a star, so a bucket of any size adds one row per member); where all of them may reach the threshold with it,
+they are together already.  In the other buckets the remaining pairs are compared with each other, in pairs of
+blocks of members that are units of work of their own; the first bucket that a pair shares owns it.  A
+comparison takes MinHash values a slice at a time and drops the pair once the posterior probability that its
+similarity reaches the threshold is below ``tolerance``.  What survives is linked to groups by connected
+components, so texts that only share boilerplate don't meet in one group.  A group is cut into blocks again,
+and each pair of blocks is pruned in the same way and verified exactly by intersecting the shingle sets.
+Units return link counts and a spanning star per text, never the pairs, so nothing but the comparisons
+themselves grows with the square of a bucket or group.
 
 At 32 bands of 4 values a pair at similarity 0.8 is missed with probability (1 - 0.8**4)**32 < 5e-8, and
 pruning loses one with probability near ``tolerance``.
@@ -89,6 +91,104 @@ def least_matches(threshold: float, tolerance: float, steps: list[int]) -> list[
     return out
 
 
+def _spanning(i: np.ndarray, j: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """For each row the least name that links among the rows reach."""
+    label = names.copy()
+    while len(i):
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def _survivors(left: np.ndarray, right: np.ndarray, least: list[tuple[int, int]], wanted, rows: int = 64):
+    """Pairs of rows of two blocks of MinHash bytes that are never dropped; ``wanted`` masks the pairs of some left rows."""
+    found = []
+    upto, fewest = least[0]
+    for k in range(0, len(left), rows):
+        part = left[k : k + rows]
+        matches = (part[:, None, :upto] == right[None, :, :upto]).sum(axis=2, dtype=np.int32)
+        i, j = np.nonzero((matches >= fewest) & wanted(k, k + len(part)))
+        matches, done = matches[i, j], upto
+        for more, enough in least[1:]:
+            matches = matches + (part[i, done:more] == right[j, done:more]).sum(axis=1, dtype=np.int32)
+            keep, done = matches >= enough, more
+            i, j, matches = i[keep], j[keep], matches[keep]
+        found.append((i + k, j))
+    return (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _bytes_of(column: pa.Array, values: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, values)
+
+
+def _likely(values: int, least: list[tuple[int, int]]):
+    """Stars to (rep, head, likely)."""
+
+    def run(batches):
+        for batch in batches:
+            same = _bytes_of(batch.column("sig_a"), values) == _bytes_of(batch.column("sig_b"), values)
+            ok = np.ones(len(batch), dtype=bool)
+            for upto, fewest in least:
+                ok &= same[:, :upto].sum(axis=1) >= fewest
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("head"), pa.array(ok)], names=["rep", "head", "likely"])
+
+    return run
+
+
+def _compare(values: int, bands: int, least: list[tuple[int, int]]):
+    """Sorted rows (bucket, i, j, at, band, rep, near, sig8) of units to spanning stars (a, b) of the pairs that survive."""
+    width = values // bands
+
+    def unit(table: pa.Table):
+        band, own = table["band"][0].as_py(), table["i"][0].as_py()
+        at, rep, near = (table[c].to_numpy() for c in ("at", "rep", "near"))
+        sig = _bytes_of(table["sig8"].combine_chunks(), values)
+        same = own == table["j"][0].as_py()
+        left = np.flatnonzero(at == own)
+        right = left if same else np.flatnonzero(at != own)
+        if not len(left) or not len(right):
+            return
+        later = np.arange(len(left))
+
+        def wanted(a, b):  # pairs that both are near the head are together already
+            pairs = ~(near[left[a:b], None] & near[right][None, :])
+            return pairs & (later[a:b, None] < later[None, :]) if same else pairs
+
+        i, j = _survivors(sig[left], sig[right], least, wanted)
+        i, j = left[i], right[j]
+        if band and len(i):  # an earlier band that both share has compared them
+            owned = (sig[i, : band * width].reshape(-1, band, width) == sig[j, : band * width].reshape(-1, band, width)).all(axis=2).any(axis=1)
+            i, j = i[~owned], j[~owned]
+        label = _spanning(i, j, rep)
+        moved = np.flatnonzero(label != rep)
+        yield from zip(rep[moved].tolist(), label[moved].tolist(), strict=True)
+
+    def emit(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 2)], names=["a", "b"])
+
+    def run(batches):
+        out, held = [], None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            keys = np.stack([held[c].to_numpy() for c in ("bucket", "i", "j")])
+            cuts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [held.num_rows]])
+            for a, b in zip(cuts[:-2], cuts[1:-1], strict=True):
+                out.extend(unit(held.slice(a, b - a)))
+            held = held.slice(cuts[-2])
+            if len(out) > 20_000:
+                yield emit(out)
+                out = []
+        if held is not None and held.num_rows:
+            out.extend(unit(held))
+        yield emit(out)
+
+    return run
+
+
 def _sketch(n: int, count: int, bands: int):
     rows_per_band = count // bands
 
@@ -110,8 +210,8 @@ def _sketch(n: int, count: int, bands: int):
                     band = T.mix(band)
                 bands_col = pa.ListArray.from_arrays(np.arange(len(block) + 1, dtype=np.int32) * bands, pa.array(band.view(np.int64).reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(block.row, len(block)), batch.column(2).slice(block.row, len(block)), pa.array(size), pa.array(whole[0].view(np.int64)), pa.array(whole[1].view(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary()), bands_col],
-                    names=["doc_id", "row_key", "n_shingles", "set_a", "set_b", "sig", "bands"],
+                    [batch.column(0).slice(block.row, len(block)), batch.column(2).slice(block.row, len(block)), pa.array(size), pa.array(whole[0].view(np.int64)), pa.array(whole[1].view(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary()), bands_col],
+                    names=["doc_id", "row_key", "n_shingles", "set_a", "set_b", "sig", "sig8", "bands"],
                 )
 
     return run
@@ -193,14 +293,7 @@ def _verify(threshold: float, least: list[tuple[int, int]]):
         texts = np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
         docs = (np.bincount(i, weights=copies[j], minlength=n) + np.bincount(j, weights=copies[i], minlength=n)).astype(np.int64)
         names = np.array([r["rep"] for r in both], dtype=np.int64)
-        label = names.copy()
-        while len(i):  # least name over the links of this unit
-            new = label.copy()
-            np.minimum.at(new, i, label[j])
-            np.minimum.at(new, j, label[i])
-            if (new == label).all():
-                break
-            label = new
+        label = _spanning(i, j, names)
         for k in np.flatnonzero(texts):
             yield int(names[k]), int(texts[k]), int(docs[k]), int(label[k])
 
@@ -227,34 +320,56 @@ def _verify(threshold: float, least: list[tuple[int, int]]):
     return run
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, values: int = 128, bands: int = 32, tolerance: float = 1e-7, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _candidates(reps: DataFrame, scratch: Scratch, values: int, bands: int, least: list[tuple[int, int]], members: int) -> DataFrame:
+    """(a, b): links between sets that may reach the threshold, enough of them to join all such pairs to groups.
+
+    sig8 has the lowest byte of each MinHash value: a 256th of the unequal ones match too, which drops no pair.
+    """
+    light = reps.select("rep", "sig8", "bands")
+    banded = light.select("rep", F.posexplode("bands").alias("band", "bucket"))
+    heads = banded.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1")
+    shared = scratch.write("shared", banded.join(heads, "bucket"))
+    sig = lambda rep, name: light.select(F.col("rep").alias(rep), F.col("sig8").alias(name))
+    pairs = shared.where("rep <> head").select("rep", "head").distinct().join(sig("rep", "sig_a"), "rep").join(sig("head", "sig_b"), "head")
+    stars = scratch.write("stars", pairs.mapInArrow(_likely(values, least), "rep long, head long, likely boolean"))
+    flagged = shared.join(stars, ["rep", "head"], "left").withColumn("near", F.coalesce("likely", F.lit(True)))  # the head is near itself
+    mixed = flagged.where("not near").select("bucket").distinct()
+    blocks = F.ceil(F.col("n") / members).cast("int")
+    placed = flagged.join(mixed, "bucket", "left_semi").select("bucket", "band", "rep", "near", blocks.alias("nb"), F.pmod(F.xxhash64("rep", F.lit(1)), blocks.cast("long")).cast("int").alias("at")).join(light.select("rep", "sig8"), "rep")
+    units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("bucket", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "band", "rep", "near", "sig8")
+    found = units.repartition(F.col("bucket"), F.col("i"), F.col("j")).sortWithinPartitions("bucket", "i", "j").mapInArrow(_compare(values, bands, least), "a long, b long")
+    return stars.where("likely").select(F.col("rep").alias("a"), F.col("head").alias("b")).unionAll(found)
+
+
+def jaccard_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, values: int = 128, bands: int = 32, tolerance: float = 1e-7, block: int = 512, members: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, class_id (smallest doc_id of the linked class), copy_id (of equal shingle sets), n_links, n_text_links, n_copies, is_first.
 
     n_links counts the other documents at or above the threshold, n_text_links the other shingle sets.
-    is_first is true for one row of each class.  ``block`` is the number of texts a side of one unit of work.
+    is_first is true for one row of each class.  ``block`` is the number of texts a side of one unit of verification, ``members`` that of candidate search.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "jaccard")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("long"), text_col).alias("row_key"))
-    sketch = scratch.write("sketch", rows.mapInArrow(_sketch(n, values, bands), "doc_id long, row_key long, n_shingles long, set_a long, set_b long, sig binary, bands array<long>"))
+    sketch = scratch.write("sketch", rows.mapInArrow(_sketch(n, values, bands), "doc_id long, row_key long, n_shingles long, set_a long, set_b long, sig binary, sig8 binary, bands array<long>"))
     sets = scratch.write("sets", sketch.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("row_key").alias("rep"), F.min("doc_id").alias("copy_id"), F.count("*").alias("copies")))
     # one row of each set: its representative; rows repeated whole share the key and all values
-    reps = sketch.join(sets.where("copies > 0").select("rep", "copies", F.col("set_a").alias("sa"), F.col("set_b").alias("sb")), (F.col("row_key") == F.col("rep")) & (F.col("set_a") == F.col("sa")) & (F.col("set_b") == F.col("sb"))).select("rep", "copies", "sig", "bands")
-    reps = scratch.write("reps", reps.groupBy("rep").agg(F.first("copies").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
-    banded = reps.select("rep", F.explode("bands").alias("bucket"))
-    heads = banded.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head")
-    stars = banded.join(heads, "bucket").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
-    groups = scratch.write("groups", connected_components(stars, scratch, "candidates"))
+    reps = sketch.join(sets.where("copies > 0").select("rep", "copies", F.col("set_a").alias("sa"), F.col("set_b").alias("sb")), (F.col("row_key") == F.col("rep")) & (F.col("set_a") == F.col("sa")) & (F.col("set_b") == F.col("sb"))).select("rep", "copies", "sig", "sig8", "bands")
+    reps = scratch.write("reps", reps.groupBy("rep").agg(F.first("copies").alias("copies"), F.first("sig").alias("sig"), F.first("sig8").alias("sig8"), F.first("bands").alias("bands")))
+    steps = [k for k in (16, 32, 64, 96, values) if k <= values]
+    least = list(zip(steps, least_matches(threshold, tolerance, steps), strict=True))
+    groups = scratch.write("groups", connected_components(_candidates(reps, scratch, values, bands, least, members), scratch, "candidates"))
+    for used in ("shared", "stars"):
+        scratch.drop(used)
     sizes = groups.groupBy("component").agg(F.count("*").alias("m")).withColumn("nb", F.ceil(F.col("m") / block).cast("int"))
     member = scratch.write("member", groups.join(sizes, "component").select(F.col("node").alias("rep"), "component", "nb", F.pmod(F.xxhash64("node"), F.col("nb").cast("long")).cast("int").alias("at")))
     texts = rows.join(broadcast_if_small(member.select(F.col("rep").alias("row_key")), 2_000_000), "row_key", "left_semi").dropDuplicates(["row_key"]).select("row_key", "text")
     keyed = texts.mapInArrow(_shingle_rows(n), "row_key long, keys binary").withColumnRenamed("row_key", "rep")
     full = scratch.write("full", member.join(reps.select("rep", "copies", "sig"), "rep").join(keyed, "rep"))
     units = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("component", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "rep", "copies", "sig", "keys")
-    steps = [k for k in (16, 32, 64, 96, values) if k <= values]
-    least = list(zip(steps, least_matches(threshold, tolerance, steps), strict=True))
     dealt = units.repartition(F.col("component"), F.col("i"), F.col("j")).sortWithinPartitions("component", "i", "j")
     linked = scratch.write("linked", dealt.mapInArrow(_verify(threshold, least), "rep long, texts long, docs long, label long"))
     classes = connected_components(linked.select(F.col("rep").alias("a"), F.col("label").alias("b")), scratch, "classes")
+    for used in ("reps", "groups", "member", "full"):
+        scratch.drop(used)
     counts = linked.groupBy("rep").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     of_set = sets.join(counts, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least_id = of_set.groupBy("component").agg(F.min("copy_id").alias("class_id"), F.min("rep").alias("first_rep"))

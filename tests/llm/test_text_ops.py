@@ -227,13 +227,29 @@ def test_jaccard_links(spark, sf, which):
         base = [f"t{i}" for i in range(120)]
         texts = [base[:k] + [f"n{k}"] + base[k:] for k in range(5, 115, 4)] + [base[: 120 - k] for k in range(0, 40, 3)] + [base[k:] + base[:k] for k in range(0, 60, 7)]
         docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = jaccard_classes(docs, block=8)
+    got = jaccard_classes(docs, block=8, members=5)
     assert rows_of(got, "doc_id", "class_id", "n_links") == brute_jaccard([(r.doc_id, r.text) for r in docs.collect()])
     firsts = got.where("is_first").groupBy("class_id").agg(F.countDistinct("row_key").alias("n")).where("class_id is not null and n <> 1").count()
     assert firsts == 0
     assert jaccard_classes(empty(spark)).count() == 0
 
 
+def test_jaccard_boilerplate(spark, monkeypatch):
+    """Texts that share a long passage but are no near copies don't meet in one group; pairs of near copies among them do."""
+    passage = [f"b{i}" for i in range(200)]
+    texts = [passage + [f"d{k}x{i}" for i in range(130)] for k in range(150)]
+    texts += [t[:-6] + [f"new{k}"] for k, t in enumerate(texts[:40])]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    groups = []
+    from curvelake.llm import jaccard
+
+    components = jaccard.connected_components
+    monkeypatch.setattr(jaccard, "connected_components", lambda edges, scratch, name: (lambda out: (groups.append(out.groupBy("component").count().agg(F.max("count")).first()[0]), out)[1])(components(edges, scratch, name)))
+    got = jaccard_classes(docs, members=32)
+    assert rows_of(got, "doc_id", "class_id", "n_links") == brute_jaccard([(r.doc_id, r.text) for r in docs.collect()])
+    assert groups[0] <= 4  # candidates' groups
+
+
 def test_pruning_bound():
     least = least_matches(0.8, 1e-7, [16, 32, 128])
     assert least == sorted(least) and 0 < least[0] < 13 and least[2] < 103
