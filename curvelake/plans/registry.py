@@ -136,8 +136,18 @@ def _features(spark, d):
     return features.features(points, grid.point_stats(early))
 
 
+def _rounded_features(f):
+    return _rounded(f, 5, observed_tmax=6, max_gap_hours=6, missing_frac_on_grid=6)
+
+
 def features_all(spark, d):
-    return _rounded(_features(spark, d), 5, observed_tmax=6, max_gap_hours=6, missing_frac_on_grid=6)
+    return _rounded_features(_features(spark, d))
+
+
+def truncated_features(spark, d):
+    """Features of every curve cut at its horizons: the larger part of the training table."""
+    cut = augment.truncate(_obs(spark, d), 3).select(F.col("aug_id").alias(KEY), "time_h", "od")
+    return _rounded_features(features.features(signal.preprocess(grid.grid_interpolate(cut)), grid.point_stats(cut, GridConfig(min_points=3))))
 
 
 def mad_noise(spark, d):
@@ -207,7 +217,9 @@ def audit_join(spark, d):
     processed = signal.preprocess(grid.grid_interpolate(obs.where("time_h <= 16")))
     curves = obs.groupBy(KEY).agg(F.first("test_id").alias("test_id"), F.first("concentration").alias("concentration"))
     final = _final(spark, d).select(KEY, "pred_label", "final_label", "label_reason")
-    return labels.audit_table(curves, final, _features(spark, d), processed, labels.review_table(final))
+    audit = labels.audit_table(curves, final, _features(spark, d), processed, labels.review_table(final))
+    total = F.aggregate("processed", F.lit(0.0), lambda a, x: a + x["od"])
+    return audit.select(KEY, "test_id", "concentration", "pred_label", "final_label", "label_reason", *(F.round(c, 5).alias(c) for c in ("observed_tmax", "auc", "largest_drop_frac", "plateau_OD")), F.size("processed").alias("n_processed"), F.round(total, 4).alias("processed_sum"), "true_label")
 
 
 def label_resolution(spark, d):
@@ -355,7 +367,7 @@ def training_features(spark, d):
 
 
 NAMES = [
-    features_all, curve_point_stats, dedupe_mean_long, long_to_wide, wide_to_long, conc_from_id, duration_to_hours, time_unit_inference, curve_key_attach, grid_interpolate, grid_missing, baseline_correct, rolling_smooth, savgol_smooth, lowess_smooth,
+    features_all, truncated_features, curve_point_stats, dedupe_mean_long, long_to_wide, wide_to_long, conc_from_id, duration_to_hours, time_unit_inference, curve_key_attach, grid_interpolate, grid_missing, baseline_correct, rolling_smooth, savgol_smooth, lowess_smooth,
     max_normalize, minmax_normalize, preprocess_chain, mad_noise, theil_sen, artifact_score, dynamic_min_points, stage2_evidence, ensemble_vote, stage2_status, final_labels, validity_join, membership_filter, label_counts, audit_join,
     label_resolution, truncate_augment, gap_augment, class_metrics_by_slice, roc_auc, average_precision, class_weights, group_split, bootstrap_mean_ci, model_curve_eval, aic_table, dr_response_table, conc_span, ec50_linear_crossing,
     gc_spline_fit, gc_model_fit, gc_boot, gc_audit, dr_fit, dr_boot, dr_audit, dr_payload, curve_payload, training_features, synthetic_curves, train_predict,

@@ -120,6 +120,19 @@ RESPONSES = "responses AS (SELECT test_id, concentration, max(od) AS a, avg(od_r
 
 RATES = """CASE WHEN tp + fn > 0 AND tn + fp > 0 THEN (coalesce(tp / nullif(tp + fn, 0), 0) + coalesce(tn / nullif(tn + fp, 0), 0)) / 2 ELSE greatest(coalesce(tp / nullif(tp + fn, 0), 0), coalesce(tn / nullif(tn + fp, 0), 0)) END"""
 
+FEATURE_COLUMNS = (
+    "SELECT curve_key, round(observed_tmax, 6) AS observed_tmax, n_points_observed, round(max_gap_hours, 6) AS max_gap_hours, round(missing_frac_on_grid, 6) AS missing_frac_on_grid, too_sparse, grid_resolution_mismatch, train_horizon, noise_residual_std_is_fallback, is_censored, "
+    + ", ".join(f"round({c}, 5) AS {c}" for c in "initial_OD final_OD auc auc_per_hour net_change_per_hour max_slope time_of_max_slope time_of_max_OD monotonicity_fraction largest_drop_frac roughness noise_residual_std lag_time_est plateau_OD growth_phase_duration symmetry_factor".split()) + ", num_slope_sign_changes, multi_phase_flag FROM feats"
+)
+PICKED = "picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY curve_key ORDER BY " + U.format("'42|' || curve_key || '|' || ht") + ", h) AS r FROM (SELECT DISTINCT curve_key FROM obs0), (SELECT unnest([8.0, 10.0, 12.0, 14.5, 16.0]) AS h, unnest(['8', '10', '12', '14.5', '16']) AS ht)) WHERE r <= 3)"
+TRUNCATED = "obs AS (SELECT o.curve_key || '_H' || ht AS curve_key, time_h, od FROM obs0 o JOIN picked USING (curve_key) WHERE time_h <= h + 1e-9)"
+TRUNCATED_FEATURES = _with(OBS.replace("obs AS", "obs0 AS", 1), PICKED, TRUNCATED, POINTS, GRID, SEEN, SMOOTHED, MINMAX, STATS.format(source="obs").replace("n_points < 4", "n_points < 3"), FEATURES)
+AUDIT_FEATURES = "observed_tmax auc largest_drop_frac plateau_OD".split()
+AUDIT = FINAL.rstrip() + """
+SELECT o.curve_key, any_value(o.test_id) AS test_id, any_value(o.concentration) AS concentration, any_value(v.pred_label) AS pred_label, any_value(v.final_label) AS final_label, any_value(v.label_reason) AS label_reason,
+       """ + ", ".join(f"round(any_value(f.{c}), 5) AS {c}" for c in AUDIT_FEATURES) + """, any_value(p.n) AS n_processed, round(any_value(p.total), 4) AS processed_sum, any_value(v.final_label) AS true_label
+FROM obs o LEFT JOIN overridden v USING (curve_key) LEFT JOIN feats f USING (curve_key) LEFT JOIN (SELECT curve_key, count(*)::INT AS n, sum(od) AS total FROM normed GROUP BY 1) p USING (curve_key) GROUP BY o.curve_key"""
+
 SQL = {
     "curve_point_stats": _with(OBS, STATS.format(source="obs")) + "SELECT curve_key, n_points, round(max_gap, 6) AS max_gap, round(span, 6) AS span, expected, round(missing_frac, 6) AS missing_frac, too_sparse FROM stats",
     "dedupe_mean_long": "SELECT user_id, date_trunc('day', ts) AS day, round(avg(value), 6) AS mean_value, count(*) AS n FROM events GROUP BY ALL",
@@ -137,8 +150,9 @@ SQL = {
     "max_normalize": GRIDDED + "SELECT curve_key, time_h, round(CASE WHEN hi > 0 THEN od / hi ELSE od END, 6) AS od FROM (SELECT *, max(od) OVER (PARTITION BY curve_key) AS hi FROM seen)",
     "minmax_normalize": _with(OBS, POINTS, GRID, SEEN, "smoothed AS (SELECT * FROM seen)", MINMAX) + "SELECT curve_key, time_h, round(od, 6) AS od FROM normed",
     "preprocess_chain": _with(OBS, POINTS, GRID, SEEN, SMOOTHED, MINMAX) + "SELECT curve_key, time_h, round(od, 6) AS od FROM normed",
-    "features_all": ALL_FEATURES + "SELECT curve_key, round(observed_tmax, 6) AS observed_tmax, n_points_observed, round(max_gap_hours, 6) AS max_gap_hours, round(missing_frac_on_grid, 6) AS missing_frac_on_grid, too_sparse, grid_resolution_mismatch, train_horizon, noise_residual_std_is_fallback, is_censored, "
-    + ", ".join(f"round({c}, 5) AS {c}" for c in "initial_OD final_OD auc auc_per_hour net_change_per_hour max_slope time_of_max_slope time_of_max_OD monotonicity_fraction largest_drop_frac roughness noise_residual_std lag_time_est plateau_OD growth_phase_duration symmetry_factor".split()) + ", num_slope_sign_changes, multi_phase_flag FROM feats",
+    "features_all": ALL_FEATURES + FEATURE_COLUMNS,
+    "truncated_features": TRUNCATED_FEATURES + FEATURE_COLUMNS,
+    "audit_join": AUDIT,
     "mad_noise": _with(OBS, RAW, NOISE) + "SELECT curve_key, round(noise_level, 6) AS noise_level FROM noise",
     "theil_sen": _with(OBS, RAW, LATE, SLOPES) + "SELECT curve_key, round(slope, 6) AS slope FROM slopes",
     "artifact_score": _with(OBS, RAW, NOISE, LATE, ARTIFACT) + "SELECT curve_key, round(cv_score, 6) AS cv_score, round(flip_score, 6) AS flip_score, round(decline_score, 6) AS decline_score, round(artifact_score, 6) AS artifact_score FROM artifact",
