@@ -97,12 +97,12 @@ def train(meta: DataFrame, features: list[str] = SELECTED_FEATURES, seed: int =
     return {"models": models, "medians": fill, "weights": weights, "metrics": rows, "features": features}
 
 
-def predict(df: DataFrame, trained: dict, model: str = "Average") -> DataFrame:
+def predict(df: DataFrame, trained: dict, only: str = "Average") -> DataFrame:
     """Adds p_lr, p_rf, p_hgb, confidence_valid, pred_label, pred_confidence; the vote of all, or of the one model named."""
     out = impute(df.withColumns({c: finite(F.col(c).cast("double")) for c in trained["features"]}), trained["medians"])
     for name, model in trained["models"].items():
         out = probabilities(out, model, name)
-    voters = [model] if model in trained["models"] else list(trained["models"])
+    voters = [only] if only in trained["models"] else list(trained["models"])
     out = ensemble(out, {f"p_{n.lower()}": trained["weights"].get(n) for n in voters})
     return out.drop(*(f"{c}_missing" for c in trained["features"]))
 
