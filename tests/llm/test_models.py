@@ -14,7 +14,7 @@ import public_tokenizers
 import pytest
 import zstandard
 from pyspark.sql import functions as F
-from test_text_ops import SPACED, awkward, documents, empty, lower
+from test_text_ops import SPACED, awkward, brute_decontam, brute_jaccard, documents, empty, lower
 
 import corpus_pipeline
 from curvelake.llm import html_text, interpolation, langid, mixing, toxicity
@@ -448,3 +448,52 @@ def test_pipeline_stages(spark, sf, tmp_path):
                 assert after.exceptAll(kept.select(*corpus_pipeline.COLUMNS)).count() == 0
             kept = after
     assert corpus_pipeline.run(spark, sf).count() > 50
+
+
+def poisson_copies(doc_id, rate, seed=Q.MIX_SEED):
+    u = (int(hashlib.md5(f"{seed}|{doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+    k, c = 0, math.exp(-rate)
+    while u > c:
+        k += 1
+        c += math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1))
+    return k
+
+
+def test_pipeline_brute(spark, sf, tmp_path):
+    """Each stage's rows on the smallest tables against plain loops over what its predecessor kept."""
+    from tokenizers import Tokenizer
+
+    docs = documents(spark, sf)
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        before = [tuple(r) for r in docs.select("doc_id", "text", "source").collect()]
+        path = f"file://{tmp_path}/{name}"
+        stage(spark, docs, sf).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if name == "tokens":
+            plain = Tokenizer.from_file(BPE)
+            plain.encode_special_tokens = True
+            want = []
+            for d, text, _ in before:
+                ids = [*plain.encode(text or "", add_special_tokens=False).ids, 2]
+                want.append((d, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+            assert sorted(tuple(r) for r in docs.select("doc_id", "n_tokens", "ids_crc32").collect()) == sorted(want)
+            continue
+        after = [tuple(r) for r in docs.select("doc_id", "text", "source").collect()]
+        if name == "toxicity":
+            model = toxicity.fit_toxicity(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"), Q.fold(5) != 0)
+            score = model.scorer()
+            want = [r for r in before if score([r[1]])[0][0] < 0.5]
+        elif name == "near_duplicates":
+            classes = {d: c for d, c, _ in brute_jaccard([(d, t) for d, t, _ in before])}
+            assert len({classes[d] for d, _, _ in after}) == len(after) == len(set(classes.values())) and set(after) <= set(before)
+            continue
+        elif name == "decontamination":
+            dirty = {r[0] for r in brute_decontam([(d, t) for d, t, _ in before], bench) if r[-1]}
+            want = [r for r in before if r[0] not in dirty]
+        else:
+            n = Counter(r[2] for r in before)
+            weight = {x: Q.MIX_WEIGHTS.get(x, Q.MIX_DEFAULT) for x in n}
+            rate = {x: weight[x] / sum(weight.values()) * len(before) / n[x] for x in n}
+            want = [r for r in before for _ in range(poisson_copies(r[0], rate[r[2]]))]
+        assert sorted(after, key=repr) == sorted(want, key=repr), name
