@@ -187,6 +187,20 @@ def test_row_index_and_missing_files(spark, tmp_path):
     assert [S.bootstrap_method(x) for x in (" Residual", "pairs", None, 3)] == ["residual", "pairs", "pairs", "pairs"]
 
 
+def test_curve_ids_and_fit_input(spark):
+    """Ids built from file, curve and dose; repeated ids numbered; points as fits read them; labels joined also where the dose is unknown."""
+    df = spark.createDataFrame([("plate 1.csv", "A 1", 0.5, 1), ("plate 1.csv", "A 1", 0.5, 2), ("p", "B[Conc=3]", None, 3)], "file_name string, curve_id string, concentration double, n int")
+    ids = df.select("*", augment.base_curve_id(F.col("file_name"), F.col("curve_id"), F.col("concentration")).alias("base"))
+    unique = {r.n: r.base for r in augment.unique_ids(ids, "base", "n").collect()}
+    assert unique[2] == unique[1] + "_2" and len(set(unique.values())) == 3 and " " not in "".join(unique.values())
+    points = df.withColumn("time_h", F.col("n") * 8.5).withColumn("od", F.when(F.col("n") != 2, F.lit(0.1)))
+    assert sorted((r.test_id, r.concentration, r.time) for r in reshape.fit_tidy(points).collect()) == [("p", 3.0, 25.5), ("plate 1.csv", 0.5, 8.5)]
+    early, late = grid.split_windows(points)
+    assert early.count() == 1 and late.count() == 2
+    audit = spark.createDataFrame([("A 1", 0.5, "Valid"), ("B[Conc=3]", None, "Unsure")], "curve_id string, concentration double, true_label string")
+    assert {r.n: r.true_label for r in labels.fit_input(df, audit).collect()} == {1: "Valid", 2: "Valid", 3: "Unsure"}
+
+
 def test_savgol_windows(spark):
     """A parabola passes any window unchanged; weights of 5 points are the known ones."""
     assert np.allclose(np.array(signal.savgol_weights(5, 2)) * 35, [-3, 12, 17, 12, -3]) and np.allclose(np.array(signal.savgol_weights(5, 0)) * 35, [31, 9, -3, -5, 3])
