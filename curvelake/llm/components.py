@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
     Alternates large-star and small-star steps until nothing changes: every step keeps at most as many
     edges as it got and takes each node's minimum with a pre-aggregated shuffle, so a node with a third
     of all links is an aggregate and a join side that adaptive execution splits, never one task's list.
-    Rounds grow with the logarithm of the graph's size; each is a written table.
+    Links with a null end are none, nor are those of a node to itself; repeated links count once; without links
+    there are no rows.  Rounds grow with the logarithm of the graph's size; each is a written table.
     """
     step, before = 0, ""
     current = scratch.write(f"{name}-0", edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
