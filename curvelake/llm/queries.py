@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and of the pipeline: thin layers over them."""
+"""The registered queries of the operators and of the pipeline: thin layers over them."""
 
 from __future__ import annotations
 
@@ -11,8 +11,11 @@ from .interpolation import interpolated_scores
 from .jaccard import jaccard_classes
 from .langid import learn_languages, predict_language
 from .licenses import license_scan
+from .line_dedup import drop_common_lines
 from .mixing import mix_sources
 from .repetition import Rules, repetition_quality
+from .resample import importance_resample
+from .runs import periodic_runs
 from .tokens import token_index
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -83,6 +86,34 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, min_words=20, n_max=1, n_buckets=10_000, seed=2024)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def with_repetition(docs: DataFrame) -> DataFrame:
+    """One document in ten by a hash of its id, with a period from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    listed = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("w"), F.floor(h / 10).alias("g"), F.size(words).alias("n"))
+    placed = listed.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    at = F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)
+    repeated = F.transform(at, lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    return placed.select("doc_id", F.when(F.col("w").isNotNull() & (F.col("n") > 0), F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_repetition(table(spark, sf_dir, "documents")), min_words=6, exponent=4)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    digests = (F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", *digests)
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = drop_common_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,7 +121,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    found = [op1_poisson_mix, op2_html_text, op3_language, op4_repetition, op5_decontamination, op6_toxicity, op7_licenses, op8_jaccard_join, op9_interpolation, op10_token_shards, pipeline]
+    found = [op1_poisson_mix, op2_html_text, op3_language, op4_repetition, op5_decontamination, op6_toxicity, op7_licenses, op8_jaccard_join, op9_interpolation, op10_token_shards, op11_importance_resample, op12_periodic_runs, op13_line_dedup, pipeline]
     return {f.__name__: f for f in found}
 
 
@@ -133,6 +164,17 @@ FROM words LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
 """
 
 
+_LINES = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT r, i, l[i] AS line FROM (SELECT r, l, unnest(range(1, len(l) + 1)) AS i FROM docs)),
+keyed AS (SELECT r, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+common AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT r) >= 10),
+marked AS (SELECT r, i, line, common.k IS NOT NULL AS gone FROM keyed LEFT JOIN common USING (k))
+SELECT doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256
+FROM (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM marked GROUP BY r) JOIN docs USING (r)
+"""
+
+
 def _repetition_sql() -> str:
     """Counts and coverages of op4 with the default rules, by plain window strings."""
     rules = Rules()
@@ -159,4 +201,4 @@ def _repetition_sql() -> str:
 
 def oracle_sql():
     weights = ", ".join(f"('{k}', {v!r}::DOUBLE)" for k, v in MIX_WEIGHTS.items())
-    return {"op1_poisson_mix": _DRAWN.format(weights=weights, seed=MIX_SEED, default=f"{MIX_DEFAULT}::DOUBLE"), "op4_repetition": _repetition_sql(), "op5_decontamination": _HELD}
+    return {"op1_poisson_mix": _DRAWN.format(weights=weights, seed=MIX_SEED, default=f"{MIX_DEFAULT}::DOUBLE"), "op4_repetition": _repetition_sql(), "op5_decontamination": _HELD, "op13_line_dedup": _LINES}

@@ -123,6 +123,26 @@ def blocks(column: pa.Array | pa.ChunkedArray, lower: bool = False, limit: int =
         row = stop
 
 
+def joined(block: Block, words: Words, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The (kept) words of each text with one space between: bytes, start and end of each word in them, where each text begins."""
+    at = np.arange(len(words.start)) if keep is None else np.flatnonzero(keep)
+    source, doc, size = words.start[at], words.doc[at], words.end[at] - words.start[at]
+    gap = np.zeros(len(at), dtype=np.int64)
+    gap[1:] = doc[1:] == doc[:-1]
+    end = np.cumsum(size + gap)
+    start = end - size
+    before = np.cumsum(size) - size
+    run = np.arange(int(size.sum()))
+    data = np.full(int(end[-1]) if len(end) else 0, 0x20, dtype=np.uint8)
+    data[run + np.repeat(start - before, size)] = block.data[run + np.repeat(source - before, size)]
+    return data, start, end, np.concatenate([[0], end])[np.searchsorted(doc, np.arange(len(block) + 1))]
+
+
+def strings(data: np.ndarray, offset: np.ndarray) -> pa.Array:
+    """A string column over one buffer of bytes."""
+    return pa.LargeStringArray.from_buffers(len(offset) - 1, pa.py_buffer(offset.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))).cast(pa.string())
+
+
 def ngrams(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all n consecutive items that stay inside one text, and the index of each one's first item."""
     m = len(hashes) - n + 1
