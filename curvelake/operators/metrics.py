@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,10 +87,39 @@ def class_weights(df: DataFrame, label: str = "y") -> DataFrame:
     return counts.withColumn("weight", F.lit(float(total.t or 0)) / (F.lit(float(total.k or 1)) * F.col("n")))
 
 
+_HASH_BITS = 60
+
+
+def _kth(hashes: DataFrame, k: int, held: int = 10_000) -> int:
+    """The k-th smallest of distinct whole numbers under 2**60: counts by range, narrowed to the range that holds it; -1 for k = 0."""
+    low, bits = 0, _HASH_BITS
+    while k:
+        bits = max(bits - 12, 0)
+        ranges = hashes.where(F.col("h").between(low, low + (1 << min(bits + 12, _HASH_BITS)) - 1)).groupBy(F.shiftright(F.col("h") - low, bits).alias("r")).agg(F.count("*").alias("n"))
+        for r, n in sorted(map(tuple, ranges.collect())):  # 4,096 at most
+            if k <= n:
+                break
+            k -= n
+        low += r << bits
+        if n <= held or not bits:
+            inside = hashes.where(F.col("h").between(low, low + (1 << bits) - 1)).select("h").toArrow()["h"].to_pylist()
+            return sorted(inside)[k - 1]
+    return -1
+
+
 def group_split(df: DataFrame, group: str, seed: int = 42, test: float = 0.2, val: float = 0.25) -> DataFrame:
-    """Adds split: each group whole in train, val or test, by a hash of seed and group (no sort, no driver)."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    return df.withColumn("split", F.when(u < test, "test").when(u < test + (1 - test) * val, "val").otherwise("train"))
+    """Adds split: each group whole in train, val or test; ceil(test * groups) are in test, ceil(val * the others) in val.
+
+    Groups stand in the order of a hash of seed and group.  The two cuts of that order are found by counts of ranges,
+    so no groups are sorted in one place and the counts are exact however rows are partitioned.  Null is a group.
+    """
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string")).cast("binary")), 1, _HASH_BITS // 4), 16, 10).cast("long")
+    hashes = df.select(h.alias("h")).distinct()
+    n = hashes.count()
+    n_test = ceil(round(test * n, 9))
+    n_val = ceil(round(val * (n - n_test), 9))
+    first, second = _kth(hashes, n_test), _kth(hashes, n_test + n_val)
+    return df.withColumn("split", F.when(h <= first, "test").when(h <= second, "val").otherwise("train"))
 
 
 def leaking_groups(df: DataFrame, group: str) -> DataFrame:

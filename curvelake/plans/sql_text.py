@@ -170,7 +170,9 @@ SQL = {
     "roc_auc": _with(METRIC_ROWS) + "SELECT lang, round(sum(CASE WHEN y = 1 THEN r - 0.0 END) / nullif(sum(y) * (count(*) - sum(y)), 0) - (sum(y) + 1) / 2.0 / nullif(count(*) - sum(y), 0), 6) AS roc_auc FROM (SELECT *, rank() OVER (PARTITION BY lang ORDER BY p) + (count(*) OVER (PARTITION BY lang, p) - 1) / 2.0 AS r FROM rows) GROUP BY lang",
     "average_precision": _with(METRIC_ROWS) + "SELECT lang, round(CASE WHEN sum(y) > 0 AND sum(y) < count(*) THEN sum(y * tp / k) / sum(y) END, 6) AS average_precision FROM (SELECT *, sum(y) OVER w AS tp, count(*) OVER w AS k FROM rows WINDOW w AS (PARTITION BY lang ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) GROUP BY lang",
     "class_weights": _with(METRIC_ROWS) + "SELECT y AS label, count(*) AS n, round((SELECT count(*) FROM rows) / ((SELECT count(DISTINCT y) FROM rows) * count(*)), 6) AS weight FROM rows GROUP BY y",
-    "group_split": _with(METRIC_ROWS) + f"SELECT source, CASE WHEN u < 0.2 THEN 'test' WHEN u < 0.4 THEN 'val' ELSE 'train' END AS split, count(*) AS n FROM (SELECT source, {U.format(chr(39) + '42|' + chr(39) + ' || source')} AS u FROM rows) GROUP BY 1, 2",
+    "group_split": _with(METRIC_ROWS).rstrip() + """, ranked AS (SELECT source, row_number() OVER (ORDER BY h) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT source, ('0x' || substr(md5('42|' || source), 1, 15))::BIGINT AS h FROM rows)),
+named AS (SELECT source, CASE WHEN k <= ceil(0.2 * n) THEN 'test' WHEN k <= ceil(0.2 * n) + ceil(0.25 * (n - ceil(0.2 * n))) THEN 'val' ELSE 'train' END AS split FROM ranked)
+SELECT source, split, count(*) AS n FROM rows JOIN named USING (source) GROUP BY 1, 2""",
     "bootstrap_mean_ci": _with(OBS).rstrip() + ", pts AS (SELECT curve_key AS k, (row_number() OVER (PARTITION BY curve_key ORDER BY time_h, event_id) - 1)::INT AS ix, od_raw AS v FROM obs), sizes AS (SELECT k, count(*) AS n FROM pts GROUP BY k), draws AS (SELECT k, r, (('0x' || substr(md5('42|' || k || '|' || r || '|' || d), 1, 8))::BIGINT % n)::INT AS ix FROM sizes, (SELECT unnest(range(0, 50)) AS r), LATERAL (SELECT unnest(range(0, n)) AS d)), means AS (SELECT k, r, avg(v) AS m FROM draws JOIN pts USING (k, ix) GROUP BY k, r) SELECT k AS curve_key, count(*) AS n, round(avg(m) + 1e-9, 6) AS mean, round(stddev_samp(m) + 1e-9, 6) AS sd, round(quantile_cont(m, 0.025) + 1e-9, 6) AS ci_lo, round(quantile_cont(m, 0.975) + 1e-9, 6) AS ci_hi FROM means GROUP BY k",
     "gap_augment": _with(OBS, f"""few AS (SELECT * FROM obs WHERE time_h <= 16),
 copies AS (SELECT curve_key, rep, CASE WHEN {U.format("'42|kind|' || curve_key || '|' || rep")} < 0.5 THEN 'B' ELSE 'S' END AS gap_kind, 2 + 4 * {U.format("'42|len|' || curve_key || '|' || rep")} AS gap_len, {U.format("'42|at|' || curve_key || '|' || rep")} AS gap_at, 0.4 + 0.4 * {U.format("'42|drop|' || curve_key || '|' || rep")} AS share

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import io
 import json
+import re
+import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +29,36 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Written:
+    """Tables that a job writes on its way, in the folder of spark.checkpoint.dir; they go when the block ends.
+
+    A written table cuts the lineage and outlives a lost executor.  Only a local session without that setting
+    (tests) gets a folder of its own.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not top:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            top = f"file://{tempfile.mkdtemp(prefix='curvelake-')}"
+            spark.conf.set("spark.checkpoint.dir", top)
+        self.spark, self.path = spark, f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("errorifexists").parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def drop(self, name: str = "") -> None:
+        delete(self.spark, f"{self.path}/{name}".rstrip("/"))
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.drop()
+
+
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")

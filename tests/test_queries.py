@@ -50,13 +50,14 @@ def test_train_predict_is_whole(spark, sf, monkeypatch):
     class Seen(Exception):
         pass
 
-    def build(features, seed, trees, boosts):
-        raise Seen(trees, boosts)
+    def boosting(*args, rounds, **options):
+        raise Seen(rounds)
 
-    curves = []
+    curves, sizes = [], []
     train = classifier.train
     monkeypatch.setattr(classifier, "train", lambda table, **options: (curves.append(table.select("base_curve_id").distinct().count()), train(table, **options)))
-    monkeypatch.setattr(classifier, "build", build)
+    monkeypatch.setattr(classifier.T, "fit_forest", lambda *args, trees, **options: sizes.append(trees))
+    monkeypatch.setattr(classifier.T, "fit_boosting", boosting)
     with pytest.raises(Seen) as found:
         registry.queries()["train_predict"](spark, sf)
-    assert curves == [900] and found.value.args == (600, 100)
+    assert curves == [900] and sizes == [600] and found.value.args == (100,)
