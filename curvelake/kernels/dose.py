@@ -5,30 +5,60 @@ from __future__ import annotations
 import numpy as np
 
 from curvelake.kernels.growth import aic, stable_seed
-from curvelake.kernels.lsq import fit
-from curvelake.kernels.spline import Basis, choose_lam, unique_mean
+from curvelake.kernels.lsq import fit_many
+from curvelake.kernels.spline import packed, unique_mean
 
 
 def hill(x, bottom, top, ec50, slope):
     return bottom + (top - bottom) / (1 + (np.maximum(x, 0) / ec50) ** slope)
 
 
-def fit_hill(x: np.ndarray, y: np.ndarray, rounds: int = 400) -> dict:
-    """Least squares within bounds from a falling and a rising start."""
-    ok = np.isfinite(x) & np.isfinite(y)
-    x, y = np.asarray(x, float)[ok], np.asarray(y, float)[ok]
-    if len(x) < 4:
-        return {"success": False, "message": "insufficient_points"}
-    positive = x[x > 0]
-    least, middle = (float(positive.min()), float(np.median(positive))) if len(positive) else (1e-6, max(1e-4, 0.5 * float(x.max())))
-    pad = max(1e-3, 0.2 * float(np.ptp(y)))
-    lower = [y.min() - pad, y.min() - pad, max(1e-12, 1e-3 * least), 0.05]
-    upper = [y.max() + pad, y.max() + pad, max(1e-6, 1e3 * float(x.max()) + max(1e-3, float(np.ptp(x)))), 8.0]
-    tried = [fit(hill, x, y, [*ends, middle, 1.0], lower, upper, rounds)[:2] for ends in ((y.min(), y.max()), (y.max(), y.min()))]
-    p, rss = min(tried, key=lambda r: r[1] if np.isfinite(r[1]) else np.inf)
-    if not np.isfinite(rss):
-        return {"success": False, "message": "fit_failed"}
-    return {"success": True, "message": "", "method": "4pl", "status": "OK", "params": p, "ec50": float(p[2]), "rss": rss, "aic": aic(rss, len(x), 4), "y_ec50": float(hill(p[2], *p)), "bottom": float(p[0]), "top": float(p[1]), "monotonic": True}
+def _hill_with_jacobian(x, p):
+    bottom, top, ec50, slope = (p[:, i : i + 1] for i in range(4))
+    with np.errstate(divide="ignore"):
+        far = np.where(x > 0, np.log(np.maximum(x, 1e-300) / ec50), 0.0)
+    share = np.where(x > 0, 1 / (1 + np.exp(np.clip(slope * far, -700, 700))), 1.0)
+    change = -share * (1 - share) * (top - bottom)
+    return bottom + (top - bottom) * share, np.stack([1 - share, share, change * (-slope / ec50), change * far], axis=2)
+
+
+def fit_hill(x: np.ndarray, y: np.ndarray) -> dict:
+    return fit_hills([(x, y)])[0]
+
+
+def fit_hills(series: list[tuple[np.ndarray, np.ndarray]]) -> list[dict]:
+    """Least squares within bounds from a falling and a rising start, of all series at once."""
+    clean = []
+    for x, y in series:
+        ok = np.isfinite(x) & np.isfinite(y)
+        clean.append((np.asarray(x, float)[ok], np.asarray(y, float)[ok]))
+    out: list[dict] = [{"success": False, "message": "insufficient_points"} for _ in clean]
+    able = [k for k, (x, _) in enumerate(clean) if len(x) >= 4]
+    if not able:
+        return out
+    n = max(len(clean[k][0]) for k in able)
+    x, y, use = np.zeros((2 * len(able), n)), np.zeros((2 * len(able), n)), np.zeros((2 * len(able), n), dtype=bool)
+    starts, lower, upper = [], [], []
+    for row, k in enumerate(able):
+        a, b = clean[k]
+        positive = a[a > 0]
+        least, middle = (float(positive.min()), float(np.median(positive))) if len(positive) else (1e-6, max(1e-4, 0.5 * float(a.max())))
+        pad = max(1e-3, 0.2 * float(np.ptp(b)))
+        for side, ends in enumerate(((b.min(), b.max()), (b.max(), b.min()))):
+            x[2 * row + side, : len(a)], y[2 * row + side, : len(a)], use[2 * row + side, : len(a)] = a, b, True
+            starts.append([*ends, middle, 1.0])
+            lower.append([b.min() - pad, b.min() - pad, max(1e-12, 1e-3 * least), 0.05])
+            upper.append([b.max() + pad, b.max() + pad, max(1e-6, 1e3 * float(a.max()) + max(1e-3, float(np.ptp(a)))), 8.0])
+    p, rss, _ = fit_many(_hill_with_jacobian, x, y, use, np.array(starts), np.array(lower), np.array(upper))
+    rss = np.where(np.isfinite(rss), rss, np.inf).reshape(-1, 2)
+    for row, k in enumerate(able):
+        side = int(rss[row].argmin())
+        best, left, m = p[2 * row + side], float(rss[row, side]), len(clean[k][0])
+        if not np.isfinite(left):
+            out[k] = {"success": False, "message": "fit_failed"}
+            continue
+        out[k] = {"success": True, "message": "", "method": "4pl", "status": "OK", "params": best, "ec50": float(best[2]), "rss": left, "aic": aic(left, m, 4), "y_ec50": float(hill(best[2], *best)), "bottom": float(best[0]), "top": float(best[1]), "monotonic": True}
+    return out
 
 
 def transform_x(x: np.ndarray, how: str) -> np.ndarray | None:
@@ -77,11 +107,10 @@ def fit_spline(x: np.ndarray, y: np.ndarray, x_log: str = "log", y_log: str = "n
     ux, uy = unique_mean(tx, forward(raw))
     if len(ux) < 5:
         return {"success": False, "message": "insufficient_points" if len(x) < 4 else "insufficient_unique_points", "n": len(ux)}
-    basis = Basis(ux)
-    lam, how = choose_lam(basis, uy, lam, 3.5)
-    f = basis.smooth(uy, lam)
-    grid = np.linspace(ux[0], ux[-1], points)
-    value, slope = basis.evaluate(f, grid)
+    systems, column = packed([(ux, uy)])
+    lams, hows = systems.choose(column, lam, 3.5)
+    f, m = systems.smooth(column, lams)
+    grid, value, slope = (v[0] for v in systems.evaluate(f, m, points))
     slack = max(1e-8, 0.02 * float(slope.std()))
     monotonic = bool((slope >= -slack).all() or (slope <= slack).all())
     straight = bool(np.abs(slope).max() < 1.5 * max(float(np.abs(slope).mean()), 1e-8))
@@ -89,11 +118,11 @@ def fit_spline(x: np.ndarray, y: np.ndarray, x_log: str = "log", y_log: str = "n
         other = fit_hill(*(unique_mean(tx, v)[1] for v in (x, raw)))
         return other | {"n": len(ux), "method": "4pl_fallback", "smoothing": "4pl"} if other["success"] else {"success": False, "message": "non_monotonic_no_fallback", "n": len(ux)}
     at, status = pick_crossing(grid, value, slope)
-    rss = float(((uy - f) ** 2).sum())
+    rss = float(((uy - f[:, 0]) ** 2).sum())
     at_y = float(np.interp(at, grid, value)) if np.isfinite(at) else float("nan")
     return {
-        "success": True, "message": {"AMBIGUOUS": "ambiguous_ec50"}.get(status, ""), "method": "spline", "status": status, "ec50": back_x(at, x_log), "y_ec50": float(back(at_y)), "rss": rss, "aic": aic(rss, len(ux), 4), "lam": lam, "smoothing": how,
-        "df": basis.roughness_df(uy, lam), "n": len(ux), "monotonic": monotonic, "grid": grid, "curve": value,
+        "success": True, "message": {"AMBIGUOUS": "ambiguous_ec50"}.get(status, ""), "method": "spline", "status": status, "ec50": back_x(at, x_log), "y_ec50": float(back(at_y)), "rss": rss, "aic": aic(rss, len(ux), 4), "lam": float(lams[0]), "smoothing": hows[0],
+        "df": float(systems.roughness(f, m)[0]), "n": len(ux), "monotonic": monotonic, "grid": grid, "curve": value,
     }
 
 
@@ -121,16 +150,12 @@ def bootstrap_dose(x: np.ndarray, y: np.ndarray, key: str, replicates: range, se
         return []
     if base["method"] == "spline":
         lam = base["lam"]
-    found = []
-    for k in replicates:
-        pick = np.random.default_rng([stable_seed(key, seed), k]).integers(0, len(x), len(x))
-        xs, ys = x[pick], np.maximum(y[pick], 0)
-        if base["method"] == "spline":
-            one = fit_spline(xs, ys, x_log, y_log, lam)
-            inside = one["success"] and one["status"] != "NO_CROSS_NEAREST"
-        else:
-            one = fit_hill(xs, ys) if len(np.unique(xs)) >= 4 else {"success": False}
-            inside = one["success"] and xs.min() <= one["ec50"] <= xs.max()
-        if inside and np.isfinite(one["ec50"]):
-            found.append(one["ec50"])
-    return found
+    picks = [np.random.default_rng([stable_seed(key, seed), k]).integers(0, len(x), len(x)) for k in replicates]
+    drawn = [(x[p], np.maximum(y[p], 0)) for p in picks]
+    if base["method"] == "spline":
+        fits = [fit_spline(xs, ys, x_log, y_log, lam) for xs, ys in drawn]
+        inside = [one["success"] and one["status"] != "NO_CROSS_NEAREST" for one in fits]
+    else:
+        fits = fit_hills([d if len(np.unique(d[0])) >= 4 else (d[0][:0], d[1][:0]) for d in drawn])
+        inside = [one["success"] and xs.min() <= one["ec50"] <= xs.max() for one, (xs, _) in zip(fits, drawn, strict=True)]
+    return [one["ec50"] for one, ok in zip(fits, inside, strict=True) if ok and np.isfinite(one["ec50"])]

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import math
-from functools import lru_cache
 
 import numpy as np
 
 from curvelake.kernels.lowess import lowess
-from curvelake.kernels.lsq import fit
-from curvelake.kernels.spline import Basis, choose_lam, smooth_at, unique_mean
+from curvelake.kernels.lsq import fit_many
+from curvelake.kernels.spline import Banded, packed, unique_mean
 
 
 # The formulas of the four growth models, their bounds and start values.
@@ -37,6 +36,61 @@ def richards(t, y0, a, mu, lam, nu, m=np):
     return y0 + a * (1 + nu * m.exp(x)) ** (-1 / nu)
 
 
+def _sigmoid(value, top: float, shift: float):
+    """Values and Jacobian of y0 + a * q(z), z = top * mu / a * (lam - t) + shift; value(z) gives q and dq/dz."""
+
+    def model(t, p):
+        y0, a, mu, lam = (p[:, i : i + 1] for i in range(4))
+        a, d = np.maximum(a, 1e-12), lam - t
+        z = top * mu / a * d + shift
+        q, dq = value(np.clip(z, -50, 50))
+        dq = np.where(np.abs(z) <= 50, dq, 0.0)
+        return y0 + a * q, np.stack([np.ones_like(t), q - dq * (top * mu / a * d), dq * (top * d), dq * (top * mu) + 0 * t], axis=2)
+
+    return model
+
+
+def _logistic_part(z):
+    q = 1 / (1 + np.exp(z))
+    return q, -q * (1 - q)
+
+
+def _gompertz_part(z):
+    e = np.exp(z)
+    q = np.exp(-e)
+    return q, -e * q
+
+
+_plain_gompertz = _sigmoid(_gompertz_part, math.e, 1.0)
+
+
+def _late_rise(t, p):
+    value, jac = _plain_gompertz(t, p)
+    a, alpha, after = np.maximum(p[:, 1:2], 1e-12), p[:, 4:5], t - p[:, 5:6]
+    z = alpha * after
+    rise = np.exp(np.clip(z, -50, 50))
+    free = np.where(np.abs(z) <= 50, a * rise, 0.0)
+    jac[:, :, 1] += rise
+    return value + a * rise, np.concatenate([jac, np.stack([free * after, -free * alpha], axis=2)], axis=2)
+
+
+def _shaped(t, p):
+    y0, a, mu, lam, nu = (p[:, i : i + 1] for i in range(5))
+    a, mu, nu = np.maximum(a, 1e-12), np.maximum(mu, 1e-12), np.clip(nu, 1e-4, 50.0)
+    d, c = lam - t, (1 + nu) ** (1 + 1 / nu)
+    z = 1 + nu + mu / a * c * d
+    e = np.exp(np.clip(z, -50, 50))
+    b = 1 + nu * e
+    q = b ** (-1 / nu)
+    dq = np.where(np.abs(z) <= 50, -e * q / b, 0.0)
+    dc = c * ((1 + 1 / nu) / (1 + nu) - np.log1p(nu) / nu**2)
+    own = q * (np.log(b) / nu**2 - e / (nu * b))
+    return y0 + a * q, np.stack([np.ones_like(t), q - dq * (mu / a * c * d), dq * (c * d), dq * (mu * c) + 0 * t, a * (own + dq * (1 + mu / a * d * dc))], axis=2)
+
+
+#: Values and Jacobians of the models, a row of times and parameters per problem.
+WITH_JACOBIAN = {"logistic": _sigmoid(_logistic_part, 4.0, 2.0), "gompertz": _plain_gompertz, "modified_gompertz": _late_rise, "richards": _shaped}
+
 MODELS = {"logistic": logistic, "gompertz": gompertz, "modified_gompertz": modified_gompertz, "richards": richards}
 
 
@@ -52,16 +106,6 @@ def bic(rss, n, k, m=np):
     return n * m.log(m.maximum(rss, 1e-12) / n) + k * m.log(n)
 
 
-@lru_cache(maxsize=256)
-def _cached_basis(raw: bytes) -> Basis:
-    return Basis(np.frombuffer(raw, dtype=float))
-
-
-def basis_of(t: np.ndarray) -> Basis:
-    """Curves of one plate share their times, and then one decomposition."""
-    return _cached_basis(np.ascontiguousarray(t, dtype=float).tobytes())
-
-
 def _starts(t, y):
     """Start values and bounds by name, from a smoothed curve."""
     s = lowess(t, y, 0.25) if len(t) >= 6 else y
@@ -88,108 +132,166 @@ def _seeds(name: str, values: dict[str, float], y: np.ndarray, top: float) -> li
     return [values | {"lam": lag, "nu": nu} for nu in shapes for lag in lags]
 
 
-def _degenerate(p: np.ndarray, se: np.ndarray) -> bool:
-    if not (np.isfinite(p).all() and np.isfinite(se).all()):
-        return True
+def _degenerate(p: np.ndarray, se: np.ndarray) -> np.ndarray:
+    """Per row: parameters without a value or an error, or known by less than a fifth; a baseline is measured by the amplitude."""
     size = np.abs(p)
-    return bool((se < 1e-8).any() or (se[size > 1e-12] > 5 * size[size > 1e-12]).any())
+    size[:, 0] = np.maximum(size[:, 0], size[:, 1])
+    known = np.isfinite(p).all(1) & np.isfinite(se).all(1)
+    with np.errstate(invalid="ignore"):
+        return ~known | (se < 1e-8).any(1) | ((se > 5 * size) & (size > 1e-12)).any(1)
+
+
+_CELLS = 1 << 20  # points times parameters of problems solved at once
+
+
+def fit_models(t: np.ndarray, y: np.ndarray, points: int = 400) -> dict:
+    return fit_models_many([(t, y)], points)[0]
+
 
+def fit_models_many(curves: list[tuple[np.ndarray, np.ndarray]], points: int = 400) -> list[dict]:
+    """Of each curve the model of lowest AIC among those that fit inside their bounds, with a status per model.
 
-def fit_models(t: np.ndarray, y: np.ndarray, points: int = 400, rounds: int = 400) -> dict:
-    """The model of lowest AIC among those that fit inside their bounds, with a status per model."""
-    t, y = np.asarray(t, float), np.asarray(y, float)
-    ok = np.isfinite(t) & np.isfinite(y)
-    order = np.argsort(t[ok], kind="stable")
-    t, y = t[ok][order], y[ok][order]
-    n, table, best = len(t), [], None
+    All curves and starts of a model are solved in one batch.  Where every model that could be fitted ends at a bound, the
+    best of these stands, with the message at_bounds.
+    """
+    clean = []
+    for t, y in curves:
+        t, y = np.asarray(t, float), np.asarray(y, float)
+        ok = np.isfinite(t) & np.isfinite(y)
+        order = np.argsort(t[ok], kind="stable")
+        clean.append((t[ok][order], y[ok][order]))
+    begun = [_starts(t, y) if len(t) >= 4 else None for t, y in clean]
+    tables: list[list] = [[] for _ in clean]
+    fits: list[list[dict]] = [[] for _ in clean]
+    for name, names in NAMES.items():
+        k = len(names)
+        problems = []
+        for i, (t, y) in enumerate(clean):
+            if begun[i] is not None and len(t) >= k + 2:
+                values, bounds, _, top = begun[i]
+                lower, upper = np.array([bounds[x] for x in names], float).T
+                problems += [(i, np.array([s[x] for x in names]), lower, upper) for s in _seeds(name, values, y, top)]
+            elif begun[i] is not None:
+                tables[i].append((name, "insufficient_points", None))
+        solved: dict[int, tuple] = {}
+        for part in _parts(problems, clean, k):
+            n = max(len(clean[i][0]) for i, *_ in part)
+            t, y, use = np.zeros((len(part), n)), np.zeros((len(part), n)), np.zeros((len(part), n), dtype=bool)
+            for row, (i, *_) in enumerate(part):
+                m = len(clean[i][0])
+                t[row, :m], y[row, :m], use[row, :m] = *clean[i], True
+            start, lower, upper = (np.array([x[c] for x in part]) for c in (1, 2, 3))
+            p, rss, cov = fit_many(WITH_JACOBIAN[name], t, y, use, start, lower, upper)
+            se = np.sqrt(np.maximum(np.diagonal(cov, axis1=1, axis2=2), 0))
+            bad = _degenerate(p, se) | ~np.isfinite(rss)
+            bound = np.minimum(np.abs(p - lower), np.abs(p - upper)).min(axis=1) <= 1e-5
+            for row, (i, *_) in enumerate(part):
+                if not bad[row] and (i not in solved or rss[row] < solved[i][1]):
+                    solved[i] = (p[row], float(rss[row]), se[row], bool(bound[row]))
+                else:
+                    solved.setdefault(i, (None, np.inf, None, False))
+        for i, (p, rss, se, bound) in solved.items():
+            n = len(clean[i][0])
+            if p is None:
+                tables[i].append((name, "exception", None))
+                continue
+            tables[i].append((name, "bounds" if bound else "ok", aic(rss, n, k)))
+            fits[i].append({"model": name, "params": p, "se": se, "rss": rss, "aic": aic(rss, n, k), "bic": bic(rss, n, k), "bound": bound})
+    return [_chosen(t, y, table, found, points) for (t, y), table, found in zip(clean, tables, fits, strict=True)]
+
+
+def _parts(problems: list[tuple], clean: list, k: int):
+    """Problems in batches of bounded size, curves of like length together."""
+    part, widest = [], 0
+    for p in sorted(problems, key=lambda x: len(clean[x[0]][0])):
+        widest = len(clean[p[0]][0])
+        if part and (len(part) + 1) * widest * k > _CELLS:
+            yield part
+            part = []
+        part.append(p)
+    if part:
+        yield part
+
+
+def _chosen(t: np.ndarray, y: np.ndarray, table: list, found: list[dict], points: int) -> dict:
+    n = len(t)
     if n < 4:
         return {"success": False, "message": "insufficient_points", "aic_table": [], "n": n}
-    values, bounds, _, top = _starts(t, y)
-    for name, model in MODELS.items():
-        names = NAMES[name]
-        k = len(names)
-        if n < k + 2:
-            table.append((name, "insufficient_points", None))
-            continue
-        lower, upper = np.array([bounds[x] for x in names], float).T
-        found = None
-        for s in _seeds(name, values, y, top):
-            p, rss, cov = fit(model, t, y, np.clip([s[x] for x in names], lower + 1e-9, upper - 1e-9), lower, upper, rounds)
-            se = np.sqrt(np.maximum(np.diag(cov), 0))
-            if np.isfinite(rss) and not _degenerate(p, se) and (found is None or rss < found[1]):
-                found = (p, rss, se)
-        if found is None:
-            table.append((name, "exception", None))
-            continue
-        p, rss, se = found
-        if min(np.abs(p - lower).min(), np.abs(p - upper).min()) <= 1e-5:
-            table.append((name, "bounds", aic(rss, n, k)))
-            continue
-        table.append((name, "ok", aic(rss, n, k)))
-        if best is None or table[-1][2] < best["aic"]:
-            best = {"model": name, "params": p, "se": se, "rss": rss, "aic": table[-1][2], "bic": bic(rss, n, k)}
-    if best is None:
+    inside = [f for f in found if not f["bound"]]
+    if not found:
         return {"success": False, "message": "all_models_failed", "aic_table": table, "n": n}
+    best = min(inside or found, key=lambda f: f["aic"])
     named = dict(zip(NAMES[best["model"]], best["params"], strict=True))
     errors = dict(zip(NAMES[best["model"]], best["se"], strict=True))
     grid = np.linspace(t.min(), t.max(), points)
     curve = MODELS[best["model"]](grid, *best["params"])
-    second = min((a for _, s, a in table if s == "ok" and a != best["aic"]), default=None)
+    second = min((f["aic"] for f in inside or found if f is not best), default=None)
     derived = {"mu": named["mu"], "lag": named["lam"], "a": max(named["a"], 0.0), "mu_se": errors["mu"], "lag_se": errors["lam"], "a_se": errors["a"]}
-    return best | derived | {"success": True, "message": "", "n": n, "integral": float(np.trapezoid(curve, grid)), "aic_table": table, "second_aic": second, "grid": grid, "curve": curve}
+    return best | derived | {"success": True, "message": "" if inside else "at_bounds", "n": n, "integral": float(np.trapezoid(curve, grid)), "aic_table": table, "second_aic": second, "grid": grid, "curve": curve}
 
 
 def summary_of(grid: np.ndarray, value: np.ndarray, slope: np.ndarray) -> tuple[np.ndarray, ...]:
     """mu, lag (tangent), A, integral; one row per curve."""
-    value, slope = np.atleast_2d(value), np.atleast_2d(slope)
     k = slope.argmax(axis=1)
     row = np.arange(len(value))
     mu = slope[row, k]
     with np.errstate(divide="ignore", invalid="ignore"):
-        lag = np.where(mu > 1e-12, grid[k] - (value[row, k] - value[:, 0]) / mu, np.nan)
+        lag = np.where(mu > 1e-12, grid[row, k] - (value[row, k] - value[:, 0]) / mu, np.nan)
     return mu, lag, value.max(axis=1) - value[:, 0], np.trapezoid(value, grid, axis=1)
 
 
 def fit_spline(t: np.ndarray, y: np.ndarray, lam: float | None = None, points: int = 400) -> dict:
-    t, y = unique_mean(np.asarray(t, float), np.asarray(y, float))
-    if len(t) < 4:
-        return {"success": False, "message": "insufficient_points" if not len(t) else "insufficient_unique_points", "n": len(t)}
-    basis = basis_of(t)
-    lam, how = choose_lam(basis, y, lam)
-    f = basis.smooth(y, lam)
-    grid = np.linspace(t[0], t[-1], points)
-    value, slope = basis.evaluate(f, grid)
-    mu, lag, a, integral = (float(x[0]) for x in summary_of(grid, value, slope))
-    return {"success": True, "message": "", "n": len(t), "lam": lam, "smoothing": how, "df": basis.roughness_df(y, lam), "rss": float(((y - f) ** 2).sum()), "mu": mu, "lag": lag, "a": a, "integral": integral, "grid": grid, "curve": value, "slope": slope, "fitted": f, "t": t, "y": y, "basis": basis}
+    return fit_splines([(t, y)], lam, points)[0]
+
+
+def fit_splines(curves: list[tuple[np.ndarray, np.ndarray]], lam: float | None = None, points: int = 400) -> list[dict]:
+    """Curves of like length share their sweeps."""
+    clean = [unique_mean(np.asarray(t, float), np.asarray(y, float)) for t, y in curves]
+    out: list[dict] = [{"success": False, "message": "insufficient_points" if not len(t) else "insufficient_unique_points", "n": len(t)} for t, _ in clean]
+    able = sorted((k for k, (t, _) in enumerate(clean) if len(t) >= 4), key=lambda k: len(clean[k][0]))
+    for first in range(0, len(able), 64):
+        part = able[first : first + 64]
+        systems, y = packed([clean[k] for k in part])
+        lams, how = systems.choose(y, lam)
+        f, m = systems.smooth(y, lams)
+        df, (grid, value, slope) = systems.roughness(f, m), systems.evaluate(f, m, points)
+        mu, lag, a, integral = summary_of(grid, value, slope)
+        for i, k in enumerate(part):
+            n = len(clean[k][0])
+            out[k] = {
+                "success": True, "message": "", "n": n, "lam": float(lams[i]), "smoothing": how[i], "df": float(df[i]), "rss": float(((y[:n, i] - f[:n, i]) ** 2).sum()), "mu": float(mu[i]), "lag": float(lag[i]), "a": float(a[i]),
+                "integral": float(integral[i]), "grid": grid[i], "curve": value[i], "slope": slope[i], "fitted": f[:n, i], "t": clean[k][0], "y": clean[k][1],
+            }
+    return out
 
 
 def bootstrap_spline(t: np.ndarray, y: np.ndarray, key: str, replicates: int = 200, method: str = "pairs", seed: int = 42, points: int = 400, base: dict | None = None) -> dict[str, np.ndarray]:
     """mu, lag, a, integral of each replicate; the smoothing parameter stays that of the data (``base``: its fit, if made).
 
-    pairs: a fit per draw of points.  residual: all replicates are one matrix product.
+    pairs: a fit per draw of points, of which repeated ones are one point of the same mean.  residual: a fit per draw of
+    residuals.  All replicates are banded systems side by side.
     """
     base = fit_spline(t, y, points=points) if base is None else base
     if not base["success"] or base["n"] < 6:
         return {}
     rng = np.random.default_rng(stable_seed(key, seed))
-    x, n = base["t"], base["n"]
+    x, y, n = base["t"], base["y"], base["n"]
     if method == "residual":
-        grid = base["grid"]
-        r = base["y"] - base["fitted"]
-        draws = base["fitted"] + rng.choice(r - r.mean(), size=(replicates, n))
-        value, slope = base["basis"].evaluate(base["basis"].smooth(draws, base["lam"]), grid)
-        mu, lag, a, integral = summary_of(grid, value, slope)
-        return {"mu": mu, "lag": lag, "a": a, "integral": integral, "curves": value, "grid": grid}
-    rows = []
-    for pick in rng.integers(0, n, (replicates, n)):
-        at = np.unique(pick)  # points drawn twice are one point of the same mean
-        if len(at) >= 4:
-            grid = np.linspace(x[at[0]], x[at[-1]], points)
-            rows.append([float(v[0]) for v in summary_of(grid, *smooth_at(x[at], base["y"][at], base["lam"], grid))])
-    if not rows:
-        return {}
-    mu, lag, a, integral = np.array(rows).T
-    return {"mu": mu, "lag": lag, "a": a, "integral": integral, "curves": None, "grid": base["grid"]}
+        r = y - base["fitted"]
+        drawn = (base["fitted"] + rng.choice(r - r.mean(), size=(replicates, n))).T
+        systems = Banded(np.repeat(x[:, None], replicates, axis=1), np.full(replicates, n))
+    else:
+        held = np.zeros((replicates, n), dtype=bool)
+        held[np.arange(replicates)[:, None], rng.integers(0, n, (replicates, n))] = True
+        held = held[held.sum(1) >= 4]
+        if not len(held):
+            return {}
+        at = np.argsort(~held, axis=1, kind="stable").T
+        systems, drawn = Banded(x[at], held.sum(1)), y[at]
+    f, m = systems.smooth(drawn, np.full(drawn.shape[1], base["lam"]))
+    grid, value, slope = systems.evaluate(f, m, points)
+    mu, lag, a, integral = summary_of(grid, value, slope)
+    return {"mu": mu, "lag": lag, "a": a, "integral": integral, "curves": value if method == "residual" else None, "grid": base["grid"]}
 
 
 PARAMETERS = ("mu", "lag", "a", "integral")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,19 +54,14 @@ def noise_level(obs: DataFrame, cfg: LateConfig = LateConfig()) -> DataFrame:
 
 
 @F.pandas_udf(DoubleType())
-def _median_slope(points: pd.Series) -> pd.Series:
-    def one(rows):
-        if rows is None or len(rows) < 2:
-            return None
-        return median_slope(np.array([r["time_h"] for r in rows]), np.array([r["od"] for r in rows]))
-
-    return pd.Series([one(rows) for rows in points], dtype="float64")
+def _median_slope(times: pd.Series, values: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None or len(t) < 2 else median_slope(t, v) for t, v in zip(times, values, strict=True)], dtype="float64")
 
 
 def theil_sen(obs: DataFrame) -> DataFrame:
     """Per curve the median slope over all pairs of its points: no join and no list of pairs."""
     points = obs.where("time_h is not null and od is not null").groupBy(KEY).agg(F.collect_list(F.struct("time_h", "od")).alias("p"))
-    return points.select(KEY, F.size("p").alias("n"), _median_slope("p").alias("slope"))
+    return points.select(KEY, F.size("p").alias("n"), _median_slope("p.time_h", "p.od").alias("slope"))
 
 
 def _last_big(p: DataFrame, *keys: str) -> DataFrame:
@@ -127,7 +121,7 @@ def late_evidence(obs: DataFrame, cfg: LateConfig = LateConfig()) -> DataFrame:
     )
     _, _, fall, score = _artifact_scores(cfg)
     needed = F.when(F.col("n_early") > 0, _needed(F.col("n_early"), F.col("early_span"), cfg))
-    e = per.select(KEY, "n_all", "noise_level", "n_late", "late_span", "dt_med", "late_delta", needed.alias("min_late_points_required"), _median_slope("points").alias("late_slope"), score.alias("artifact_score"), fall.alias("decline_score"))
+    e = per.select(KEY, "n_all", "noise_level", "n_late", "late_span", "dt_med", "late_delta", needed.alias("min_late_points_required"), _median_slope("points.time_h", "points.od").alias("late_slope"), score.alias("artifact_score"), fall.alias("decline_score"))
     n, m = F.coalesce("n_late", F.lit(0)), F.coalesce("min_late_points_required", F.lit(5))
     expected = half_even(F.col("late_span")) + 1
     missing = F.when(F.col("late_span") > 0, F.greatest(F.lit(0.0), expected - n) / expected)

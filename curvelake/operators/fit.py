@@ -1,7 +1,9 @@
-"""Curve fits over Spark: a grouped map per curve, results with fixed schemas, bootstraps as aggregates.
+"""Curve fits over Spark: curves packed into rows of arrays, fitted in vectorised batches, results with fixed schemas.
 
-The input has curve_key, time_h, od; each curve is one group, tens to hundreds of points, and the shuffle on
-curve_key is the only one.  Random draws are seeded by the curve's key, so partitioning changes nothing.
+The input has curve_key, time_h, od.  One shuffle on curve_key packs each curve, tens to thousands of points, into
+one row; tasks then fit many rows at once.  The bytes of curves say nothing of the seconds they take, so the number
+of partitions follows the number of curves and what a fit costs (``dealt``) and isn't left to adaptive execution, which
+would put all of them into one task.  Random draws are seeded by the curve's key, so partitioning changes nothing.
 """
 
 from __future__ import annotations
@@ -30,14 +32,48 @@ def _clean(obs: DataFrame) -> DataFrame:
     return obs.where("time_h is not null and od is not null").select(KEY, "time_h", "od")
 
 
-_ARROW = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+TASK_SECONDS = 60.0
 
 
-def _table(schema: str, rows: list[tuple]) -> pa.Table:
-    """Rows under a flat schema of names and types."""
+def dealt(df: DataFrame, keys: list[str], seconds: float) -> DataFrame:
+    """df shuffled by keys into tasks of about a minute, where one key takes so many seconds; at least two tasks a core if there are as many keys."""
+    n = df.agg(F.approx_count_distinct(F.struct(*keys), 0.02)).first()[0]
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(n, 2 * cores), int(n * seconds / TASK_SECONDS)), *keys)
+
+
+def packed(obs: DataFrame, seconds: float) -> DataFrame:
+    """A row per curve: its key, times in order and values."""
+    points = F.array_sort(F.collect_list(F.struct("time_h", "od")))
+    rows = dealt(_clean(obs), [KEY], seconds).groupBy(KEY).agg(points.alias("points"))
+    return rows.select(KEY, F.col("points.time_h").alias("time_h"), F.col("points.od").alias("od"))
+
+
+_ARROW = {
+    "string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64()),
+    "array<struct<model:string,status:string,aic:double>>": pa.list_(pa.struct([("model", pa.string()), ("status", pa.string()), ("aic", pa.float64())])),
+}
+_AT_ONCE = 128
+
+
+def _table(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows under a schema of names and types."""
     fields = [f.split() for f in schema.split(", ")]
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
-    return pa.table({n: pa.array(c, _ARROW[t]) for (n, t), c in zip(fields, columns, strict=True)})
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for (_, t), c in zip(fields, columns, strict=True)], names=[n for n, _ in fields])
+
+
+def _each(obs: DataFrame, schema: str, rows_of, seconds: float) -> DataFrame:
+    """rows_of(keys, curves) of some curves at a time, under the schema."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, len(batch), _AT_ONCE):
+                keys, t, y = (batch.column(c)[k : k + _AT_ONCE] for c in range(3))
+                curves = [(a.values.to_numpy(), b.values.to_numpy()) for a, b in zip(t, y, strict=True)]
+                yield _table(schema, rows_of(keys.to_pylist(), curves))
+
+    return packed(obs, seconds).mapInArrow(run, schema)
 
 
 def _spline_row(key: str, r: dict) -> tuple:
@@ -45,10 +81,7 @@ def _spline_row(key: str, r: dict) -> tuple:
 
 
 def spline_fit(obs: DataFrame, lam: float | None = None) -> DataFrame:
-    def run(key, table):
-        return _table(SPLINE, [_spline_row(key[0].as_py(), growth.fit_spline(table["time_h"].to_numpy(), table["od"].to_numpy(), lam))])
-
-    return _clean(obs).groupBy(KEY).applyInArrow(run, SPLINE)
+    return _each(obs, SPLINE, lambda keys, curves: [_spline_row(k, r) for k, r in zip(keys, growth.fit_splines(curves, lam), strict=True)], 0.01)
 
 
 class ColumnMath:
@@ -75,24 +108,30 @@ def information_criteria(rss: Column, n: Column, k: int) -> tuple[Column, Column
     return growth.aic(rss, n, k, m=ColumnMath), growth.bic(rss, n, k, m=ColumnMath)
 
 
+def _model_row(key: str, r: dict) -> tuple:
+    numbers = (_number(r.get(c)) for c in ("mu", "lag", "a", "integral", "mu_se", "lag_se", "a_se", "rss", "aic", "bic", "second_aic"))
+    return (key, r["success"], r["message"], r.get("n", 0), r.get("model"), *numbers, list(map(float, r["params"])) if r["success"] else None, [{"model": m, "status": s, "aic": _number(a)} for m, s, a in r["aic_table"]])
+
+
 def model_fit(obs: DataFrame) -> DataFrame:
-    def run(key, pdf):
-        r = growth.fit_models(pdf["time_h"].to_numpy(), pdf["od"].to_numpy())
-        row = [key[0], r["success"], r["message"], r.get("n", 0), r.get("model"), *(_number(r.get(c)) for c in ("mu", "lag", "a", "integral", "mu_se", "lag_se", "a_se", "rss", "aic", "bic", "second_aic")), list(map(float, r["params"])) if r["success"] else None, [{"model": m, "status": s, "aic": _number(a)} for m, s, a in r["aic_table"]]]
-        return pd.DataFrame([row], columns=["curve_key", "success", "message", "n", "model", "mu", "lag", "a", "integral", "mu_se", "lag_se", "a_se", "rss", "aic", "bic", "second_aic", "params", "aic_table"])
+    return _each(obs, MODEL, lambda keys, curves: [_model_row(k, r) for k, r in zip(keys, growth.fit_models_many(curves), strict=True)], 0.02)
+
 
-    return _clean(obs).groupBy(KEY).applyInPandas(run, MODEL)
+def _draws_of(key: str, curve: tuple, base: dict, cfg: FitConfig, method: str) -> dict:
+    return growth.bootstrap_spline(*curve, key, cfg.bootstrap_curve, method, cfg.seed, base=base)
 
 
 def spline_draws(obs: DataFrame, replicates: int = 200, method: str = "pairs", seed: int = 42) -> DataFrame:
     """One row per curve and replicate."""
 
-    def run(key, pdf):
-        r = growth.bootstrap_spline(pdf["time_h"].to_numpy(), pdf["od"].to_numpy(), key[0], replicates, method, seed)
-        n = len(r["mu"]) if r else 0
-        return pd.DataFrame({KEY: [key[0]] * n, "replicate": range(n), **{c: r[c] if n else [] for c in ("mu", "lag", "a", "integral")}})
+    def rows(keys, curves):
+        out = []
+        for key, curve, base in zip(keys, curves, growth.fit_splines(curves), strict=True):
+            r = growth.bootstrap_spline(*curve, key, replicates, method, seed, base=base)
+            out += [(key, i, *(_number(r[c][i]) for c in growth.PARAMETERS)) for i in range(len(r["mu"]))] if r else []
+        return out
 
-    return _clean(obs).groupBy(KEY).applyInPandas(run, DRAWS)
+    return _each(obs, DRAWS, rows, 0.05)
 
 
 BOOT = f"{KEY} string, parameter string, n long, mean double, sd double, ci_lo double, ci_hi double, q05 double, q95 double"
@@ -101,12 +140,11 @@ BOOT = f"{KEY} string, parameter string, n long, mean double, sd double, ci_lo d
 def spline_bootstrap(obs: DataFrame, cfg: FitConfig = FitConfig(), method: str = "pairs") -> DataFrame:
     """curve_key, parameter, n, mean, sd, ci_lo, ci_hi, q05, q95: draws are summed up where they are made."""
 
-    def run(key, table):
-        name = key[0].as_py()
-        draws = growth.bootstrap_spline(table["time_h"].to_numpy(), table["od"].to_numpy(), name, cfg.bootstrap_curve, method, cfg.seed)
-        return _table(BOOT, [(name, p, *row) for p, row in growth.bootstrap_summary(draws, cfg.alpha).items()])
+    def rows(keys, curves):
+        bases = growth.fit_splines(curves)
+        return [(key, p, *row) for key, curve, base in zip(keys, curves, bases, strict=True) for p, row in growth.bootstrap_summary(_draws_of(key, curve, base, cfg, method), cfg.alpha).items()]
 
-    return _clean(obs).groupBy(KEY).applyInArrow(run, BOOT)
+    return _each(obs, BOOT, rows, 0.05)
 
 
 WITH_INTERVALS = SPLINE + ", " + ", ".join(f"{p}_{side} double" for p in growth.PARAMETERS for side in ("lo", "hi")) + ", n_boot int"
@@ -115,14 +153,15 @@ WITH_INTERVALS = SPLINE + ", " + ", ".join(f"{p}_{side} double" for p in growth.
 def spline_with_intervals(obs: DataFrame, cfg: FitConfig = FitConfig(), method: str = "pairs") -> DataFrame:
     """The spline fit and its bootstrap intervals in one pass over each curve; the base fit is made once."""
 
-    def run(key, table):
-        name, t, y = key[0].as_py(), table["time_h"].to_numpy(), table["od"].to_numpy()
-        r = growth.fit_spline(t, y)
-        found = growth.bootstrap_summary(growth.bootstrap_spline(t, y, name, cfg.bootstrap_curve, method, cfg.seed, base=r), cfg.alpha) if r["success"] else {}
-        sides = [v for p in growth.PARAMETERS for v in (found[p][3:5] if p in found else (None, None))]
-        return _table(WITH_INTERVALS, [(*_spline_row(name, r), *sides, min((x[0] for x in found.values()), default=0))])
+    def rows(keys, curves):
+        out = []
+        for key, curve, base in zip(keys, curves, growth.fit_splines(curves), strict=True):
+            found = growth.bootstrap_summary(_draws_of(key, curve, base, cfg, method), cfg.alpha) if base["success"] else {}
+            sides = [v for p in growth.PARAMETERS for v in (found[p][3:5] if p in found else (None, None))]
+            out.append((*_spline_row(key, base), *sides, min((x[0] for x in found.values()), default=0)))
+        return out
 
-    return _clean(obs).groupBy(KEY).applyInArrow(run, WITH_INTERVALS)
+    return _each(obs, WITH_INTERVALS, rows, 0.05)
 
 
 def with_intervals(fits: DataFrame, boot: DataFrame) -> DataFrame:
@@ -131,22 +170,19 @@ def with_intervals(fits: DataFrame, boot: DataFrame) -> DataFrame:
     return fits.join(boot.groupBy(KEY).agg(*parts), KEY, "left")
 
 
-def curve_band(obs: DataFrame, replicates: int = 200, points: int = 60, seed: int = 42) -> DataFrame:
+def curve_band(obs: DataFrame, replicates: int = 200, points: int = FitConfig.grid, seed: int = 42) -> DataFrame:
     """Payload for plots: per curve arrays of the grid, the spline, its derivative, the model and a 95 % band."""
     schema = f"{KEY} string, grid array<double>, spline array<double>, slope array<double>, model array<double>, lo array<double>, hi array<double>"
 
-    def run(key, pdf):
-        t, y = pdf["time_h"].to_numpy(), pdf["od"].to_numpy()
-        s = growth.fit_spline(t, y, points=points)
-        if not s["success"]:
-            return pd.DataFrame([[key[0], *[None] * 6]], columns=["curve_key", "grid", "spline", "slope", "model", "lo", "hi"])
-        m = growth.fit_models(t, y, points=points)
-        b = growth.bootstrap_spline(t, y, key[0], replicates, "residual", seed, points, base=s)
-        band = np.percentile(b["curves"], [2.5, 97.5], axis=0) if b else [None, None]
-        as_list = lambda x: None if x is None else [float(v) for v in x]
-        return pd.DataFrame([[key[0], *map(as_list, (s["grid"], s["curve"], s["slope"], m.get("curve"), *band))]], columns=["curve_key", "grid", "spline", "slope", "model", "lo", "hi"])
+    def rows(keys, curves):
+        out = []
+        for key, curve, s, m in zip(keys, curves, growth.fit_splines(curves, points=points), growth.fit_models_many(curves, points), strict=True):
+            draws = growth.bootstrap_spline(*curve, key, replicates, "residual", seed, points, base=s) if s["success"] else {}
+            band = np.percentile(draws["curves"], [2.5, 97.5], axis=0) if draws else (None, None)
+            out.append((key, *(None if not s["success"] or v is None else v.tolist() for v in (s.get("grid"), s.get("curve"), s.get("slope"), m.get("curve"), *band))))
+        return out
 
-    return _clean(obs).groupBy(KEY).applyInPandas(run, schema)
+    return _each(obs, schema, rows, 0.08)
 
 
 # dose response
@@ -182,7 +218,8 @@ def dose_fit(responses: DataFrame, cfg: FitConfig = FitConfig(), x_log: str = "l
         row = [key[0], r["success"], r["message"], r.get("method"), n, *(_number(r.get(c)) for c in ("ec50", "y_ec50", "rss", "aic", "lam")), r.get("monotonic")]
         return pd.DataFrame([row], columns=[c.split()[0] for c in DOSE.split(", ")])
 
-    return responses.where("response is not null and concentration is not null").select("test_id", "concentration", "response").groupBy("test_id").applyInPandas(run, DOSE)
+    points = responses.where("response is not null and concentration is not null").select("test_id", "concentration", "response")
+    return dealt(points, ["test_id"], 0.05).groupBy("test_id").applyInPandas(run, DOSE)
 
 
 def dose_bootstrap(responses: DataFrame, cfg: FitConfig = FitConfig(), chunk: int = 25, **options) -> DataFrame:
@@ -200,7 +237,7 @@ def dose_bootstrap(responses: DataFrame, cfg: FitConfig = FitConfig(), chunk: in
 
     points = responses.where("response is not null and concentration is not null").select("test_id", "concentration", "response")
     chunks = points.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit((total - 1) // chunk))))
-    draws = chunks.groupBy("test_id", "chunk").applyInArrow(run, "test_id string, ec50 double")
+    draws = dealt(chunks, ["test_id", "chunk"], 0.01 * chunk).groupBy("test_id", "chunk").applyInArrow(run, "test_id string, ec50 double")
     found = bootstrap_summary(draws, ["test_id"], "ec50", cfg.alpha)
     every = points.groupBy("test_id").agg(F.count("*").alias("_n")).drop("_n").join(found, "test_id", "left")
     return every.withColumn("n", F.coalesce("n", F.lit(0).cast("long"))).withColumn("crossing_rate", F.col("n") / float(total))
@@ -217,7 +254,7 @@ def ec50_interpolated(responses: DataFrame) -> DataFrame:
     return hit.groupBy("test_id").agg(F.min("ec50").alias("ec50"), F.first("middle").alias("middle"), F.count("*").alias("n_crossings"))
 
 
-def dose_band(responses: DataFrame, samples: int = 300, points: int = 80, x_log: str = "log", seed: int = 42) -> DataFrame:
+def dose_band(responses: DataFrame, samples: int = 300, points: int = FitConfig.grid, x_log: str = "log", seed: int = 42) -> DataFrame:
     """Payload for plots: per test the doses, responses, the fit on a grid of doses and a pair-bootstrap band (40 to 250 draws)."""
     schema = "test_id string, x array<double>, y array<double>, grid array<double>, curve array<double>, lo array<double>, hi array<double>, ec50 double"
     draws = int(np.clip(samples, 40, 250))
@@ -238,15 +275,14 @@ def dose_band(responses: DataFrame, samples: int = 300, points: int = 80, x_log:
             return pd.DataFrame([[key[0], as_list(x), as_list(y), None, None, None, None, None]], columns=[c.split()[0] for c in schema.split(", ")])
         grid = np.geomspace(positive.min(), x.max(), points)
         options = {"method": "spline" if base["method"] == "spline" else "4pl", "lam": base.get("lam")}
-        rows = []
-        for k in range(draws):
-            pick = np.random.default_rng([growth.stable_seed(key[0], seed), k]).integers(0, len(x), len(x))
-            rows.append(on_grid(dose.fit_dose(x[pick], y[pick], x_log, **options), grid))
-        rows = [r for r in rows if r is not None]
+        picks = [np.random.default_rng([growth.stable_seed(key[0], seed), k]).integers(0, len(x), len(x)) for k in range(draws)]
+        fits = dose.fit_hills([(x[p], y[p]) for p in picks]) if options["method"] == "4pl" else [dose.fit_dose(x[p], y[p], x_log, **options) for p in picks]
+        rows = [r for r in (on_grid(f, grid) for f in fits) if r is not None]
         lo, hi = np.percentile(rows, [2.5, 97.5], axis=0) if len(rows) >= 10 else (None, None)
         return pd.DataFrame([[key[0], as_list(x), as_list(y), as_list(grid), as_list(on_grid(base, grid)), as_list(lo), as_list(hi), base["ec50"]]], columns=[c.split()[0] for c in schema.split(", ")])
 
-    return responses.where("response is not null and concentration is not null").select("test_id", "concentration", "response").groupBy("test_id").applyInPandas(run, schema)
+    given = responses.where("response is not null and concentration is not null").select("test_id", "concentration", "response")
+    return dealt(given, ["test_id"], 1.0).groupBy("test_id").applyInPandas(run, schema)
 
 
 def curve_audit(spline: DataFrame, models: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -77,15 +77,18 @@ def savgol_smooth(points: DataFrame, window: int = 5) -> DataFrame:
 def lowess_smooth(points: DataFrame, window: int = 5) -> DataFrame:
     """Robust local regression per curve; fewer than 6 points stay."""
     from curvelake.kernels.lowess import lowess
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("time_h")
-        y = pdf["od"].to_numpy(float)
-        if len(y) >= 6:
-            y = lowess(pdf["time_h"].to_numpy(float), y, float(np.clip(window / len(y), 0.2, 1.0)))
-        return pd.DataFrame({KEY: pdf[KEY], "time_h": pdf["time_h"], "od": y})
-
-    return points.select(KEY, "time_h", "od").groupBy(KEY).applyInPandas(run, f"{KEY} string, time_h double, od double")
+    from curvelake.operators.fit import packed
+
+    def run(batches):
+        for batch in batches:
+            smoothed = []
+            for t, y in zip(batch.column(1), batch.column(2), strict=True):
+                t, y = t.values.to_numpy(), y.values.to_numpy()
+                smoothed.append(lowess(t, y, float(np.clip(window / len(y), 0.2, 1.0))) if len(y) >= 6 else y)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(smoothed, pa.list_(pa.float64()))], names=batch.schema.names)
+
+    rows = packed(points, 0.003).mapInArrow(run, f"{KEY} string, time_h array<double>, od array<double>")
+    return rows.select(KEY, F.explode(F.arrays_zip("time_h", "od")).alias("p")).select(KEY, "p.time_h", "p.od")
 
 
 def smooth(points: DataFrame, method: str = "SGF", window: int = 5) -> DataFrame:

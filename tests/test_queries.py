@@ -5,6 +5,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from curvelake.plans import registry, sql_text
 
@@ -38,6 +39,15 @@ def test_against_sql(spark, sf, con, name):
     assert got == want
 
 
+@pytest.mark.parametrize("name", ["gc_spline_fit", "gc_model_fit", "gc_boot", "curve_payload", "lowess_smooth", "dr_fit", "dr_boot"])
+def test_fits_are_dealt_to_tasks(spark, sf, name):
+    """Small shuffles aren't put together: as many tasks take part as there are curves or tests, two a core at most."""
+    rows = registry.queries()[name](spark, sf)
+    tasks = rows.groupBy(F.spark_partition_id()).count().count() if name != "dr_boot" else rows.rdd.getNumPartitions()
+    keys = registry._obs(spark, sf).select("curve_key" if not name.startswith("dr") else "test_id").distinct().count()
+    assert tasks >= min(keys, spark.sparkContext.defaultParallelism) // 3
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(sql_text.SQL)))
 def test_runs(spark, sf, name):
     assert registry.queries()[name](spark, sf).count() > 0
