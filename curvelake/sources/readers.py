@@ -1,7 +1,7 @@
 """Readers of plate files: CSV dialects and workbooks, all to the long form (curve_id, time_h, od, ...).
 
-Files are read with their headers as text, cells are coerced in expressions.  A folder of many files is one
-scan with the file's stem as a column.
+Single files are read with their headers as text, cells are coerced in expressions.  Folders, many files and
+workbooks are one binary scan (``sheets``), in which each task finds the layout of its files.
 """
 
 from __future__ import annotations
@@ -11,13 +11,13 @@ import re
 import zipfile
 from xml.etree import ElementTree
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from curvelake.functions.scalars import condition_of, duration_hours, lenient_bool, number, time_scale, well_of
 from curvelake.operators.reshape import CONC_NAMES, find_column, standardize_long, time_columns, wide_to_long
+from curvelake.sources.sheets import read_sheets, read_training_sheets
 
 _TIME = re.compile(r"time|tiempo", re.I)
 
@@ -111,28 +111,14 @@ def from_plate(df: DataFrame, stem: str) -> DataFrame | None:
 def from_v_columns(df: DataFrame, stem: str) -> DataFrame:
     """Columns V4 ... Vn at quarter hours; the id is Test_Id and V3."""
     values = sorted((c for c in df.columns if re.fullmatch(r"V\d+", c) and int(c[1:]) >= 4), key=lambda c: int(c[1:]))
-    test = _first(df, ["test_id", "testid", "test id", "id"], F.monotonically_increasing_id().cast("string"))
+    if find_column(df.columns, ["test_id", "testid", "test id", "id"]) is None:
+        df = with_row_index(df, "_row")
+    test = _first(df, ["test_id", "testid", "test id", "id", "_row"], F.lit(None).cast("string"))
     named = F.concat(test, F.lit("_C"), F.col("V3")) if "V3" in df.columns and find_column(df.columns, ["test_id"]) else test
     long = df.select(named.alias("curve_id"), *(number(F.col(c)).alias(c) for c in values)).unpivot(["curve_id"], values, "_v", "od")
     return standardize_long(long.withColumn("time_h", (F.substring("_v", 2, 9).try_cast("int") - 4) * 0.25).drop("_v"), stem)
 
 
-def from_blocks(cells: DataFrame, stem: str) -> DataFrame | None:
-    """A sheet without a header, as (row_ix, col_ix, cell): a row of the first 40 with two or more time cells starts blocks of columns."""
-    is_time = F.lower("cell").rlike("time|tiempo")
-    head = cells.where(is_time & (F.col("row_ix") < 40)).groupBy("row_ix").count().where("count >= 2").agg(F.min("row_ix")).first()[0]
-    if head is None:
-        return None
-    starts = cells.where((F.col("row_ix") == head) & is_time).select("col_ix", F.lit(1).alias("opens"))
-    columns = cells.select("col_ix").distinct().join(starts, "col_ix", "left").withColumn("block", F.sum(F.coalesce("opens", F.lit(0))).over(Window.orderBy("col_ix"))).where("block > 0")
-    body = cells.where(F.col("row_ix") > head).join(columns, "col_ix")
-    times = body.where("opens = 1").select("row_ix", "block", duration_hours(F.col("cell")).alias("time_h"))
-    first = columns.groupBy("block").agg(F.min("col_ix").alias("c0"))
-    values = body.where("opens is null").join(first, "block").select("row_ix", "block", F.concat(F.lit("c"), (F.col("col_ix") - F.col("c0")).cast("string")).alias("curve_id"), number(F.col("cell")).alias("od"))
-    long = values.join(times, ["row_ix", "block"]).select(F.concat(F.lit(f"{stem}__b"), F.col("block").cast("string")).alias("file_name"), "curve_id", "time_h", "od")
-    return standardize_long(long, stem)
-
-
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
@@ -159,43 +145,27 @@ def workbook_cells(content: bytes) -> list[tuple[str, int, int, str]]:
 
 
 def read_workbook(spark: SparkSession, path: str) -> DataFrame:
-    """All sheets that some layout fits, together; files are opened on executors, from any store Spark reads."""
-
-    def run(batches):
-        for pdf in batches:
-            rows = [(p, *cell) for p, content in zip(pdf["path"], pdf["content"], strict=True) for cell in workbook_cells(content)]
-            yield pd.DataFrame(rows, columns=["path", "sheet", "row_ix", "col_ix", "cell"])
-
-    cells = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, sheet string, row_ix int, col_ix int, cell string").cache()
-    found = None
-    for p, sheet in [(r.path, r.sheet) for r in cells.select("path", "sheet").distinct().orderBy("path", "sheet").collect()]:
-        own = cells.where((F.col("path") == p) & (F.col("sheet") == sheet)).drop("path", "sheet")
-        part = _sheet(spark, own, f"{stem_of(p)}__{sheet}")
-        if part is not None:
-            found = part if found is None else found.unionByName(part)
-    if found is None:
+    """All sheets that some layout fits, together; tasks open the files, from any store Spark reads."""
+    long = read_sheets(spark, path)
+    if not long.limit(1).count():
         raise ValueError(f"no sheet of {path} has a known layout")
-    return found
+    return long
 
 
-def _sheet(spark: SparkSession, cells: DataFrame, stem: str) -> DataFrame | None:
-    top = cells.agg(F.min("row_ix")).first()[0]
-    header = {r.col_ix: r.cell for r in cells.where(F.col("row_ix") == top).collect()}  # one row of a sheet
-    if len(set(header.values())) == len(header) and sum(bool(_TIME.search(x)) for x in header.values()) < 2:
-        table = cells.where(F.col("row_ix") > top).groupBy("row_ix").pivot("col_ix", sorted(header)).agg(F.first("cell")).orderBy("row_ix")
-        table = table.select(*(F.col(f"`{c}`").alias(header[c]) for c in sorted(header)))
-        if time_columns(table):
-            return from_wide(table, stem)
-        for reader in (from_plate, from_time_table):
-            if (long := reader(table, stem)) is not None:
-                return long
-    return from_blocks(cells, stem)
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(target) and fs.getFileStatus(target).isDirectory()
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
-    """Picks a layout by the extension and the header; time headers are looked for before anything else."""
-    if path.lower().endswith((".xlsx", ".xls")):
+    """Picks a layout by the extension and the header; time headers are looked for before anything else.  A folder or glob is read whole."""
+    if path.lower().endswith(".xls"):
+        raise ValueError(f"{path} is a workbook of the old binary kind: save it as .xlsx")
+    if path.lower().endswith(".xlsx"):
         return read_workbook(spark, path)
+    if re.search(r"[*?\[{]", path) or _is_folder(spark, path):
+        return read_sheets(spark, path)
     if not path.lower().endswith(".csv"):
         raise ValueError(f"unknown kind of file: {path}")
     df, stem = read_text_csv(spark, path), stem_of(path)
@@ -209,28 +179,12 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     return long
 
 
-def read_training(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Labelled wide files, united by name: is_valid is lenient with unknown as false; source_type is synthetic or lab.  Files that aren't there are skipped."""
-    parts = []
-    for path in paths:
-        if not exists(spark, path):
-            continue
-        df, stem = read_text_csv(spark, path), stem_of(path)
-        given = _first(df, ["source_type"], F.lit(None).cast("string"))
-        sub = find_column(df.columns, ["curve subtype"])
-        kind = F.coalesce(given, F.lit("synthetic" if sub or "syn" in stem.lower() else "lab"))
-        own = df.select(
-            F.coalesce(_first(df, ["filename"], F.lit(stem)), F.lit(stem)).alias("file_name"), _first(df, ["test id"], F.lit(None).cast("string")).alias("curve_id"), _first(df, ["model name"], F.lit(None).cast("string")).alias("model_name"),
-            F.coalesce(lenient_bool(_first(df, ["is_valid"], F.lit(None).cast("string"))), F.lit(False)).alias("is_valid"), number(_first(df, CONC_NAMES, F.lit(None).cast("string"))).alias("concentration"), kind.alias("source_type"),
-            (kind == "synthetic").cast("int").alias("is_synthetic"), *(F.col(f"`{c}`") for c in time_columns(df)),
-        )
-        parts.append(wide_to_long(own, ["file_name", "curve_id", "model_name", "is_valid", "concentration", "source_type", "is_synthetic"]))
-    if not parts:
+def read_training(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Labelled wide files, folders or globs, in one scan.  Files that aren't there are skipped."""
+    there = [p for p in ([paths] if isinstance(paths, str) else paths) if re.search(r"[*?\[{]", p) or exists(spark, p)]
+    if not there:
         raise ValueError("no training file")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
+    return read_training_sheets(spark, there)
 
 
 def read_blank_status(spark: SparkSession, path: str) -> DataFrame:

@@ -15,7 +15,7 @@ from curvelake.ml import classifier
 from curvelake.operators import augment, fit, grid, labels, metrics, reshape, signal
 from curvelake.plans import analysis
 from curvelake.sinks import append_run, write_single_csv, zip_export
-from curvelake.sources import readers
+from curvelake.sources import readers, sheets
 from curvelake.sources.synthetic import sample_long, sample_wide, synthetic_curves
 
 
@@ -66,8 +66,8 @@ def test_v_columns_blocks_and_workbook(spark, tmp_path):
     v = readers.from_v_columns(spark.createDataFrame([("T1", "2", "0.1", "0.2")], ["Test_Id", "V3", "V4", "V5"]), "v")
     assert sorted((r.curve_id, r.time_h, r.od) for r in v.collect()) == [("T1_C2", 0.0, 0.1), ("T1_C2", 0.25, 0.2)]
     cells = [("junk", 0, 0), ("Tiempo", 1, 0), ("a", 1, 1), ("Time", 1, 2), ("b", 1, 3), ("0", 2, 0), ("0.5", 2, 1), ("1h", 2, 2), ("0.7", 2, 3)]
-    blocks = readers.from_blocks(spark.createDataFrame([(r, c, t) for t, r, c in cells], "row_ix int, col_ix int, cell string"), "s")
-    assert sorted((r.file_name, r.curve_id, r.time_h, r.od) for r in blocks.collect()) == [("s__b1", "c1", 0.0, 0.5), ("s__b2", "c1", 1.0, 0.7)]
+    grid = [[next((t for t, r, c in cells if (r, c) == (row, col)), None) for col in range(4)] for row in range(3)]
+    assert [(r[0], r[1], r[-2], r[-1]) for r in sheets.long_rows("s", grid)] == [("s__b1", "c1", 0.0, "0.5"), ("s__b2", "c1", 1.0, "0.7")]
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     rows = [["Time (h)", "A01", "A02"], [0, 0.1, 0.2], [1, 0.3, 0.4]]
     xml = "".join(f'<row r="{i + 1}">' + "".join(f'<c r="{"ABC"[j]}{i + 1}" ' + (f't="inlineStr"><is><t>{x}</t></is></c>' if isinstance(x, str) else f"><v>{x}</v></c>") for j, x in enumerate(r)) + "</row>" for i, r in enumerate(rows))
@@ -76,8 +76,9 @@ def test_v_columns_blocks_and_workbook(spark, tmp_path):
         z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{xml}</sheetData></worksheet>")
     book = readers.read_any(spark, str(tmp_path / "b.xlsx"))
     assert sorted((r.curve_id, r.time_h, r.od) for r in book.collect()) == [("A01", 0.0, 0.1), ("A01", 1.0, 0.3), ("A02", 0.0, 0.2), ("A02", 1.0, 0.4)]
-    with pytest.raises(ValueError):
-        readers.read_any(spark, "x.doc")
+    for name in ("x.doc", "x.xls"):
+        with pytest.raises(ValueError):
+            readers.read_any(spark, name)
 
 
 def test_sparse_and_flat_curves(spark):
@@ -168,6 +169,50 @@ def test_curves_without_groups(spark):
     assert metrics.average_precision(df).first()[0] == pytest.approx(ap)
 
 
+def _same(spark, path):
+    """The scan of whole files gives what the reader of one file gives."""
+    columns = ["file_name", "curve_id", "model_name", "is_valid", "concentration", "time_h", "od", "curve_key"]
+    both = [sorted((tuple(r) for r in df.select(*columns).collect()), key=repr) for df in (readers.read_any(spark, str(path)), sheets.read_sheets(spark, str(path)))]
+    assert both[0] == both[1] and both[0], path
+
+
+def test_scan_equals_single_readers(spark, tmp_path):
+    files = {
+        "wide.csv": "Test Id,Concentration,Is_Valid,T0.0 (h),T0.5(h),t 1 (h)\na,\"0,5\",yes,0.1,0.2,x\nb,,no,,0.4,\"0,7\"\n",
+        "ids.csv": "Is_Valid,T0.0 (h)\n,0.1\nmaybe,0.2\n,0.3\n",
+        "tagged.csv": "Test Id,T0.0 (h)\nW[Conc=0.3],1\nW[2],2\n",
+        "hours.csv": "Time (h),A01[0.1],B,Reading 1\n0,1,2,3\n0.5,2,x,4\n1,3,4,5\n",
+        "minutes.csv": "time,A,B\n0,1,2\n30,2,3\n60,3,4\n90,5,6\n",
+        "seconds.csv": "time,A\n0,1\n1800,2\n3600,3\n",
+        "durations.csv": "time,A\nt0,1\n1h 30m,2\n90m,3\n2h,4\n",
+        "v.csv": "Test_Id,V3,V4,V5\nT1,2,0.1,0.2\nT2,3,0.3,\n",
+        "v2.csv": "V3,V4,V5\n2,0.1,0.2\n3,0.3,0.4\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+        _same(spark, tmp_path / name)
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "odd.csv").write_text("a,b\nx,y\n")
+    whole = readers.read_any(spark, str(tmp_path))
+    assert whole.count() == sum(readers.read_any(spark, str(tmp_path / f)).count() for f in files)
+    with pytest.raises(Exception, match="no known layout"):
+        sheets.read_sheets(spark, str(tmp_path), strict=True).count()
+
+
+def test_many_files_are_one_stage(spark, tmp_path):
+    """Hundreds of files of different headers: one scan, one branch, every file's rows; old ids stay file positions."""
+    for k in range(300):
+        times = [0.0, 0.5, 1.0 + k % 3]
+        rows = [f"{'f' if k % 2 else ''},c{k},{'yes' if k % 5 else 'no'}," + ",".join(f"{k + t}" for t in times)]
+        (tmp_path / f"{'syn' if k % 7 == 0 else 'lab'}{k}.csv").write_text("FileName,Test Id,Is_Valid," + ",".join(f"T{t} (h)" for t in times) + "\n" + "\n".join(rows) + "\n")
+    got = readers.read_training(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan binaryFile") == 1 and "Union" not in plan and "Exchange" not in plan
+    rows = got.collect()
+    assert len(rows) == 900 and {r.curve_id for r in rows} == {f"c{k}" for k in range(300)} and all(r.od == int(r.curve_id[1:]) + r.time_h for r in rows)
+    assert {r.curve_id for r in rows if r.source_type == "synthetic"} == {f"c{k}" for k in range(0, 300, 7)} and {r.is_valid for r in rows} == {True, False}
+
+
 def test_row_index_and_missing_files(spark, tmp_path):
     """Missing ids are positions in the file whatever the splits; files that aren't there are skipped; validity has a default."""
     df = spark.createDataFrame([(float(i),) for i in range(23)], ["T0.0 (h)"]).repartition(1)
