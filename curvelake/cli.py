@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from curvelake.functions.scalars import curve_key
 from curvelake.ml import classifier
 from curvelake.plans import analysis
-from curvelake.sinks import write_tables
+from curvelake.sinks import read_table, write_ordered_csv, write_tables
 from curvelake.sources import readers
 from curvelake.sources.synthetic import synthetic_curves
 
@@ -25,6 +25,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     s = sub.add_parser("build-train-meta", help="labelled wide files to raw_merged, final_merged and training_meta")
     s.add_argument("out")
     s.add_argument("files", nargs="+")
+    s.add_argument("--csv", action="store_true", help="ordered CSV instead of Parquet")
     s = sub.add_parser("train", help="the folder of build-train-meta to models")
     s.add_argument("table")
     s.add_argument("out")
@@ -39,9 +40,14 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.what == "build-train-meta":
         long = readers.read_training(spark, a.files)
         long = long.withColumn("curve_key", F.concat_ws("_", "file_name", curve_key(F.col("curve_id"), F.col("concentration"))))
-        write_tables(analysis.training_stages(long.select("curve_key", "is_valid", "time_h", "od")), a.out)
+        tables = analysis.training_stages(long.select("curve_key", "is_valid", "time_h", "od"))
+        if a.csv:
+            for name, df in tables.items():
+                write_ordered_csv(df, f"{a.out}/{name}", ["curve_key"])
+        else:
+            write_tables(tables, a.out)
     elif a.what == "train":
-        classifier.save(classifier.train(spark.read.parquet(f"{a.table}/training_meta")), a.out, spark)
+        classifier.save(classifier.train(read_table(spark, f"{a.table}/training_meta")), a.out, spark)
     else:
         analysis.label_curves(readers.read_any(spark, a.file), classifier.load(a.models, spark)).write.mode("overwrite").parquet(a.out)
 
