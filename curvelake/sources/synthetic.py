@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from curvelake.config import GridConfig
-from curvelake.kernels.synthetic import SET_SIZE, curve, plan
+from curvelake.kernels.synthetic import SET_SIZE, curves, plan
 
 
 def synthetic_curves(spark: SparkSession, n: int = SET_SIZE, cfg: GridConfig = GridConfig(), noise: float = 0.05, seed: int = 123, partitions: int | None = None, stem: str = "syn") -> DataFrame:
@@ -16,18 +16,22 @@ def synthetic_curves(spark: SparkSession, n: int = SET_SIZE, cfg: GridConfig = G
     A set has 900 curves, 503 of them valid, of subtypes in fixed numbers; more curves are further such sets.
     """
     points, cards = cfg.points, plan(seed)
+    schema = "curve_key string, model_name string, subtype string, is_valid boolean, time_h double, od double"
 
     def run(batches):
         t = np.arange(points) * cfg.step
-        for pdf in batches:
-            for i in pdf["id"].astype(int):
-                valid, kind = cards[i % SET_SIZE]
-                family, y = curve(valid, kind, i, t, noise, seed)
-                ok = np.isfinite(y)
-                yield pd.DataFrame({"curve_key": f"{stem}_{i + 1}", "model_name": family, "subtype": kind, "is_valid": valid, "time_h": t[ok], "od": y[ok]})
+        for batch in batches:
+            for k in range(0, len(batch), 512):
+                index = batch.column(0)[k : k + 512].to_numpy()
+                dealt = [cards[i % SET_SIZE] for i in index]
+                family, y = curves([kind for _, kind in dealt], index, t, noise, seed)
+                row, place = np.nonzero(np.isfinite(y))
+                of = lambda values, row=row: pa.array(values).take(pa.array(row))
+                columns = [of([f"{stem}_{i + 1}" for i in index]), of(family), of([kind for _, kind in dealt]), of([valid for valid, _ in dealt]), pa.array(t[place]), pa.array(y[row, place])]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
 
     ids = spark.range(n) if partitions is None else spark.range(0, n, 1, partitions)
-    return ids.mapInPandas(run, "curve_key string, model_name string, subtype string, is_valid boolean, time_h double, od double")
+    return ids.mapInArrow(run, schema)
 
 
 def sample_wide(spark: SparkSession) -> DataFrame:
