@@ -7,6 +7,9 @@ hashes of a block come out as flat arrays next to the index of the text they bel
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -143,6 +146,14 @@ def strings(data: np.ndarray, offset: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(offset) - 1, pa.py_buffer(offset.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))).cast(pa.string())
 
 
+def give_back() -> None:
+    """Hands freed memory to the system: a Python worker lives on for other tasks with the most that any of them took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do without
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def ngrams(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all n consecutive items that stay inside one text, and the index of each one's first item."""
     m = len(hashes) - n + 1

@@ -167,6 +167,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int |
     def run(batches):
         from pyspark import TaskContext
 
+        T.give_back()  # what earlier stages' tasks left in this worker
         coder = encoder(tokenizer)
         tail = np.array([] if end_id is None else [end_id], dtype=coder.dtype)
         zip_ = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True).compress
@@ -180,6 +181,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int |
                     seek.append((len(frames[-1]), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
                     counts.append(len(raw) // coder.dtype.itemsize)
             ids += keys
+        T.give_back()
         if ids:
             yield pa.RecordBatch.from_arrays([pa.array([pack(TaskContext.get().partitionId(), ids, frames, seek, counts, coder.dtype.itemsize)], pa.binary())], names=["shard"])
 

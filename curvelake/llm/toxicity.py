@@ -314,6 +314,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, piece: int =
         own = pa.Table.from_batches(held).to_pandas().sort_values(["doc_id", "text"])
         model = learn_toxicity(own["text"].tolist(), own["label"].astype(int).tolist(), piece=piece)
         numbers = [model.bias, *model.move.reshape(-1).tolist(), *model.head]
+        del own, held
+        T.give_back()
         yield pa.RecordBatch.from_arrays([pa.array([list(model.weights)], pa.list_(pa.string())), pa.array([list(model.weights.values())], pa.list_(pa.float64())), pa.array([numbers], pa.list_(pa.float64()))], names=["names", "weights", "numbers"])
 
     learned = training_rows(docs, labels, train, **sample).coalesce(1).mapInArrow(fit, "names array<string>, weights array<double>, numbers array<double>").first()
@@ -337,5 +339,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: list[Column] = (
                 part = batch.slice(block.row, len(block))
                 got, spans = score(part.column(len(names)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(got), pa.array((got >= 0.5).astype(np.int32)), pa.array(spans, kind)], names=[*names, "score", "predicted", "spans"])
+        del score
+        T.give_back()
 
     return src.mapInArrow(run, schema)
