@@ -5,11 +5,15 @@ option, table parts) and unmatched end tags; the tree is then laid out: blocks o
 blank lines where browsers leave margins, list items with markers and indents, table cells in aligned
 columns, preformatted text as it stands.  Invisible is what a browser doesn't show: head, scripts, styles,
 templates, noscript, hidden and display:none elements (inline or by plain rules in style elements), closed
-details and dialogs.  All visible text comes out.
+details and dialogs.  What visibility hides is inherited: a visible part of a hidden element comes out, as all
+visible text does.
 
 Scanner, tree builder and layout take time in proportion to the page and use no recursion, so neither depth
-nor broken markup can stop a task.  A table inside a cell isn't aligned: its cells follow each other with
-bars between them.  A cell of over ``WIDEST`` characters reaches beyond its column; the other rows stay aligned.
+nor broken markup can stop a task.  Of style rules with one selector only the winning one is kept, and an
+element is asked only about rules whose rarest part it has.  A table inside a cell isn't aligned: its cells
+follow each other with bars between them.  A cell of over ``WIDEST`` characters reaches beyond its column; the
+other rows stay aligned.  Padding is bounded, so the text is in proportion to the page too: indents end at
+``DEEPEST`` columns, and a cell, whatever it spans, is filled up to ``WIDEST`` characters at most.
 
 Cases: null gives null text and empty an empty one; malformed markup never fails: a stray < is text, a tag
 without an end is text with all that follows, an attribute's quote that never closes is an ordinary
@@ -21,13 +25,15 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WIDEST = 200
+WIDEST, DEEPEST = 200, 40
 
 #: Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -207,7 +213,7 @@ class Layout:
                 self.lines.extend([""] * (self.gap > 1))
             self.gap = 0
             marker, self.marker = self.marker, ""
-            self.lines.append(" " * max(0, self.indent - len(marker)) + marker + "".join(self.line))
+            self.lines.append(" " * max(0, min(self.indent, DEEPEST) - len(marker)) + marker + "".join(self.line))
             self.line = []
         self.space = False
 
@@ -215,34 +221,39 @@ class Layout:
         self.end_line()
         self.gap = max(self.gap, gap)
 
-    def shown(self, node: Node) -> bool:
+    def style(self, node: Node) -> tuple[bool, bool | None]:
+        """Whether an element is laid out, and whether text of its own is hidden (None: as its parent's is)."""
         if node.tag in HIDDEN:
-            return False
+            return False, None
+        if node.tag[0] == "#":
+            return True, {"#muted": True, "#shown": False}.get(node.tag)
         if not node.attrs and not self.hidden:
-            return True
+            return True, None
         a = node.attributes()
         if node.tag == "input" or (node.tag == "dialog" and "open" not in a):
-            return False
-        won = {"display": ((False, (-1,)), "hidden" in a), "visibility": ((False, (-1,)), False)}
+            return False, None
+        won = {"display": ((False, (-1,)), "hidden" in a), "visibility": ((False, (-1,)), None)}
         own = {node.tag, "*", *(f"#{x}" for x in a.get("id", "").split()), *(f".{x}" for x in a.get("class", "").split())}
-        found = [r for key in own for r in self.hidden.get(key, ()) if r[0] <= own] if self.hidden else []
-        found += [(None, (9,), *d) for d in declarations(a.get("style", ""))]
-        for _, weight, name, hides, important in found:
-            if (important, weight) >= won[name][0]:
-                won[name] = ((important, weight), hides)
-        return not any(hides for _, hides in won.values())
-
-    def walk(self, node: Node) -> None:
+        found = [r[1:] for key in own for r in self.hidden.get(key, ()) if r[0] <= own] if self.hidden else []
+        found += [((important, (9,)), name, hides) for name, hides, important in declarations(a.get("style", ""))]
+        for weight, name, hides in found:
+            if weight >= won[name][0]:
+                won[name] = (weight, hides)
+        return not won["display"][1], won["visibility"][1]
+
+    def walk(self, node: Node, mute: bool = False) -> None:
         """Lays out what is inside a node; what follows an element's children waits on a stack."""
-        todo = [(iter(node.children), node, None)]
+        todo = [(iter(node.children), node, None, mute)]
         numbers: dict[int, int] = {}
         while todo:
-            children, parent, after = todo[-1]
+            children, parent, after, mute = todo[-1]
             for child in children:
                 if isinstance(child, str):
-                    self.text(child)
-                elif (entered := self.enter(child, parent, numbers)) is not None:
-                    todo.append((iter(child.children if entered[1] is None else entered[1]), child, entered[0]))
+                    if not mute:
+                        self.text(child)
+                elif (entered := self.enter(child, parent, numbers, mute)) is not None:
+                    after, inside, mute = entered
+                    todo.append((iter(child.children if inside is None else inside), child, after, mute))
                     break
             else:
                 todo.pop()
@@ -250,20 +261,22 @@ class Layout:
                 if after is not None:
                     after()
 
-    def enter(self, child: Node, parent: Node, numbers: dict[int, int]):
-        """What stands before an element; None if its children need no walk, else (what comes after them, the children to walk if not all)."""
+    def enter(self, child: Node, parent: Node, numbers: dict[int, int], mute: bool):
+        """What stands before an element; None if its children need no walk, else (what comes after them, the children to walk if not all, whether their text is hidden)."""
         tag = child.tag
         if tag == "br":
-            if self.line:
+            if self.line and not mute:
                 self.end_line()
-            else:
+            elif not mute:
                 self.gap = max(self.gap, 2)
             return None
-        if not self.shown(child):
+        displayed, own = self.style(child)
+        if not displayed:
             return None
+        mute = mute if own is None else own
         if tag == "svg":
             self.space = True
-            self.text("".join(self._strings(child, drawing=True)))
+            self.text("".join(self._strings(child, mute, drawing=True)))
             self.space = True
             return None
         if tag == "#rows":
@@ -274,17 +287,17 @@ class Layout:
             return None
         if tag not in BLOCK:
             self.space = self.space or parent.tag in APART
-            return None, None
+            return None, None, mute
         if self.in_cell and tag in ("td", "th"):
             nth = numbers[id(parent)] = numbers.get(id(parent), 0) + 1
             self.text(" | " if nth > 1 else "")
-            return None, None
+            return None, None, mute
         gap = 2 if tag in SPACED and not (tag in ("ul", "ol") and parent.tag == "li") else 1
         self.block(gap)
         if tag == "table" and not self.in_cell:
-            return (lambda: self.block(gap)), [self.table(child)]
+            return (lambda: self.block(gap)), [self.table(child, mute)], mute
         if tag in ("pre", "xmp"):
-            self.preformatted(child)
+            self.preformatted(child, mute)
             self.block(gap)
             return None
         if tag == "li":
@@ -294,14 +307,14 @@ class Layout:
                 numbers[id(parent)] = whole_number(parent.attributes().get("start", ""), 1) if before is None else before + 1
                 mark = f"{numbers[id(parent)]}. "
             self.indent += len(mark)
-            self.marker = mark
+            self.marker = "" if mute else mark
 
             def after():
                 self.end_line()
                 self.indent, self.marker = self.indent - len(mark), ""
                 self.block(gap)
 
-            return after, None
+            return after, None, mute
         if tag in ("blockquote", "dd"):
             self.indent += 2
 
@@ -310,13 +323,13 @@ class Layout:
                 self.indent -= 2
                 self.block(gap)
 
-            return after, None
+            return after, None, mute
         if tag == "details" and "open" not in child.attributes():
-            return (lambda: self.block(gap)), [x for x in child.children if isinstance(x, Node) and x.tag == "summary"][:1]
-        return (lambda: self.block(gap)), None
+            return (lambda: self.block(gap)), [x for x in child.children if isinstance(x, Node) and x.tag == "summary"][:1], mute
+        return (lambda: self.block(gap)), None, mute
 
-    def preformatted(self, node: Node) -> None:
-        text = "".join(self._strings(node)).replace("\r\n", "\n")
+    def preformatted(self, node: Node, mute: bool) -> None:
+        text = "".join(self._strings(node, mute)).replace("\r\n", "\n")
         for line in text.removeprefix("\n").rstrip("\n").split("\n"):
             self.line = [line.rstrip()] if line.strip() else []
             if self.line:
@@ -324,50 +337,52 @@ class Layout:
             elif self.lines:
                 self.gap = 2
 
-    def _strings(self, node: Node, drawing: bool = False) -> list[str]:
+    def _strings(self, node: Node, mute: bool, drawing: bool = False) -> list[str]:
         """Visible strings as they stand; in a drawing those of its text and foreignObject elements, set apart by spaces."""
         out: list[str] = []
-        todo = [(x, drawing) for x in reversed(node.children)]
+        todo = [(x, drawing, mute) for x in reversed(node.children)]
         while todo:
-            x, mute = todo.pop()
+            x, drawn, mute = todo.pop()
             if isinstance(x, str):
-                out.append("" if mute else x)
+                out.append("" if drawn or mute else x)
             elif x.tag == "br":
-                out.append("" if mute else "\n")
-            elif x.tag not in UNDRAWN and self.shown(x):
+                out.append("" if drawn or mute else "\n")
+            elif x.tag not in UNDRAWN and (style := self.style(x))[0]:
                 speaks = x.tag in ("text", "foreignobject")
                 out.append(" " if drawing and (speaks or x.tag in BLOCK) else "")
-                inner = not speaks and (mute or x.tag == "svg")
-                todo += [(c, inner) for c in reversed(x.children)]
+                inner = not speaks and (drawn or x.tag == "svg")
+                mute = mute if style[1] is None else style[1]
+                todo += [(c, inner, mute) for c in reversed(x.children)]
         return out
 
-    def _flat(self, node: Node) -> str:
+    def _flat(self, node: Node, mute: bool) -> str:
         inner = Layout(self.hidden, in_cell=True)
-        inner.walk(node)
+        inner.walk(node, mute)
         return " ".join(_SPACE.sub(" ", line).strip() for line in inner.done().split("\n") if line.strip())
 
-    def table(self, node: Node) -> Node:
+    def table(self, node: Node, mute: bool) -> Node:
         """Captions and what browsers move in front of the table, and the rows as lines of aligned cells."""
         rows: list[list[tuple[str, int]]] = []
         loose: list[Node | str] = []
-        todo: list[tuple[Node | str, bool]] = [(x, False) for x in reversed(node.children)]
+        todo: list[tuple[Node | str, bool, bool]] = [(x, False, mute) for x in reversed(node.children)]
         while todo:
-            x, in_row = todo.pop()
-            if isinstance(x, str):
-                if x.strip():
-                    loose.append(x)
-            elif not self.shown(x) or x.tag in ("col", "colgroup"):
+            x, in_row, muted = todo.pop()
+            if isinstance(x, str) and not x.strip():
                 continue
-            elif x.tag in ("td", "th"):
+            displayed, own = (True, None) if isinstance(x, str) else self.style(x)
+            if not displayed or (isinstance(x, Node) and x.tag in ("col", "colgroup")):
+                continue
+            inner = muted if own is None else own
+            if isinstance(x, Node) and x.tag in ("td", "th"):
                 if not in_row:
                     rows.append([])
-                rows[-1].append((self._flat(x), max(1, min(1000, whole_number(x.attributes().get("colspan", ""), 1)))))
-            elif x.tag in ("tr", "thead", "tbody", "tfoot") and not in_row:
+                rows[-1].append((self._flat(x, inner), max(1, min(1000, whole_number(x.attributes().get("colspan", ""), 1)))))
+            elif isinstance(x, Node) and x.tag in ("tr", "thead", "tbody", "tfoot") and not in_row:
                 if x.tag == "tr":
                     rows.append([])
-                todo += [(c, x.tag == "tr") for c in reversed(x.children)]
+                todo += [(c, x.tag == "tr", inner) for c in reversed(x.children)]
             else:
-                loose.append(x)
+                loose.append(x if muted == mute else Node("#muted" if muted else "#shown", children=[x]))
         width: dict[int, int] = {}
         for row in rows:
             at = 0
@@ -375,13 +390,16 @@ class Layout:
                 if span == 1 and len(text) <= WIDEST:
                     width[at] = max(width.get(at, 0), len(text))
                 at += span
+        columns = sorted(width)
+        upto = [0, *accumulate(width[k] for k in columns)]
         last = max(width, default=-1) + 1
         lines = Node("#rows")
         for row in rows:
             at, cells = 0, []
             for text, span in row:
-                over = range(at, max(at, min(at + span, last)))
-                cells.append(text.ljust(sum(width.get(k, 0) for k in over) + 3 * max(0, len(over) - 1)))
+                end = max(at, min(at + span, last))
+                fill = upto[bisect_left(columns, end)] - upto[bisect_left(columns, at)] + 3 * max(0, end - at - 1)
+                cells.append(text.ljust(min(fill, WIDEST)))
                 at += span
             if any(text for text, _ in row):
                 lines.children.append(" | ".join(cells).rstrip())
@@ -392,23 +410,25 @@ class Layout:
         return "\n".join(self.lines)
 
 
-def declarations(body: str) -> list[tuple[str, bool, bool]]:
-    """display and visibility of a rule: name, whether it hides, whether it is important."""
+def declarations(body: str) -> list[tuple[str, bool | None, bool]]:
+    """display and visibility of a rule: name, whether it hides (None: as the parent), whether it is important."""
     out = []
     for d in body.split(";"):
         name, _, value = d.partition(":")
         name, value = name.strip().lower(), value.strip().lower()
         if name in ("display", "visibility") and value:
-            out.append((name, bool(_HIDES.match(f"{name}:{value}")), "!" in value and value.endswith("important")))
+            inherits = name == "visibility" and value.startswith(("inherit", "unset", "revert"))
+            out.append((name, None if inherits else bool(_HIDES.match(f"{name}:{value}")), "!" in value and value.endswith("important")))
     return out
 
 
 def hidden_selectors(styles: list[str]) -> dict[str, list[tuple]]:
     """Rules on display and visibility with plain selectors (tag, .class, #id and these joined), by one of their parts.
 
-    Rules in @media hold only if the query is screen or all without conditions; nested rules are left out.
+    Rules with the same selector match the same elements, so only the one that wins is kept, under the part that
+    the fewest selectors have.  Rules in @media hold only if the query is screen or all without conditions; nested rules are left out.
     """
-    found: dict[str, list[tuple]] = {}
+    won: dict[tuple, tuple] = {}
     at = 0
     for style in styles:
         head, open_, body = "", [], ""  # open_: of each block, "in" (rules are read), "out" or the selectors of a rule
@@ -435,7 +455,9 @@ def hidden_selectors(styles: list[str]) -> dict[str, list[tuple]]:
                         for name, hides, important in declarations(body) if parts else ():
                             at += 1
                             weight = (0, m[2].count("#"), m[2].count("."), int(m[1] not in (None, "*")), at)
-                            found.setdefault(parts[-1], []).append((frozenset(parts), weight, name, hides, important))
+                            key = (frozenset(parts), name)
+                            if key not in won or (important, weight) >= won[key][0]:
+                                won[key] = ((important, weight), hides)
                 head = ""
             elif t == ";":
                 if open_ and open_[-1] not in ("in", "out"):
@@ -443,6 +465,10 @@ def hidden_selectors(styles: list[str]) -> dict[str, list[tuple]]:
                 head = ""
             else:
                 head += t
+    rules = Counter(p for parts, _ in won for p in parts)
+    found: dict[str, list[tuple]] = {}
+    for (parts, name), (weight, hides) in won.items():
+        found.setdefault(min(parts, key=lambda p: (rules[p], p)), []).append((parts, weight, name, hides))
     return found
 
 
