@@ -139,12 +139,14 @@ def _likely(values: int, least: list[tuple[int, int]]):
     return run
 
 
-def _compare(values: int, bands: int, least: list[tuple[int, int]]):
-    """Sorted rows (bucket, i, j, at, band, rep, near, sig8) of units to spanning stars (a, b) of the pairs that survive."""
-    width = values // bands
+def _compare(values: int, least: list[tuple[int, int]]):
+    """Sorted rows (bucket, i, j, at, rep, near, sig8) of units to spanning stars (a, b) of the pairs that survive.
+
+    A pair that shares several buckets survives in each; a row has one edge a unit at most, so that adds no pairs.
+    """
 
     def unit(table: pa.Table):
-        band, own = table["band"][0].as_py(), table["i"][0].as_py()
+        own = table["i"][0].as_py()
         at, rep, near = (table[c].to_numpy() for c in ("at", "rep", "near"))
         sig = _bytes_of(table["sig8"].combine_chunks(), values)
         same = own == table["j"][0].as_py()
@@ -160,9 +162,6 @@ def _compare(values: int, bands: int, least: list[tuple[int, int]]):
 
         i, j = _survivors(sig[left], sig[right], least, wanted)
         i, j = left[i], right[j]
-        if band and len(i):  # an earlier band that both share has compared them
-            owned = (sig[i, : band * width].reshape(-1, band, width) == sig[j, : band * width].reshape(-1, band, width)).all(axis=2).any(axis=1)
-            i, j = i[~owned], j[~owned]
         label = _spanning(i, j, rep)
         moved = np.flatnonzero(label != rep)
         yield from zip(rep[moved].tolist(), label[moved].tolist(), strict=True)
@@ -320,13 +319,13 @@ def _verify(threshold: float, least: list[tuple[int, int]]):
     return run
 
 
-def _candidates(reps: DataFrame, scratch: Scratch, values: int, bands: int, least: list[tuple[int, int]], members: int) -> DataFrame:
+def _candidates(reps: DataFrame, scratch: Scratch, values: int, least: list[tuple[int, int]], members: int) -> DataFrame:
     """(a, b): links between sets that may reach the threshold, enough of them to join all such pairs to groups.
 
     sig8 has the lowest byte of each MinHash value: a 256th of the unequal ones match too, which drops no pair.
     """
     light = reps.select("rep", "sig8", "bands")
-    banded = light.select("rep", F.posexplode("bands").alias("band", "bucket"))
+    banded = light.select("rep", F.explode("bands").alias("bucket"))
     heads = banded.groupBy("bucket").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1")
     shared = scratch.write("shared", banded.join(heads, "bucket"))
     sig = lambda rep, name: light.select(F.col("rep").alias(rep), F.col("sig8").alias(name))
@@ -335,9 +334,9 @@ def _candidates(reps: DataFrame, scratch: Scratch, values: int, bands: int, leas
     flagged = shared.join(stars, ["rep", "head"], "left").withColumn("near", F.coalesce("likely", F.lit(True)))  # the head is near itself
     mixed = flagged.where("not near").select("bucket").distinct()
     blocks = F.ceil(F.col("n") / members).cast("int")
-    placed = flagged.join(mixed, "bucket", "left_semi").select("bucket", "band", "rep", "near", blocks.alias("nb"), F.pmod(F.xxhash64("rep", F.lit(1)), blocks.cast("long")).cast("int").alias("at")).join(light.select("rep", "sig8"), "rep")
-    units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("bucket", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "band", "rep", "near", "sig8")
-    found = units.repartition(F.col("bucket"), F.col("i"), F.col("j")).sortWithinPartitions("bucket", "i", "j").mapInArrow(_compare(values, bands, least), "a long, b long")
+    placed = flagged.join(mixed, "bucket", "left_semi").select("bucket", "rep", "near", blocks.alias("nb"), F.pmod(F.xxhash64("rep", F.lit(1)), blocks.cast("long")).cast("int").alias("at")).join(light.select("rep", "sig8"), "rep")
+    units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("bucket", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "rep", "near", "sig8")
+    found = units.repartition(F.col("bucket"), F.col("i"), F.col("j")).sortWithinPartitions("bucket", "i", "j").mapInArrow(_compare(values, least), "a long, b long").distinct()
     return stars.where("likely").select(F.col("rep").alias("a"), F.col("head").alias("b")).unionAll(found)
 
 
@@ -354,9 +353,11 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, values:
     # one row of each set: its representative; rows repeated whole share the key and all values
     reps = sketch.join(sets.where("copies > 0").select("rep", "copies", F.col("set_a").alias("sa"), F.col("set_b").alias("sb")), (F.col("row_key") == F.col("rep")) & (F.col("set_a") == F.col("sa")) & (F.col("set_b") == F.col("sb"))).select("rep", "copies", "sig", "sig8", "bands")
     reps = scratch.write("reps", reps.groupBy("rep").agg(F.first("copies").alias("copies"), F.first("sig").alias("sig"), F.first("sig8").alias("sig8"), F.first("bands").alias("bands")))
+    keyed_rows = scratch.write("keyed", sketch.select("doc_id", "row_key", "n_shingles", "set_a", "set_b"))
+    scratch.drop("sketch")  # all that follows reads the tables made of it
     steps = [k for k in (16, 32, 64, 96, values) if k <= values]
     least = list(zip(steps, least_matches(threshold, tolerance, steps), strict=True))
-    groups = scratch.write("groups", connected_components(_candidates(reps, scratch, values, bands, least, members), scratch, "candidates"))
+    groups = scratch.write("groups", connected_components(_candidates(reps, scratch, values, least, members), scratch, "candidates"))
     for used in ("shared", "stars"):
         scratch.drop(used)
     sizes = groups.groupBy("component").agg(F.count("*").alias("m")).withColumn("nb", F.ceil(F.col("m") / block).cast("int"))
@@ -374,7 +375,6 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, values:
     of_set = sets.join(counts, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least_id = of_set.groupBy("component").agg(F.min("copy_id").alias("class_id"), F.min("rep").alias("first_rep"))
     of_set = of_set.join(least_id, "component").select("set_a", "set_b", "rep", "copy_id", "copies", "class_id", "first_rep", F.coalesce("texts", F.lit(0)).alias("n_text_links"), (F.coalesce("docs", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    keyed_rows = sketch.select("doc_id", "row_key", "n_shingles", "set_a", "set_b")
     wordless = keyed_rows.where("n_shingles = 0").select("doc_id", "row_key", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_text_links"), F.lit(1).cast("long").alias("n_copies"), F.lit(True).alias("is_first"))
     worded = keyed_rows.where("n_shingles > 0").join(of_set, ["set_a", "set_b"]).select("doc_id", "row_key", "class_id", "copy_id", "n_links", "n_text_links", F.col("copies").alias("n_copies"), (F.col("row_key") == F.col("first_rep")).alias("is_first"))
     return worded.unionAll(wordless)
