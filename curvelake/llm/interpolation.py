@@ -94,12 +94,17 @@ def _contexts(coded: Coded, counts: list[np.ndarray], texts: float, tokens: floa
     return out
 
 
-def _bucket(contexts: list[np.ndarray]) -> np.ndarray:
+def context_buckets(tokens: float) -> int:
+    """Buckets of context counts, one a power of two up to the number of all tokens; ``_BUCKETS`` at least."""
+    return max(_BUCKETS, int(tokens).bit_length() + 1)
+
+
+def _bucket(contexts: list[np.ndarray], buckets: int = _BUCKETS) -> np.ndarray:
     """The longest context that occurs, and the logarithm of its count."""
     bucket = np.zeros(len(contexts[0]), dtype=np.int64)
     for level, c in enumerate(contexts[1:], 1):
         seen = c > 0
-        bucket[seen] = level * _BUCKETS + np.minimum(np.log2(c[seen]).astype(np.int64), _BUCKETS - 1)
+        bucket[seen] = level * buckets + np.minimum(np.log2(c[seen]).astype(np.int64), buckets - 1)
     return bucket
 
 
@@ -125,11 +130,11 @@ def code_cells(bucket: np.ndarray, p: np.ndarray, steps: int) -> np.ndarray:
     return cell
 
 
-def learn_weights(cells: np.ndarray, counts: np.ndarray, order: int, types: float, rounds: int = 60, grid: int = _STEPS) -> np.ndarray:
-    """EM over cells (bucket, then a step per order): a row of weights (uniform first) for each bucket; ``grid`` is the cells' number of steps."""
-    n = order * _BUCKETS
+def learn_weights(cells: np.ndarray, counts: np.ndarray, order: int, types: float, rounds: int = 60, grid: int = _STEPS, buckets: int = _BUCKETS) -> np.ndarray:
+    """EM over cells (bucket, then a step per order): a row of weights (uniform first) for each bucket; ``grid`` is the cells' number of steps, ``buckets`` that of buckets an order."""
+    n = order * buckets
     weights = np.zeros((n, order + 1))
-    levels = np.arange(n) // _BUCKETS
+    levels = np.arange(n) // buckets
     for b in range(n):
         weights[b, : levels[b] + 2] = 1.0 / (levels[b] + 2)
     if not len(cells):
@@ -331,24 +336,24 @@ def interpolated_scores(docs: DataFrame, train: Column, held: Column, order: int
         return left.unionAll(right)
 
     tokens_left, texts_left, types_left = float(n.n_train - n.n_held), float(n.texts - n.texts_held), float(v.retained_types)
-    grid = grid_steps(tokens_left)
+    grid, buckets = grid_steps(tokens_left), context_buckets(n.n_train)
 
     def cells(table: pa.Table) -> pa.Table:
         _, block, counts = _token_counts(table, order, "retained")
         contexts = _contexts(block, counts, texts_left, tokens_left)
         p = _estimates(counts, contexts, types_left)[1:]
-        cell = code_cells(_bucket(contexts), p, grid)
+        cell = code_cells(_bucket(contexts, buckets), p, grid)
         keys, count = np.unique(cell, return_counts=True)
         return pa.table({"cell": keys, "n": count})
 
     found = together(True).groupBy("block").applyInArrow(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    weights = learn_weights(found["cell"].to_numpy(np.int64), found["n"].to_numpy(np.float64), order, types_left, grid=grid)
+    weights = learn_weights(found["cell"].to_numpy(np.int64), found["n"].to_numpy(np.float64), order, types_left, grid=grid, buckets=buckets)
     tokens, texts, types = float(n.n_train), float(n.texts), float(v.types)
 
     def score(table: pa.Table) -> pa.Table:
         row, block, counts = _token_counts(table, order, "total")
         contexts = _contexts(block, counts, texts, tokens)
-        p = (weights[_bucket(contexts)].T * _estimates(counts, contexts, types)).sum(axis=0)
+        p = (weights[_bucket(contexts, buckets)].T * _estimates(counts, contexts, types)).sum(axis=0)
         first = np.concatenate([[0], np.cumsum(block.length)[:-1]])
         base = np.log10((counts[0] + 0.5) / (tokens + 0.5 * (types + 1)))
         sums = lambda x: np.add.reduceat(x, first)
