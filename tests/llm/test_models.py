@@ -4,6 +4,7 @@ import hashlib
 import html.parser
 import itertools
 import math
+import random
 import re
 import time
 import zlib
@@ -497,3 +498,116 @@ def test_pipeline_brute(spark, sf, tmp_path):
             rate = {x: weight[x] / sum(weight.values()) * len(before) / n[x] for x in n}
             want = [r for r in before for _ in range(poisson_copies(r[0], rate[r[2]]))]
         assert sorted(after, key=repr) == sorted(want, key=repr), name
+
+
+def test_html_visibility_is_inherited():
+    """Random trees of elements that hide, show, inherit or aren't displayed, against a recursion over the plan."""
+    render = html_text.render
+    assert render("<div style='visibility:hidden'>no<p>no<span style='visibility:visible'>yes</span><b style='visibility:inherit'>no</b></p></div>end") == "yes\n\nend"
+    assert render("<style>.h{visibility:hidden} .s{visibility:visible}</style><table class=h><caption>no</caption><tr><td>no<td class=s>b<tr class=s><td>c<td>d</table>") == "  | b\nc | d"
+    assert render("<style>.h{visibility:hidden} .s{visibility:visible}</style><ol><li class=h>no<b class=s>y</b><li>z</ol><pre class=h>no <i class=s>yes</i></pre>") == "   y\n2. z\n\nyes"
+    rng = random.Random(11)
+    ways = [("", None), (" style='visibility:hidden'", True), (" style='visibility:visible'", False), (" style='visibility:inherit'", None), (" class=h", True), (" class=s", False), (" hidden", "out")]
+
+    def tree(depth, hidden, out):
+        source, seen = "", []
+        for _ in range(rng.randrange(1, 4)):
+            if depth and rng.random() < 0.7:
+                how, own = rng.choice(ways)
+                tag = rng.choice(["div", "span", "b", "section"])
+                inner, words = tree(depth - 1, hidden if own in (None, "out") else own, out or own == "out")
+                source, seen = source + f"<{tag}{how}>{inner}</{tag}>", seen + words
+            else:
+                word = f"w{rng.randrange(10**6)}"
+                source, seen = source + f" {word} ", seen + ([] if hidden or out else [word])
+        return source, seen
+
+    for _ in range(300):
+        source, seen = tree(5, False, False)
+        assert render(f"<style>.h{{visibility:hidden}}.s{{visibility:visible}}</style>{source}").split() == seen, source
+
+
+def test_html_rules_with_one_selector_are_folded():
+    styles = ["*{display:none}" * 50 + "*{display:block}" + ".a.b{display:none} .b.a{display:block}"]
+    rules = html_text.hidden_selectors(styles)
+    assert sum(map(len, rules.values())) == 2
+    assert html_text.render(f"<style>{styles[0]}</style><p class='a b'>x</p>") == "x"
+    assert html_text.render("<style>p{display:none!important}p{display:block}#i.c{display:none}b.c{display:block}</style><p>no</p><b id=i class=c>no</b><b class=c>yes</b>") == "yes"
+    spread = html_text.hidden_selectors(["".join(f".b{i}.a{{display:none}}" for i in range(100))])
+    assert max(map(len, spread.values())) == 1  # under the rarer part
+
+
+def test_html_padding_is_bounded():
+    for page in ("<blockquote>x" * 2000, "<ul><li>x" * 2000, "<table><tr>" + ("<td>" + "w" * 200) * 300 + "<tr><td colspan=1000>a<td>b" * 500):
+        assert len(html_text.render(page)) < 6 * len(page)
+    deep = html_text.render("<blockquote>" * 100 + "x").split("\n")
+    assert deep == [" " * html_text.DEEPEST + "x"]
+    assert html_text.render("<table><tr><td colspan=2>ab<td>c<tr><td>d<td>e<td>f</table>") == "ab    | c\nd | e | f"
+    assert html_text.render("<table><tr><td><ul><li>a<li>b</ul><td>c<tr><td>d<td>e</table>") == "- a - b | c\nd       | e"
+
+
+def brute_toxicity(texts, labels, piece, rounds, chance=1e-5, purity=0.85):
+    """The field's learning by enumeration of all label sequences: marks, gradients, steps and each text's top and mass."""
+    words = [toxicity.tokens(t) for t in texts]
+    feats = {w: toxicity.features(w) for ws in words for w in ws}
+    own = [{f for w in ws for f in feats[w]} for ws in words]
+    n, toxic = Counter(f for o in own for f in o), Counter(f for o, y in zip(own, labels, strict=True) if y for f in o)
+    q = sum(labels) / len(labels)
+    tail = lambda k, m: sum(math.comb(m, j) * q**j * (1 - q) ** (m - j) for j in range(k, m + 1))
+    marks = {f for f in n if toxic[f] >= 3 and toxic[f] >= purity * n[f] and tail(toxic[f], n[f]) < chance}
+    pieces = [(ws[k : k + piece], [int(y and not marks.isdisjoint(feats[w])) for w in ws[k : k + piece]]) for ws, y in zip(words, labels, strict=True) for k in range(0, len(ws), piece)]
+    w, trans, moves = dict.fromkeys(n, 0.0), dict.fromkeys(itertools.product((0, 1), repeat=2), 0.0), lambda z: zip(z, z[1:], strict=False)
+    bias = math.log((sum(map(sum, (z for _, z in pieces))) + 1) / sum(len(ws) for ws, _ in pieces))
+
+    def marginals(ws):
+        e = [bias + sum(w.get(f, 0.0) for f in feats[x]) for x in ws]
+        paths = {z: math.exp(sum(a for a, b in zip(e, z, strict=True) if b) + sum(trans[m] for m in moves(z))) for z in itertools.product((0, 1), repeat=len(ws))}
+        total = sum(paths.values())
+        return {z: v / total for z, v in paths.items()}
+
+    square = Counter()
+    for _ in range(rounds):
+        g = {("w", f): -0.05 * w[f] for f in w} | {("t", m): -0.05 * trans[m] for m in trans} | {"bias": 0.0}
+        for ws, gold in pieces:
+            for z, p in [(tuple(gold), 1.0), *((z, -p) for z, p in marginals(ws).items())]:
+                for x, b in zip(ws, z, strict=True):
+                    if b:
+                        g["bias"] += p
+                        for f in feats[x]:
+                            g["w", f] += p
+                for m in moves(z):
+                    g["t", m] += p
+        for k in g:
+            square[k] += g[k] ** 2
+        step = lambda k, rate: rate * g[k] / math.sqrt(square[k] + 1e-8)  # noqa: B023, E731
+        w = {f: v + step(("w", f), 0.7) for f, v in w.items()}
+        trans = {m: v + step(("t", m), 0.3) for m, v in trans.items()}
+        bias += step("bias", 0.7)
+    w = {f: v for f, v in w.items() if abs(v) > 1e-3}
+    p = [[sum(v for z, v in found.items() if z[t]) for t in range(len(ws))] for ws in words for found in [marginals(ws)]]
+    return marks, w, bias, trans, [(max(x, default=0.0), sum(v for v in x if v >= 0.5)) for x in p]
+
+
+def test_toxicity_learning_by_enumeration():
+    rng = random.Random(5)
+    clean, bad = [f"word{chr(97 + k)}" for k in range(20)], ["vilex", "vilez", "nastq"]
+    texts = [" ".join([*rng.sample(clean, 4), *([rng.choice(bad), rng.choice(bad)] if i % 3 == 0 else []), *rng.sample(clean, 2)]) for i in range(60)]
+    labels = [int(i % 3 == 0 or i == 7) for i in range(60)]
+    keep = toxicity.distinct_texts(texts)
+    texts, labels = [texts[i] for i in keep], [labels[i] for i in keep]
+    model = toxicity.learn_toxicity(texts, labels, piece=5, rounds=6)
+    marks, w, bias, trans, totals = brute_toxicity(texts, labels, 5, 6)
+    assert marks and set(model.weights) == set(w)
+    assert model.weights == pytest.approx(w, abs=1e-8) and model.bias == pytest.approx(bias, abs=1e-8)
+    assert np.log(model.move).reshape(-1).tolist() == pytest.approx([trans[m] for m in sorted(trans)], abs=1e-8)
+    x = np.array([[1, top, math.log1p(mass)] for top, mass in totals])
+    score = 1 / (1 + np.exp(-x @ np.array(model.head)))
+    assert model.scorer()(texts)[0] == pytest.approx(score, abs=1e-8)
+    assert x.T @ (np.array(labels) - score) == pytest.approx(0.05 * np.array(model.head), abs=1e-6)  # the ridge's optimum
+
+
+def test_context_buckets_follow_the_tokens():
+    assert interpolation.context_buckets(10) == interpolation._BUCKETS and interpolation.context_buckets(2.0**40) == 42
+    counts = [np.array([1.0, 2.0**30, 2.0**36])] * 2
+    found = interpolation._bucket(counts, interpolation.context_buckets(2.0**40))
+    assert len(set(found.tolist())) == 3
