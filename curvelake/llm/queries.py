@@ -76,7 +76,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = interpolated_scores(docs, fold(5) != 1, fold(50) % 10 == 2)
+    scored = interpolated_scores(docs, fold(5) != 1, fold(50) % 10 == 2, order=3)
     return scored.select("doc_id", (fold(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
