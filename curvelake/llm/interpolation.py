@@ -8,7 +8,7 @@ All counts are exact and cover all training documents.  They never meet in one p
 blocks of about a million tokens, each block asks for the totals of its distinct n-grams by key range,
 the task of a range sums what all blocks sent it and replies to each block in the order of its request.
 So a frequent n-gram costs one entry a block, not one a document, and neither the driver nor any task
-holds the model.  The driver gets the number of tokens and types, and the mixture statistics: one count
+holds the model.  Each order has an exchange of its own, so its size is that of the longest n-grams alone.  The driver gets the number of tokens and types, and the mixture statistics: one count
 per cell of quantised probabilities, whose number is bounded by the grid; its steps grow with the logarithm
 of the number of tokens, so no estimate is clipped.
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -222,95 +223,68 @@ def _ranges(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
-def _ask(order: int, parts: int):
-    """Blocks to requests: the distinct n-grams of each key range with their counts in this block."""
+def _ask(level: int, parts: int):
+    """Blocks to requests: the distinct n-grams of one order in each key range with their counts in this block."""
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(len(batch)):  # one block at a time
+                row = batch.slice(at, 1).to_pylist()[0]
                 coded = _decode(row)
-                train = np.repeat(coded.train, coded.length)
-                orders = []
-                for grams in coded.grams(order):
-                    keys, inverse = np.unique(grams, return_inverse=True)
-                    orders.append((keys, np.bincount(inverse[train], minlength=len(keys)).astype(np.uint32), _ranges(keys, parts)))
-                out = []
-                for p in range(parts):
-                    at = [slice(cut[p], cut[p + 1]) for _, _, cut in orders]
-                    if any(s.stop > s.start for s in at):
-                        out.append((p, row["block"], row["held"], [s.stop - s.start for s in at], b"".join(_frame(_pack_sorted(o[0][s])) for o, s in zip(orders, at, strict=True)), _pack(np.concatenate([o[1][s] for o, s in zip(orders, at, strict=True)]))))
-                names = ["part", "block", "held", "sizes", "keys", "counts"]
-                types = [pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-                for k in range(0, len(out), 512):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 512], strict=True), types, strict=True)], names=names)
+                keys, inverse = np.unique(coded.grams(level + 1)[level], return_inverse=True)
+                counts = np.bincount(inverse[np.repeat(coded.train, coded.length)], minlength=len(keys)).astype(np.uint32)
+                cut = _ranges(keys, parts)
+                full = np.flatnonzero(np.diff(cut))
+                for k in range(0, len(full), 512):
+                    pieces = [slice(cut[p], cut[p + 1]) for p in full[k : k + 512]]
+                    columns = [pa.array(full[k : k + 512], pa.int32()), pa.array([row["block"]] * len(pieces), pa.int64()), pa.array([row["held"]] * len(pieces)), pa.array([_pack_sorted(keys[x]) for x in pieces], pa.binary()), pa.array([_pack(counts[x]) for x in pieces], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "held", "keys", "counts"])
+            T.give_back()
 
     return run
 
 
-def _frame(raw: bytes) -> bytes:
-    return len(raw).to_bytes(4, "little") + raw
+_ASK_SCHEMA = "part int, block long, held boolean, keys binary, counts binary"
 
 
-def _frames(raw: bytes) -> list[bytes]:
-    out, at = [], 0
-    while at < len(raw):
-        n = int.from_bytes(raw[at : at + 4], "little")
-        out.append(raw[at + 4 : at + 4 + n])
-        at += 4 + n
-    return out
-
-
-def _answer(order: int):
+def _answer(table: pa.Table) -> pa.Table:
     """The task of a key range: totals over all blocks, back to each block in the order it asked."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        keys = [[_unpack_sorted(x) if n else np.zeros(0, np.uint64) for x, n in zip(_frames(r["keys"]), r["sizes"], strict=True)] for r in rows]
-        counts = [np.split(_unpack(r["counts"], np.uint32), np.cumsum(r["sizes"])[:-1]) for r in rows]
-        all_, held_ = [[] for _ in rows], [[] for _ in rows]
-        types = 0
-        for o in range(order):
-            sizes = [len(k[o]) for k in keys]
-            distinct, inverse = np.unique(np.concatenate([k[o] for k in keys]), return_inverse=True)
-            count = np.concatenate([c[o] for c in counts]).astype(np.float64)
-            from_held = np.repeat([r["held"] for r in rows], sizes)
-            total = np.bincount(inverse, weights=count, minlength=len(distinct))
-            deleted = np.bincount(inverse[from_held], weights=count[from_held], minlength=len(distinct))
-            if o == 0:
-                types = int((total > 0).sum())
-                retained_types = int((total > deleted).sum())
-            at = 0
-            for i, n in enumerate(sizes):
-                all_[i].append(total[inverse[at : at + n]].astype(np.uint64))
-                if rows[i]["held"]:
-                    held_[i].append((total - deleted)[inverse[at : at + n]].astype(np.uint64))
-                at += n
-        out = [(r["block"], r["held"], r["part"], r["sizes"], _pack(np.concatenate(a)), _pack(np.concatenate(h)) if h else None, 0, 0) for r, a, h in zip(rows, all_, held_, strict=True)]
-        out.append((None, False, rows[0]["part"], None, None, None, types, retained_types))
-        kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "held", "part", "sizes", "total", "retained", "types", "retained_types"])
-
-    return run
+    rows = table.to_pylist()
+    keys = [_unpack_sorted(r["keys"]) for r in rows]
+    sizes = [len(k) for k in keys]
+    distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    count = np.concatenate([_unpack(r["counts"], np.uint32) for r in rows]).astype(np.float64)
+    del keys
+    from_held = np.repeat([r["held"] for r in rows], sizes)
+    total = np.bincount(inverse, weights=count, minlength=len(distinct)).astype(np.uint64)
+    retained = total - np.bincount(inverse[from_held], weights=count[from_held], minlength=len(distinct)).astype(np.uint64)
+    out, at = [], 0
+    for r, n in zip(rows, sizes, strict=True):
+        asked = inverse[at : at + n]
+        out.append((r["block"], r["held"], r["part"], _pack(total[asked]), _pack(retained[asked]) if r["held"] else None, 0, 0))
+        at += n
+    out.append((None, False, rows[0]["part"], None, None, int((total > 0).sum()), int((retained > 0).sum())))
+    kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "held", "part", "total", "retained", "types", "retained_types"])
 
 
-_ANSWER_SCHEMA = "block long, held boolean, part int, sizes array<int>, total binary, retained binary, types long, retained_types long"
+_ANSWER_SCHEMA = "block long, held boolean, part int, total binary, retained binary, types long, retained_types long"
 
 
 def _token_counts(table: pa.Table, order: int, which: str) -> tuple[dict, Coded, list[np.ndarray]]:
     """A block and its replies: per order the total of the n-gram that ends at each token."""
     rows = table.to_pylist()
     row = next(r for r in rows if r["vocabulary"] is not None)
-    replies = sorted((r for r in rows if r["vocabulary"] is None), key=lambda r: r["part"])
+    replies = sorted((r for r in rows if r["vocabulary"] is None), key=lambda r: (r["level"], r["part"]))
     coded = _decode(row)
-    parts = [np.split(_unpack(r[which], np.uint64), np.cumsum(r["sizes"])[:-1]) for r in replies]
     counts = []
-    for o, grams in enumerate(coded.grams(order)):
+    for level, grams in enumerate(coded.grams(order)):
         _, inverse = np.unique(grams, return_inverse=True)
-        counts.append(np.concatenate([p[o] for p in parts])[inverse].astype(np.float64))
+        counts.append(np.concatenate([_unpack(r[which], np.uint64) for r in replies if r["level"] == level])[inverse].astype(np.float64))
     return row, coded, counts
 
 
-def interpolated_scores(docs: DataFrame, train: Column, held: Column, order: int = 2, range_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def interpolated_scores(docs: DataFrame, train: Column, held: Column, order: int = 3, range_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score (smoothed unigram), score (the mixture), log10.
 
     ``train`` marks documents that count; those of them that ``held`` marks teach the weights.
@@ -321,18 +295,20 @@ def interpolated_scores(docs: DataFrame, train: Column, held: Column, order: int
     size = planned_bytes(docs) or 0
     parts = 1 << max(6, min(24, (size // range_bytes).bit_length()))
     coded = scratch.write("coded", rows.mapInArrow(_code(order), _CODED_SCHEMA))
-    asked = coded.select("block", "held", "vocabulary", "codes", "length", "train").mapInArrow(_ask(order, parts), "part int, block long, held boolean, sizes array<int>, keys binary, counts binary")
-    answers = scratch.write("answers", asked.groupBy("part").applyInArrow(_answer(order), _ANSWER_SCHEMA))
+    blocks = coded.select("block", "held", "vocabulary", "codes", "length", "train")
+    # an exchange for each order: tasks and shuffle files hold the n-grams of one order at a time
+    answered = [scratch.write(f"answers-{o}", blocks.mapInArrow(_ask(o, parts), _ASK_SCHEMA).groupBy("part").applyInArrow(_answer, _ANSWER_SCHEMA)) for o in range(order)]
+    answers = reduce(DataFrame.unionAll, (a.withColumn("level", F.lit(o)) for o, a in enumerate(answered)))
     n = coded.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_train", "texts", "n_held", "texts_held"))).first()
-    v = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "retained_types"))).first()
+    v = answered[0].agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "retained_types"))).first()
 
     def together(held_only: bool) -> DataFrame:
         a, b = coded, answers.where("block is not null")
         if held_only:
             a, b = a.where("held"), b.where("held")
         nulls = lambda names: [F.lit(None).cast(t).alias(c) for c, t in names]
-        left = a.select("block", "held", "vocabulary", "codes", "length", "train", "doc_id", *nulls([("part", "int"), ("sizes", "array<int>"), ("total", "binary"), ("retained", "binary")]))
-        right = b.select("block", "held", *nulls([("vocabulary", "binary"), ("codes", "binary"), ("length", "array<long>"), ("train", "array<boolean>"), ("doc_id", "array<long>")]), "part", "sizes", "total", "retained")
+        left = a.select("block", "held", "vocabulary", "codes", "length", "train", "doc_id", *nulls([("level", "int"), ("part", "int"), ("total", "binary"), ("retained", "binary")]))
+        right = b.select("block", "held", *nulls([("vocabulary", "binary"), ("codes", "binary"), ("length", "array<long>"), ("train", "array<boolean>"), ("doc_id", "array<long>")]), "level", "part", "total", "retained")
         return left.unionAll(right)
 
     tokens_left, texts_left, types_left = float(n.n_train - n.n_held), float(n.texts - n.texts_held), float(v.retained_types)
@@ -353,11 +329,16 @@ def interpolated_scores(docs: DataFrame, train: Column, held: Column, order: int
     def score(table: pa.Table) -> pa.Table:
         row, block, counts = _token_counts(table, order, "total")
         contexts = _contexts(block, counts, texts, tokens)
-        p = (weights[_bucket(contexts, buckets)].T * _estimates(counts, contexts, types)).sum(axis=0)
+        p = np.empty(len(block.words))
+        for k in range(0, len(p), 1 << 16):
+            near = slice(k, k + (1 << 16))
+            some = [x[near] for x in contexts]
+            p[near] = (weights[_bucket(some, buckets)].T * _estimates([x[near] for x in counts], some, types)).sum(axis=0)
         first = np.concatenate([[0], np.cumsum(block.length)[:-1]])
         base = np.log10((counts[0] + 0.5) / (tokens + 0.5 * (types + 1)))
         sums = lambda x: np.add.reduceat(x, first)
         columns = {"doc_id": pa.array(row["doc_id"], pa.int64()), "n_tokens": block.length, "n_known": sums((counts[0] > 0).astype(np.int64)), "train_tokens": np.full(len(first), int(tokens)), "base_score": sums(base), "score": sums(np.log10(np.maximum(p, 1e-300)))}
+        T.give_back()
         return pa.table(columns)
 
     return together(False).groupBy("block").applyInArrow(score, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
