@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curvelake.config import LateConfig, OverrideConfig
-from curvelake.functions.scalars import first_label
+from curvelake.functions.scalars import conc_from_id, first_label
 from curvelake.operators.evidence import checker_status
 from curvelake.operators.grid import KEY
 
@@ -90,6 +90,25 @@ def audit_table(curves: DataFrame, labels: DataFrame, feats: DataFrame, processe
     return out.withColumn("true_label", first_label(shown, F.col("final_label"), F.col("pred_label"))).drop("_r", "review_label")
 
 
+#: Columns of the predictions that stand beside a review; fixed values.
+PREDICTION_COLUMNS = ["pred_label", "pred_confidence", "confidence_valid", "confidence_invalid", "too_sparse"]
+
+
+def review_curves(out: DataFrame, review: DataFrame | None = None, key: str = KEY) -> DataFrame:
+    """The curves to choose from: those of the review with the predictions' columns, or without a review all predicted ones.
+
+    A column that both have comes from the review.  A reviewed curve without a prediction stays, with nulls, and a null
+    key has none; of several predictions of a curve the smallest row is taken.  Where there is no concentration column,
+    the one within the key is read.
+    """
+    shown = out
+    if review is not None:
+        wanted = [c for c in PREDICTION_COLUMNS if c in out.columns and c not in review.columns]
+        one = out.groupBy(key).agg(F.min(F.struct(*wanted)).alias("_p")).select(key, "_p.*") if wanted else None
+        shown = review if one is None else review.join(one, key, "left")
+    return shown if "concentration" in shown.columns else shown.withColumn("concentration", conc_from_id(F.col(key)))
+
+
 def review_counts(labels: DataFrame, review: DataFrame) -> DataFrame:
     """One row: curves, those reviewed, and those of them whose reviewed label is the predicted one."""
     joined = labels.select(KEY, "pred_label").join(review.select(KEY, "reviewed", "true_label"), KEY, "left")

@@ -44,14 +44,29 @@ def _at_score(df: DataFrame, by: list[str], label: str, score: str) -> DataFrame
     return df.groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n"))
 
 
-def _cumulated(t: DataFrame, by: list[str], falling: bool, parts: int = 64) -> DataFrame:
+_MOST_RANGES = 4096
+
+
+def _range_of(column: str, cuts: list[float]) -> Column:
+    """How many of the sorted cuts lie below a value, by bisection."""
+    if not cuts:
+        return F.lit(0)
+    edges = F.array(*(F.lit(float(c)) for c in cuts))
+    steps = F.array(*(F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.col(column) > F.get(edges, at + step - 1), at + step).otherwise(at))
+
+
+def _cumulated(t: DataFrame, by: list[str], falling: bool, held: int = 1 << 20) -> DataFrame:
     """t (a row per ``by`` and score) with pos_before, n_before: sums over the rows before each one.
 
-    Scores are cut at quantiles into ``parts`` ranges (a driver value each), so no task sees all scores of a
-    group: sums within a range, then the sums of the ranges before it.
+    Scores are cut at quantiles into ranges of about ``held`` rows (64 ranges at least, ``_MOST_RANGES`` driver values at
+    most), so no task sees all scores of a group: sums within a range, then the sums of the ranges before it.
     """
-    cuts = sorted(set(t.agg(F.percentile_approx("s", [k / parts for k in range(1, parts)], 10_000)).first()[0] or []))
-    part = F.aggregate(F.array(*(F.lit(float(c)) for c in cuts)), F.lit(0), lambda a, c: a + (F.col("s") > c).cast("int")) if cuts else F.lit(0)
+    fine = [k / _MOST_RANGES for k in range(1, _MOST_RANGES)]
+    found = t.agg(F.count("s").alias("n"), F.percentile_approx("s", fine, 10 * _MOST_RANGES).alias("cuts")).first()
+    parts = min(_MOST_RANGES, max(64, 1 << (found.n // held).bit_length()))
+    cuts = sorted(set((found.cuts or [])[_MOST_RANGES // parts - 1 :: _MOST_RANGES // parts]))
+    part = _range_of("s", cuts)
     t = t.withColumn("part", -part if falling else part)
     order = F.col("s").desc() if falling else F.col("s").asc()
     inside = Window.partitionBy(*by, "part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -222,6 +222,13 @@ def audit_join(spark, d):
     return audit.select(KEY, "test_id", "concentration", "pred_label", "final_label", "label_reason", *(F.round(c, 5).alias(c) for c in ("observed_tmax", "auc", "largest_drop_frac", "plateau_OD")), F.size("processed").alias("n_processed"), F.round(total, 4).alias("processed_sum"), "true_label")
 
 
+def review_curves(spark, d):
+    """A review of the curves that aren't unsure, beside the votes."""
+    final = _final(spark, d)
+    review = labels.review_table(final.where("final_label <> 'Unsure'")).drop("pred_label", "final_label")
+    return labels.review_curves(ensemble_vote(spark, d), review).select(KEY, "concentration", "true_label", "reviewed", "pred_label", "pred_confidence", "confidence_valid")
+
+
 def label_resolution(spark, d):
     k = F.col("doc_id") % 6
     texts = ["yes", "0.0", " unsure ", "TRUE", "invalid", "?"]
@@ -249,6 +256,12 @@ def class_metrics_by_slice(spark, d):
     return _rounded(metrics.metrics_by_slice(_metric_rows(spark, d), ["lang", "source"]))
 
 
+def run_stability(spark, d):
+    """Each source a run, each language a model."""
+    runs = _metric_rows(spark, d).groupBy(F.col("lang").alias("model"), "source").agg(F.avg((F.col("y") == F.col("predicted")).cast("double")).alias("accuracy"), F.avg("p").alias("mean_score"))
+    return _rounded(metrics.stability(runs, ["accuracy", "mean_score"]))
+
+
 def roc_auc(spark, d):
     return _rounded(metrics.roc_auc(_metric_rows(spark, d), ["lang"]))
 
@@ -369,7 +382,7 @@ def training_features(spark, d):
 NAMES = [
     features_all, truncated_features, curve_point_stats, dedupe_mean_long, long_to_wide, wide_to_long, conc_from_id, duration_to_hours, time_unit_inference, curve_key_attach, grid_interpolate, grid_missing, baseline_correct, rolling_smooth, savgol_smooth, lowess_smooth,
     max_normalize, minmax_normalize, preprocess_chain, mad_noise, theil_sen, artifact_score, dynamic_min_points, stage2_evidence, ensemble_vote, stage2_status, final_labels, validity_join, membership_filter, label_counts, audit_join,
-    label_resolution, truncate_augment, gap_augment, class_metrics_by_slice, roc_auc, average_precision, class_weights, group_split, bootstrap_mean_ci, model_curve_eval, aic_table, dr_response_table, conc_span, ec50_linear_crossing,
+    review_curves, run_stability, label_resolution, truncate_augment, gap_augment, class_metrics_by_slice, roc_auc, average_precision, class_weights, group_split, bootstrap_mean_ci, model_curve_eval, aic_table, dr_response_table, conc_span, ec50_linear_crossing,
     gc_spline_fit, gc_model_fit, gc_boot, gc_audit, dr_fit, dr_boot, dr_audit, dr_payload, curve_payload, training_features, synthetic_curves, train_predict,
 ]
 

@@ -164,6 +164,8 @@ SQL = {
     "validity_join": FINAL + "SELECT o.curve_key, count(*) AS n, count(*) FILTER (v.final_label = 'Valid') AS n_valid FROM obs o LEFT JOIN overridden v USING (curve_key) GROUP BY 1",
     "membership_filter": FINAL + "SELECT curve_key, count(*) AS n FROM obs WHERE curve_key IN (SELECT curve_key FROM overridden WHERE final_label IN ('Valid', 'Unsure')) GROUP BY 1",
     "label_counts": FINAL + "SELECT final_label AS label, count(*) AS n FROM overridden GROUP BY 1",
+    "review_curves": FINAL + "SELECT curve_key, nullif(regexp_extract(curve_key, '(?i)\\[(?:\\s*conc\\s*=\\s*)?([0-9]+(?:\\.[0-9]+)?)\\s*\\]', 1), '')::DOUBLE AS concentration, o.final_label AS true_label, false AS reviewed, v.pred_label, v.pred_confidence, v.confidence_valid FROM overridden o LEFT JOIN votes v USING (curve_key) WHERE o.final_label <> 'Unsure'",
+    "run_stability": _with(METRIC_ROWS) + "SELECT model, metric, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max FROM (UNPIVOT (SELECT lang AS model, source, avg((y = predicted)::INT) AS accuracy, avg(p) AS mean_score FROM rows GROUP BY 1, 2) ON accuracy, mean_score INTO NAME metric VALUE value) GROUP BY 1, 2",
     "label_resolution": "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Valid' WHEN 1 THEN 'Invalid' WHEN 2 THEN 'Unsure' WHEN 3 THEN 'Valid' WHEN 4 THEN 'Invalid' ELSE NULL END AS label FROM labels",
     "truncate_augment": _with(OBS, f"picked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY curve_key ORDER BY {U.format(chr(39) + '42|' + chr(39) + ' || curve_key || ' + chr(39) + '|' + chr(39) + ' || ht')}, h) AS r FROM (SELECT DISTINCT curve_key FROM obs), (SELECT unnest([8.0, 10.0, 12.0, 14.5, 16.0]) AS h, unnest(['8', '10', '12', '14.5', '16']) AS ht)) WHERE r <= 3)") + "SELECT curve_key || '_H' || ht AS aug_id, o.curve_key AS base_curve_id, h::DOUBLE AS train_horizon, count(*) AS n, h < any_value(tm) - 1e-9 AS is_censored FROM (SELECT *, max(time_h) OVER (PARTITION BY curve_key) AS tm FROM obs) o JOIN picked USING (curve_key) WHERE time_h <= h + 1e-9 GROUP BY o.curve_key, h, ht",
     "class_metrics_by_slice": _with(METRIC_ROWS) + f"SELECT slice, slice_value, tp, fp, fn, tn, n, round({RATES}, 6) AS balanced_accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM (SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(source) = 0 THEN 'source' ELSE 'overall' END AS slice, CASE WHEN grouping(lang) = 0 THEN coalesce(lang, 'null') WHEN grouping(source) = 0 THEN coalesce(source, 'null') ELSE 'all' END AS slice_value, count(*) FILTER (y = 1 AND predicted = 1) AS tp, count(*) FILTER (y = 0 AND predicted = 1) AS fp, count(*) FILTER (y = 1 AND predicted = 0) AS fn, count(*) FILTER (y = 0 AND predicted = 0) AS tn, count(*) AS n FROM rows GROUP BY GROUPING SETS ((), (lang), (source)) HAVING count(*) >= 5)",

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curvelake.ml import trees as T
+from curvelake.operators import labels, metrics
 
 FEATURES = ["a", "b", "c"]
 
@@ -164,3 +165,33 @@ def test_save_load_and_empty(spark, tmp_path):
     none = df.where("false")
     assert T.fit_boosting(none, FEATURES).trees == [] and T.fit_forest(none, FEATURES, ["id"]).trees == []
     assert isinstance(df.select(model.probability().alias("p")).toPandas(), pd.DataFrame)
+
+
+@pytest.mark.parametrize("falling", [False, True])
+def test_sums_before_over_many_ranges(spark, falling):
+    """More ranges than 64, ties of groups, a group of one row and a null group against plain sums."""
+    rng = np.random.default_rng(5)
+    drawn = {(g, round(float(s), 3)) for g, n in (("a", 900), ("b", 40), (None, 7), ("c", 1)) for s in rng.normal(size=n)}
+    rows = [(g, s, int(rng.integers(0, 4)), int(rng.integers(4, 9))) for g, s in sorted(drawn, key=str)]
+    table = spark.createDataFrame(rows, "g string, s double, pos long, n long")
+    got = metrics._cumulated(table, ["g"], falling, held=4)
+    before = lambda g, s, k: sum(r[k] for r in rows if r[0] == g and (r[1] > s if falling else r[1] < s))
+    assert sorted(((r.g, r.s, r.pos_before, r.n_before) for r in got.collect()), key=str) == sorted(((g, s, before(g, s, 2), before(g, s, 3)) for g, s, _, _ in rows), key=str)
+    assert got.select("part").distinct().count() > 64
+
+
+def test_range_of_a_value(spark):
+    cuts = [-1.0, 0.0, 0.5, 2.0, 7.0]
+    values = [-5.0, -1.0, -0.5, 0.0, 0.25, 0.5, 1.0, 2.0, 3.0, 7.0, 8.0]
+    table = spark.createDataFrame([(v,) for v in values], "s double")
+    for k in range(len(cuts) + 1):
+        assert [r[0] for r in table.select(metrics._range_of("s", cuts[:k])).collect()] == [sum(v > c for c in cuts[:k]) for v in values]
+
+
+def test_review_curves(spark):
+    out = spark.createDataFrame([("x[conc=0.5]", "Valid", 0.9, 0), ("y", "Invalid", 0.8, 1), ("y", "Valid", 0.7, 1), (None, "Valid", 0.6, 0)], "curve_key string, pred_label string, pred_confidence double, too_sparse int")
+    review = spark.createDataFrame([("x[conc=0.5]", "Unsure", "Invalid"), ("y", None, "Valid"), ("z", None, None), (None, None, None)], "curve_key string, pred_label string, true_label string")
+    got = sorted(map(tuple, labels.review_curves(out, review).select("curve_key", "pred_label", "true_label", "pred_confidence", "too_sparse", "concentration").collect()), key=str)
+    assert got == [("x[conc=0.5]", "Unsure", "Invalid", 0.9, 0, 0.5), ("y", None, "Valid", 0.7, 1, None), ("z", None, None, None, None, None), (None, None, None, None, None, None)]
+    assert labels.review_curves(out).count() == 4 and labels.review_curves(out.limit(0), review).count() == 4 and labels.review_curves(out, review.limit(0)).count() == 0
+    assert labels.review_curves(out.select("curve_key"), review.withColumn("concentration", F.lit(3.0))).first().concentration == 3.0
