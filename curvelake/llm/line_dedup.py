@@ -1,20 +1,19 @@
-"""Removal of lines that many documents share, by two Bloom filters and an exact confirmation of suspects.
+"""Removal of lines that many documents share: counts of key hashes, a Bloom filter of the frequent ones, an exact confirmation.
 
-A line's key is the line without white space at both ends, A-Z lower-cased.  One pass over the texts inserts the
-keys into two Bloom filters: once-seen, and twice-seen for keys found in a second document.  Tasks send bit
-positions, sorted by filter segment, and one stream per segment keeps both bitmaps and writes the second one: a
-bit is twice-seen if a task says so or if two of them set it.  A key of two documents is therefore always in the
-second filter; a key of one document seldom is.  In a second pass only suspects, keys in the second filter,
-leave their block: one row per block and key with the number of its documents, and a cryptographic digest of
-the key, by which counts are added up exactly.  Keys of too few documents end there.
+A line's key is the line without white space at both ends, A-Z lower-cased.  One pass over the texts gives a 64-bit
+hash of each key of a block and the number of its documents; their sums by hash are a plain aggregate.  Hashes of
+enough documents go into a Bloom filter, so no key of enough documents is missing there.  In a second pass only
+suspects, keys in the filter, leave their block: one row per block and key with the number of its documents, and a
+cryptographic digest of the key, by which counts are added up exactly.  Keys of too few documents end there.
 
 The removal pass reads a table of the confirmed keys: broadcast up to ``broadcast_keys`` (24 bytes each); beyond
 that suspects' places are joined to it by shuffle, salted against lines that stand everywhere, and each document
 gets the numbers of its lines to drop.
 
-Bounds: the filter is sized by the planner's size of the table between 2**20 and 2**``most_bits`` bits (64 MB by default)
-and is broadcast; on corpora beyond its capacity more keys are suspected and shuffled, with the same result.  Tasks
-hold a block's lines and up to a million key hashes.  64-bit hashes only pick and group keys within a block.
+Bounds: at most one row of two numbers is shuffled for each line.  The filter is sized by the planner's size of the
+table between 2**20 and 2**``most_bits`` bits (64 MB by default) and is broadcast; with more frequent keys than it has
+room for, more keys are suspected and shuffled, with the same result.  Tasks hold a block's lines.  64-bit hashes only
+pick and group keys.
 
 Cases: a null or empty text is one empty line; keys under ``min_chars`` code points are never dropped.  Rows count as
 documents, repeated ones each.  With ``keep_first`` the first line of the document of the smallest id stays (nulls last;
@@ -35,8 +34,6 @@ from .scratch import Scratch, planned_bytes
 
 _U = np.uint64
 _PROBES = 3
-_SEGMENT = 1 << 13
-_CHUNK = 1 << 20
 
 
 class Lines:
@@ -84,55 +81,25 @@ def _bits(hashes: np.ndarray, bits: int) -> np.ndarray:
         return np.stack([(hashes + _U(k) * step) & _U(bits - 1) for k in range(_PROBES)])
 
 
-def _segments(hashes: np.ndarray, docs: np.ndarray, bits: int) -> pa.RecordBatch:
-    """Positions to set, by segment: of all keys, and of those of two documents or more."""
-    keys, at = np.unique(hashes, return_inverse=True)
-    often = np.bincount(at, weights=docs) > 1
-    once, twice = (np.unique(_bits(k, bits)) for k in (keys, keys[often]))
-    segment = np.unique(once // _U(_SEGMENT))
-    parts = [[(p[a:b] % _U(_SEGMENT)).astype(np.uint16).tobytes() for a, b in zip(np.searchsorted(p, segment * _U(_SEGMENT)), np.searchsorted(p, (segment + _U(1)) * _U(_SEGMENT)), strict=True)] for p in (once, twice)]
-    return pa.RecordBatch.from_arrays([pa.array(segment.astype(np.int32)), *(pa.array(p, pa.binary()) for p in parts)], names=["segment", "once", "twice"])
+def twice_seen(docs: DataFrame, bits: int, min_chars: int, text_col: str, min_docs: int = 2) -> np.ndarray:
+    """The filter of keys of two documents (``min_docs``) or more, as bytes of eight bits: none of them is missing."""
 
-
-def twice_seen(docs: DataFrame, bits: int, min_chars: int, text_col: str) -> np.ndarray:
-    """The second filter, as bytes of eight bits: no key of two documents or more is missing."""
-
-    def insert(batches):
-        hashes, counts, held = [], [], 0
+    def counts(batches):
         for batch in batches:
             for block in T.blocks(batch.column(0)):
                 keys, _, texts = Lines(block, min_chars).distinct()
-                hashes.append(keys)
-                counts.append(texts)
-                held += len(keys)
-                if held >= _CHUNK:
-                    yield _segments(np.concatenate(hashes), np.concatenate(counts), bits)
-                    hashes, counts, held = [], [], 0
-        if held:
-            yield _segments(np.concatenate(hashes), np.concatenate(counts), bits)
-
-    def merge(batches):
-        now, once, twice = None, None, None
-        packed = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(texts)], names=["hash", "n"])
+
+    def places(batches):
         for batch in batches:
-            for segment, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if segment != now:
-                    if now is not None:
-                        yield packed()
-                    now, once, twice = segment, np.zeros(_SEGMENT, dtype=bool), np.zeros(_SEGMENT, dtype=bool)
-                place = np.frombuffer(a, dtype=np.uint16)
-                twice[place[once[place]]] = True
-                once[place] = True
-                twice[np.frombuffer(b, dtype=np.uint16)] = True
-        if now is not None:
-            yield packed()
-
-    rows = docs.select(text_col).mapInArrow(insert, "segment int, once binary, twice binary").repartition("segment").sortWithinPartitions("segment")
-    found = rows.mapInArrow(merge, "segment int, bits binary").toArrow()
-    out = np.zeros(bits // 8, dtype=np.uint8)
-    for segment, part in zip(found["segment"].to_pylist(), found["bits"].to_pylist(), strict=True):
-        out[segment * (_SEGMENT // 8) : (segment + 1) * (_SEGMENT // 8)] = np.frombuffer(part, dtype=np.uint8)
-    return out
+            place = _bits(batch.column(0).to_numpy().view(np.uint64), bits).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array((place >> _U(6)).astype(np.int64)), pa.array((_U(1) << (place & _U(63))).view(np.int64))], names=["word", "mask"])
+
+    often = docs.select(text_col).mapInArrow(counts, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs)
+    found = often.select("hash").mapInArrow(places, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(bits // 64, dtype="<u8")
+    out[found["word"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
+    return out.view(np.uint8)
 
 
 def _suspected(hashes: np.ndarray, bloom: np.ndarray) -> np.ndarray:
@@ -195,7 +162,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, k
     scratch = scratch or Scratch(spark, "lines")
     size = planned_bytes(docs.select(text_col))
     bits = 1 << (most_bits if size is None else min(max(20, (4 * size).bit_length()), most_bits))
-    bloom = spark.sparkContext.broadcast(twice_seen(docs, bits, min_chars, text_col).tobytes())
+    bloom = spark.sparkContext.broadcast(twice_seen(docs, bits, min_chars, text_col, min_docs).tobytes())
     common = scratch.write("common", common_lines(docs, bloom, min_docs, min_chars, id_col, text_col))
     src = docs.select(id_col, text_col, F.xxhash64(text_col).alias("text_key"))
     kind = src.schema[id_col].dataType.simpleString()

@@ -209,6 +209,36 @@ def test_twice_seen_misses_nothing(spark):
         assert held["shared"].all() and (bits == 1 << 13 or held["single"].mean() < 0.02)
 
 
+def test_lines_leave_rows_in_proportion(spark, monkeypatch):
+    """Five times the lines, on eight times the partitions and a larger filter, leave five times the rows."""
+    made, frame = spark.sparkContext.accumulator(0), type(spark.range(0))
+    plain = frame.mapInArrow
+
+    def counted(df, func, schema):
+        def rows(batches):
+            for batch in func(batches):
+                made.add(batch.num_rows)
+                yield batch
+
+        return plain(df, rows, schema)
+
+    monkeypatch.setattr(frame, "mapInArrow", counted)
+    rows = {}
+    for n, parts, bits in ((200, 4, 1 << 18), (1000, 32, 1 << 19)):
+        docs = spark.createDataFrame([(k, "\n".join([f"shared {k // 2}", *(f"single {k} {i}" for i in range(40))])) for k in range(n)], "doc_id long, text string").repartition(parts, "doc_id")
+        before = made.value
+        line_dedup.twice_seen(docs, bits, 1, "text")
+        rows[n] = made.value - before
+    assert 0 < rows[1000] <= 6 * rows[200], rows
+
+
+def test_lines_of_one_document(spark):
+    """The least number of documents is asked for as it stands, one included."""
+    docs = spark.createDataFrame([(1, "a\n\nb"), (2, "a"), (3, None)], "doc_id long, text string")
+    for way in ({}, {"broadcast_keys": 0}):
+        assert sorted(map(tuple, line_dedup.drop_common_lines(docs, 1, **way).collect())) == brute_lines([(1, "a\n\nb"), (2, "a"), (3, None)], 1)
+
+
 def test_native_planting_needs_no_python(spark, sf):
     plan = Q.with_repetition(documents(spark, sf))._jdf.queryExecution().toString()
     assert "Python" not in plan and F is not None
