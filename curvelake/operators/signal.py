@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+from math import lcm
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,16 +53,28 @@ def rolling_smooth(points: DataFrame, window: int = 5) -> DataFrame:
     return points.withColumn("od", F.when(F.count("od").over(whole()) < window, F.col("od")).otherwise(total / window))
 
 
+def savgol_parts(window: int, at: int, order: int = 2) -> tuple[list[int], int]:
+    """Whole numbers and their common divisor: what each of ``window`` points adds to the value at place ``at`` of the least-squares polynomial through them."""
+    powers = [[Fraction(x - at) ** k for k in range(order + 1)] for x in range(window)]
+    rows = [[sum(p[i] * p[j] for p in powers) for j in range(order + 1)] + [Fraction(i == 0)] for i in range(order + 1)]
+    for i in range(order + 1):  # the normal equations are positive definite: no pivots
+        rows[i] = [v / rows[i][i] for v in rows[i]]
+        rows = [r if k == i else [v - r[i] * w for v, w in zip(r, rows[i], strict=True)] for k, r in enumerate(rows)]
+    weights = [sum(r[-1] * v for r, v in zip(rows, p, strict=True)) for p in powers]
+    whole = lcm(*(w.denominator for w in weights))
+    return [int(w * whole) for w in weights], whole
+
+
 def savgol_weights(window: int, at: int, order: int = 2) -> list[float]:
-    """What each of ``window`` points adds to the value at place ``at`` of the least-squares polynomial through them."""
-    x = np.arange(window) - at
-    return np.linalg.pinv(np.vander(x.astype(float), order + 1, increasing=True))[0].tolist()
+    parts, whole = savgol_parts(window, at, order)
+    return [w / whole for w in parts]
 
 
 def savgol_smooth(points: DataFrame, window: int = 5) -> DataFrame:
     """Order 2 over an odd window (the next one if even; under 3 nothing is smoothed); the ends follow the parabola of the outermost points.
 
-    Curves of fewer points than the window stay.
+    Curves of fewer points than the window stay.  Whole weights are divided once, from the nearer end on, so points on a
+    straight line get the same last bits whoever computes them: steps that tie there decide where a slope is largest.
     """
     if window < 3:
         return points
@@ -67,10 +82,14 @@ def savgol_smooth(points: DataFrame, window: int = 5) -> DataFrame:
     half = window // 2
     n, i = F.count("od").over(whole()), F.row_number().over(by_time())
     places = {o: F.lag("od", -o).over(by_time()) if o < 0 else F.lead("od", o).over(by_time()) if o > 0 else F.col("od") for o in range(1 - window, window)}
-    combine = lambda at: sum((F.lit(w) * places[k - at] for k, w in enumerate(savgol_weights(window, at))), F.lit(0.0))
+
+    def combine(at: int, side: int = 1):
+        parts, whole = savgol_parts(window, at)
+        return sum((F.lit(float(w)) * places[side * (k - at)] for k, w in enumerate(parts)), F.lit(0.0)) / float(whole)
+
     value = F.when(n < window, F.col("od"))
     for at in range(half):
-        value = value.when(i == at + 1, combine(at)).when(i == n - at, combine(window - 1 - at))
+        value = value.when(i == at + 1, combine(at)).when(i == n - at, combine(at, -1))
     return points.withColumn("od", value.otherwise(combine(half)))
 
 

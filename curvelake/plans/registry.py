@@ -28,8 +28,10 @@ def _raw(spark, d):
 
 
 def _rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
+    """Doubles multiplied, rounded to whole numbers and divided, as SQL engines do: F.round takes their shortest decimals, so it parts from them a bit below a half."""
     kinds = dict(df.dtypes)
-    return df.select(*(F.round(c, other.get(c, digits)).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns))
+    unit = lambda c: F.lit(10.0 ** other.get(c, digits))
+    return df.select(*((F.round(F.col(c) * unit(c)) / unit(c)).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns))
 
 
 def _seen(spark, d):

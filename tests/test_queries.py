@@ -4,6 +4,9 @@ import decimal
 import math
 
 import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +74,34 @@ def test_train_predict_is_whole(spark, sf, monkeypatch):
     with pytest.raises(Seen) as found:
         registry.queries()["train_predict"](spark, sf)
     assert curves == [900] and sizes == [600] and found.value.args == (100,)
+
+
+def rows_by_both(spark, d, name):
+    """Rows of the query and of its SQL over the events in a folder."""
+    df = registry.queries()[name](spark, str(d))
+    columns = sorted(df.columns)
+    found = duckdb.connect()
+    found.sql(f"create view events as select * from '{d}/events.parquet'")
+    want = found.sql(sql_text.SQL[name]).select(*(f'"{c}"' for c in columns)).fetchall()
+    return tuple(sorted((tuple(plain(x) for x in r) for r in rows), key=repr) for rows in (df.select(*columns).collect(), want))
+
+
+def write_events(d, users, values):
+    """Made-up events: users in turn at random times of 30 days."""
+    n, r = len(users), np.random.default_rng(5)
+    ts = np.datetime64("2024-01-01", "us") + np.sort(r.integers(0, 30 * 86_400_000_000, n)).astype("timedelta64[us]")
+    pq.write_table(pa.table({"event_id": np.arange(n), "ts": pa.array(ts), "user_id": users, "event_type": ["view"] * n, "value": values, "props": ["{}"] * n}), f"{d}/events.parquet")
+
+
+def test_straight_stretches_tie_as_in_sql(spark, tmp_path):
+    """Few events a curve: many grid steps lie on one line, and last bits decide where the slope is largest."""
+    r = np.random.default_rng(6)
+    write_events(tmp_path, r.integers(0, 300, 2400), r.exponential(50, 2400).round(2))
+    got, want = rows_by_both(spark, tmp_path, "truncated_features")
+    assert got == want
+
+
+def test_numbers_below_a_half_round_as_in_sql(spark):
+    values = [0.11562499999999999, 0.115625, -0.11562499999999999, 0.115624, 2.0, None]
+    got = [r.v for r in registry._rounded(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").coalesce(1), 5).orderBy("i").collect()]
+    assert got == [r[0] for r in duckdb.sql("select round(unnest(?)::DOUBLE, 5)", params=[values]).fetchall()] == [0.11563, 0.11563, -0.11563, 0.11562, 2.0, None]
