@@ -154,13 +154,16 @@ def bootstrap_summary(samples: DataFrame, keys: list[str], value: str, alpha: fl
     return samples.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), q.alias("_q")).select(*keys, "n", "mean", "sd", *(F.get("_q", i).alias(n) for i, n in enumerate(("ci_lo", "ci_hi", "q05", "q95"))))
 
 
-def resample(points: DataFrame, key: str, index: str, replicates: int, seed: int = 42) -> DataFrame:
-    """Hash-seeded draws with replacement: (key, replicate, draw) joined to the drawn row of the same key.
+def resampled_means(points: DataFrame, key: str, index: str, value: str, replicates: int, seed: int = 42) -> DataFrame:
+    """(key, replicate, m): means of hash-seeded draws with replacement, as many a replicate as the key has rows.
 
-    points has a dense 0-based ``index`` per key; draws depend on seed, key, replicate and draw alone.
+    points has a dense 0-based ``index`` per key; draws depend on seed, key, replicate and draw alone.  A key's values
+    become one row and its draws are made and summed up beside it, in one pass: no table of draws is shuffled, and none
+    is broadcast, for which the planner, that doesn't count what explode makes, would take it to be small.
     """
-    sizes = points.groupBy(key).agg(F.count("*").alias("_n"))
-    draws = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1)))
+    rows = points.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(value).alias("v")))).alias("_at"))
+    rows = rows.select(key, F.col("_at.v").alias("_v"), F.size("_at").alias("_n"))
+    draws = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), F.col("replicate").cast("string"), F.col("draw").cast("string")).cast("binary"))
-    picked = draws.withColumn(index, (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("_n")).cast("int")).drop("_n")
-    return picked.join(points, [key, index])
+    picked = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("_n")).cast("int")
+    return draws.groupBy(key, "replicate").agg(F.avg(F.get("_v", picked)).alias("m"))

@@ -282,8 +282,9 @@ def group_split(spark, d):
 
 def bootstrap_mean_ci(spark, d):
     w = Window.partitionBy(KEY).orderBy("time_h", "event_id")
-    points = _obs(spark, d).select(KEY, (F.row_number().over(w) - 1).alias("ix"), F.col("od_raw").alias("v"))
-    means = metrics.resample(points, KEY, "ix", 50).groupBy(KEY, "replicate").agg(F.avg("v").alias("m"))
+    curves = fit.dealt(_obs(spark, d).select(KEY, "time_h", "event_id", "od_raw"), [KEY], 0.003)
+    points = curves.select(KEY, (F.row_number().over(w) - 1).alias("ix"), F.col("od_raw").alias("v"))
+    means = metrics.resampled_means(points, KEY, "ix", "v", 50)
     # means of prices in cents end in exact halves at the sixth digit: the last bit may not decide how they round
     found = metrics.bootstrap_summary(means, [KEY], "m")
     return _rounded(found.select(KEY, "n", *((F.col(c) + 1e-9).alias(c) for c in ("mean", "sd", "ci_lo", "ci_hi"))))

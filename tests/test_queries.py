@@ -1,6 +1,7 @@
 """Every registered query with SQL gives a second engine's rows; the others run."""
 
 import decimal
+import hashlib
 import math
 
 import duckdb
@@ -10,6 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from curvelake.operators import metrics
 from curvelake.plans import registry, sql_text
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -105,3 +107,22 @@ def test_numbers_below_a_half_round_as_in_sql(spark):
     values = [0.11562499999999999, 0.115625, -0.11562499999999999, 0.115624, 2.0, None]
     got = [r.v for r in registry._rounded(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").coalesce(1), 5).orderBy("i").collect()]
     assert got == [r[0] for r in duckdb.sql("select round(unnest(?)::DOUBLE, 5)", params=[values]).fetchall()] == [0.11563, 0.11563, -0.11563, 0.11562, 2.0, None]
+
+
+def test_bootstrap_draws_stay_beside_their_curve(spark, sf):
+    """Fifty draws a point are neither joined nor broadcast: the driver would hold them all."""
+    df = registry.queries()["bootstrap_mean_ci"](spark, sf)
+    df.collect()
+    assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_resampled_means_equal_loops(spark):
+    curves = {"a": [2.5], "b": [1.0, None, 3.0, 10.0, 4.5], "c": [None]}
+    points = spark.createDataFrame([(k, i, v) for k, values in curves.items() for i, v in enumerate(values)][::-1], "k string, ix int, v double")
+    got = {(r.k, r.replicate): r.m for r in metrics.resampled_means(points, "k", "ix", "v", 4).collect()}
+    for k, values in curves.items():
+        for r in range(4):
+            drawn = [values[int(hashlib.md5(f"42|{k}|{r}|{d}".encode()).hexdigest()[:8], 16) % len(values)] for d in range(len(values))]
+            drawn = [v for v in drawn if v is not None]
+            assert got.pop((k, r)) == (pytest.approx(sum(drawn) / len(drawn)) if drawn else None)
+    assert not got
