@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 
 from curvelake.kernels.growth import aic, stable_seed
@@ -22,42 +24,74 @@ def _hill_with_jacobian(x, p):
     return bottom + (top - bottom) * share, np.stack([1 - share, share, change * (-slope / ec50), change * far], axis=2)
 
 
+def _weighted_hill(t, p):
+    value, jac = _hill_with_jacobian(t[..., 0], p)
+    return t[..., 1] * value, t[..., 1:] * jac
+
+
+def _by_dose(x: np.ndarray, y: np.ndarray) -> dict | None:
+    """What least squares needs of a series: distinct doses, how often each stands, its mean response, the squares left within doses; start and bounds."""
+    ok = np.isfinite(x) & np.isfinite(y)
+    x, y = np.asarray(x, float)[ok], np.asarray(y, float)[ok]
+    if len(x) < 4:
+        return None
+    at, inverse, times = np.unique(x, return_inverse=True, return_counts=True)
+    mean = np.bincount(inverse, weights=y) / times
+    positive = x[x > 0]
+    least, middle = (float(positive.min()), float(np.median(positive))) if len(positive) else (1e-6, max(1e-4, 0.5 * float(x.max())))
+    lo, hi = float(y.min()), float(y.max())
+    pad = max(1e-3, 0.2 * (hi - lo))
+    return {
+        "n": len(x), "at": at, "times": times, "mean": mean, "within": float(((y - mean[inverse]) ** 2).sum()), "starts": [[lo, hi, middle, 1.0], [hi, lo, middle, 1.0]],
+        "lower": [lo - pad, lo - pad, max(1e-12, 1e-3 * least), 0.05], "upper": [hi + pad, hi + pad, max(1e-6, 1e3 * float(x.max()) + max(1e-3, float(np.ptp(x)))), 8.0],
+    }
+
+
 def fit_hill(x: np.ndarray, y: np.ndarray) -> dict:
     return fit_hills([(x, y)])[0]
 
 
-def fit_hills(series: list[tuple[np.ndarray, np.ndarray]]) -> list[dict]:
-    """Least squares within bounds from a falling and a rising start, of all series at once."""
-    clean = []
+_CELLS = 1 << 18  # doses times series fitted at once
+
+
+def fit_hills(series: Iterable[tuple[np.ndarray, np.ndarray]]) -> list[dict]:
+    """Least squares within bounds from a falling and a rising start, of many series at once.
+
+    Points of one dose count as their mean, as often as they stand, which leaves sums of squares as they are; series are
+    taken as they come and fitted in slices, so memory follows the points of one series and the slice, not all points.
+    """
+    out, held, most = [], [], 0
     for x, y in series:
-        ok = np.isfinite(x) & np.isfinite(y)
-        clean.append((np.asarray(x, float)[ok], np.asarray(y, float)[ok]))
-    out: list[dict] = [{"success": False, "message": "insufficient_points"} for _ in clean]
-    able = [k for k, (x, _) in enumerate(clean) if len(x) >= 4]
+        held.append(_by_dose(x, y))
+        most = max(most, len(held[-1]["at"]) if held[-1] else 0)
+        if most * len(held) >= _CELLS:
+            out += _fit_held(held)
+            held, most = [], 0
+    return out + _fit_held(held)
+
+
+def _fit_held(held: list[dict | None]) -> list[dict]:
+    out: list[dict] = [{"success": False, "message": "insufficient_points"} for _ in held]
+    able = [k for k, s in enumerate(held) if s]
     if not able:
         return out
-    n = max(len(clean[k][0]) for k in able)
-    x, y, use = np.zeros((2 * len(able), n)), np.zeros((2 * len(able), n)), np.zeros((2 * len(able), n), dtype=bool)
-    starts, lower, upper = [], [], []
-    for row, k in enumerate(able):
-        a, b = clean[k]
-        positive = a[a > 0]
-        least, middle = (float(positive.min()), float(np.median(positive))) if len(positive) else (1e-6, max(1e-4, 0.5 * float(a.max())))
-        pad = max(1e-3, 0.2 * float(np.ptp(b)))
-        for side, ends in enumerate(((b.min(), b.max()), (b.max(), b.min()))):
-            x[2 * row + side, : len(a)], y[2 * row + side, : len(a)], use[2 * row + side, : len(a)] = a, b, True
-            starts.append([*ends, middle, 1.0])
-            lower.append([b.min() - pad, b.min() - pad, max(1e-12, 1e-3 * least), 0.05])
-            upper.append([b.max() + pad, b.max() + pad, max(1e-6, 1e3 * float(a.max()) + max(1e-3, float(np.ptp(a)))), 8.0])
-    p, rss, _ = fit_many(_hill_with_jacobian, x, y, use, np.array(starts), np.array(lower), np.array(upper))
+    n = max(len(held[k]["at"]) for k in able) + 1
+    t, y, use = np.zeros((2 * len(able), n, 2)), np.zeros((2 * len(able), n)), np.zeros((2 * len(able), n), dtype=bool)
+    for row, s in enumerate(held[k] for k in able):
+        both, m, root = slice(2 * row, 2 * row + 2), len(s["at"]), np.sqrt(s["times"])
+        t[both, :m, 0], t[both, :m, 1], y[both, :m], use[both, : m + 1] = s["at"], root, root * s["mean"], True
+        y[both, m] = np.sqrt(s["within"])  # a last point that no parameter moves
+    starts = np.array([v for k in able for v in held[k]["starts"]])
+    lower, upper = (np.repeat([held[k][c] for k in able], 2, axis=0) for c in ("lower", "upper"))
+    p, rss, _ = fit_many(_weighted_hill, t, y, use, starts, lower, upper)
     rss = np.where(np.isfinite(rss), rss, np.inf).reshape(-1, 2)
     for row, k in enumerate(able):
         side = int(rss[row].argmin())
-        best, left, m = p[2 * row + side], float(rss[row, side]), len(clean[k][0])
+        best, left = p[2 * row + side], float(rss[row, side])
         if not np.isfinite(left):
             out[k] = {"success": False, "message": "fit_failed"}
             continue
-        out[k] = {"success": True, "message": "", "method": "4pl", "status": "OK", "params": best, "ec50": float(best[2]), "rss": left, "aic": aic(left, m, 4), "y_ec50": float(hill(best[2], *best)), "bottom": float(best[0]), "top": float(best[1]), "monotonic": True}
+        out[k] = {"success": True, "message": "", "method": "4pl", "status": "OK", "params": best, "ec50": float(best[2]), "rss": left, "aic": aic(left, held[k]["n"], 4), "y_ec50": float(hill(best[2], *best)), "bottom": float(best[0]), "top": float(best[1]), "monotonic": True}
     return out
 
 

@@ -275,8 +275,8 @@ def dose_band(responses: DataFrame, samples: int = 300, points: int = FitConfig.
             return pd.DataFrame([[key[0], as_list(x), as_list(y), None, None, None, None, None]], columns=[c.split()[0] for c in schema.split(", ")])
         grid = np.geomspace(positive.min(), x.max(), points)
         options = {"method": "spline" if base["method"] == "spline" else "4pl", "lam": base.get("lam")}
-        picks = [np.random.default_rng([growth.stable_seed(key[0], seed), k]).integers(0, len(x), len(x)) for k in range(draws)]
-        fits = dose.fit_hills([(x[p], y[p]) for p in picks]) if options["method"] == "4pl" else [dose.fit_dose(x[p], y[p], x_log, **options) for p in picks]
+        picks = (np.random.default_rng([growth.stable_seed(key[0], seed), k]).integers(0, len(x), len(x)) for k in range(draws))  # one at a time: a test may have any number of points
+        fits = dose.fit_hills((x[p], y[p]) for p in picks) if options["method"] == "4pl" else (dose.fit_dose(x[p], y[p], x_log, **options) for p in picks)
         rows = [r for r in (on_grid(f, grid) for f in fits) if r is not None]
         lo, hi = np.percentile(rows, [2.5, 97.5], axis=0) if len(rows) >= 10 else (None, None)
         return pd.DataFrame([[key[0], as_list(x), as_list(y), as_list(grid), as_list(on_grid(base, grid)), as_list(lo), as_list(hi), base["ec50"]]], columns=[c.split()[0] for c in schema.split(", ")])

@@ -1,6 +1,7 @@
 """Numeric kernels against closed forms and known truths."""
 
 import csv
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 
@@ -292,6 +293,35 @@ def test_dose_bootstrap_rules():
     assert dose.bootstrap_dose(x[:5], y[:5], "t", range(5)) == []
 
 
+def test_hill_fits_of_repeated_doses():
+    """Means by dose, weighted by how often it stands, leave the squares of all points: the same minimum, rss and AIC."""
+    rng = np.random.default_rng(3)
+    x = rng.choice([0, 0.1, 0.3, 1, 3, 10, 30, 100.0], 90)
+    y = dose.hill(x, 0.1, 1.0, 4.0, 1.5) + rng.normal(0, 0.1, len(x))
+    got = dose.fit_hill(x, y)
+    params, rss, _ = fit(dose.hill, x, y, [y.min(), y.max(), 3.0, 1.0], [-1, -1, 1e-4, 0.05], [3, 3, 1e5, 8.0])
+    assert got["rss"] == pytest.approx(rss, rel=1e-6) == pytest.approx(((y - dose.hill(x, *got["params"])) ** 2).sum(), rel=1e-6)
+    assert np.sort(got["params"][:2]) == pytest.approx(np.sort(params[:2]), rel=1e-3) and got["ec50"] == pytest.approx(params[2], rel=1e-3)
+    assert got["aic"] == pytest.approx(growth.aic(rss, len(x), 4), rel=1e-6)
+
+
+@pytest.mark.parametrize("distinct", [8, 2000])
+def test_hill_fits_hold_few_draws_at_once(monkeypatch, distinct):
+    """Memory follows one draw and a slice of doses, not all draws; slices change no fit."""
+    rng = np.random.default_rng(4)
+    x = rng.choice(np.geomspace(0.1, 100, distinct), 4000)
+    y = dose.hill(x, 0.1, 1.0, 4.0, 1.5) + rng.normal(0, 0.3, len(x))
+    few = [(x[p], y[p]) for p in rng.integers(0, len(x), (5, len(x)))]
+    whole = [r["params"] for r in dose.fit_hills(few)]
+    monkeypatch.setattr(dose, "_CELLS", 1 << 13, raising=False)
+    assert np.allclose([r["params"] for r in dose.fit_hills(iter(few))], whole, rtol=1e-5)
+    tracemalloc.start()
+    found = dose.fit_hills((x[p], y[p]) for p in (rng.integers(0, len(x), len(x)) for _ in range(100)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 100 and all(r["success"] for r in found) and peak < 10e6
+
+
 def test_seeds():
     values = {"y0": 0.0, "a": 1.0, "mu": 0.1, "lam": 3.0, "alpha": 0.1, "shift": 9.0, "nu": 1.0}
     rising, late = np.linspace(0, 1, 10), dict(values, lam=13.0)
